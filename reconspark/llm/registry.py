@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reconspark.llm import exact_dedup
+from reconspark.llm import exact_dedup, mixing
 from reconspark.llm.common import table
 
 
@@ -10,8 +10,12 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op8_mix_sources(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op3_exact_dedup": op3_exact_dedup}
+    return {"op3_exact_dedup": op3_exact_dedup, "op8_mix_sources": op8_mix_sources}
 
 
 def oracle_sql():
