@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reconspark.llm import exact_dedup, mixing
+from reconspark.llm import exact_dedup, mixing, quality
 from reconspark.llm.common import table
 
 
@@ -14,9 +14,13 @@ def op8_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality.measure(table(spark, sf_dir, "documents")).drop("kept_chars", "lost")
+
+
 def queries():
-    return {"op3_exact_dedup": op3_exact_dedup, "op8_mix_sources": op8_mix_sources}
+    return {"op3_exact_dedup": op3_exact_dedup, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op9_quality_rules": quality.ORACLE}
