@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reconspark.llm import exact_dedup, mixing, quality
+from reconspark.llm import exact_dedup, mixing, packing, quality
 from reconspark.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op6_pack_sequences(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -19,7 +23,7 @@ def op9_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {"op3_exact_dedup": op3_exact_dedup, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules}
+    return {"op3_exact_dedup": op3_exact_dedup, "op6_pack_sequences": op6_pack_sequences, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql():
