@@ -22,7 +22,9 @@ from reconspark.llm.common import stored
 
 CAPACITY = 2048
 #: Lengths above this are large; the number of groups that they are rounded up in.
-SMALL, GROUPS = 512, 40
+SMALL, GROUPS = 683, 10
+#: A configuration is used when the rounded lengths fill at least this share of a sequence.
+LEAST_FILL = 0.95
 #: The id that ends a document.
 END_ID = 0
 #: Texts that a tokenizer call takes at once, and pieces in a bucket of the two-level ranks.
@@ -96,7 +98,7 @@ def cover(table: np.ndarray, demand: np.ndarray) -> np.ndarray:
     return used
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS, least_fill: float = LEAST_FILL) -> list[tuple[int, int, int, int, int]]:
     """Allotments (length, first rank, count, first sequence, offset) that place every piece of the histogram.
 
     The pieces of ``length`` with ranks first .. first + count - 1 go to as many sequences from first sequence on,
@@ -131,7 +133,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL
         demand = np.array([sum(n for _, n in q) for q in queues], dtype=float)
         times = np.floor(cover(table, demand) + 1e-9).astype(int)
         left = demand.astype(int)
-        for c in np.argsort(-(table @ np.array(sizes)), kind="stable"):
+        fill = table @ np.array(sizes)
+        for c in np.argsort(-fill, kind="stable"):
+            if fill[c] < least_fill * capacity:
+                break  # such sequences do better when the small pieces choose among them by best fit
             slots = [g for g in range(len(sizes)) for _ in range(int(table[c][g]))]
             m = min([int(times[c]), *(left[g] // int(table[c][g]) for g in set(slots))])
             for g in set(slots):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from reconspark.llm import exact_dedup, mixing, packing, quality
+from reconspark.llm import exact_dedup, mixing, packing, quality, simhash
 from reconspark.llm.common import table
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -23,7 +27,7 @@ def op9_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {"op3_exact_dedup": op3_exact_dedup, "op6_pack_sequences": op6_pack_sequences, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules}
+    return {"op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op6_pack_sequences": op6_pack_sequences, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql():
