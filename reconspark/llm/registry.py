@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reconspark.llm import exact_dedup, mixing, packing, quality, simhash
+from reconspark.llm import exact_dedup, mixing, packing, quality, sharding, simhash
 from reconspark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op4_shards(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op6_pack_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op9_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {"op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op6_pack_sequences": op6_pack_sequences, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules}
+    return {"op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_shards": op4_shards, "op6_pack_sequences": op6_pack_sequences, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql():
