@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from reconspark.llm import exact_dedup, mixing, packing, quality, sharding, simhash
+from reconspark.llm import exact_dedup, html_text, mixing, packing, quality, sharding, simhash, toxicity
 from reconspark.llm.common import table
 
 
+def op1_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op6_pack_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def op9_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {"op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_shards": op4_shards, "op6_pack_sequences": op6_pack_sequences, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules}
+    return {"op1_html_text": op1_html_text, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_shards": op4_shards, "op6_pack_sequences": op6_pack_sequences, "op7_toxicity": op7_toxicity, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql():

@@ -1,16 +1,16 @@
 """Toxicity: subword bags averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams, hashed to BUCKETS embedding rows; a passage of PASSAGE words is
-the mean of its n-grams' embeddings, and a linear softmax over it gives the passage's class.  A
-document is as toxic as its worst passage, so that a long text does not dilute a short insult.
-Embeddings and softmax are learnt together by Adam.  Misspellings and inflections never seen in
-training share n-grams with words that were.  Training takes a bounded sample of labelled rows (SAMPLE of
-each class); scoring is one narrow pass over all documents.
+A word is the bag of its character n-grams, hashed to BUCKETS embedding rows and averaged, and a linear
+softmax over the mean gives the word's class.  A document is as toxic as its worst word, so that a long
+text does not dilute a short insult.  Embeddings and softmax are learnt together by Adam.  Misspellings and
+inflections never seen in training share n-grams with words that were.  Training takes a bounded sample
+of labelled rows (SAMPLE of each class); scoring is one narrow pass over all documents.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Most labelled documents of each class that training reads: the documented bound of the sample.
 SAMPLE = 900
-BUCKETS, DIMENSIONS, PASSAGE = 1 << 17, 8, 12
+BUCKETS, DIMENSIONS = 1 << 17, 8
 NGRAMS = (3, 4, 5)
 STEPS, RATE = 50, 0.05
 #: An n-gram is learnt when so many training documents hold it.
@@ -38,32 +38,26 @@ def ngrams(word: str) -> list[int]:
 
 
 class Bags:
-    """Texts as arrays: words by number, n-grams of each word, passages and documents by their first word and passage."""
+    """Texts as arrays: the distinct words of each by number, and the n-grams of each word."""
 
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
-        words, passages, documents = [], [], []
-        for text in texts:
-            own = [number.setdefault(w, len(number)) for w in text.lower().split()] or [number.setdefault("", len(number))]
-            documents.append(len(passages))
-            passages += range(len(words), len(words) + len(own), PASSAGE)
-            words += own
+        documents = [[number.setdefault(w, len(number)) for w in sorted(set(text.lower().split()) or {""})] for text in texts]
+        sizes = np.array([len(d) for d in documents])
+        self.words = np.fromiter((w for d in documents for w in d), "int32", int(sizes.sum()))
+        self.starts = np.cumsum(sizes) - sizes
+        self.document = np.repeat(np.arange(len(texts)), sizes)
         grams = [ngrams(w) for w in number]
-        self.n_grams = np.array([len(g) for g in grams])
-        self.words, self.passages, self.documents = np.array(words, dtype="int32"), np.array(passages), np.array(documents)
+        self.sizes = np.array([len(g) for g in grams])
         # Only n-grams of several documents are learnt: one of a single document could only memorise its label.
-        first = np.append(self.passages[self.documents], len(words))
         held = np.zeros(BUCKETS, dtype="int32")
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            held[list({x for w in set(words[a:b]) for x in grams[w]})] += 1
+        for d in documents:
+            held[list({x for w in d for x in grams[w]})] += 1
         self.learnt = np.flatnonzero(held >= LEAST_DOCUMENTS)
         row = np.full(BUCKETS, -1, dtype="int32")
         row[self.learnt] = np.arange(len(self.learnt))
-        flat, owner = row[np.fromiter((x for g in grams for x in g), "int32", int(self.n_grams.sum()))], np.repeat(np.arange(len(grams), dtype="int32"), self.n_grams)
+        flat, owner = row[np.fromiter((x for g in grams for x in g), "int32", int(self.sizes.sum()))], np.repeat(np.arange(len(grams), dtype="int32"), self.sizes)
         self.grams, self.gram_words = flat[flat >= 0], owner[flat >= 0]
-        self.sizes = np.add.reduceat(self.n_grams[self.words], self.passages)
-        self.word_passage = np.repeat(np.arange(len(passages)), np.diff(np.append(self.passages, len(words))))
-        self.passage_document = np.repeat(np.arange(len(texts)), np.diff(np.append(self.documents, len(passages))))
 
 
 def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -76,21 +70,18 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, softmax, bias)]
     share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     for step in range(steps):
-        word_sums = np.stack([np.bincount(bags.gram_words, weights=table[bags.grams, k], minlength=len(bags.n_grams)) for k in range(DIMENSIONS)], axis=1).astype("float32")
-        mean = np.add.reduceat(word_sums[bags.words], bags.passages, axis=0) / bags.sizes[:, None]
+        sums = np.stack([np.bincount(bags.gram_words, weights=table[bags.grams, k], minlength=len(bags.sizes)) for k in range(DIMENSIONS)], axis=1)
+        mean = (sums / bags.sizes[:, None]).astype("float32")
         logits = mean @ softmax + bias
-        z = logits[:, 1] - logits[:, 0]
-        # The worst passage decides, first softly and then more sharply.
+        z = (logits[:, 1] - logits[:, 0])[bags.words]
+        # The worst word decides, first softly and then more sharply.
         sharp = min(1.0, step / (steps * 0.6)) * 8
-        top = np.maximum.reduceat(z, bags.documents)
-        weight = np.exp(np.minimum(sharp, 8) * (z - top[bags.passage_document]))
-        weight /= np.add.reduceat(weight, bags.documents)[bags.passage_document]
-        document = np.add.reduceat(weight * z, bags.documents)
-        slope = ((1 / (1 + np.exp(-document)) - labels) * share)[bags.passage_document] * weight
+        weight = np.exp(sharp * (z - np.maximum.reduceat(z, bags.starts)[bags.document]))
+        weight /= np.add.reduceat(weight, bags.starts)[bags.document]
+        score = np.clip(np.add.reduceat(weight * z, bags.starts), -30, 30)
+        slope = np.bincount(bags.words, weights=((1 / (1 + np.exp(-score)) - labels) * share)[bags.document] * weight, minlength=len(bags.sizes))
         d_logits = np.stack([-slope, slope], axis=1).astype("float32")
-        d_mean = (d_logits @ softmax.T) / bags.sizes[:, None]
-        # Every n-gram of a word gets the word's gradient, summed over the passages that hold it.
-        d_word = np.stack([np.bincount(bags.words, weights=d_mean[bags.word_passage, k], minlength=len(bags.n_grams)) for k in range(DIMENSIONS)], axis=1)
+        d_word = (d_logits @ softmax.T) / bags.sizes[:, None]
         d_table = np.stack([np.bincount(bags.grams, weights=d_word[bags.gram_words, k], minlength=len(table)) for k in range(DIMENSIONS)], axis=1).astype("float32")
         for parameter, gradient, (first, second) in zip((table, softmax, bias), (d_table, mean.T @ d_logits, d_logits.sum(0)), moments):
             first += 0.1 * (gradient - first)
@@ -107,20 +98,17 @@ class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias, self.known = weights, bias, {}
 
-    def word(self, word: str) -> tuple[float, int]:
+    def word(self, word: str) -> float:
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            grams = ngrams(word)
-            found = self.known[word] = (float(self.weights[grams].sum()), len(grams))
+            found = self.known[word] = float(self.weights[ngrams(word)].mean())
         return found
 
     def score(self, text: str | None) -> float:
-        pairs = np.array([self.word(w) for w in (text or "").lower().split()] or [self.word("")])
-        starts = np.arange(0, len(pairs), PASSAGE)
-        sums = np.add.reduceat(pairs, starts, axis=0)
-        return float(1 / (1 + np.exp(-np.clip((sums[:, 0] / sums[:, 1]).max() + self.bias, -30, 30))))
+        worst = max(map(self.word, set((text or "").lower().split())), default=0.0)
+        return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -30, 30))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
@@ -147,19 +135,17 @@ def held_out(doc_id: F.Column) -> F.Column:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
-    Only the text is scored; null counts as empty, and an empty text is scored as an empty word.
+    Only the text is scored; null counts as empty, and an empty text gets the score of a word of no weight.
     Repeated rows score alike, a null id counts as held out, an empty table gives an empty result (and a
     label table without rows a model that predicts 0).  Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
 
     @F.pandas_udf("double")
-    def score(parts):
-        scorer = Scorer(*model.value)
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(*model.value)  # the words that one batch met serve the next
         for texts in parts:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
-    # pandas passes the iterator of batches, so the words that one batch met serve the next.
-    score.evalType = score.evalType
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score(F.col(text_col)).alias("score"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
