@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from reconspark.llm import exact_dedup, html_text, mixing, packing, quality, sharding, simhash, toxicity
+from pyspark.sql import functions as F
+
+from reconspark.llm import exact_dedup, html_text, licences, mixing, packing, pii, quality, sharding, simhash, toxicity
 from reconspark.llm.common import table
 
 
@@ -22,6 +24,12 @@ def op4_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_licences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op6_pack_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,8 +46,12 @@ def op9_quality_rules(spark, sf_dir):
     return quality.measure(table(spark, sf_dir, "documents")).drop("kept_chars", "lost")
 
 
+def op10_pii(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op1_html_text": op1_html_text, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_shards": op4_shards, "op6_pack_sequences": op6_pack_sequences, "op7_toxicity": op7_toxicity, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules}
+    return {"op1_html_text": op1_html_text, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_shards": op4_shards, "op5_licences": op5_licences, "op6_pack_sequences": op6_pack_sequences, "op7_toxicity": op7_toxicity, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules, "op10_pii": op10_pii}
 
 
 def oracle_sql():
