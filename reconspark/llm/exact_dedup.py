@@ -64,6 +64,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256", "n_chunks")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each different text, the one with the largest id, with all its columns."""
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"), F.unhex(F.sha2(text_or_empty(f"`{text_col}`"), 256)).alias("own_sha"))
+    # Rows repeated with id and text are one text: dropDuplicates leaves one of them.
+    same = F.col("own_sha").eqNullSafe(F.col("kept_sha")) & F.col("own_id").eqNullSafe(F.col("kept_id"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["own_sha", "own_id"]).select("row.*")
+
+
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

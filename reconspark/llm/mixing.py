@@ -108,3 +108,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .join(took.withColumnRenamed("start", "at"), ["i", "at"], "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, to the nearest whole number: none, one or several times."""
+    taken = mix(docs, id_col, text_col, source_col).where("taken > 0").groupBy("doc_id", "size").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies")).where("copies > 0")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"), word_count(text_or_empty(f"`{text_col}`")).alias("own_size"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_size") == F.col("size"))
+    return keyed.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

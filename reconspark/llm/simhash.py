@@ -186,6 +186,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, unchanged and with all columns."""
-    kept = near_groups(docs, id_col, text_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("kept_id"), "left_semi")
+    """The rows of ``docs`` whose id is the smallest of their component, with all columns; of repeated ids one row."""
+    kept = near_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"))
+    return keyed.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["own_id"]).select("row.*")
