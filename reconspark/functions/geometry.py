@@ -1,0 +1,287 @@
+"""Column functions of poses, coordinates, intrinsics and names.  All are built-in expressions: no UDF."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: WGS84 and GRS80 ellipsoids (semi-major axis, flattening).
+WGS84 = (6378137.0, 1 / 298.257223563)
+GRS80 = (6378137.0, 1 / 298.257222101)
+#: Transverse Mercator presets (ellipsoid, central meridian, scale, false easting).
+CRS = {
+    "twd97_tm2_121": (GRS80, 121.0, 0.9999, 250000.0),
+    "twd97_tm2_119": (GRS80, 119.0, 0.9999, 250000.0),
+    "utm51n": (WGS84, 123.0, 0.9996, 500000.0),
+}
+CRS_ALIASES = {"epsg:3826": "twd97_tm2_121", "3826": "twd97_tm2_121", "twd97": "twd97_tm2_121", "epsg:3825": "twd97_tm2_119", "3825": "twd97_tm2_119", "epsg:32651": "utm51n", "32651": "utm51n"}
+#: Camera models with one focal length, with two, and none.
+SINGLE_FOCAL = ("SIMPLE_PINHOLE", "SIMPLE_RADIAL", "RADIAL", "SIMPLE_RADIAL_FISHEYE", "RADIAL_FISHEYE")
+DOUBLE_FOCAL = ("PINHOLE", "OPENCV", "OPENCV_FISHEYE", "FULL_OPENCV", "FOV", "THIN_PRISM_FISHEYE")
+#: Millimetres in a unit of length.
+UNIT_MM = {"mm": 1.0, "cm": 10.0, "meters": 1000.0}
+
+
+def c(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
+
+
+def parse_region(text: str | None) -> tuple[float, float, float, float] | None:
+    """``minx,miny,maxx,maxy`` by comma or space; None if empty; an error unless four numbers with min < max."""
+    parts = (text or "").replace(",", " ").split()
+    if not parts:
+        return None
+    if len(parts) != 4:
+        raise ValueError(f"a region needs 4 numbers, got {len(parts)}")
+    x0, y0, x1, y1 = map(float, parts)
+    if not (x0 < x1 and y0 < y1):
+        raise ValueError("a region needs min < max on both axes")
+    return x0, y0, x1, y1
+
+
+def in_rect_closed(x, y, region, buffer: float = 0.0) -> Column:
+    """Both ends belong to the rectangle, which ``buffer`` widens."""
+    x0, y0, x1, y1 = region
+    return c(x).between(x0 - buffer, x1 + buffer) & c(y).between(y0 - buffer, y1 + buffer)
+
+
+def in_rect_halfopen(x, y, x0, y0, x1, y1, buffer: float = 0.0) -> Column:
+    """The lower ends belong to the rectangle, the upper ones don't; bounds may be columns."""
+    return (c(x) >= c(x0) - buffer) & (c(x) < c(x1) + buffer) & (c(y) >= c(y0) - buffer) & (c(y) < c(y1) + buffer)
+
+
+def rotation(qw, qx, qy, qz) -> list[list[Column]]:
+    """Rows of the rotation matrix of a quaternion, which is normalised first."""
+    w, x, y, z = (c(q) for q in (qw, qx, qy, qz))
+    n = F.sqrt(w * w + x * x + y * y + z * z)
+    w, x, y, z = w / n, x / n, y / n, z / n
+    return [
+        [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)],
+        [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)],
+        [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)],
+    ]
+
+
+def camera_center(q, t) -> list[Column]:
+    """C = -R^T t of a pose that maps world to camera."""
+    r = rotation(*q)
+    return [-(r[0][j] * c(t[0]) + r[1][j] * c(t[1]) + r[2][j] * c(t[2])) for j in range(3)]
+
+
+def apply_similarity(p, scale: float, rot, t, flip_yz: bool = False) -> list[Column]:
+    """scale * R * p + t; ``flip_yz`` negates the second and third column of R."""
+    sign = (1, -1, -1) if flip_yz else (1, 1, 1)
+    return [scale * sum((c(p[j]) * (rot[i][j] * sign[j]) for j in range(1, 3)), c(p[0]) * rot[i][0]) + t[i] for i in range(3)]
+
+
+def to_zup(p, up: int) -> list[Column]:
+    """Points with axis ``up`` upward to Z-up: X-up (x, y, z) to (y, z, x), Y-up to (x, z, -y); Z-up is no change to ask for."""
+    x, y, z = (c(v) for v in p)
+    if up == 0:
+        return [y, z, x]
+    if up == 1:
+        return [x, z, -y]
+    raise ValueError("only X-up and Y-up can be turned to Z-up")
+
+
+def zup_to_yup(p) -> list[Column]:
+    x, y, z = (c(v) for v in p)
+    return [x, -z, y]
+
+
+def quaternion_product(a, b) -> list[Column]:
+    aw, ax, ay, az = (c(v) for v in a)
+    bw, bx, by, bz = (c(v) for v in b)
+    return [aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw]
+
+
+def scale_multiplier(scale: float | None = None, mm_per_unit: float | None = None, unit: str = "meters") -> float:
+    return scale if scale is not None else mm_per_unit / UNIT_MM[unit]
+
+
+def resolve_crs(name: str) -> str:
+    key = name.strip().lower()
+    key = CRS_ALIASES.get(key, key)
+    if key not in CRS:
+        raise ValueError(f"unknown coordinate system {name!r}")
+    return key
+
+
+def tm_to_wgs84(easting, northing, crs: str) -> tuple[Column, Column]:
+    """Latitude and longitude in degrees by the inverse transverse Mercator series."""
+    (a, f), meridian, k0, false_easting = CRS[resolve_crs(crs)]
+    e2 = f * (2 - f)
+    ep2 = e2 / (1 - e2)
+    e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+    mu = c(northing) / k0 / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    phi = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
+    c1, t1 = ep2 * cos * cos, tan * tan
+    n1 = a / F.sqrt(1 - e2 * sin * sin)
+    r1 = a * (1 - e2) / F.pow(1 - e2 * sin * sin, 1.5)
+    d = (c(easting) - false_easting) / (n1 * k0)
+    d2 = d * d
+    lat = phi - (n1 * tan / r1) * (d2 / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - 9 * ep2) * d2 * d2 / 24 + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - 252 * ep2 - 3 * c1 * c1) * d2 * d2 * d2 / 720)
+    lon = (d - (1 + 2 * t1 + c1) * d * d2 / 6 + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + 8 * ep2 + 24 * t1 * t1) * d * d2 * d2 / 120) / cos
+    return F.degrees(lat), meridian + F.degrees(lon)
+
+
+def wgs84_to_ecef(lat, lon, alt) -> list[Column]:
+    a, f = WGS84
+    e2 = f * (2 - f)
+    la, lo = F.radians(c(lat)), F.radians(c(lon))
+    n = a / F.sqrt(1 - e2 * F.sin(la) * F.sin(la))
+    return [(n + c(alt)) * F.cos(la) * F.cos(lo), (n + c(alt)) * F.cos(la) * F.sin(lo), (n * (1 - e2) + c(alt)) * F.sin(la)]
+
+
+def enu_factors(lat0, alt0) -> tuple[Column, Column]:
+    """Metres in a degree of latitude and of longitude at a height."""
+    a, f = WGS84
+    e2 = f * (2 - f)
+    la = F.radians(c(lat0))
+    s = 1 - e2 * F.sin(la) * F.sin(la)
+    return F.radians(F.lit(1.0)) * (a * (1 - e2) / F.pow(s, 1.5) + c(alt0)), F.radians(F.lit(1.0)) * (a / F.sqrt(s) + c(alt0)) * F.cos(la)
+
+
+def flat_distance(lat1, lon1, lat2, lon2, lat0=None) -> Column:
+    """Metres between two fixes, equirectangular about ``lat0`` (by default the first latitude)."""
+    dn = (c(lat1) - c(lat2)) * 111132.0
+    de = (c(lon1) - c(lon2)) * 111320.0 * F.cos(F.radians(c(lat1 if lat0 is None else lat0)))
+    return F.sqrt(dn * dn + de * de)
+
+
+def cam_from_world(omega, phi, kappa) -> list[list[Column]]:
+    """diag(1, -1, -1) * (Rz Ry Rx)^T of the angles in degrees."""
+    so, co, sp, cp, sk, ck = (f(F.radians(c(x))) for x in (omega, phi, kappa) for f in (F.sin, F.cos))
+    m = [
+        [ck * cp, ck * sp * so - sk * co, ck * sp * co + sk * so],
+        [sk * cp, sk * sp * so + ck * co, sk * sp * co - ck * so],
+        [-sp, cp * so, cp * co],
+    ]
+    return [[(1 if i == 0 else -1) * m[j][i] for j in range(3)] for i in range(3)]
+
+
+def gravity_in_camera(omega, phi, kappa) -> list[Column]:
+    """Unit vector of gravity: minus the third column of the rotation."""
+    g = [-row[2] for row in cam_from_world(omega, phi, kappa)]
+    n = F.sqrt(g[0] * g[0] + g[1] * g[1] + g[2] * g[2])
+    return [v / n for v in g]
+
+
+def calibration_to_params(model: str, width, height, pixel_mm, c_mm, xp_mm, yp_mm, image_width=None, use_pp: bool = True, flip_pp_y: bool = True) -> Column:
+    """Parameter vector in the model's order, distortion 0, scaled to the image's width."""
+    k = c(image_width) / c(width) if image_width is not None else F.lit(1.0)
+    focal = c(c_mm) / c(pixel_mm) * k
+    cx = (c(width) / 2 + (c(xp_mm) / c(pixel_mm) if use_pp else 0.0)) * k
+    cy = (c(height) / 2 + ((-1 if flip_pp_y else 1) * c(yp_mm) / c(pixel_mm) if use_pp else 0.0)) * k
+    zero = F.lit(0.0)
+    extra = {"SIMPLE_PINHOLE": 0, "PINHOLE": 0, "SIMPLE_RADIAL": 1, "RADIAL": 2, "OPENCV": 4, "OPENCV_FISHEYE": 4, "FULL_OPENCV": 8}
+    if model not in extra:
+        raise ValueError(f"unknown camera model {model!r}")
+    return F.array(*([focal] if model in SINGLE_FOCAL else [focal, focal]), cx, cy, *[zero] * extra[model])
+
+
+def rescale_params(model, params, sx, sy) -> Column:
+    """Focal lengths and principal point scaled, distortion kept; a single focal length by the mean of both factors."""
+    p, sx, sy = c(params), c(sx), c(sy)
+    single = c(model).isin(*SINGLE_FOCAL)
+    known = c(model).isin(*SINGLE_FOCAL, *DOUBLE_FOCAL)
+    scaled = F.transform(p, lambda v, i: F.when(single, F.when(i == 0, v * (sx + sy) / 2).when(i == 1, v * sx).when(i == 2, v * sy).otherwise(v)).otherwise(F.when(i.isin(0, 2), v * sx).when(i.isin(1, 3), v * sy).otherwise(v)))
+    return F.when(known, scaled).otherwise(F.raise_error(F.concat(F.lit("unknown camera model "), c(model))))
+
+
+def shift_principal_point(model, params, x0, y0) -> Column:
+    p = c(params)
+    simple = F.array(p[0], p[1] - c(x0), p[2] - c(y0))
+    return F.when(c(model) == "SIMPLE_PINHOLE", simple).when(c(model) == "PINHOLE", F.array(p[0], p[1], p[2] - c(x0), p[3] - c(y0))).otherwise(F.raise_error(F.lit("only pinhole cameras can be tiled")))
+
+
+def f_cx_cy(model, params) -> list[Column]:
+    p, single = c(params), c(model).isin(*SINGLE_FOCAL)
+    return [p[0], F.when(single, p[1]).otherwise(p[2]), F.when(single, p[2]).otherwise(F.get(p, F.lit(3)))]
+
+
+def tile_layout(width, height, most: int) -> tuple[Column, Column]:
+    """Columns and rows of tiles."""
+    return F.ceil(c(width) / most).cast("int"), F.ceil(c(height) / most).cast("int")
+
+
+def tile_bounds(width, height, cols, rows, tc, tr) -> list[Column]:
+    """An exact cover in whole pixels: x0, y0, x1, y1."""
+    cut = lambda size, k, n: F.floor(c(size) * k / c(n)).cast("long")
+    return [cut(width, c(tc), cols), cut(height, c(tr), rows), cut(width, c(tc) + 1, cols), cut(height, c(tr) + 1, rows)]
+
+
+def base_name(name) -> Column:
+    return F.regexp_extract(c(name), r"([^/]*)$", 1)
+
+
+def stem(name) -> Column:
+    return F.regexp_replace(base_name(name), r"(?<=.)\.[^.]*$", "")
+
+
+def first_folder(name) -> Column:
+    return F.regexp_extract(c(name), r"^([^/]*)/", 1)
+
+
+def tile_name(name, tr, tc) -> Column:
+    """``folder/stem_r{r}c{c}.jpg``."""
+    return F.concat(F.regexp_replace(c(name), r"(?<=[^/])\.[^./]*$", ""), F.lit("_r"), c(tr).cast("string"), F.lit("c"), c(tc).cast("string"), F.lit(".jpg"))
+
+
+def mask_name(name) -> Column:
+    return F.concat(F.regexp_replace(c(name), r"(?<=[^/])\.[^./]*$", ""), F.lit(".png"))
+
+
+def slug(name) -> Column:
+    return F.regexp_replace(c(name), r"[/\\]+", "_")
+
+
+def drop_predicate(camera_id, name, cameras=(), parts=()) -> Column:
+    """Doomed: of a listed camera, or with a listed part in the name."""
+    doomed = c(camera_id).isin(*cameras) if cameras else F.lit(False)
+    for part in parts:
+        doomed = doomed | c(name).contains(part)
+    return F.coalesce(doomed, F.lit(False))
+
+
+def valid_score(score) -> Column:
+    return F.coalesce(~F.isnan(c(score)) & (c(score) >= 0) & (c(score) < float("inf")), F.lit(False))
+
+
+def prior_std(override, source, defaults: dict[str, float]) -> Column:
+    """A numeric override, else the default of the prior's source."""
+    chosen = F.lit(None).cast("double")
+    for name, value in defaults.items():
+        chosen = F.when(c(source) == name, F.lit(float(value))).otherwise(chosen)
+    return F.coalesce(c(override).try_cast("double"), chosen)
+
+
+def normalize_box(x0, y0, x1, y1) -> list[Column]:
+    return [F.least(c(x0), c(x1)), F.least(c(y0), c(y1)), F.greatest(c(x0), c(x1)), F.greatest(c(y0), c(y1))]
+
+
+def clip_box(box, width, height) -> list[Column]:
+    """Into [0, w - 1] x [0, h - 1]; a box with a side under 1 is to be dropped by the caller (``big_enough``)."""
+    w, h = c(width) - 1.0, c(height) - 1.0
+    zero = F.lit(0.0)
+    return [F.greatest(zero, F.least(c(box[0]), w)), F.greatest(zero, F.least(c(box[1]), h)), F.greatest(zero, F.least(c(box[2]), w)), F.greatest(zero, F.least(c(box[3]), h))]
+
+
+def has_sides(box) -> Column:
+    return (c(box[2]) - c(box[0]) >= 1) & (c(box[3]) - c(box[1]) >= 1)
+
+
+def big_enough(box, share: float, width, height) -> Column:
+    area = (c(box[2]) - c(box[0])) * (c(box[3]) - c(box[1]))
+    return F.lit(True) if share <= 0 else area >= share * c(width) * c(height)
+
+
+def iou(a, b) -> Column:
+    w = F.greatest(F.lit(0.0), F.least(c(a[2]), c(b[2])) - F.greatest(c(a[0]), c(b[0])))
+    h = F.greatest(F.lit(0.0), F.least(c(a[3]), c(b[3])) - F.greatest(c(a[1]), c(b[1])))
+    area = lambda r: (c(r[2]) - c(r[0])) * (c(r[3]) - c(r[1]))
+    union = area(a) + area(b) - w * h
+    return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
