@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def area_of(x: np.ndarray, y: np.ndarray) -> float:
@@ -31,6 +32,6 @@ def area_of(x: np.ndarray, y: np.ndarray) -> float:
     return float(abs((ring[:, 0] * nxt[:, 1] - ring[:, 1] * nxt[:, 0]).sum()) / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hull_area(x: pd.Series, y: pd.Series) -> float:
     return area_of(x.to_numpy(dtype=float), y.to_numpy(dtype=float))

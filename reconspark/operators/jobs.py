@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility form and case folding: the one text function Spark lacks here."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())

@@ -1,14 +1,918 @@
-"""Registered queries of the operators, with their DuckDB SQL."""
+"""Registered queries of the operators, each with its DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from reconspark.functions import geometry as g
+from reconspark.operators import boxes as bx
+from reconspark.operators import frames as fr
+from reconspark.operators import jobs as jb
+from reconspark.operators import listings as ls
+from reconspark.operators import logs as lg
+from reconspark.operators import models as md
+from reconspark.operators import rig as rg
+from reconspark.operators import spatial as sp
+from reconspark.operators import stats as st
+from reconspark.plans import inputs as i
+from reconspark.plans.inputs import sql, t
+
 QUERIES: dict = {}
 SQL: dict = {}
 
 
+def query(text: str | None = None):
+    """Register the function under its name, with its SQL if there is one."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if text:
+            SQL[f.__name__] = text
+        return f
+
+    return put
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
     return dict(SQL)
+
+
+def rounded(df, digits: int = 5):
+    return df.select(*[F.round(n, digits).alias(n) if k == "double" else F.col(n) for n, k in df.dtypes])
+
+
+RECT = (10.0, 95.0, 30.0, 140.0)
+
+# ---------------------------------------------------------------- frames, windows, top-k
+
+W1 = """ranked AS (SELECT *, coalesce(NOT isnan(score) AND score >= 0 AND score < 'inf'::DOUBLE, false) AS ok FROM frames),
+  numbered AS (SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY video ORDER BY CASE WHEN ok THEN 0 ELSE 1 END, score, name) END AS rank,
+    greatest(1, floor(count(*) FILTER (WHERE ok) OVER (PARTITION BY video) * 70.0 / 100))::INT AS quota FROM ranked),
+  decided AS (SELECT video, name, score, rank, CASE WHEN NOT ok THEN 'invalid_score' WHEN score > 120 THEN 'above_threshold' WHEN rank > quota THEN 'percentile' ELSE 'kept' END AS decision,
+    max(CASE WHEN rank = quota THEN score END) OVER (PARTITION BY video) AS cutoff FROM numbered)"""
+
+
+def _selected(spark, d):
+    return fr.select_frames(i.frames(spark, d), threshold=120.0, keep_pct=70.0)
+
+
+@query(sql("frames", "+" + W1 + " SELECT video, name, rank, decision, cutoff FROM decided"))
+def w1_select_frames(spark, d):
+    return _selected(spark, d).select("video", "name", "rank", "decision", "cutoff")
+
+
+@query(sql("frames", "+" + W1 + " SELECT video, count(*) FILTER (WHERE decision = 'kept') AS kept, count(*) FILTER (WHERE decision = 'above_threshold') AS above_threshold, count(*) FILTER (WHERE decision = 'percentile') AS percentile, count(*) FILTER (WHERE decision = 'invalid_score') AS invalid_score, max(cutoff) AS cutoff FROM decided GROUP BY video"))
+def a6_frame_quality_counts(spark, d):
+    return fr.frame_quality_counts(_selected(spark, d))
+
+
+@query(sql("frames", "SELECT video, name FROM frames WHERE coalesce(NOT isnan(score) AND score >= 0 AND score < 'inf'::DOUBLE, false)"))
+def f18_valid_score(spark, d):
+    return i.frames(spark, d).where(g.valid_score("score")).select("video", "name")
+
+
+@query(sql("jobs", "SELECT kind, workspace, max_by(id, (created_at, id)) AS id FROM jobs WHERE status = 'done' GROUP BY kind, workspace"))
+def w2_newest_by_key(spark, d):
+    return fr.newest_by_key(i.jobs(spark, d).where("status = 'done'"), ["kind", "workspace"], ["created_at", "id"]).select("kind", "workspace", "id")
+
+
+@query(sql("images", "SELECT image_id, row_number() OVER (PARTITION BY camera_id, folder ORDER BY name) - 1 AS position, count(*) OVER (PARTITION BY camera_id, folder) AS siblings FROM images"))
+def w6_frame_position(spark, d):
+    own = i.images(spark, d).withColumn("folder", F.concat_ws("/", F.col("camera_id").cast("string"), "folder"))
+    return fr.frame_position(own).select("image_id", F.col("position").cast("long"), "siblings")
+
+
+@query(sql("images", "SELECT camera_id, image_id FROM (SELECT camera_id, image_id, row_number() OVER (PARTITION BY camera_id ORDER BY name) - 1 AS p, count(*) OVER (PARTITION BY camera_id) AS n FROM images) WHERE n <= 20 OR p IN (SELECT k * n // 20 FROM range(20) r(k))"))
+def w7_even_spread(spark, d):
+    return fr.even_spread(i.images(spark, d), ["camera_id"], ["name"], 20).select("camera_id", "image_id")
+
+
+@query(sql("lines", "SELECT job_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS back FROM (SELECT *, regexp_matches(line, '\\d+%\\||it/s') AS p, coalesce(lead(regexp_matches(line, '\\d+%\\||it/s')) OVER (PARTITION BY job_id ORDER BY seq), false) AS nx FROM lines) WHERE NOT (p AND nx)) WHERE back <= 50"))
+def w8_collapse_progress(spark, d):
+    return fr.collapse_progress(i.log_lines(spark, d), last=50).select("job_id", "seq")
+
+
+@query(sql("images", "SELECT name FROM images WHERE folder = (SELECT folder FROM images ORDER BY name LIMIT 1) AND name BETWEEN (SELECT min(name) FROM images) AND (SELECT max(name) FROM images WHERE folder = (SELECT folder FROM images ORDER BY name LIMIT 1) AND image_id % 10 = 5)"))
+def w10_span_select(spark, d):
+    own = i.images(spark, d)
+    ends = own.join(own.orderBy("name").limit(1).select("folder"), "folder", "left_semi").agg(F.min("name").alias("a"), F.max(F.when(F.col("image_id") % 10 == 5, F.col("name"))).alias("b")).first()  # one row
+    return fr.span_select(own, ends["a"], ends["b"], ends["a"]).select("name")
+
+
+@query(sql("cloud", "SELECT image_id, round(x, 5) AS x FROM cloud ORDER BY x DESC, image_id LIMIT 20"))
+def t1_worst_residuals(spark, d):
+    return rounded(fr.worst(i.cloud(spark, d), "x", 20, "image_id").select("image_id", "x"))
+
+
+@query(sql("jobs", "SELECT id, kind, status, created_at FROM jobs ORDER BY created_at DESC, id LIMIT 100"))
+def t2_jobs_page(spark, d):
+    return jb.page(i.jobs(spark, d), 100).select("id", "kind", "status", "created_at")
+
+
+@query(sql("images", "SELECT folder AS workspace, camera_id AS model, n_images, n_points FROM (SELECT folder, camera_id, count(*) AS n_images, sum(image_id % 13)::BIGINT AS n_points, row_number() OVER (PARTITION BY folder ORDER BY count(*) DESC, sum(image_id % 13) DESC, camera_id) AS r FROM images GROUP BY 1, 2) WHERE r = 1"))
+def t3_largest_model(spark, d):
+    parts = i.images(spark, d).groupBy(F.col("folder").alias("workspace"), F.col("camera_id").alias("model")).agg(F.count("*").alias("n_images"), F.sum(F.col("image_id") % 13).alias("n_points"))
+    return md.largest_model(parts, ["workspace"])
+
+
+@query(sql("listing", "SELECT split_part(key, '/', 1) AS host, max(iteration) AS iteration FROM (SELECT key, try_cast(regexp_extract(key, '/(\\d+)', 1) AS BIGINT) AS iteration FROM listing) WHERE iteration IS NOT NULL GROUP BY 1"))
+def t4_trained_file(spark, d):
+    own = i.listing(spark, d).select(F.split_part("key", F.lit("/"), F.lit(1)).alias("host"), F.regexp_replace("key", r"/(\d+)", "/iteration_$1").alias("path"))
+    return ls.trained_file(own, ["host"]).select("host", "iteration")
+
+
+@query(sql("listing", "SELECT key, mtime FROM listing ORDER BY mtime DESC, key LIMIT 25"))
+def t5_newest_outputs(spark, d):
+    return ls.newest(i.listing(spark, d), 25).select("key", "mtime")
+
+
+@query(sql("frames", "SELECT video, max(CASE WHEN r = n // 2 THEN score END) AS mid, max(CASE WHEN r = floor(n * 0.9) THEN score END) AS p90, max(score) AS largest FROM (SELECT video, score, row_number() OVER (PARTITION BY video ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY video) AS n FROM frames WHERE NOT isnan(score)) GROUP BY video"))
+def t6_index_statistics(spark, d):
+    return fr.index_statistics(i.frames(spark, d).where(~F.isnan("score")), "score", ["video"])
+
+
+# ---------------------------------------------------------------- predicates, geometry, names
+
+
+@query(sql("pts", "SELECT point_id FROM pts WHERE x BETWEEN 10 AND 30 AND y BETWEEN 95 AND 140"))
+def f2_in_rect_closed(spark, d):
+    return i.points(spark, d).where(g.in_rect_closed("x", "y", RECT)).select("point_id")
+
+
+@query(sql("pts", "SELECT point_id FROM pts WHERE x >= 8 AND x < 32 AND y >= 93 AND y < 142"))
+def f3_in_rect_halfopen(spark, d):
+    return i.points(spark, d).where(g.in_rect_halfopen("x", "y", *RECT, 2.0)).select("point_id")
+
+
+ROT = """unit AS (SELECT *, qw / n AS w, qx / n AS a, qy / n AS b, qz / n AS c FROM (SELECT *, sqrt(qw*qw + qx*qx + qy*qy + qz*qz) AS n FROM poses))"""
+CENTER = """-((1 - 2*(b*b + c*c)) * tx + 2*(a*b + w*c) * ty + 2*(a*c - w*b) * tz) AS x, -(2*(a*b - w*c) * tx + (1 - 2*(a*a + c*c)) * ty + 2*(b*c + w*a) * tz) AS y, -(2*(a*c + w*b) * tx + 2*(b*c - w*a) * ty + (1 - 2*(a*a + b*b)) * tz) AS z"""
+
+
+@query(sql("poses", f"+{ROT} SELECT image_id, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM (SELECT image_id, {CENTER} FROM unit)"))
+def f4_camera_center(spark, d):
+    return rounded(md.centers(i.poses(spark, d)).select("image_id", "x", "y", "z"))
+
+
+@query(sql("cloud", "SELECT image_id, round(y, 5) AS x0, round(z, 5) AS y0, round(x, 5) AS z0, round(x, 5) AS x1, round(z, 5) AS y1, round(-y, 5) AS z1, round(x, 5) AS x2, round(-z, 5) AS y2, round(y, 5) AS z2 FROM cloud"))
+def f5_axis_turns(spark, d):
+    p = ("x", "y", "z")
+    turns = [g.to_zup(p, 0), g.to_zup(p, 1), g.zup_to_yup(p)]
+    return i.cloud(spark, d).select("image_id", *[F.round(v + 0.0, 5).alias(f"{n}{k}") for k, turn in enumerate(turns) for n, v in zip("xyz", turn)])
+
+
+@query(sql("cloud", "SELECT image_id, round(2 * (0 * x - 1 * y) + 5, 5) AS x, round(2 * x - 1, 5) AS y, round(2 * z + 0.5, 5) AS z FROM cloud"))
+def f6_apply_similarity(spark, d):
+    p = g.apply_similarity(("x", "y", "z"), 2.0, [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], (5.0, -1.0, 0.5))
+    return i.cloud(spark, d).select("image_id", *[F.round(v, 5).alias(n) for n, v in zip("xyz", p)])
+
+
+@query(sql("pts", "SELECT min(x) AS x0, max(x) AS x1, round(min(x) * 2.5, 5) AS sx0, round(max(x) * 2.5, 5) AS sx1 FROM pts"))
+def f7_scale_points(spark, d):
+    k = g.scale_multiplier(mm_per_unit=25.0, unit="cm")
+    return i.points(spark, d).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.round(F.min(F.col("x") * k), 5).alias("sx0"), F.round(F.max(F.col("x") * k), 5).alias("sx1"))
+
+
+FIX = "SELECT c_custkey AS id, 120 + (c_custkey % 1000) / 500.0::DOUBLE AS lon, 22 + (c_custkey % 777) / 300.0::DOUBLE AS lat, c_acctbal / 10 AS alt FROM customer"
+
+
+def _fixes(spark, d):
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), (120 + (F.col("c_custkey") % 1000) / 500.0).alias("lon"), (22 + (F.col("c_custkey") % 777) / 300.0).alias("lat"), (F.col("c_acctbal") / 10).alias("alt"))
+
+
+@query(f"WITH fix AS ({FIX}), r AS (SELECT *, 6378137.0 AS a, (1/298.257223563) * (2 - 1/298.257223563) AS e2 FROM fix), n AS (SELECT *, a / sqrt(1 - e2 * sin(radians(lat)) * sin(radians(lat))) AS nn FROM r) SELECT id, round((nn + alt) * cos(radians(lat)) * cos(radians(lon)), 3) AS x, round((nn + alt) * cos(radians(lat)) * sin(radians(lon)), 3) AS y, round((nn * (1 - e2) + alt) * sin(radians(lat)), 3) AS z FROM n")
+def f9_wgs84_to_ecef(spark, d):
+    return rounded(_fixes(spark, d).select("id", *[v.alias(n) for n, v in zip("xyz", g.wgs84_to_ecef("lat", "lon", "alt"))]), 3)
+
+
+@query(f"WITH fix AS ({FIX}), m AS (SELECT avg(lat) AS la, avg(lon) AS lo, avg(alt) AS al, 6378137.0 AS a, (1/298.257223563) * (2 - 1/298.257223563) AS e2 FROM fix), k AS (SELECT *, 1 - e2 * sin(radians(la)) * sin(radians(la)) AS s FROM m) SELECT id, round((lon - lo) * radians(1) * (a / sqrt(s) + al) * cos(radians(la)), 3) AS e, round((lat - la) * radians(1) * (a * (1 - e2) / pow(s, 1.5) + al), 3) AS n, round(alt - al, 3) AS u FROM fix, k")
+def f10_to_enu(spark, d):
+    return rounded(st.to_enu(_fixes(spark, d)).select("id", "e", "n", "u"), 3)
+
+
+@query()
+def f8_tm_to_wgs84(spark, d):
+    lat, lon = g.tm_to_wgs84(F.col("o_custkey") * 10.0 + 200000, F.lit(2500000.0) + F.col("o_orderkey"), "EPSG:3826")
+    return rounded(t(spark, d, "orders").select("o_orderkey", lat.alias("lat"), lon.alias("lon")), 8)
+
+
+ANG = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 7 AS o, l_discount * 300 AS p, l_tax * 1000 AS k FROM lineitem WHERE l_linenumber = 1"
+
+
+@query(f"SELECT l_orderkey, l_partkey, round(sin(radians(p)) * 0 - (-(cos(radians(p)) * 0) + -sin(radians(p))), 6) AS gx, round(-(-1 * cos(radians(p)) * sin(radians(o))), 6) AS gy, round(-(-1 * cos(radians(p)) * cos(radians(o))), 6) AS gz FROM ({ANG})")
+def f11_gravity(spark, d):
+    a = t(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", (F.col("l_quantity") * 7).alias("o"), (F.col("l_discount") * 300).alias("p"), (F.col("l_tax") * 1000).alias("k"))
+    return rounded(a.select("l_orderkey", "l_partkey", *[v.alias(n) for n, v in zip(("gx", "gy", "gz"), g.gravity_in_camera("o", "p", "k"))]), 6)
+
+
+@query("SELECT p_partkey, round(p_retailprice / 0.5, 5) AS f, round(p_size * 100 / 2.0 + 0.2 / 0.5, 5) AS cx, round(p_size * 80 / 2.0 - 0.1 / 0.5, 5) AS cy, 8 AS n FROM part")
+def f12_calibration_to_params(spark, d):
+    p = g.calibration_to_params("OPENCV", F.col("p_size") * 100, F.col("p_size") * 80, F.lit(0.5), "p_retailprice", F.lit(0.2), F.lit(0.1))
+    return rounded(t(spark, d, "part").select("p_partkey", p.alias("p")).select("p_partkey", F.col("p")[0].alias("f"), F.col("p")[2].alias("cx"), F.col("p")[3].alias("cy"), F.size("p").alias("n")))
+
+
+@query("SELECT p_partkey, round(p_retailprice * CASE WHEN p_size % 2 = 0 THEN 1.75 ELSE 1.5 END, 4) AS f, round((CASE WHEN p_size % 2 = 0 THEN 10 * 1.5 ELSE 11 * 2.0 END)::DOUBLE, 4) AS second, round((CASE WHEN p_size % 2 = 0 THEN 20 * 2.0 ELSE 10 * 1.5 END)::DOUBLE, 4) AS third FROM part")
+def f13_rescale_params(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "SIMPLE_RADIAL").otherwise("PINHOLE").alias("m"), F.when(F.col("p_size") % 2 == 0, F.array("p_retailprice", F.lit(10.0), F.lit(20.0), F.lit(0.1))).otherwise(F.array(F.col("p_retailprice"), F.lit(11.0), F.lit(10.0), F.lit(20.0))).alias("p"))
+    return rounded(p.select("p_partkey", g.rescale_params("m", "p", F.lit(1.5), F.lit(2.0)).alias("q")).select("p_partkey", F.col("q")[0].alias("f"), F.col("q")[1].alias("second"), F.col("q")[2].alias("third")), 4)
+
+
+@query("SELECT p_partkey, round(50.0::DOUBLE - p_size, 4) AS cx, round(40.0::DOUBLE - p_size * 2, 4) AS cy FROM part")
+def f14_shift_principal_point(spark, d):
+    p = g.shift_principal_point(F.lit("PINHOLE"), F.array(F.lit(9.0), F.lit(9.0), F.lit(50.0), F.lit(40.0)), "p_size", F.col("p_size") * 2)
+    return rounded(t(spark, d, "part").select("p_partkey", p.alias("q")).select("p_partkey", F.col("q")[2].alias("cx"), F.col("q")[3].alias("cy")), 4)
+
+
+@query("SELECT p_partkey, tc, tr, ((p_size * 300) * tc) // cols AS x0, ((p_size * 200) * tr) // rws AS y0, ((p_size * 300) * (tc + 1)) // cols AS x1, ((p_size * 200) * (tr + 1)) // rws AS y1 FROM (SELECT *, unnest(range(cols)) AS tc FROM (SELECT p_partkey, p_size, ceil(p_size * 300 / 4096.0)::INT AS cols, ceil(p_size * 200 / 4096.0)::INT AS rws, unnest(range(ceil(p_size * 200 / 4096.0)::INT)) AS tr FROM part))")
+def f15_tile_bounds(spark, d):
+    w, h = F.col("p_size") * 300, F.col("p_size") * 200
+    cols, rows = g.tile_layout(w, h, 4096)
+    tiles = t(spark, d, "part").select("p_partkey", w.alias("w"), h.alias("h"), cols.alias("cols"), rows.alias("rows"))
+    tiles = tiles.withColumn("tc", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).withColumn("tr", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    return tiles.select("p_partkey", F.col("tc").cast("long"), F.col("tr").cast("long"), *[v.alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), g.tile_bounds("w", "h", "cols", "rows", "tc", "tr"))])
+
+
+@query(sql("images", "SELECT image_id, replace(name, '.jpg', '') || '_r1c2.jpg' AS tile, replace(name, '.jpg', '.png') AS mask, replace(name, '/', '_') AS slug, regexp_extract(name, '([^/]*)\\.jpg$', 1) AS stem FROM images"))
+def f16_names(spark, d):
+    return i.images(spark, d).select("image_id", g.tile_name("name", F.lit(1), F.lit(2)).alias("tile"), g.mask_name("name").alias("mask"), g.slug("name").alias("slug"), g.stem("name").alias("stem"))
+
+
+@query(sql("images", "SELECT image_id FROM images WHERE camera_id IN (2, 5) OR contains(name, '77')"))
+def f17_drop_predicate(spark, d):
+    return i.images(spark, d).where(g.drop_predicate("camera_id", "name", (2, 5), ("77",))).select("image_id")
+
+
+CLIP = """clipped AS (SELECT image_id, box_id, score, width, height, greatest(0, least(least(x0, x1), 59.0)) AS x0, greatest(0, least(least(y0, y1), 47.0)) AS y0, greatest(0, least(greatest(x0, x1), 59.0)) AS x1, greatest(0, least(greatest(y0, y1), 47.0)) AS y1 FROM boxes),
+ kept AS (SELECT * FROM clipped WHERE x1 - x0 >= 1 AND y1 - y0 >= 1)"""
+
+
+def _clipped(spark, d):
+    return bx.clip_boxes(bx.normalize_boxes(i.boxes(spark, d)))
+
+
+@query(sql("boxes", f"+{CLIP} SELECT image_id, box_id, round(score, 6) AS score, round(x0 * 2, 5) AS x0, round(y0 * 3, 5) AS y0, round(x1 * 2, 5) AS x1, round(y1 * 3, 5) AS y1 FROM kept WHERE (x1 - x0) * (y1 - y0) >= 0.02 * width * height"))
+def f19_boxes(spark, d):
+    small = bx.filter_small(_clipped(spark, d), 0.02)
+    return rounded(bx.scale_boxes(small, 2.0, 3.0).select("image_id", "box_id", F.round("score", 6).alias("score"), "x0", "y0", "x1", "y1"), 6)
+
+
+@query("SELECT p_partkey, p_retailprice AS f, CASE WHEN p_size % 2 = 0 THEN 10.0::DOUBLE ELSE 20.0 END AS cx, CASE WHEN p_size % 2 = 0 THEN 20.0::DOUBLE ELSE 30.0 END AS cy FROM part")
+def f20_f_cx_cy(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "SIMPLE_RADIAL").otherwise("PINHOLE").alias("m"), F.array(F.col("p_retailprice"), F.lit(10.0), F.lit(20.0), F.lit(30.0)).alias("p"))
+    return p.select("p_partkey", *[v.alias(n) for n, v in zip(("f", "cx", "cy"), g.f_cx_cy("m", "p"))])
+
+
+@query("SELECT o_orderkey, coalesce(try_cast(CASE WHEN o_custkey % 3 = 0 THEN (o_custkey % 10)::VARCHAR WHEN o_custkey % 3 = 1 THEN 'auto' END AS DOUBLE), CASE WHEN o_orderstatus = 'F' THEN 0.1 WHEN o_orderstatus = 'O' THEN 3.0 END) AS std FROM orders")
+def f21_prior_std(spark, d):
+    o = F.when(F.col("o_custkey") % 3 == 0, (F.col("o_custkey") % 10).cast("string")).when(F.col("o_custkey") % 3 == 1, "auto")
+    return t(spark, d, "orders").select("o_orderkey", g.prior_std(o, "o_orderstatus", {"F": 0.1, "O": 3.0}).alias("std"))
+
+
+# ---------------------------------------------------------------- models: observations, counts, cascades
+
+TRACK = "track AS (SELECT point_id, count(*) AS track FROM obs WHERE point_id >= 0 GROUP BY 1)"
+
+
+@query(sql("obs pts", "SELECT image_id, point_id, count(*) AS n FROM obs WHERE point_id IN (SELECT point_id FROM pts) GROUP BY 1, 2"))
+def j11_valid_observations(spark, d):
+    return md.valid_observations(i.observations(spark, d), i.points(spark, d)).groupBy("image_id", "point_id").agg(F.count("*").alias("n"))
+
+
+@query(sql("obs pts", f"+{TRACK} SELECT count(*) AS n_points, round(avg(error), 6) AS mean_error, round(avg(coalesce(track, 0)), 6) AS mean_track FROM pts LEFT JOIN track USING (point_id)"))
+def a1_points_stats(spark, d):
+    return rounded(md.points_stats(i.points(spark, d), i.observations(spark, d)), 6)
+
+
+@query(sql("images pts", "SELECT 7::BIGINT AS n_cameras, (SELECT count(*) FROM images) AS n_images, count(*) AS n_points, round(avg(error), 2) AS mean_reproj FROM pts"))
+def a2_scene_summary(spark, d):
+    cams = i.images(spark, d).select("camera_id").distinct().withColumn("params", F.array(F.lit(1000.0)))
+    return md.scene_summary(cams, i.images(spark, d), i.points(spark, d))
+
+
+@query(sql("obs pts cloud", f"+{TRACK}, p AS (SELECT pts.*, coalesce(track, 0) AS track, x BETWEEN 10 AND 30 AND y BETWEEN 95 AND 140 AS inn FROM pts LEFT JOIN track USING (point_id)) SELECT (SELECT count(*) FROM cloud WHERE x BETWEEN 10 AND 30 AND y BETWEEN 95 AND 140) AS cams_in, (SELECT count(*) FROM cloud) AS cams_total, count(*) FILTER (WHERE inn) AS points_in, count(*) AS points_total, round(coalesce(avg(track) FILTER (WHERE inn), 0), 5) AS mean_track, round(coalesce(avg((track >= 5)::INT) FILTER (WHERE inn), 0), 5) AS share_long, min(z) FILTER (WHERE inn) AS low, max(z) FILTER (WHERE inn) AS high FROM p"))
+def a3_region_stats(spark, d):
+    pts = i.points(spark, d).join(md.track_lengths(i.observations(spark, d)), "point_id", "left").na.fill(0, ["track"])
+    return rounded(md.region_stats(i.cloud(spark, d), pts, RECT))
+
+
+@query(sql("cloud", "SELECT folder, count(*) AS n, CASE WHEN count(*) >= 3 THEN list_position(r, list_min(r)) - 1 END AS up FROM (SELECT *, [max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, max(z) OVER w - min(z) OVER w] AS r FROM cloud WINDOW w AS (PARTITION BY folder)) GROUP BY folder, r"))
+def a4_up_axis(spark, d):
+    return md.up_axis(i.cloud(spark, d), ["folder"]).select("folder", "n", "up")
+
+
+@query(sql("images obs", "SELECT image_id, count(o.image_id) AS n_features, count(o.point_id) AS n_registered FROM images LEFT JOIN obs o USING (image_id) GROUP BY 1"))
+def a5_image_detail(spark, d):
+    return md.image_detail(i.images(spark, d), i.observations(spark, d))
+
+
+@query(sql("images", "SELECT folder, count(*) AS listed, count(*) FILTER (WHERE camera_id < 3) AS registered, round(count(*) FILTER (WHERE camera_id < 3) / count(*), 5) AS share, count(*) FILTER (WHERE camera_id < 3) / count(*) < 0.5 AS weak FROM images GROUP BY 1"))
+def a7_coverage_report(spark, d):
+    own = i.images(spark, d)
+    return rounded(md.coverage_report(own, own.where("camera_id < 3")))
+
+
+@query(sql("images", "+c AS (SELECT camera_id AS model, count(*) AS n_images, sum(image_id % 13)::BIGINT AS n_points FROM images GROUP BY 1) SELECT model, n_images, n_points, round(n_images / (SELECT sum(n_images) FROM c), 5) AS share, model = (SELECT model FROM c ORDER BY n_images DESC, n_points DESC, model LIMIT 1) AS chosen FROM c"))
+def a8_models_report(spark, d):
+    parts = i.images(spark, d).groupBy(F.col("camera_id").alias("model")).agg(F.count("*").alias("n_images"), F.sum(F.col("image_id") % 13).alias("n_points"))
+    return rounded(md.models_report(parts))
+
+
+@query(sql("obs", f"+{TRACK} SELECT round(avg(track), 5) AS mean, median(track) AS median, round(avg((track >= 3)::INT), 5) AS share3, round(avg((track >= 5)::INT), 5) AS share5 FROM track"))
+def a12_track_stats(spark, d):
+    return rounded(md.track_stats(i.observations(spark, d)))
+
+
+@query(sql("obs images", "SELECT array_to_string(s, '-') AS sensors, count(*) AS n_points, list_contains(s, 0) AND len(s) > 1 AS with_ref FROM (SELECT point_id, list_sort(list(DISTINCT camera_id)) AS s FROM obs JOIN images USING (image_id) WHERE point_id >= 0 GROUP BY 1) GROUP BY s"))
+def a13_covisibility(spark, d):
+    return md.covisibility(i.observations(spark, d), i.images(spark, d), ref=0).withColumn("sensors", F.array_join(F.transform("sensors", lambda v: v.cast("string")), "-"))
+
+
+@query(sql("obs images pts", "SELECT camera_id, n_images, coalesce(n_obs, 0) AS n_obs, round(m, 5) AS median_residual, round(coalesce(n_obs, 0) / n_images, 5) AS obs_per_image, coalesce(n_obs, 0) = 0 AS fails FROM (SELECT camera_id, count(*) AS n_images FROM images GROUP BY 1) LEFT JOIN (SELECT camera_id, count(*) AS n_obs, median(x / 10) AS m FROM obs JOIN images USING (image_id) WHERE point_id IN (SELECT point_id FROM pts) GROUP BY 1) USING (camera_id)"))
+def a11_sensor_report(spark, d):
+    obs = i.observations(spark, d).withColumn("residual", F.col("x") / 10)
+    return rounded(md.sensor_report(obs, i.images(spark, d), i.points(spark, d)))
+
+
+@query("SELECT c, min(f) AS folder FROM (SELECT c_custkey % 50 AS c, c_mktsegment AS f FROM customer WHERE c_custkey % 50 > 20 OR c_mktsegment = 'BUILDING') GROUP BY 1 HAVING count(DISTINCT f) = 1")
+def a32_camera_folders(spark, d):
+    own = t(spark, d, "customer").select((F.col("c_custkey") % 50).alias("c"), F.col("c_mktsegment").alias("folder")).where("c > 20 OR folder = 'BUILDING'")
+    return md.camera_folders(own, "c")
+
+
+CASCADE = """doomed AS (SELECT image_id FROM images WHERE camera_id = 3 OR contains(name, '99')), ko AS (SELECT * FROM obs WHERE image_id NOT IN (SELECT image_id FROM doomed)),
+ lasting AS (SELECT point_id FROM ko WHERE point_id >= 0 GROUP BY 1 HAVING count(*) >= 20)"""
+
+
+@query(sql("images obs pts", f"+{CASCADE} SELECT (SELECT count(*) FROM images WHERE image_id NOT IN (SELECT image_id FROM doomed)) AS images, (SELECT count(*) FROM ko) AS observations, (SELECT count(*) FROM ko WHERE point_id IN (SELECT point_id FROM lasting)) AS registered, (SELECT count(*) FROM pts WHERE point_id IN (SELECT point_id FROM lasting)) AS points, 6::BIGINT AS cameras"))
+def j15_drop_images(spark, d):
+    out = md.drop_images(i.images(spark, d), i.observations(spark, d), i.points(spark, d), (3,), ("99",), 20)
+    n = lambda df, name, col=None: df.agg(F.count(col or F.lit(1)).alias(name))
+    return n(out["images"], "images").crossJoin(n(out["observations"], "observations")).crossJoin(n(out["observations"], "registered", "point_id")).crossJoin(n(out["points"], "points")).crossJoin(n(out["cameras"], "cameras"))  # one row each
+
+
+@query(sql("obs cloud pts", "+im AS (SELECT * FROM cloud WHERE image_id % 9 <> 0), rays AS (SELECT o.point_id, o.image_id, (i.x - p.x) / n AS u, (i.y - p.y) / n AS v, (i.z - p.z) / n AS w FROM (SELECT DISTINCT image_id, point_id FROM obs WHERE point_id >= 0) o JOIN im i USING (image_id) JOIN pts p USING (point_id), LATERAL (SELECT sqrt((i.x-p.x)*(i.x-p.x) + (i.y-p.y)*(i.y-p.y) + (i.z-p.z)*(i.z-p.z)) AS n) WHERE p.error <= 4), wide AS (SELECT a.point_id FROM rays a JOIN rays b ON a.point_id = b.point_id AND a.image_id < b.image_id GROUP BY 1 HAVING degrees(acos(greatest(-1, least(1, min(a.u*b.u + a.v*b.v + a.w*b.w))))) >= 1.5) SELECT point_id FROM wide"))
+def j16_cull_cameras(spark, d):
+    obs = i.observations(spark, d).where("point_id >= 0").select("image_id", "point_id").distinct()
+    im = i.cloud(spark, d).select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), F.col("image_id").alias("name"))
+    return md.cull_cameras(im, obs, i.points(spark, d), im.where("image_id % 9 = 0")).select("point_id")
+
+
+@query(sql("pts", "SELECT point_id FROM pts WHERE (x::FLOAT, y::FLOAT, z::FLOAT) NOT IN (SELECT x::FLOAT, y::FLOAT, z::FLOAT FROM pts WHERE point_id % 5 = 0)"))
+def j17_cull_points(spark, d):
+    p = i.points(spark, d)
+    return md.cull_points(p, p.where("point_id % 5 = 0")).select("point_id")
+
+
+@query(sql("cloud", "SELECT round(greatest(max(abs(x - dx)), max(abs(y - dy)), max(abs(z - dz))), 5) AS delta, round(greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)), 5) AS size, count(*) AS shared, false AS match FROM cloud"))
+def j12_frame_delta(spark, d):
+    a = i.cloud(spark, d)
+    b = a.select(F.col("image_id"), *[F.col(f"d{v}").alias(v) for v in "xyz"])
+    return rounded(md.frame_delta(a, b, "image_id"))
+
+
+@query(sql("images", "+c AS (SELECT image_id, camera_id, CASE WHEN camera_id = 1 THEN 50 WHEN image_id % 41 = 0 THEN 10 ELSE 100 END AS width FROM images) SELECT image_id, camera_id, u AS uniform FROM (SELECT *, min(width) OVER (PARTITION BY camera_id) = max(width) OVER (PARTITION BY camera_id) AS u FROM c) WHERE width <> 100"))
+def j10_size_mismatch(spark, d):
+    im = i.images(spark, d).select("image_id", "camera_id", F.when(F.col("camera_id") == 1, 50).when(F.col("image_id") % 41 == 0, 10).otherwise(100).alias("width"), F.lit(80).alias("height"))
+    cams = im.select("camera_id").distinct().select("camera_id", F.lit(100).alias("width"), F.lit(80).alias("height"))
+    return md.size_mismatch(cams, im).select("image_id", "camera_id", "uniform")
+
+
+@query("SELECT o_orderkey AS image_id, CASE WHEN o_custkey % 3 = 0 THEN 'EO' ELSE 'GPS' END AS source, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice ELSE o_custkey::DOUBLE END AS px FROM orders WHERE o_custkey % 3 = 0 OR o_custkey % 2 = 0")
+def j13_merge_priors(spark, d):
+    o = t(spark, d, "orders")
+    eo = o.where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("image_id"), F.lit("EO").alias("source"), F.col("o_totalprice").alias("px"))
+    gps = o.where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("image_id"), F.lit("GPS").alias("source"), F.col("o_custkey").cast("double").alias("px"))
+    return md.merge_priors([(eo, 2), (gps, 1)], i.images(spark, d))[0]
+
+
+@query("SELECT count(*) FILTER (WHERE o_custkey % 3 = 0 OR o_custkey % 2 = 0) AS covered, count(*) AS total, count(*) FILTER (WHERE o_custkey % 3 = 0 OR o_custkey % 2 = 0) = count(*) AS complete FROM orders")
+def j14_prior_coverage(spark, d):
+    o = t(spark, d, "orders").withColumnRenamed("o_orderkey", "image_id")
+    return md.prior_coverage(i.images(spark, d), o.where("o_custkey % 3 = 0"), o.where("o_custkey % 2 = 0"))
+
+
+@query(sql("images", "+chosen AS (SELECT name FROM images WHERE image_id % 4 = 0 UNION ALL SELECT regexp_extract(name, '([^/]*)$', 1) FROM images WHERE image_id % 4 = 1) SELECT name FROM images WHERE name IN (SELECT name FROM chosen) OR regexp_extract(name, '([^/]*)$', 1) IN (SELECT regexp_extract(name, '([^/]*)$', 1) FROM chosen)"))
+def j8_region_subset(spark, d):
+    im = i.images(spark, d).select("name", "image_id")
+    chosen = im.where("image_id % 4 = 0").select("name").unionByName(im.where("image_id % 4 = 1").select(g.base_name("name").alias("name")))
+    return md.region_subset(im.select("name"), chosen)[0]
+
+
+@query(sql("images", "SELECT a.image_id, 'm/' || a.folder AS kind FROM images a WHERE a.image_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"))
+def u3_left_without(spark, d):
+    done = t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("image_id"))
+    return md.left_without(i.images(spark, d), done, ["image_id"]).select("image_id", F.concat(F.lit("m/"), "folder").alias("kind"))
+
+
+@query(sql("images pts", "SELECT image_id FROM images WHERE camera_id = 1 UNION SELECT image_id FROM images WHERE folder LIKE '1%'"))
+def u1_union_distinct(spark, d):
+    im = i.images(spark, d)
+    return im.where("camera_id = 1").select("image_id").union(im.where("folder LIKE '1%'").select("image_id")).distinct()
+
+
+@query(sql("images", "SELECT image_id % 1000 AS k FROM images WHERE camera_id = 1 INTERSECT SELECT image_id % 1000 FROM images WHERE camera_id = 2"))
+def u2_intersect(spark, d):
+    im = i.images(spark, d).select((F.col("image_id") % 1000).alias("k"), "camera_id")
+    return im.where("camera_id = 1").select("k").intersect(im.where("camera_id = 2").select("k"))
+
+
+@query("SELECT o_orderkey % 500 AS image_id, round(median(gsd), 6) AS gsd FROM (SELECT o_orderkey, o_totalprice / 1000 AS gsd FROM orders) GROUP BY 1")
+def a35_gsd_per_image(spark, d):
+    s = t(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("image_id"), (F.col("o_totalprice")).alias("depth"), F.lit(1000.0).alias("focal_px"))
+    return rounded(s.groupBy("image_id").agg((F.median("depth") / F.max("focal_px")).alias("gsd")), 6)
+
+
+@query("SELECT round(median(gsd), 6) AS median_gsd, count(*) AS n_images FROM (SELECT o_orderkey % 500 AS i, median(o_totalprice) / 1000 AS gsd FROM orders GROUP BY 1)")
+def a35_median_gsd(spark, d):
+    s = t(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("image_id"), F.col("o_totalprice").alias("depth"), F.lit(1000.0).alias("focal_px"))
+    return rounded(md.median_gsd(s), 6)
+
+
+@query(sql("cloud", "+e AS (SELECT folder, sqrt(pow(max(x)-min(x),2) + pow(max(y)-min(y),2) + pow(max(z)-min(z),2)) AS e FROM cloud GROUP BY 1) SELECT folder, round(e / 512, 6) AS resolution, round(4 * e / 512, 6) AS truncation, round(2 * e, 6) AS max_depth FROM e"))
+def a38_auto_resolution(spark, d):
+    s = [F.max(v) - F.min(v) for v in "xyz"]
+    e = i.cloud(spark, d).groupBy("folder").agg(F.sqrt(s[0] * s[0] + s[1] * s[1] + s[2] * s[2]).alias("e"))
+    none = F.lit(None).cast("double")
+    return rounded(e.select("folder", *[v.alias(n) for n, v in md.auto_resolution(none, none, F.col("e")).items()]), 6)
+
+
+# ---------------------------------------------------------------- listings
+
+PAIR = "SELECT key, image, mask FROM (SELECT regexp_replace(key, '\\.html$', '') AS key, min(key) AS image FROM listing WHERE mtime % 3 <> 0 GROUP BY 1) FULL JOIN (SELECT regexp_replace(key, '\\.html$', '') AS key, min(key) AS mask FROM listing WHERE mtime % 4 <> 0 GROUP BY 1) USING (key)"
+
+
+@query(sql("listing", "SELECT CASE WHEN contains(key, '/') THEN split_part(key, '/', 1) || '/' ELSE '' END AS child, count(*) FILTER (WHERE NOT key LIKE '%/') AS n_files FROM listing GROUP BY 1"))
+def s5_inventory_children(spark, d):
+    return ls.inventory_children(i.listing(spark, d), "")
+
+
+@query(sql("listing", "SELECT n.key AS key, CASE WHEN s.key IS NULL THEN 'delete' WHEN n2.key IS NULL THEN 'new' WHEN s.size <> n2.size OR s.md5 <> n2.md5 THEN 'changed' ELSE 'same' END AS action FROM listing n LEFT JOIN (SELECT * FROM listing WHERE mtime % 5 <> 0) s ON s.key = n.key LEFT JOIN (SELECT key, CASE WHEN mtime % 7 = 0 THEN size + 1 ELSE size END AS size, md5 FROM listing WHERE mtime % 4 <> 0) n2 ON n2.key = n.key WHERE s.key IS NOT NULL OR n2.key IS NOT NULL"))
+def j18_sync_plan(spark, d):
+    own = i.listing(spark, d)
+    dst = own.where("mtime % 4 <> 0").withColumn("size", F.when(F.col("mtime") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return ls.sync_plan(own.where("mtime % 5 <> 0"), dst, delete=True)
+
+
+@query(sql("images", "SELECT mode, count(*) AS n, count(*) FILTER (WHERE image_id % 100 = 0 AND mode = 'depth') AS n_missing, count(*) FILTER (WHERE image_id % 100 = 0 AND mode = 'depth') = 0 AS complete FROM images, (VALUES ('depth'), ('normals')) v(mode) GROUP BY 1"))
+def j26_outputs_complete(spark, d):
+    im = i.images(spark, d)
+    have = im.where("image_id % 100 <> 0").select(F.concat(F.lit("depth/"), g.mask_name("name")).alias("name")).unionByName(im.select(F.concat(F.lit("normals/"), g.mask_name("name")).alias("name")))
+    return ls.outputs_complete(im, have, ["depth", "normals"])
+
+
+@query(sql("images", "SELECT coalesce(i.name, '') AS image, coalesce(m.name, '') AS mask FROM (SELECT name, replace(name, '.jpg', '') AS k FROM images WHERE camera_id <> 1) i FULL JOIN (SELECT replace(name, '.jpg', '.png') AS name, replace(name, '.jpg', '') AS k FROM images WHERE camera_id <> 2) m USING (k)"))
+def j9_pair_masks(spark, d):
+    im = i.images(spark, d)
+    masks = im.where("camera_id <> 2").select(g.mask_name("name").alias("name"))
+    return ls.pair_masks(im.where("camera_id <> 1"), masks).select(F.coalesce("image", F.lit("")).alias("image"), F.coalesce("mask", F.lit("")).alias("mask"))
+
+
+@query(sql("images", "SELECT folder AS pass, count(*) AS n_images, count(*) FILTER (WHERE camera_id <> 2) AS n_masks, count(DISTINCT CASE WHEN image_id % 10 = 0 THEN 50 ELSE 100 END) AS n_sizes, '100x80' AS common_size FROM images GROUP BY 1"))
+def a33_pass_summary(spark, d):
+    im = i.images(spark, d).select("name", F.col("folder").alias("pass"), "camera_id", F.when(F.col("image_id") % 10 == 0, 50).otherwise(100).alias("width"), F.lit(80).alias("height"))
+    return ls.pass_summary(im, im.where("camera_id <> 2").select(g.mask_name("name").alias("name")))
+
+
+@query(sql("images", "SELECT 'a/b/' || name AS path, '/out/b/' || name AS dest FROM images"))
+def a34_common_parent_plan(spark, d):
+    return ls.common_parent_plan(i.images(spark, d).select(F.concat(F.lit("a/b/"), "name").alias("path")), "/out")
+
+
+# ---------------------------------------------------------------- pairs, neighbours
+
+PAIRS = "+p AS (SELECT camera_id AS grp, row_number() OVER (PARTITION BY camera_id ORDER BY name) - 1 AS pos FROM images WHERE image_id % 10 = 0)"
+
+
+def _positions(spark, d):
+    own = i.images(spark, d).where("image_id % 10 = 0")
+    return own.select(F.col("camera_id").alias("grp"), (F.row_number().over(Window.partitionBy("camera_id").orderBy("name")) - 1).cast("long").alias("pos"))
+
+
+@query(sql("images", PAIRS + " SELECT DISTINCT a.grp AS group_a, a.pos AS pos_a, b.grp AS group_b, b.pos AS pos_b FROM p a JOIN p b ON b.grp >= a.grp AND (b.pos - a.pos) IN (0, 1, 2, 3, 5, 9)"))
+def j5_sequence_pairs(spark, d):
+    return sp.sequence_pairs(_positions(spark, d), 2, 4)
+
+
+@query(sql("images", PAIRS + ", a AS (SELECT * FROM (VALUES (3, 40), (10, 90)) v(a, b)), r AS (SELECT unnest([-4, -2, -1, 0, 1, 2, 4]) AS r) SELECT x.grp AS group_a, x.pos AS pos_a, y.grp AS group_b, y.pos AS pos_b FROM (SELECT DISTINCT a.a + r1.r AS pa, a.b + r2.r AS pb FROM a, r r1, r r2) q JOIN p x ON x.pos = q.pa JOIN p y ON y.pos = q.pb AND y.grp >= x.grp"))
+def j6_loop_pairs(spark, d):
+    anchors = spark.createDataFrame([(3, 40), (10, 90)], "a long, b long")
+    return sp.loop_pairs(_positions(spark, d), anchors, 3)
+
+
+@query("SELECT DISTINCT least(l_partkey % 300, l_suppkey) AS name_a, greatest(l_partkey % 300, l_suppkey) AS name_b FROM lineitem WHERE l_partkey % 300 <> l_suppkey")
+def j7_dedup_pairs(spark, d):
+    p = t(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("name_a"), F.col("l_suppkey").alias("name_b"))
+    return sp.dedup_pairs(p)
+
+
+@query("WITH p AS (SELECT DISTINCT l_partkey % 300 AS a, l_suppkey AS b FROM lineitem) SELECT a AS name_a, b AS name_b FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.a = p.b AND q.b = p.a)")
+def j7_dedup_pairs_compat(spark, d):
+    p = t(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("name_a"), F.col("l_suppkey").alias("name_b"))
+    return sp.dedup_pairs(p, compat=True)
+
+
+@query(sql("cloud", "SELECT a.image_id AS id, b.image_id AS neighbour, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), 5) AS distance FROM cloud a JOIN cloud b ON a.image_id <> b.image_id QUALIFY row_number() OVER (PARTITION BY a.image_id ORDER BY sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), b.image_id) <= 4"))
+def j4_knn(spark, d):
+    return rounded(sp.knn(i.cloud(spark, d), "image_id", ("x", "y", "z"), 4).select("id", "neighbour", "distance"))
+
+
+@query(sql("cloud", "+nn AS (SELECT a.image_id, min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) AS d FROM cloud a JOIN cloud b ON a.image_id <> b.image_id GROUP BY 1) SELECT image_id FROM nn WHERE d > 1.3 * (SELECT median(d) FROM nn) OR image_id % 17 = 0"))
+def a17_outlier_images(spark, d):
+    obs = i.cloud(spark, d).select("image_id", F.when(F.col("image_id") % 17 != 0, F.lit(1)).alias("point_id"))
+    return sp.outlier_images(i.cloud(spark, d), obs, 1.3).select("image_id")
+
+
+@query(sql("cloud", "+nn AS (SELECT a.image_id, min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) AS d FROM cloud a JOIN cloud b ON a.image_id <> b.image_id GROUP BY 1) SELECT round(median(d), 5) AS spacing, count(*) AS n FROM nn"))
+def a18_point_spacing(spark, d):
+    return rounded(sp.point_spacing(i.cloud(spark, d).withColumnRenamed("image_id", "point_id")))
+
+
+ST = "+im AS (SELECT c_custkey AS image_id, 24 + (c_custkey * 7919 % 1000) / 100000.0::DOUBLE AS lat, 120 + (c_custkey * 104729 % 1000) / 100000.0::DOUBLE AS lon FROM customer), s AS (SELECT s_suppkey AS station_id, s_suppkey AS nth, 24 + (s_suppkey * 7907 % 1000) / 100000.0::DOUBLE AS lat, 120 + (s_suppkey * 7901 % 1000) / 100000.0::DOUBLE AS lon FROM supplier), k AS (SELECT 111320.0 * cos(radians(avg(lat))) AS k FROM s)"
+
+
+@query("WITH " + ST[1:] + " SELECT image_id, station_id, round(dd, 4) AS distance FROM (SELECT image_id, station_id, nth, sqrt(pow(im.lat * 111132.0 - s.lat * 111132.0, 2) + pow(im.lon * k - s.lon * k, 2)) AS dd FROM im, s, k) WHERE dd <= 150 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY dd, nth) = 1")
+def j2_nearest_station(spark, d):
+    place = lambda key, a, b: [(24 + (F.col(key) * a % 1000) / 100000.0).alias("lat"), (120 + (F.col(key) * b % 1000) / 100000.0).alias("lon")]
+    im = t(spark, d, "customer").select(F.col("c_custkey").alias("image_id"), *place("c_custkey", 7919, 104729))
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("station_id"), F.col("s_suppkey").alias("nth"), *place("s_suppkey", 7907, 7901))
+    return rounded(sp.nearest_station(im, s, 150.0), 4)
+
+
+@query(sql("images", "SELECT image_id, CASE WHEN image_id % 3 = 0 THEN NULL ELSE (image_id // 2) * 2 END AS eo FROM images WHERE image_id IN (SELECT o_orderkey FROM orders)"))
+def j1_match_eo_exact(spark, d):
+    im = i.images(spark, d)
+    eo = im.where("image_id % 3 <> 0").select(g.stem("name").alias("stem"), (F.floor(F.col("image_id") / 2) * 2).alias("eo"), F.col("image_id").alias("line"))
+    last = fr.newest_by_key(eo, ["stem"], ["line"])  # of a repeated stem the last row wins
+    return im.select("image_id", g.stem("name").alias("stem")).join(last, "stem", "left").select("image_id", "eo")
+
+
+# ---------------------------------------------------------------- rig
+
+
+RIG = "+n AS (SELECT 'cam' || (o_custkey % 3) || '/' || 'x' || (o_custkey % 3) || '-' || (o_orderkey // 3) || '_' || lpad((o_orderkey % 5)::VARCHAR, 2, '0') || '.jpg' AS name FROM orders)"
+
+
+def _rig_names(spark, d):
+    k = (F.col("o_custkey") % 3).cast("string")
+    return t(spark, d, "orders").select(F.concat(F.lit("cam"), k, F.lit("/x"), k, F.lit("-"), F.floor(F.col("o_orderkey") / 3).cast("string"), F.lit("_"), F.lpad((F.col("o_orderkey") % 5).cast("string"), 2, "0"), F.lit(".jpg")).alias("name"))
+
+
+@query("WITH " + RIG[1:] + " SELECT split_part(name, '/', 1) AS camera, split_part(name, '/', 2) AS frame_key, max(name) AS name FROM n GROUP BY 1, 2")
+def a28_rig_by_folder(spark, d):
+    return rg.group_by_folder(_rig_names(spark, d))[0]
+
+
+@query("WITH " + RIG[1:] + " SELECT regexp_extract(name, '/(x\\d)-', 1) AS camera, regexp_extract(name, '-(\\d+_\\d+)', 1) AS frame_key, max(name) AS name FROM n GROUP BY 1, 2")
+def a28_rig_by_regex(spark, d):
+    return rg.group_by_regex(_rig_names(spark, d), r"^(?P<cam>x\d)-(?P<frame>\d+_\d+)")[0]
+
+
+@query("WITH " + RIG[1:] + ", r AS (SELECT DISTINCT regexp_extract(name, '/(x\\d)-', 1) AS camera, regexp_extract(name, '-(\\d+_\\d+)', 1) AS f FROM n), c AS (SELECT f, count(*) AS c FROM r GROUP BY 1) SELECT count(*) AS n_frames, count(*) FILTER (WHERE c = 3) AS n_complete, 3::BIGINT AS n_cameras, count(*) FILTER (WHERE c < 3) AS n_partial, count(*) FILTER (WHERE c = 3) < 0.5 * count(*) AS weak FROM c")
+def a29_rig_summary(spark, d):
+    return rg.rig_summary(rg.group_by_regex(_rig_names(spark, d), r"^(?P<cam>x\d)-(?P<frame>\d+_\d+)")[0])
+
+
+@query("WITH " + RIG[1:] + " SELECT split_part(name, '/', 1) AS camera, count(DISTINCT name) AS frames FROM n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def a30_recommend_ref(spark, d):
+    return rg.recommend_ref(rg.group_by_folder(_rig_names(spark, d))[0]).select("camera", "frames")
+
+
+AUTO = "SELECT 'cam' || k || '/s' || (o_orderkey // 4) || '_' || (o_orderkey * 3 + k) || '.jpg' AS name, k, o_orderkey // 4 AS s FROM orders, (SELECT unnest([0, 1, 2]) AS k) WHERE o_orderkey % 4 = 0"
+
+
+def _auto_names(spark, d):
+    o = t(spark, d, "orders").where("o_orderkey % 4 = 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return o.select(F.concat(F.lit("cam"), F.col("k").cast("string"), F.lit("/s"), F.floor(F.col("o_orderkey") / 4).cast("string"), F.lit("_"), (F.col("o_orderkey") * 3 + F.col("k")).cast("string"), F.lit(".jpg")).alias("name"))
+
+
+@query(f"SELECT '0' AS combo, count(DISTINCT s) AS shared FROM ({AUTO})")
+def a27_auto_frame_key(spark, d):
+    names = _auto_names(spark, d).select(g.first_folder("name").alias("camera"), "name")
+    return rg.auto_frame_key(names).select(F.array_join(F.transform("combo", lambda v: v.cast("string")), "-").alias("combo"), "shared")
+
+
+@query(f"SELECT 'cam' || k AS camera, s::VARCHAR AS frame_key, name FROM ({AUTO})")
+def a28_rig_auto(spark, d):
+    return rg.group_auto(_auto_names(spark, d))[0]
+
+
+@query()
+def j3_rig_by_gps(spark, d):
+    c = t(spark, d, "customer").select(F.concat(F.lit("cam"), (F.col("c_custkey") % 3).cast("string"), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".jpg")).alias("name"), (24 + F.floor(F.col("c_custkey") / 3) / 5000.0 + (F.col("c_custkey") % 3) / 1e7).alias("lat"), F.lit(120.6).alias("lon"))
+    return rg.group_by_gps(c)[0]
+
+
+@query(sql("cloud", "+r AS (SELECT image_id // 5 AS f, folder % 2 AS c, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM cloud GROUP BY 1, 2), o AS (SELECT b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM r a JOIN r b ON a.f = b.f AND a.c = 0 AND b.c = 1), m AS (SELECT avg(dx) AS mx, avg(dy) AS my, avg(dz) AS mz, count(*) AS n FROM o) SELECT '1' AS camera, max(n) AS n, round(max(mx), 5) AS mx, round(max(my), 5) AS my, round(max(mz), 5) AS mz, round(sqrt(max(pow(dx-mx,2) + pow(dy-my,2) + pow(dz-mz,2))), 5) AS spread FROM o, m"))
+def j21_colocation(spark, d):
+    r = i.cloud(spark, d).groupBy(F.floor(F.col("image_id") / 5).alias("frame_key"), (F.col("folder") % 2).cast("string").alias("camera")).agg(*[F.avg(v).alias(v) for v in "xyz"]).withColumn("name", F.concat_ws("/", "camera", F.col("frame_key").cast("string")))
+    return rounded(rg.colocation(r.select("name", "camera", "frame_key"), r.select("name", "x", "y", "z"), "0"))
+
+
+# ---------------------------------------------------------------- statistics
+
+
+def _scale_cams(spark, d):
+    own = i.cloud(spark, d)
+    return own.select("image_id", "folder", *[F.col(v).alias(f"s{v}") for v in "xyz"], *[F.col(f"d{v}") for v in "xyz"])
+
+
+@query(sql("cloud", "+p AS (SELECT sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) AS s, sqrt(pow(a.dx-b.dx,2)+pow(a.dy-b.dy,2)+pow(a.dz-b.dz,2)) AS d FROM cloud a JOIN cloud b ON a.image_id < b.image_id), k AS (SELECT s, s / d AS r FROM p, (SELECT greatest(3.0, 0.15 * max(s)) AS f FROM p) WHERE s >= f AND d > 0) SELECT count(*) AS n_pairs, round(median(r), 5) AS ratio, round(quantile_cont(r, 0.25), 5) AS q1, round(quantile_cont(r, 0.75), 5) AS q3 FROM k"))
+def a14_scale_estimate(spark, d):
+    return rounded(st.scale_estimate(st.scale_pairs(_scale_cams(spark, d)), floor_m=3.0).select("n_pairs", "ratio", "q1", "q3"))
+
+
+@query()
+def a15_noise_calibrate(spark, d):
+    cams = fr.stride_sample(_scale_cams(spark, d), [], ["image_id"], 600)
+    return st.noise_calibrate(cams, {"x": 1.0, "y": 1.0, "z": 1.0})
+
+
+@query()
+def a16_scale_check(spark, d):
+    return st.scale_check(fr.stride_sample(_scale_cams(spark, d), [], ["image_id"], 600))
+
+
+@query()
+def a22_umeyama(spark, d):
+    return st.umeyama(_scale_cams(spark, d), ["folder"])
+
+
+@query()
+def a23_prior_residuals(spark, d):
+    return st.prior_residuals(_scale_cams(spark, d), ["folder"])
+
+
+@query(sql("cloud", "+m AS (SELECT folder, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(y, y) AS yy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM cloud GROUP BY 1), s AS (SELECT *, (xz*yy - yz*xy) / (xx*yy - xy*xy) AS a, (yz*xx - xz*xy) / (xx*yy - xy*xy) AS b FROM m) SELECT folder, round(a, 5) AS a, round(b, 5) AS b, round(mz - a*mx - b*my, 4) AS c FROM s"))
+def a24_plane_fit(spark, d):
+    return st.plane_fit(i.cloud(spark, d), ["folder"]).select("folder", F.round("a", 5).alias("a"), F.round("b", 5).alias("b"), F.round("c", 4).alias("c"))
+
+
+@query(sql("cloud", "SELECT a.folder, round(max(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2))), 5) AS diameter FROM cloud a JOIN cloud b ON a.folder = b.folder GROUP BY 1"))
+def a24_diameter(spark, d):
+    return rounded(st.diameter(i.cloud(spark, d), ["folder"]))
+
+
+@query(sql("cloud", "SELECT folder, round(max(x) - min(x), 5) AS extent0, round(max(y) - min(y), 5) AS extent1, round(max(z) - min(z), 5) AS extent2 FROM cloud GROUP BY 1"))
+def a20_extents_raw(spark, d):
+    return rounded(st.extents(i.cloud(spark, d), ["folder"], "raw"))
+
+
+@query()
+def a19_basis_pca(spark, d):
+    return st.basis(i.cloud(spark, d), ["folder"])
+
+
+@query()
+def a20_extents_pca(spark, d):
+    return st.extents(i.cloud(spark, d), ["folder"], "pca", 10.0)
+
+
+@query(sql("pts", "SELECT floor(x / 5)::BIGINT AS px, floor(y / 10)::BIGINT AS py, min_by(point_id, (z, point_id)) AS rgb FROM pts GROUP BY 1, 2"))
+def a21_raster_nearest(spark, d):
+    return sp.raster_nearest(i.points(spark, d).withColumn("rgb", F.col("point_id")).withColumn("y", F.col("y") / 2), "x", "y", "z", 5.0)
+
+
+@query(sql("cloud", "SELECT count(*) AS matched, 0::BIGINT AS unmatched, round(avg(x - dx), 5) AS bias_x, round(avg(y - dy), 5) AS bias_y, round(avg(z - dz), 5) AS bias_z, round(stddev_pop(x - dx), 5) AS sd_x, round(stddev_pop(y - dy), 5) AS sd_y, round(stddev_pop(z - dz), 5) AS sd_z, round(sqrt(avg(pow(x-dx,2)+pow(y-dy,2)+pow(z-dz,2))), 5) AS rms, round(sqrt(max(pow(x-dx,2)+pow(y-dy,2)+pow(z-dz,2))), 5) AS largest, sqrt(avg(pow(x-dx,2)+pow(y-dy,2)+pow(z-dz,2))) > 0.5 AS fails FROM cloud"))
+def j22_eo_check(spark, d):
+    own = i.cloud(spark, d).withColumn("stem", F.col("image_id").cast("string"))
+    return rounded(st.eo_check(own, own.select("stem", F.col("dx").alias("e"), F.col("dy").alias("n"), F.col("dz").alias("h")), 0.5))
+
+
+@query("WITH c AS (SELECT p_partkey // 49 AS m, p_partkey % 49 % 7 AS gx, p_partkey % 49 // 7 AS gy, p_partkey % 49 % 7 + p_size / 100.0::DOUBLE AS x, (p_partkey % 49 // 7)::DOUBLE AS y FROM part) SELECT a.m, count(*) AS n, round(median(10 * sqrt(pow(a.gx-b.gx,2)+pow(a.gy-b.gy,2)) / sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))), 5) AS median FROM c a JOIN c b ON a.m = b.m AND (a.gy, a.gx) < (b.gy, b.gx) AND abs(a.gx - b.gx) <= 2 AND abs(a.gy - b.gy) <= 2 WHERE sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) > 0 GROUP BY 1")
+def j24_marker_scale(spark, d):
+    at = F.col("p_partkey") % 49
+    c = t(spark, d, "part").select(F.floor(F.col("p_partkey") / 49).alias("m"), (at % 7).alias("gx"), F.floor(at / 7).alias("gy"), ((at % 7) + F.col("p_size") / 100.0).alias("x"), F.floor(at / 7).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return rounded(st.marker_scale(st.corner_pairs(c, keys=["m"]), ["m"]).select("m", "n", "median"))
+
+
+@query()
+def a25_triangulate_tracks(spark, d):
+    p = i.points(spark, d).select("point_id", "x", "y", "z").join(i.observations(spark, d).select("image_id", "point_id").where("point_id >= 0").distinct(), "point_id")
+    cx, cy = (F.col("image_id") % 50).cast("double"), (F.col("image_id") % 31).cast("double")
+    depth = F.col("z") + 200.0
+    m = [[F.lit(1.0), F.lit(0.0), F.lit(0.0), -cx], [F.lit(0.0), F.lit(1.0), F.lit(0.0), -cy], [F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(200.0)]]
+    o = p.select("point_id", (1000 * (F.col("x") - cx) / depth).alias("u"), (1000 * (F.col("y") - cy) / depth).alias("v"), *[(m[r][k] * (1000.0 if r < 2 else 1.0)).alias(f"p{r}{k}") for r in range(3) for k in range(4)])
+    return rounded(st.triangulate_tracks(o), 4)
+
+
+@query("SELECT l_suppkey % 5 AS sensor_a, l_suppkey % 3 AS sensor_b, count(*) AS pairs, round(median(px), 5) AS median_px, median(px) > 25 AS fails FROM (SELECT l_suppkey, median(l_quantity) AS px, row_number() OVER (PARTITION BY l_suppkey % 5, l_suppkey % 3 ORDER BY l_suppkey) AS r FROM lineitem GROUP BY 1 HAVING count(*) > 20) WHERE r <= 4 GROUP BY 1, 2")
+def j20_epipolar_check(spark, d):
+    e = t(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("sensor_a"), (F.col("l_suppkey") % 3).alias("sensor_b"), F.col("l_suppkey").alias("pair_id"), F.col("l_quantity").alias("px"))
+    return rounded(st.epipolar_check(e, 20, 4, 25.0))
+
+
+@query("SELECT o_orderkey, p // 2147483647 - CASE WHEN p % 2147483647 = 0 THEN 1 ELSE 0 END AS a, CASE WHEN p % 2147483647 = 0 THEN 2147483647 ELSE p % 2147483647 END AS b FROM (SELECT o_orderkey, o_orderkey * 2147483647 + o_custkey AS p FROM orders)")
+def j20_pair_images(spark, d):
+    a, b = st.pair_images(F.col("o_orderkey") * 2147483647 + F.col("o_custkey"))
+    return t(spark, d, "orders").select("o_orderkey", a.alias("a"), b.alias("b"))
+
+
+# ---------------------------------------------------------------- partitioning
+
+
+@query(sql("cloud", "SELECT folder, round(quantile_cont(x, 0.01), 5) AS x0, round(quantile_cont(y, 0.01), 5) AS y0, round(quantile_cont(x, 0.99), 5) AS x1, round(quantile_cont(y, 0.99), 5) AS y1 FROM cloud GROUP BY 1"))
+def p1_auto_region(spark, d):
+    return rounded(sp.auto_region(i.cloud(spark, d), ["folder"]))
+
+
+BLOCKS = "b AS (SELECT ix * 100 + iy AS block, ix * 15.0 AS x0, 90 + iy * 20.0 AS y0, least((ix + 1) * 15.0, 50.0) AS x1, least(90 + (iy + 1) * 20.0, 180.0) AS y1 FROM (SELECT unnest(range(4)) AS ix), (SELECT unnest(range(5)) AS iy))"
+
+
+def _blocks(spark):
+    ids = spark.range(20).select((F.col("id") % 4).alias("ix"), F.floor(F.col("id") / 4).alias("iy"))
+    return ids.select((F.col("ix") * 100 + F.col("iy")).alias("block"), (F.col("ix") * 15.0).alias("x0"), (90 + F.col("iy") * 20.0).alias("y0"), F.least((F.col("ix") + 1) * 15.0, F.lit(50.0)).alias("x1"), F.least(90 + (F.col("iy") + 1) * 20.0, F.lit(180.0)).alias("y1"))
+
+
+@query(sql("pts", f"+{BLOCKS} SELECT point_id, block FROM pts JOIN b ON x >= x0 - 3 AND x < x1 + 3 AND y >= y0 - 3 AND y < y1 + 3"))
+def p5_assign_points(spark, d):
+    return sp.assign_points(i.points(spark, d), _blocks(spark), 3.0).select("point_id", "block")
+
+
+@query(sql("pts", "SELECT floor((x - 0) / 15)::BIGINT AS ix, floor((y - 90) / 15)::BIGINT AS iy, count(*) AS n FROM pts WHERE x >= 0 AND x < 50 AND y >= 90 AND y < 180 GROUP BY 1, 2"))
+def p2_grid_cells(spark, d):
+    cells = sp.grid_cells(spark, (0.0, 90.0, 50.0, 180.0), 15.0)
+    return i.points(spark, d).join(cells, g.in_rect_halfopen("x", "y", F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).groupBy("ix", "iy").agg(F.count("*").alias("n"))
+
+
+@query()
+def p3_rebalance_cells(spark, d):
+    c = i.points(spark, d)
+    region = (0.0, 90.0, 51.0, 200.0)
+    n = c.where(g.in_rect_halfopen("x", "y", *region)).count()
+    most, fewest, side, _ = sp.auto_params(n, region)
+    return sp.rebalance_cells(c, region, most, fewest, side)
+
+
+def _block_obs(spark, d):
+    obs = i.observations(spark, d).where("point_id IS NOT NULL").withColumn("y", F.col("y") / 2)
+    members = sp.assign_points(i.points(spark, d), _blocks(spark), 3.0).select("point_id", "block")
+    return obs, members
+
+
+@query()
+def a10_visibility(spark, d):
+    obs, members = _block_obs(spark, d)
+    return rounded(sp.visibility(obs, members))
+
+
+@query()
+def a9_hull_area(spark, d):
+    from reconspark.operators.hull import hull_area
+
+    return rounded(i.observations(spark, d).groupBy("image_id").agg(hull_area("x", "y").alias("area")))
+
+
+@query()
+def p6_assign_images(spark, d):
+    obs, members = _block_obs(spark, d)
+    centers = t(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 50).cast("double").alias("x"), (90 + F.col("o_orderkey") % 90).cast("double").alias("y"))
+    return sp.assign_images(centers, obs, members, _blocks(spark))
+
+
+TILES = "+q AS (SELECT image_id, point_id % 4 AS block, least(greatest(floor(y::BIGINT * 3 / 48.0), 0), 2)::BIGINT * 4 + least(greatest(floor(x::BIGINT * 4 / 60.0), 0), 3)::BIGINT AS tile FROM (SELECT image_id, point_id, trunc(x)::BIGINT AS x, trunc(y)::BIGINT AS y FROM obs WHERE point_id IS NOT NULL)), n AS (SELECT image_id, block, tile, count(*) AS n FROM q GROUP BY 1, 2, 3)"
+
+
+@query(sql("obs", TILES + " SELECT image_id, block, tile, n FROM (SELECT *, row_number() OVER (PARTITION BY image_id, block ORDER BY n DESC, tile) AS r FROM n) WHERE n >= 2 OR r = 1"))
+def p7_select_tiles(spark, d):
+    obs = i.observations(spark, d).where("point_id IS NOT NULL").select("image_id", (F.col("point_id") % 4).alias("block"), "x", "y", F.lit(4).alias("cols"), F.lit(3).alias("rows"), F.lit(60).alias("width"), F.lit(48).alias("height"))
+    return sp.select_tiles(obs, 2)
+
+
+@query(sql("images", "SELECT camera_id * 10 + image_id % 10 AS block, count(DISTINCT image_id) AS n_images FROM images GROUP BY 1 HAVING count(DISTINCT image_id) >= 200"))
+def p8_skip_small_blocks(spark, d):
+    m = i.images(spark, d).select((F.col("camera_id") * 10 + F.col("image_id") % 10).alias("block"), "image_id")
+    return sp.skip_small_blocks(m, 200)[0]
+
+
+@query(sql("obs", "SELECT image_id, block, count(*) AS n, round(sum(x - 1), 4) AS sx FROM (SELECT image_id, point_id % 4 AS block, x FROM obs WHERE point_id % 3 = 0) GROUP BY 1, 2"))
+def p9_emit_views(spark, d):
+    obs = i.observations(spark, d).where("point_id % 3 = 0").select("image_id", "point_id", (F.col("point_id") % 4).alias("block"), F.lit(0).alias("tile"), "x", "y", F.lit(1.0).alias("ox"), F.lit(0.0).alias("oy"))
+    tiles = obs.select("image_id", "block", "tile").distinct()
+    return sp.emit_views(obs, tiles).groupBy("image_id", "block").agg(F.count("*").alias("n"), F.round(F.sum("vx"), 4).alias("sx"))
+
+
+@query()
+def p10_select_region_images(spark, d):
+    obs, _ = _block_obs(spark, d)
+    centers = t(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 50).cast("double").alias("x"), (90 + F.col("o_orderkey") % 90).cast("double").alias("y"))
+    return sp.select_region_images(centers, obs, i.points(spark, d), RECT, 2.0)
+
+
+@query(sql("pts", f"+{BLOCKS} SELECT point_id, block FROM pts JOIN b ON x >= x0 AND x < x1 AND y >= y0 AND y < y1"))
+def p11_merge_blocks(spark, d):
+    blocks = _blocks(spark)
+    return sp.merge_blocks(sp.assign_points(i.points(spark, d), blocks, 3.0), blocks).select("point_id", "block")
+
+
+@query(sql("obs", "SELECT v.block, n_images, n_views, pixels, coalesce(n_points, 0) AS n_points FROM (SELECT point_id % 4 AS block, count(DISTINCT image_id) AS n_images, count(*) AS n_views, count(*) * 200 AS pixels FROM obs WHERE point_id IS NOT NULL GROUP BY 1) v LEFT JOIN (SELECT p_partkey % 5 AS block, count(*) AS n_points FROM part WHERE p_partkey % 5 < 3 GROUP BY 1) m USING (block)"))
+def a36_block_manifest(spark, d):
+    v = i.observations(spark, d).where("point_id IS NOT NULL").select((F.col("point_id") % 4).alias("block"), "image_id", F.lit(10).alias("w"), F.lit(20).alias("h"))
+    m = t(spark, d, "part").select((F.col("p_partkey") % 5).alias("block")).where("block < 3")
+    return sp.block_manifest(v, m)
+
+
+# ---------------------------------------------------------------- boxes
+
+
+@query(sql("boxes", f"+{CLIP}, m AS (SELECT image_id, median((y0 + y1) * 0.5) AS cy, median(greatest(y1 - y0, 1.0)) AS h FROM kept GROUP BY 1), o AS (SELECT kept.*, abs((y0 + y1) * 0.5 - cy) <= 0.6 * h AS ok FROM kept JOIN m USING (image_id)), c AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY image_id) AS n FROM o) SELECT image_id, box_id, round(score, 6) AS score FROM c WHERE ok OR n < 2"))
+def w4_row_boxes(spark, d):
+    return bx.row_boxes(_clipped(spark, d)).select("image_id", "box_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def w3_nms(spark, d):
+    return bx.nms(_clipped(spark, d), threshold=0.5).select("image_id", "box_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def f22_refine_boxes(spark, d):
+    return bx.refine_boxes(bx.normalize_boxes(i.boxes(spark, d)), 0.01, 0.7, row=True).select("image_id", "box_id")
+
+
+CLICK = "clicks AS (SELECT o_orderkey AS image_id, (o_custkey % 60)::DOUBLE AS x, (o_custkey % 48)::DOUBLE AS y FROM orders)"
+
+
+@query(sql("boxes", f"+{CLIP}, {CLICK} SELECT image_id, x, y, box_id FROM (SELECT c.image_id, c.x, c.y, k.box_id, row_number() OVER (PARTITION BY c.image_id ORDER BY NOT (c.x BETWEEN x0 AND x1 AND c.y BETWEEN y0 AND y1), CASE WHEN c.x BETWEEN x0 AND x1 AND c.y BETWEEN y0 AND y1 THEN (x1-x0)*(y1-y0) ELSE sqrt(pow(c.x-(x0+x1)/2,2)+pow(c.y-(y0+y1)/2,2)) END, box_id) AS r FROM clicks c LEFT JOIN kept k USING (image_id)) WHERE r = 1"))
+def w5_route_clicks(spark, d):
+    clicks = t(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 60).cast("double").alias("x"), (F.col("o_custkey") % 48).cast("double").alias("y"))
+    return bx.route_clicks(_clipped(spark, d), clicks)
+
+
+@query(sql("images", "SELECT name, CASE WHEN image_id % 5 = 0 THEN 1 WHEN image_id % 5 = 1 THEN 0 ELSE 2 END AS n FROM images"))
+def j25_prompts(spark, d):
+    im = i.images(spark, d).select("name", "image_id", F.lit(60).alias("width"), F.lit(48).alias("height"))
+    own = im.where("image_id % 5 < 2").select("name", F.when(F.col("image_id") % 5 == 0, F.array(F.lit(0.5))).otherwise(F.slice(F.array(F.lit(0.5)), 1, 0)).alias("prompts"))
+    base = spark.createDataFrame([([0.1, 0.9],)], "prompts array<double>")
+    return bx.prompts_for_images(im, own, base).select("name", F.size("prompts").alias("n"))
+
+
+# ---------------------------------------------------------------- logs and jobs
+
+
+@query(sql("lines", "SELECT job_id, seq FROM lines WHERE NOT regexp_matches(line, '(?i)exif.*(unknown|unsupported|ignored)|Invalid EXIF|Unknown (field|tag)')"))
+def r1_filter_noise(spark, d):
+    return lg.filter_noise(i.log_lines(spark, d)).select("job_id", "seq")
+
+
+@query(sql("lines", "SELECT job_id, seq, regexp_extract(line, '-> (\\d+) kept', 1) AS kept FROM lines WHERE regexp_matches(line, '-> \\d+ kept / \\d+ dropped')"))
+def r2_parse_events(spark, d):
+    return lg.parse_events(i.log_lines(spark, d), "frames").where("kept IS NOT NULL").select("job_id", "seq", "kept")
+
+
+@query(sql("lines", "SELECT job_id, coalesce(sum(try_cast(nullif(regexp_extract(line, '-> (\\d+) kept', 1), '') AS BIGINT)), 0)::BIGINT AS kept, coalesce(sum(try_cast(nullif(regexp_extract(line, '/ (\\d+) dropped', 1), '') AS BIGINT)), 0)::BIGINT AS dropped, max_by(regexp_extract(line, '\\[(\\d)/9\\]', 1), seq) FILTER (WHERE line LIKE '########%') AS cur FROM lines GROUP BY 1"))
+def r4_running_counters(spark, d):
+    return lg.counters(i.log_lines(spark, d), "frames", ["job_id"]).select("job_id", "kept", "dropped", "cur")
+
+
+@query(sql("lines", "+m AS (SELECT *, CASE WHEN contains(line, 'feature_extractor') THEN 'extract' WHEN contains(line, 'exhaustive_matcher') THEN 'match' WHEN contains(line, 'colmap mapper') THEN 'mapper' END AS s FROM lines), h AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS stage FROM m), c AS (SELECT *, coalesce(lag(stage) OVER (PARTITION BY job_id ORDER BY seq) <> stage, true)::INT AS nw FROM h WHERE stage IS NOT NULL), r AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT job_id, stage, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_lines FROM r GROUP BY job_id, run, stage"))
+def w9_stage_timeline(spark, d):
+    return lg.stage_timeline(i.log_lines(spark, d)).select("job_id", "stage", "first_seq", "last_seq", "n_lines")
+
+
+@query()
+def r3_stage_status(spark, d):
+    return lg.stage_status(i.log_lines(spark, d))
+
+
+@query(sql("lines", "SELECT job_id, seq FROM (SELECT job_id, seq, length(line) % 3 AS s, lag(length(line) % 3) OVER (PARTITION BY job_id ORDER BY seq) AS b FROM lines) WHERE b IS NULL OR b <> s"))
+def r5_change_feed(spark, d):
+    st_ = i.log_lines(spark, d).select("job_id", "seq", (F.length("line") % 3).alias("status"), F.lit("a").alias("stage"))
+    return lg.change_feed(st_).select("job_id", "seq")
+
+
+FOUND = "+f AS (SELECT * FROM jobs WHERE contains(lower(title || ' ' || subtitle || ' ' || id || ' ' || kind || ' ' || status), '12'))"
+
+
+@query(sql("jobs", FOUND + " SELECT 'kind' AS facet, kind AS value, count(*) AS n FROM f WHERE status = 'done' GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM f WHERE kind = '1-URGENT' GROUP BY 2 UNION ALL SELECT 'total', '', count(*) FROM f WHERE kind = '1-URGENT' AND status = 'done' HAVING count(*) > 0 UNION ALL SELECT 'summary', status, count(*) FROM jobs GROUP BY 2"))
+def a31_facets(spark, d):
+    return jb.facets(i.jobs(spark, d), "12", "1-URGENT", "done")
+
+
+@query(sql("jobs", "SELECT id, CASE WHEN status IN ('queued', 'running') THEN 'failed' ELSE status END AS status FROM jobs"))
+def s4_settle_stale(spark, d):
+    return jb.settle_stale(i.jobs(spark, d)).select("id", "status")
+
+
+@query(sql("lines", "SELECT job_id, seq FROM (SELECT job_id, seq, sum(strlen(line) + 1) OVER (PARTITION BY job_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS b FROM lines) WHERE b <= 500"))
+def s8_last_bytes(spark, d):
+    from reconspark.sources.readers import last_bytes
+
+    return last_bytes(i.log_lines(spark, d), 500).select("job_id", "seq")
+
+
+@query("SELECT event_id % 50 AS video, row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) AS nth, CASE WHEN event_id % 9 = 0 THEN 'NaN'::DOUBLE ELSE value END AS score FROM events")
+def s3_scores_from_log(spark, d):
+    from reconspark.sources.readers import scores_from_log
+
+    e = t(spark, d, "events").select((F.col("event_id") % 50).alias("video"), F.col("event_id").alias("seq"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("file"), F.concat(F.lit("[Parsed_blurdetect_1] blur: "), F.when(F.col("event_id") % 9 == 0, "bad").otherwise(F.col("value").cast("string"))).alias("line"))
+    return scores_from_log(e.select("video", "seq", "line"), e.select("video", "file")).select("video", F.col("nth").cast("long"), "score")
+
+
+@query(sql("listing", "SELECT key FROM listing WHERE regexp_matches(key, '(?i)\\.(jpe?g|png|tiff?|bmp|webp|hei[cf])$') OR key LIKE '%.html'"))
+def s9_list_images(spark, d):
+    own = i.listing(spark, d)
+    return ls.list_images(own).select("key").unionByName(own.where(F.col("key").endswith(".html")).select("key"))
