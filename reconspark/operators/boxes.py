@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,25 +34,22 @@ def filter_small(boxes: DataFrame, share: float, width="width", height="height")
 def nms(boxes: DataFrame, image: str = "image_id", score: str | None = "score", threshold: float = 0.9) -> DataFrame:
     """Greedy suppression per image: by score (or area) descending, then box_id; a box stays if its IoU with all kept is at most the threshold.
 
-    The boxes of one image are one group: a detector's output, bounded by what it returns for an image."""
+    The boxes of one image are one array: a detector's output, bounded by what it returns for an image.  A fold over the
+    array in rank order keeps or drops each box against those kept so far.
+    """
     order = c(score) if score else (c("x1") - c("x0")) * (c("y1") - c("y0"))
-    ready = boxes.withColumn("_rank", order.cast("double"))
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_rank", "box_id"], ascending=[False, True])
-        b = pdf[list(BOX)].to_numpy(dtype=float)
-        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        alive, kept = np.ones(len(b), dtype=bool), []
-        for i in range(len(b)):
-            if not alive[i]:
-                continue
-            kept.append(i)
-            w = np.clip(np.minimum(b[i, 2], b[i + 1 :, 2]) - np.maximum(b[i, 0], b[i + 1 :, 0]), 0, None)
-            h = np.clip(np.minimum(b[i, 3], b[i + 1 :, 3]) - np.maximum(b[i, 1], b[i + 1 :, 1]), 0, None)
-            alive[i + 1 :] &= w * h / np.maximum(area[i] + area[i + 1 :] - w * h, 1e-6) <= threshold
-        return pdf.iloc[kept].drop(columns="_rank")
-
-    return ready.groupBy(image).applyInPandas(keep, boxes.schema)
+    rest = [k for k in boxes.columns if k != image]
+    ranked = F.sort_array(F.collect_list(F.struct((-order.cast("double")).alias("_rank"), F.col("box_id").alias("_id"), F.struct(*rest).alias("_b"))))
+    grouped = boxes.groupBy(image).agg(ranked.alias("_all"))
+    area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+
+    def overlap(a, b):
+        w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
+        h = F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
+        return w * h / F.greatest(area(a) + area(b) - w * h, F.lit(1e-6))
+
+    keep = F.aggregate("_all", F.slice("_all", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: overlap(k["_b"], x["_b"]) > threshold), kept).otherwise(F.concat(kept, F.array(x))))
+    return grouped.select(image, F.explode(keep).alias("_k")).select(image, "_k._b.*").select(*boxes.columns)
 
 
 def row_boxes(boxes: DataFrame, image: str = "image_id", tolerance: float = 0.6, least: int = 2) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Convex-hull area as a grouped aggregate."""
+"""Convex-hull area of groups of points."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -33,5 +34,12 @@ def area_of(x: np.ndarray, y: np.ndarray) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def hull_area(x: pd.Series, y: pd.Series) -> float:
-    return area_of(x.to_numpy(dtype=float), y.to_numpy(dtype=float))
+def _areas(points: pd.Series) -> pd.Series:
+    at = lambda p, k: np.array([v[k] for v in p], dtype=float)
+    return points.map(lambda p: area_of(at(p, "x"), at(p, "y")) if len(p) > 2 else 0.0)
+
+
+def hull_area(x: str, y: str) -> Column:
+    """Aggregate: hull area of a group's points.  Points are gathered once as a set (an image's features) and whole batches of
+    groups go through one vectorised call, instead of one call a group."""
+    return _areas(F.collect_set(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
