@@ -92,18 +92,36 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
     return weights, float(bias[1] - bias[0])
 
 
+class Weights(dict):
+    """Weights of n-grams by their text, looked up in the buckets once; bounded."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, gram: str) -> float:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[gram] = float(self.weights[zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS])
+        return found
+
+
 class Scorer:
-    """Scores texts with trained weights; remembers words up to a bound."""
+    """Scores texts with trained weights; remembers words and n-grams up to a bound."""
 
     def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
+        self.weights, self.grams, self.bias, self.known = weights, Weights(weights), bias, {}
 
     def word(self, word: str) -> float:
+        """Mean weight of the word's n-grams, as ``ngrams`` lists them."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            found = self.known[word] = float(self.weights[ngrams(word)].mean())
+            marked, grams = f"<{word}>", self.grams
+            parts = [grams[marked[i : i + n]] for n in NGRAMS for i in range(len(marked) - n + 1)]
+            whole = float(self.weights[zlib.crc32(marked.encode("utf-8", "surrogatepass")) % BUCKETS])
+            found = self.known[word] = (whole + sum(parts)) / (1 + len(parts))
         return found
 
     def score(self, text: str | None) -> float:
