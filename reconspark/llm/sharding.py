@@ -61,16 +61,18 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
     drop_stored(base)
     cells = stored(placed.where("unit IS NOT NULL").groupBy("unit", "origin").agg(F.count("*").alias("n")).withColumn("shard", F.col("origin")))
     for turn in range(rounds):
-        here = cells.groupBy("unit", "shard").agg(F.sum("n").alias("n"))
-        # Most neighbours win; of equal shards the one that a hash of block and shard puts first.
-        best = here.groupBy("unit").agg(F.max_by("shard", F.struct(F.col("n"), F.xxhash64("unit", "shard"))).alias("target"))
-        wish = cells.join(best, "unit")
         load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row per shard
+        room = {s: max(0, quota - load.get(s, 0)) for s in range(n_shards)}
+        here = cells.groupBy("unit", "shard").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("unit")))
+        # The shard wins where most of the block can be together; of equal ones that of most neighbours, then by a hash.
+        reach = F.least(F.col("all"), F.col("n") + by_shard(room, F.col("shard")))
+        best = here.groupBy("unit").agg(F.max_by("shard", F.struct(reach.alias("reach"), F.col("n"), F.xxhash64("unit", "shard"))).alias("target"))
+        wish = cells.join(best, "unit")
         asked = {r["target"]: r["n"] for r in wish.where("shard <> target").groupBy("target").agg(F.sum("n").alias("n")).collect()}
         if not asked:
             break
         # A shard with less room than it is asked for takes that share, by a hash of block and round.
-        share = {s: min(1.0, max(0, quota - load.get(s, 0)) / m) for s, m in asked.items()}
+        share = {s: min(1.0, room[s] / m) for s, m in asked.items()}
         chance = F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
         moved = stored(wish.withColumn("shard", F.when((F.col("shard") == F.col("target")) | (chance < by_shard({**dict.fromkeys(range(n_shards), 0.0), **share}, F.col("target"), 0.0)), F.col("target")).otherwise(F.col("shard"))).drop("target"))
         drop_stored(cells)

@@ -1,0 +1,408 @@
+"""The ten operators on small tables: brute force, edge rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+
+from reconspark.llm import exact_dedup, html_text, licences, mixing, packing, pii, quality, sharding, simhash, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, size string, h string, chunk string, component_id string, label string"
+WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "la", "mu", "nu", "xi"]
+
+
+def texts():
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    base = [say(rng.randint(1, 90)) for _ in range(25)]
+    long = say(6000)
+    near = long.replace("alpha beta", "alpha Beta", 1) + " tail"
+    odd = [None, "", "", " \n\t ", "one", "one", "Ünïcode ẞ İ 😀 " * 5, long, long, near, "a" * 9000, "line one.\n" * 30]
+    return base + odd + base[:6] * 3
+
+
+def table(spark, rows=None):
+    own = rows if rows is not None else [(i * 7 % 101, t) for i, t in enumerate(texts())] + [(None, "no id"), (3, "again"), (3, "again")]
+    return spark.createDataFrame([(i, t, "en", f"s{k % 3}" if k % 7 else None, None, "r", "z", "h", "c", "x", "l") for k, (i, t) in enumerate(own)], DOCS).repartition(3)
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def split(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
+RUN = {
+    "exact": lambda d: exact_dedup.exact_groups(d),
+    "shard": lambda d: sharding.shard(d, n_shards=4),
+    "mix": lambda d: mixing.mix(d),
+    "quality": lambda d: quality.measure(d),
+    "near": lambda d: simhash.near_groups(d),
+    "pack": lambda d: packing.pack(d),
+    "pii": lambda d: pii.detect(d),
+    "toxic": lambda d: toxicity.toxicity(d, d.sparkSession.createDataFrame([], "doc_id long, toxic int")),
+    "licence": lambda d: licences.scan(d.withColumn("path", d["source"])),
+    "keep_exact": exact_dedup.keep_one,
+    "keep_near": simhash.keep_one,
+    "keep_good": quality.keep_good,
+    "applied": mixing.apply,
+}
+
+
+@pytest.mark.parametrize("name", list(RUN))
+def test_empty_table(spark, name):
+    assert RUN[name](table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", ["exact", "shard", "mix", "quality", "near", "pii", "toxic", "licence"])
+def test_one_row_out_for_each_row_in(spark, name):
+    d = table(spark)
+    assert Counter(r["doc_id"] for r in rows_of(RUN[name](d))) == Counter(r["doc_id"] for r in rows_of(d))
+
+
+def test_exact_dedup(spark):
+    d = table(spark)
+    groups = defaultdict(list)
+    for r in rows_of(d):
+        groups[r["text"] or ""].append(r["doc_id"])
+    sha = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    seen = Counter()
+    for r in rows_of(exact_dedup.exact_groups(d)):
+        ids = sha[r["text_sha256"]]
+        assert r["group_size"] == len(ids)
+        assert r["keep_id"] == max((i for i in ids if i is not None), default=None)
+        seen[r["text_sha256"]] += r["kept"]
+    assert set(seen.values()) == {1}
+    kept = exact_dedup.keep_one(d)
+    assert kept.columns == d.columns and sorted(r["text"] or "" for r in rows_of(kept)) == sorted(groups)
+
+
+def test_chunks_cover_texts(spark):
+    import regex
+
+    for t in texts():
+        if t:
+            assert "".join(regex.findall(exact_dedup.chunk_pattern(5, 20), t)) == t
+
+
+def test_chunks_of_a_small_size_find_the_same_groups(spark):
+    d = table(spark)
+    key = lambda p: sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"]) for r in rows_of(exact_dedup.exact_groups(d, pattern=p)))
+    assert key(exact_dedup.chunk_pattern(4, 16)) == key(None)
+
+
+def brute_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(values, near):
+    root = list(range(len(values)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(values)):
+        for j in range(i):
+            if near(values[i], values[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(values))]
+
+
+def test_simhash_against_brute_force(spark):
+    d = table(spark)
+    source = rows_of(d)
+    found = rows_of(simhash.near_groups(d))
+    assert Counter(r["fingerprint"] for r in found) == Counter(f"{brute_fingerprint(r['text']):016x}" for r in source)
+    prints = sorted({int(r["fingerprint"], 16) for r in found})
+    group = dict(zip(prints, components(prints, lambda a, b: (a ^ b).bit_count() <= 4)))
+    least = defaultdict(list)
+    for r in found:
+        least[group[int(r["fingerprint"], 16)]] += [] if r["doc_id"] is None else [r["doc_id"]]
+    assert all(r["component_id"] == min(least[group[int(r["fingerprint"], 16)]], default=None) for r in found)
+
+
+@pytest.mark.parametrize("cell", [4, 64, 4096])
+def test_trie_join_finds_all_links(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(cell)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    near = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(6)}
+    values = sorted({*base, *near})
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    links = rows_of(simhash.links(spark.createDataFrame(signed, "fp long")))
+    pos = {s[0]: k for k, s in enumerate(signed)}
+    assert all((values[pos[r["a"]]] ^ values[pos[r["b"]]]) >= 0 for r in links)
+    joined = {frozenset((pos[r["a"]], pos[r["b"]])) for r in links}
+    want = components(values, lambda a, b: (a ^ b).bit_count() <= 4)
+    got = components(range(len(values)), lambda a, b: frozenset((a, b)) in joined)
+    name = lambda c: Counter(frozenset(i for i in range(len(c)) if c[i] == k) for k in set(c))
+    assert name(want) == name(got)
+
+
+def test_shards_are_even_and_keep_groups(spark):
+    d = table(spark)
+    r = rows_of(sharding.shard(d, n_shards=4))
+    per = defaultdict(list)
+    for x in r:
+        per[x["shard"]].append(x["slot"])
+    n = [len(v) for v in per.values()]
+    assert max(n) - min(n) <= 1 and all(sorted(v) == list(range(len(v))) for v in per.values())
+    text = {}
+    for x in rows_of(d):
+        text.setdefault(x["doc_id"], x["text"] or "")
+    assert all(x["text_crc32"] in {zlib.crc32((y["text"] or "").encode()) for y in rows_of(d) if y["doc_id"] == x["doc_id"]} for x in r)
+
+
+def test_a_hot_group_fills_as_few_shards_as_it_must(spark):
+    d = table(spark, [(i, "same text") for i in range(400)] + [(1000 + i, f"other {i}") for i in range(800)])
+    r = rows_of(sharding.shard(d, n_shards=12))
+    assert len({x["shard"] for x in r if x["doc_id"] < 400}) <= 6
+    assert set(Counter(x["shard"] for x in r).values()) == {100}
+
+
+def test_mix_targets(spark):
+    rng = random.Random(2)
+    sizes = {"a": 3000, "b": 200, "c": 9000, "d": 100}
+    rows, i = [], 0
+    for s, n in sizes.items():
+        while n > 0:
+            k = min(n, rng.randint(1, 120))
+            rows.append((i, " ".join(["w"] * k), s))
+            i, n = i + 1, n - k
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    r = rows_of(mixing.mix(d))
+    # water filling by hand
+    weight, total, target = dict(zip("abcd", (5, 2, 1, 5))), sum(sizes.values()), {}
+    free = set("abcd")
+    while True:
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 3 * sizes[s] for s in over}
+        free -= over
+    name = {i: s for i, _, s in rows}
+    for s in sizes:
+        own = [x for x in r if name[x["doc_id"]] == s]
+        assert own[0]["target"] == pytest.approx(target[s]) and own[0]["source_size"] == sizes[s]
+        assert abs(sum(x["taken"] for x in own) - target[s]) <= 6 * mixing.BLOCK
+    assert all(x["taken"] <= 3 * x["size"] for x in r)
+    assert sorted(map(str, r)) == sorted(map(str, rows_of(mixing.mix(d.repartition(5)))))
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    d = table(spark)
+    t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    want = Counter()
+    for r in rows_of(d):
+        ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        for p, s in enumerate([0, *range(first, len(ids), 2048)]):
+            part = ids[s : first if p == 0 else s + 2048]
+            want[(r["doc_id"], p, s, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)))] += 1
+    found = rows_of(packing.pack(d))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
+    check_places([(r["sequence_id"], r["offset"], r["length"]) for r in found])
+
+
+def check_places(places, capacity=2048):
+    per = defaultdict(list)
+    for s, o, n in places:
+        per[s].append((o, n))
+    for own in per.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(per)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_places_every_piece_near_the_bound(seed):
+    rng = random.Random(seed)
+    histogram = Counter(min(2048, int(rng.lognormvariate(6.3, 1)) + 1) for _ in range(3000))
+    places, rank = [], defaultdict(set)
+    for length, first, count, sequence, offset in packing.plan(histogram):
+        places += [(sequence + k, offset, length) for k in range(count)]
+        rank[length] |= set(range(first, first + count))
+    assert {k: len(v) for k, v in rank.items()} == dict(histogram) and all(max(v) + 1 == len(v) for v in rank.values())
+    assert check_places(places) <= 1.02 * sum(k * v for k, v in histogram.items()) / 2048 + 2
+
+
+def test_encoder_gives_the_ids_of_tokenizers():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t, encode = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY)), packing.encoder()
+    for text in [*filter(None, texts()), "<|endoftext|> x", "it's 12 we'll　é‍", " " * 3000 + "x", "\x00\x01"]:
+        assert list(encode(text)) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_quality_counts_against_brute_force(spark):
+    d = table(spark)
+    want = []
+    for r in rows_of(d):
+        text = r["text"] or ""
+        w = split(text)
+        count = Counter(zip(w, w[1:], w[2:]))
+        covered = {i + k for i, g in enumerate(zip(w, w[1:], w[2:])) if count[g] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if split(x)]
+        want.append((r["doc_id"], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)))
+    got = rows_of(quality.measure(d))
+    assert sorted(map(str, want)) == sorted(str(tuple(r[k] for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))) for r in got)
+
+
+def test_quality_lines(spark):
+    prose = "\n".join(f"Sentence number {k} says {k * 17} things about {k % 7} topics in its {k * 3} words." for k in range(12))
+    junk = "\n".join(f"Home {k} | About {k} | Contact {k} | Terms {k} | Help {k}" for k in range(14))
+    d = table(spark, [(1, prose), (2, junk), (3, prose + "\nAccept all cookies\n" + prose.split("\n")[0]), (4, None)])
+    assert {r["doc_id"]: r["kept"] for r in rows_of(quality.measure(d))} == {1: True, 2: False, 3: True, 4: False}
+    assert {r["doc_id"] for r in rows_of(quality.keep_good(d))} == {1, 3}
+    cleaned = {r["doc_id"]: r["text"] for r in rows_of(quality.clean(d))}
+    assert cleaned[1] == prose and cleaned[3] == prose and cleaned[2] == "" and cleaned[4] is None
+
+
+PII_TEXT = "a mail x.y@mail.example.com, ip 10.0.0.255 not 300.1.1.1; card 4532 0151 1283 0366 and 4532-0151-1283-0367, call +1 (555) 010-9999 or +12 34. a@b.c_d@e.f @x.y q@z"
+
+
+def test_pii_base_spans():
+    got = [(k, PII_TEXT[s:e]) for k, s, e in pii.base_spans(PII_TEXT)]
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    assert [v for k, v in got if k == "email"] == [m[0] for m in email.finditer(PII_TEXT)]
+    assert ("ip", "10.0.0.255") in got and not any(v.startswith("300") for _, v in got)
+    assert [v for k, v in got if k == "card"] == ["4532 0151 1283 0366"]
+    assert [v for k, v in got if k == "phone"] == ["+1 (555) 010-9999"]
+
+
+def test_emails_equal_the_pattern_everywhere():
+    rng, email = random.Random(1), re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    for _ in range(4000):
+        t = "".join(rng.choice("ab.@-_ ") for _ in range(rng.randint(0, 25)))
+        assert pii.emails(t) == [m.span() for m in email.finditer(t)], t
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(4000):
+        t = "".join(rng.choice("12..") for _ in range(rng.randint(0, 25)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in ip.finditer(t)], t
+
+
+def test_pii_adds_terms_that_give_an_entity_away(spark):
+    rng = random.Random(3)
+    fill = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows = [(i, fill(20)) for i in range(200)]
+    rows += [(300 + i, f"{fill(4)} Zanzibar boss@corp.example.com alpha {fill(6)}") for i in range(6)]
+    r = {x["doc_id"]: x for x in rows_of(pii.detect(table(spark, rows)))}
+    assert all(r[i]["n_terms"] == 0 and r[i]["spans"] == "" for i in range(200))
+    text = dict(rows)[300]
+    start = text.index("Zanzibar")
+    assert f"remove:{start}:{start + 8}" in r[300]["spans"] and "alpha" not in {text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in r[300]["spans"].split(",")}
+    assert r[300]["base_sha256"] == pii.base_digest(text) and r[300]["n_email"] == 1
+    assert "[EMAIL]" in pii.sanitise(text, r[300]["spans"]) and "Zanzibar" not in pii.sanitise(text, r[300]["spans"])
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = [rng.choice(WORDS) + rng.choice(["", "s", "en", "ly"]) for _ in range(rng.randint(5, 80))]
+        if bad:
+            words.insert(rng.randrange(len(words)), rng.choice(["blargh", "blarghs", "xblargh", "snorfel", "snorfels"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    rows.append((999, "such a bblarghy thing"))
+    out = {x["doc_id"]: x for x in rows_of(toxicity.toxicity(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")))}
+    assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in out)
+    test = [(bool(y), out[i]["predicted"] == 1) for i, y in labels if out[i]["held_out"]]
+    assert sum(a == b for a, b in test) >= 0.95 * len(test) and out[999]["predicted"] == 1
+    assert all(0 <= x["score"] <= 1 for x in out.values())
+
+
+def test_scorer_equals_the_mean_of_its_ngrams():
+    import numpy as np
+
+    w = np.random.default_rng(0).normal(size=toxicity.BUCKETS).astype("float32")
+    s = toxicity.Scorer(w, 0.0)
+    for word in ("", "a", "hello", "ünï😀", "x" * 500):
+        assert s.word(word) == pytest.approx(float(w[toxicity.ngrams(word)].mean()), abs=1e-5)
+
+
+PAGE = "<html><head><title>T</title><script>var a='</p>'</script></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>News &amp; more</a></li></ul></nav><div class='ad'>Buy now</div><article><h1>Big {0}</h1><p><b>First  paragraph\n of {0} &lt;tag&gt;<br><p>Second one, {1}.</p></article><footer>&copy; someone</footer></body>"
+
+
+def test_html_main_text(spark):
+    pages = [(i, f"http://h/{i}", PAGE.format(WORDS[i % 14], " ".join(WORDS[: i % 14]))) for i in range(60)] + [(None, None, None), (100, "u", ""), (101, "u", "plain  text"), (101, "u", "plain  text")]
+    d = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, text string")
+    out = defaultdict(list)
+    for r in rows_of(html_text.extract(d)):
+        out[r["page_id"]].append(r)
+        assert r["n_chars"] == len(r["text"])
+    for i in range(60):
+        a, b = WORDS[i % 14], " ".join(WORDS[: i % 14])
+        assert out[i][0]["text"] == f"Big {a}\n\nFirst paragraph of {a} <tag>\n\nSecond one, {b}."
+    assert out[None][0]["text"] == out[100][0]["text"] == "" and [r["text"] for r in out[101]] == ["plain text"] * 2
+    assert html_text.extract(d.limit(0)).count() == 0
+
+
+def test_decoding_keeps_no_child_of_a_dropped_parent():
+    import numpy as np
+
+    nodes = html_text.parse("<div><ul><li>a</li><li>b</li></ul></div><article><p>c</p></article>")
+    kept = html_text.decode(nodes, np.array([0, -5, -1, 2, 2, 1, 1.0]))
+    assert kept == [True, False, False, False, False, True, True]
+    assert html_text.decode(nodes, np.array([0, -1, -1, 2, 2, 1, -1.0])) == [True, True, True, True, True, True, False]
+
+
+def test_licences(spark):
+    files = [
+        (1, "a/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+        (2, "a/b/code.py", "no statement here"), (3, "a/b/c/LICENSE.txt", "Licensed under the Apache License, Version 2.0"), (4, "a/b/c/d/x.py", "nothing"),
+        (5, "a/b/own.py", "text before.\nThis work is licensed under the GNU General Public License, version 3.\nand after " + "word " * 50), (6, "z/y.py", "nothing"), (7, None, None), (8, "a/b/code.py", ""),
+        (9, "q/t.py", "a driving licence was shown to the officer at the gate"),
+    ]
+    d = spark.createDataFrame([(*f, "x", "y") for f in files], "doc_id long, path string, text string, dir string, licence string")
+    r = {x["doc_id"]: (x["licence"], x["basis"], x["licence_dir"]) for x in rows_of(licences.scan(d))}
+    assert r == {1: ("MIT", "own", None), 2: ("MIT", "inherited", "a"), 3: ("Apache-2.0", "own", None), 4: ("Apache-2.0", "inherited", "a/b/c"), 5: ("GPL-3.0", "own", None), 6: (None, "none", None), 7: (None, "none", None), 8: ("MIT", "inherited", "a"), 9: (None, "none", None)}
+
+
+def test_licence_cosine_against_brute_force(spark):
+    import math
+
+    said = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "licence of apache version 2.0 maybe", "copyright nobody"]
+    word = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
+    docs = [Counter(word.findall(s.lower())) for s in said]
+    temps = [(n, Counter(word.findall(b.lower()))) for n, b in licences.TEMPLATES]
+    df = Counter(w for c in [*docs, *(c for _, c in temps)] for w in c)
+    n = len(docs) + len(temps)
+    vec = lambda c: {w: k * (math.log(n / df[w]) + 1) for w, k in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for s, c in zip(said, docs):
+        v = vec(c)
+        score, name = max((sum(v[w] * t.get(w, 0) for w in v) / norm(v) / norm(t), m) for m, t in ((m, vec(t)) for m, t in temps))
+        if score >= licences.THRESHOLD:
+            want[s] = (name, pytest.approx(score, abs=1e-5))
+    got = {r["statement"]: (r["licence"], r["score"]) for r in rows_of(licences.scored_statements(spark.createDataFrame([(s,) for s in said], "text string")))}
+    assert got == want
+
+
+def test_labels_without_rows_predict_nothing(spark):
+    assert {r["predicted"] for r in rows_of(RUN["toxic"](table(spark)))} == {0}
