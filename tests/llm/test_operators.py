@@ -272,7 +272,8 @@ def test_quality_counts_against_brute_force(spark):
 
 
 def test_quality_lines(spark):
-    prose = "\n".join(f"Sentence number {k} says {k * 17} things about {k % 7} topics in its {k * 3} words." for k in range(12))
+    rng = random.Random(8)
+    prose = "\n".join("The " + " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(14)) + "." for _ in range(12))
     junk = "\n".join(f"Home {k} | About {k} | Contact {k} | Terms {k} | Help {k}" for k in range(14))
     d = table(spark, [(1, prose), (2, junk), (3, prose + "\nAccept all cookies\n" + prose.split("\n")[0]), (4, None)])
     assert {r["doc_id"]: r["kept"] for r in rows_of(quality.measure(d))} == {1: True, 2: False, 3: True, 4: False}

@@ -15,7 +15,7 @@ def test_pipeline(spark, tmp_path):
     good = [say(rng.randint(8, 30)) for _ in range(30)]
     near = good[0] + " extra"
     assert (simhash.fingerprint(near) ^ simhash.fingerprint(good[0])).bit_count() <= 12
-    rows = [(i, t, "en", f"s{i % 4}", len(t)) for i, t in enumerate([*good, *good[:5], "too short", "#$% " * 80, None])]
+    rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate([*good, *good[:5], "too short", "#$% " * 80, None])]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     d.write.parquet(str(tmp_path / "documents.parquet"))
     names = [n for n, _ in corpus_pipeline.STAGES]
