@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from reconspark.functions.geometry import base_name, c, mask_name
 
-IMAGE = r"(?i)\.(jpe?g|png|tiff?|bmp|webp|hei[cf])$"
+IMAGE = r"(?i)\.(jpe?g|png|tiff?)$"
 
 
 def parent_prefix(prefix) -> F.Column:
-    """The prefix one level up, with its closing slash; empty at the top."""
-    return F.regexp_replace(F.regexp_replace(c(prefix), "/$", ""), "[^/]*$", "")
+    """One level above a ``gs://`` prefix: empty for the list of buckets, null above that."""
+    body = F.regexp_replace(F.regexp_replace(F.trim(c(prefix)), "/+$", ""), "^gs:(//?|$)", "")
+    above = F.concat(F.lit("gs://"), F.regexp_replace(body, "[^/]*$", ""))
+    return F.when(body == "", F.lit(None).cast("string")).when(~body.contains("/"), "").otherwise(above)
 
 
 def inventory_children(listing: DataFrame, prefix: str, key: str = "key") -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from reconspark.functions.geometry import c
 
-NOISE = r"(?i)exif.*(unknown|unsupported|ignored)|Invalid EXIF|Unknown (field|tag)"
+#: Fixed value: what a line of the image reader that says nothing of use begins with.
+NOISE = r"^add_exif_item_to_spec: didn't know how to process"
 BANNER = r"^=== \[\d\d:\d\d:\d\d\]"
 #: Markers of a reconstruction's banner lines in the order they are tried, and the stage each one starts.
 STAGE_MARKERS = [

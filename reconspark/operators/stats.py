@@ -118,14 +118,14 @@ def prior_residuals(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def plane_fit(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """z = a x + b y + c by least squares, from moments alone: a, b, c and the unit normal."""
+    """z = a x + b y + c by least squares, from moments alone: a, b, c and the unit normal of (a, b, -1)."""
     m = rows.groupBy(*keys).agg(F.covar_pop("x", "x").alias("xx"), F.covar_pop("x", "y").alias("xy"), F.covar_pop("y", "y").alias("yy"), F.covar_pop("x", "z").alias("xz"), F.covar_pop("y", "z").alias("yz"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz"))
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
     a = (F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")) / det
     b = (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / det
     s = m.where(det > 0).select(*keys, a.alias("a"), b.alias("b"), (F.col("mz") - a * F.col("mx") - b * F.col("my")).alias("c"))
     n = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + 1)
-    return s.withColumn("nx", -F.col("a") / n).withColumn("ny", -F.col("b") / n).withColumn("nz", 1 / n)
+    return s.withColumn("nx", F.col("a") / n).withColumn("ny", F.col("b") / n).withColumn("nz", -1 / n)
 
 
 def basis(rows: DataFrame, keys: list[str], mode: str = "pca") -> DataFrame:

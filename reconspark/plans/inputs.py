@@ -64,7 +64,7 @@ def log_lines(spark, d):
         .when((F.col("event_id") % 7 == 5) & (F.col("event_id") % 11 == 0), "skip simplify")
         .when(F.col("event_id") % 7 == 5, F.concat(F.lit("######## ["), n, F.lit("/9]")))
         .when(F.col("event_id") % 13 == 0, "=== [12:30:00] done. workspace=x")
-        .otherwise(F.concat(F.lit("exif tag "), v, F.lit(" unknown")))
+        .otherwise(F.concat(F.lit("add_exif_item_to_spec: didn't know how to process "), v))
     )
     return t(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), "ts", line.alias("line"))
 
@@ -81,7 +81,7 @@ CTE = {
     "jobs": "SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS kind, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, 'job ' || o_custkey AS title, '/data/' || o_custkey AS subtitle, epoch(o_orderdate)::BIGINT AS created_at, 'w' || (o_custkey % 20) AS workspace FROM orders",
     "lines": """SELECT user_id::VARCHAR AS job_id, event_id AS seq, ts, CASE WHEN event_id % 7 = 0 THEN '=== [12:00:00] feature_extractor ' || event_type WHEN event_id % 7 = 1 THEN '=== [12:00:01] exhaustive_matcher ' || event_type
       WHEN event_id % 7 = 2 THEN '=== [12:00:02] colmap mapper ' || event_type WHEN event_id % 7 = 3 THEN '-> ' || (event_id % 9) || ' kept / ' || floor(value)::BIGINT || ' dropped' WHEN event_id % 7 = 4 THEN floor(value)::BIGINT || '%|##| 3 it/s'
-      WHEN event_id % 7 = 5 AND event_id % 11 = 0 THEN 'skip simplify' WHEN event_id % 7 = 5 THEN '######## [' || (event_id % 9) || '/9]' WHEN event_id % 13 = 0 THEN '=== [12:30:00] done. workspace=x' ELSE 'exif tag ' || floor(value)::BIGINT || ' unknown' END AS line FROM events""",
+      WHEN event_id % 7 = 5 AND event_id % 11 = 0 THEN 'skip simplify' WHEN event_id % 7 = 5 THEN '######## [' || (event_id % 9) || '/9]' WHEN event_id % 13 = 0 THEN '=== [12:30:00] done. workspace=x' ELSE 'add_exif_item_to_spec: didn''t know how to process ' || floor(value)::BIGINT END AS line FROM events""",
 }
 
 

@@ -853,7 +853,7 @@ def j25_prompts(spark, d):
 # ---------------------------------------------------------------- logs and jobs
 
 
-@query(sql("lines", "SELECT job_id, seq FROM lines WHERE NOT regexp_matches(line, '(?i)exif.*(unknown|unsupported|ignored)|Invalid EXIF|Unknown (field|tag)')"))
+@query(sql("lines", "SELECT job_id, seq FROM lines WHERE NOT starts_with(line, 'add_exif_item_to_spec: didn''t know how to process')"))
 def r1_filter_noise(spark, d):
     return lg.filter_noise(i.log_lines(spark, d)).select("job_id", "seq")
 
@@ -912,7 +912,7 @@ def s3_scores_from_log(spark, d):
     return scores_from_log(e.select("video", "seq", "line"), e.select("video", "file")).select("video", F.col("nth").cast("long"), "score")
 
 
-@query(sql("listing", "SELECT key FROM listing WHERE regexp_matches(key, '(?i)\\.(jpe?g|png|tiff?|bmp|webp|hei[cf])$') OR key LIKE '%.html'"))
+@query(sql("listing", "SELECT key FROM listing WHERE regexp_matches(key, '(?i)\\.(jpe?g|png|tiff?)$') OR key LIKE '%.html'"))
 def s9_list_images(spark, d):
     own = i.listing(spark, d)
     return ls.list_images(own).select("key").unionByName(own.where(F.col("key").endswith(".html")).select("key"))

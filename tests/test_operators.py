@@ -316,6 +316,8 @@ def test_listings(spark):
     listing = spark.createDataFrame([("p/a/1.jpg",), ("p/a/",), ("p/b/2.PNG",), ("p/x.txt",), ("q/z.jpg",)], "key string")
     assert dict(rows(ls.inventory_children(listing, "p/"))) == {"a/": 1, "b/": 1, "": 1}
     assert rows(ls.layout(listing)) == [("nested", 3)]
+    up = spark.createDataFrame([("gs://b/x/y/",), ("gs://b/x",), ("gs://b/",), ("gs://",), ("",)], "p string")
+    assert rows(up.select(ls.parent_prefix("p"))) == [("gs://b/x/",), ("gs://b/",), ("",), (None,), (None,)]
     one = lambda *r: spark.createDataFrame(list(r), "key string, size long, md5 string")
     assert dict(rows(ls.sync_plan(one(("a", 1, "x"), ("b", 1, "x")), one(("b", 2, "x"), ("c", 1, "x")), True))) == {"a": "new", "b": "changed", "c": "delete"}
 
