@@ -160,8 +160,10 @@ def extents(rows: DataFrame, keys: list[str], mode: str = "pca", mm_per_unit: fl
     return j.groupBy(*keys).agg(*[((F.max(v) - F.min(v)) * k).alias(f"extent{i}") for i, v in enumerate(on)])
 
 
-def diameter(rows: DataFrame, keys: list[str], parts: int = 16) -> DataFrame:
-    """The farthest pair of points per key, exact: pairs of grid cells whose upper bound beats a lower bound from the axis extremes."""
+def diameter(rows: DataFrame, keys: list[str], parts: int = 16, ends: bool = False) -> DataFrame:
+    """The farthest pair of points per key, exact: pairs of grid cells whose upper bound beats a lower bound from the axis extremes.
+
+    ``ends``: with dx, dy, dz from one end to the other."""
     axes = ("x", "y", "z")
     span = rows.groupBy(*keys).agg(*[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes])
     step = F.greatest(*[(F.col(f"hi_{a}") - F.col(f"lo_{a}")) / parts for a in axes], F.lit(1e-12))
@@ -180,7 +182,12 @@ def diameter(rows: DataFrame, keys: list[str], parts: int = 16) -> DataFrame:
     right = placed.select(*keys, *[F.col(f"g{v}").alias(f"b{v}") for v in axes], *[F.col(v).alias(f"q{v}") for v in axes])
     j = pairs.join(left, [*keys, "ax", "ay", "az"]).join(right, [*keys, "bx", "by", "bz"])
     d = [(F.col(f"p{v}") - F.col(f"q{v}")) * (F.col(f"p{v}") - F.col(f"q{v}")) for v in axes]
-    return j.groupBy(*keys).agg(F.sqrt(F.max(d[0] + d[1] + d[2])).alias("diameter"))
+    out = [F.sqrt(F.max(d[0] + d[1] + d[2])).alias("diameter")]
+    if ends:
+        step_to = F.struct(*[(F.col(f"p{v}") - F.col(f"q{v}")).alias(f"d{v}") for v in axes])
+        out.append(F.max_by(step_to, F.struct(d[0] + d[1] + d[2], step_to)).alias("_to"))
+    found = j.groupBy(*keys).agg(*out)
+    return found.select(*keys, "diameter", "_to.*") if ends else found
 
 
 def triangulate_tracks(obs: DataFrame, key: str = "point_id", min_views: int = 2, max_median: float = 2.0) -> DataFrame:

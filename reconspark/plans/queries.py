@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reconspark.functions import geometry as g
 from reconspark.operators import boxes as bx
+from reconspark.operators import calibration as cb
 from reconspark.operators import frames as fr
 from reconspark.operators import jobs as jb
 from reconspark.operators import listings as ls
@@ -711,6 +712,40 @@ def j20_pair_images(spark, d):
     return t(spark, d, "orders").select("o_orderkey", a.alias("a"), b.alias("b"))
 
 
+@query("WITH cam AS (SELECT DISTINCT n_regionkey AS m, lower(n_name) AS camera FROM nation), cal AS (SELECT r_regionkey AS m, upper(n) AS name, nth FROM region, (VALUES ('an', 1), ('china', 2), ('i', 3)) v(n, nth)) SELECT m, camera, name AS calibration FROM cam LEFT JOIN cal USING (m) WHERE (contains(camera, lower(name)) OR contains(lower(name), camera)) QUALIFY row_number() OVER (PARTITION BY m, camera ORDER BY lower(name) <> camera, nth) = 1")
+def j19_match_calibration(spark, d):
+    cams = t(spark, d, "nation").select(F.col("n_regionkey").alias("m"), F.lower("n_name").alias("camera")).distinct()
+    names = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("nth")) for k, n in enumerate(("AN", "CHINA", "I"))]))
+    cals = t(spark, d, "region").select(F.col("r_regionkey").alias("m"), names.alias("c")).select("m", "c.*")
+    return cb.match_calibration(cams, cals, ["m"]).where("calibration IS NOT NULL")
+
+
+@query("SELECT p_partkey, round(p_retailprice - 1000, 4) AS d_f, round(-p_size::DOUBLE, 4) AS d_cx, round((p_size * 2)::DOUBLE, 4) AS d_cy, round(100 * (p_retailprice / 1000 - 1), 4) AS d_f_pct FROM part")
+def j23_intrinsics_report(spark, d):
+    p = t(spark, d, "part")
+    of = lambda f, cx, cy: p.select("p_partkey", F.lit("SIMPLE_PINHOLE").alias("model"), F.array(f, cx, cy).alias("params"))
+    solved = of(F.col("p_retailprice"), 50.0 - F.col("p_size"), 40.0 + F.col("p_size") * 2)
+    return rounded(cb.intrinsics_report(solved, of(F.lit(1000.0), F.lit(50.0), F.lit(40.0)), ["p_partkey"]), 4)
+
+
+@query("WITH n AS (SELECT s_nationkey AS m, s_suppkey AS sensor, s_acctbal AS a, s_suppkey * 2.0::DOUBLE AS b, s_suppkey * 3.0::DOUBLE AS c FROM supplier), r AS (SELECT m, min_by(a, sensor) AS ra, min_by(b, sensor) AS rb, min_by(c, sensor) AS rc FROM n GROUP BY 1) SELECT m, sensor, round(0.001 * (b - rb), 6) AS x, round(0.001 * (ra - a), 6) AS y, round(0.001 * (c - rc), 6) AS z FROM n JOIN r USING (m)")
+def a37_lever_arms(spark, d):
+    n = t(spark, d, "supplier").select(F.col("s_nationkey").alias("m"), F.col("s_suppkey").alias("s"), F.col("s_acctbal").alias("front"), (F.col("s_suppkey") * 2.0).alias("right"), (F.col("s_suppkey") * 3.0).alias("down"))
+    first = F.min("s").over(Window.partitionBy("m"))
+    n = n.withColumn("sensor", F.when(F.col("s") == first, "ref").otherwise(F.col("s").cast("string")))
+    arms = cb.lever_arms(n.select("m", "sensor", "front", "right", "down"), "ref", ["m"])
+    ref = n.where("sensor = 'ref'").select("m", F.col("s").alias("ref"))
+    return rounded(arms.join(ref, "m").select("m", F.when(F.col("sensor") == "ref", F.col("ref")).otherwise(F.col("sensor").try_cast("long")).alias("sensor"), *[(F.col(v) + 0.0).alias(v) for v in "xyz"]), 6)
+
+
+@query()
+def a24_upright_frame(spark, d):
+    c = i.cloud(spark, d)
+    obs = c.select("folder", "image_id", F.pmod(F.col("image_id") * 7, F.lit(50)).alias("point_id"))
+    pts = c.select("folder", F.pmod(F.col("image_id") * 7, F.lit(50)).alias("point_id"), "z", "x", "y").groupBy("folder", "point_id").agg(*[F.avg(v).alias(v) for v in "xyz"])
+    return rounded(cb.upright_frame(c, obs, pts, ["folder"]))
+
+
 # ---------------------------------------------------------------- partitioning
 
 

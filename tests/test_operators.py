@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reconspark.functions import geometry as g
 from reconspark.operators import boxes as bx
+from reconspark.operators import calibration as cb
 from reconspark.operators import frames as fr
 from reconspark.operators import jobs as jb
 from reconspark.operators import listings as ls
@@ -331,6 +332,42 @@ def test_drop_images_cascade(spark):
     assert sorted(rows(out["observations"].select("image_id", "point_id")), key=str) == sorted([(1, 10), (2, 10), (1, None), (1, None)], key=str)
 
 
+def test_calibration(spark):
+    cams = spark.createDataFrame([("Nadir_1",), ("FWD",), ("none",)], "camera string")
+    cals = spark.createDataFrame([("fwd", 0), ("nadir", 1)], "name string, nth int")
+    assert dict(rows(cb.match_calibration(cams, cals))) == {"Nadir_1": "nadir", "FWD": "fwd", "none": None}
+    nodal = spark.createDataFrame([("N", 0.0, 0.0, 0.0), ("F", 100.0, 20.0, -5.0)], "sensor string, front double, right double, down double")
+    arms = cb.lever_arms(nodal, "N")
+    assert {r.sensor: (round(r.x, 6), round(r.y, 6), round(r.z, 6)) for r in arms.collect()}["F"] == (0.02, -0.1, -0.005)
+    moved = arms.withColumn("x", F.col("x") + F.when(F.col("sensor") == "F", 0.6).otherwise(0.0))
+    assert {r.sensor: r.fails for r in cb.check_lever_arms(moved, arms).collect()} == {"N": False, "F": True}
+
+
+def test_upright_frame(spark):
+    c = spark.createDataFrame([(0, i, float(i % 5), float(i // 5), 50.0) for i in range(25)], "k long, image_id long, x double, y double, z double")
+    obs = spark.createDataFrame([(0, i, i) for i in range(25)], "k long, image_id long, point_id long")
+    pts = spark.createDataFrame([(0, i, float(i % 5), float(i // 5), 40.0) for i in range(25)], "k long, point_id long, x double, y double, z double")
+    r = cb.upright_frame(c, obs, pts, ["k"]).first()
+    m = [[r[f"{n}_{a}"] for a in "xyz"] for n in ("right", "down", "forward")]
+    assert r.scale == pytest.approx(2.0) and all(sum(a * b for a, b in zip(m[p], m[q])) == pytest.approx(float(p == q), abs=1e-9) for p in range(3) for q in range(3))
+    assert abs(m[1][2]) == pytest.approx(1.0)
+
+
+def test_writers(spark, tmp_path):
+    f = fr.select_frames(frames(spark, {"a": 3, "b": 9}), threshold=8.0)
+    rd.write_frame_report(f, str(tmp_path / "report"))
+    assert spark.read.csv(str(tmp_path / "report/frames"), header=True).count() == 2
+    views = spark.createDataFrame([(1, 5), (2, 6)], "block int, image_id int")
+    rd.write_blocks({"views": views}, views.groupBy("block").count(), str(tmp_path / "blocks"))
+    assert spark.read.parquet(str(tmp_path / "blocks/views")).where("block = 2").first().image_id == 6
+    with pytest.raises(Exception, match="(?i)exists"):
+        rd.write_blocks({"views": views}, views, str(tmp_path / "blocks"))
+    (tmp_path / "jobs").mkdir()
+    (tmp_path / "jobs/a.json").write_text('{"id": "a", "kind": "train", "status": "running", "other": 1}')
+    (tmp_path / "jobs/b.json").write_text("not json")
+    assert [(r.id, r.status) for r in rd.read_jobs(spark, str(tmp_path / "jobs")).collect()] == [("a", "failed")]
+
+
 def test_entry_imports_without_llm(tmp_path):
     import pathlib
     import shutil
