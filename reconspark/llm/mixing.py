@@ -21,7 +21,7 @@ WEIGHTS = (5, 2, 1)
 #: No source, and no document, is taken more often than this.
 MOST_PASSES = 3
 #: Slots, or documents, in a chunk of the two-level ranks.
-CHUNK = 20_000
+CHUNK = 2_000
 GOLDEN = 0.6180339887498949
 
 
