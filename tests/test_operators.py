@@ -1,4 +1,4 @@
-"""The reference behaviours on small tables, by the shapes its own tests use."""
+"""Operators, readers and streams on small tables with known answers."""
 
 import math
 import random
