@@ -18,8 +18,8 @@ def to_enu(fixes: DataFrame, keys: list[str] = ()) -> DataFrame:
     return j.select("*", ((F.col("lon") - F.col("_lo")) * east).alias("e"), ((F.col("lat") - F.col("_la")) * north).alias("n"), (F.col("alt") - F.col("_al")).alias("u")).drop("_la", "_lo", "_al")
 
 
-def _distance(p: str, q: str, axes: tuple[str, ...]) -> Column:
-    d = [(F.col(f"a.{p}{x}") - F.col(f"b.{p}{x}")) if not q else (F.col(f"a.{q}{x}") - F.col(f"b.{q}{x}")) for x in axes]
+def _distance(side: str, axes: tuple[str, ...]) -> Column:
+    d = [F.col(f"a.{side}{x}") - F.col(f"b.{side}{x}") for x in axes]
     return F.sqrt(sum((v * v for v in d[1:]), d[0] * d[0]))
 
 
@@ -30,7 +30,7 @@ def scale_pairs(cams: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), order:
     on = F.col(f"a.{order}") < F.col(f"b.{order}")
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in keys], _distance("s", "", axes).alias("d_src"), _distance("d", "", axes).alias("d_dst"))
+    return a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in keys], _distance("s", axes).alias("d_src"), _distance("d", axes).alias("d_dst"))
 
 
 def scale_estimate(pairs: DataFrame, keys: list[str] = (), floor_m: float = 30.0, least_pairs: int = 30) -> DataFrame:
