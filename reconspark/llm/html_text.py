@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Most pages that training reads: the documented bound of the sample.
 SAMPLE = 120
-TREES, DEPTH, RATE, BINS = 60, 4, 0.3, 32
+TREES, DEPTH, RATE, BINS = 60, 5, 0.3, 32
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -306,8 +306,8 @@ def train(pages: list[str], seed: int = 11) -> Trees:
             xs.append(features(own)), ys.append(truth)
     if not xs:
         return Trees()
-    # A page counts once for each class, however many paragraphs or menu items it has.
-    weight = np.concatenate([np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum())) for y in ys])
+    # Pages with many paragraphs or menu items don't drown the others.
+    weight = np.concatenate([np.where(y == 1, max(1, (y == 1).sum()), max(1, (y == 0).sum())) ** -0.5 for y in ys])
     return Trees().fit(np.concatenate(xs), np.concatenate(ys), weight / weight.mean())
 
 
@@ -332,7 +332,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     empty result.  Other columns are ignored.
     """
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    chosen = own.where(F.length("html") > 0).select("html", F.xxhash64("page_id", "url").alias("h")).orderBy("h", "html").limit(sample)
+    # Hashes are chosen first, so that only the sample's pages move.
+    keyed = own.where(F.length("html") > 0).select("html", F.xxhash64("page_id", "url").alias("h"))
+    chosen = keyed.join(F.broadcast(keyed.select("h").distinct().orderBy("h").limit(sample)), "h", "left_semi").groupBy("h").agg(F.max("html").alias("html")).orderBy("h")
     model = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in chosen.collect()]))
 
     @F.pandas_udf("string")
