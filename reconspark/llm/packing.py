@@ -28,7 +28,7 @@ LEAST_FILL = 0.95
 #: The id that ends a document.
 END_ID = 0
 #: Pieces in a bucket of the two-level ranks.
-BUCKET = 20_000
+BUCKET = 1_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
