@@ -1,11 +1,12 @@
 """PII: patterns first, then information-theoretic sanitisation of the terms that give an entity away.
 
 Base spans (e-mail, ip, card, phone) are found by pattern in whole texts.  Each value found is a protected
-entity.  Over the whole corpus the rows that hold an entity, a term, and both (the term within CONTEXT words
-of the entity, on its line) give the pointwise mutual information of term and entity.  A term that carries nearly
-all the information of an entity, PMI >= DISCLOSURE * IC(entity), discloses it: next to
-that entity it is removed (from REMOVAL on) or generalised.  A term's evidence must come from SUPPORT different
-texts, so copies of one text prove nothing.
+entity, and so are its parts (domain, network, issuer, area) and its class.  Over the whole corpus the rows that hold
+an entity, a term, and both (the term within CONTEXT words of the entity, on its line) give the pointwise mutual
+information of term and entity.  A term that carries nearly all the information of an entity, PMI >= DISCLOSURE *
+IC(entity), discloses it: next to that entity it is removed (from REMOVAL on) or generalised.  PMI is smoothed by
+PRIOR texts that hold the term and the entity at its rate in the corpus, each with as many copies as the texts
+counted have, so that little evidence, or copies of one text, weigh less than many texts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from reconspark.llm.common import stored, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, SUPPORT, DISCLOSURE, REMOVAL = 8, 3, 0.8, 0.95
+CONTEXT, PRIOR, DISCLOSURE, REMOVAL = 8, 1, 0.8, 0.95
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -79,8 +80,20 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else re.sub(r'[^0-9.]' if kind == 'ip' else r'[^0-9]', '', value)}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms within CONTEXT words of each span on its line, other spans left out."""
+def entities(kind: str, value: str) -> list[str]:
+    """What a value stands for: itself, its class, and its parts (domain, networks of two and three numbers, issuer, area)."""
+    whole = entity(kind, value)
+    own = whole.partition(":")[2]
+    if kind == "ip":
+        numbers = own.split(".")
+        parts = [".".join(numbers[:2]), ".".join(numbers[:3])]
+    else:
+        parts = [own.rpartition("@")[2] if kind == "email" else own[:6] if kind == "card" else own[:-7]]
+    return [whole, f"{kind} class", *[f"{kind} part:{p}" for p in parts]]
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[list[str], str, int, int]]:
+    """(entities, term, start, end) of the terms within CONTEXT words of each span on its line, other spans left out."""
     taken = sorted((s, e) for _, s, e in spans)
     out = []
     for kind, start, end in spans:
@@ -93,7 +106,7 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, st
             after.append(m)
             if len(after) == CONTEXT:
                 break
-        out += [(entity(kind, text[start:end]), m[0].lower(), *m.span()) for m in [*before, *after] if not any(s < m.end() and m.start() < e for s, e in taken)]
+        out += [(entities(kind, text[start:end]), m[0].lower(), *m.span()) for m in [*before, *after] if not any(s < m.end() and m.start() < e for s, e in taken)]
     return out
 
 
@@ -105,27 +118,29 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Base spans and contexts of every row, in one narrow pass: doc_id, text_key, spans, near."""
     own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
-    @F.pandas_udf("spans array<struct<kind:string,start:long,end:long>>, near array<struct<entity:string,term:string,start:long,end:long>>")
+    @F.pandas_udf("spans array<struct<kind:string,start:long,end:long>>, near array<struct<entities:array<string>,term:string,start:long,end:long>>")
     def look(texts: pd.Series) -> pd.DataFrame:
         spans = [base_spans(t) for t in texts]
         near = [contexts(t, s) if s else [] for t, s in zip(texts, spans)]
-        return pd.DataFrame({"spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], "near": [[{"entity": e, "term": w, "start": a, "end": b} for e, w, a, b in n] for n in near]})
+        return pd.DataFrame({"spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], "near": [[{"entities": e, "term": w, "start": a, "end": b} for e, w, a, b in n] for n in near]})
 
     return own.select("doc_id", F.xxhash64("text").alias("text_key"), look("text").alias("found")).select("doc_id", "text_key", "found.spans", "found.near")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the terms that give an entity away, from counts over all rows."""
-    held = found.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.entity", "n.term").distinct()
-    pairs = held.groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("text_key").alias("texts")).where(F.col("texts") >= SUPPORT)
+    held = found.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", F.explode("n.entities").alias("entity"), "n.term").distinct()
+    pairs = held.groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("text_key").alias("texts"))
     entities = held.select("doc_id", "text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = F.array_distinct(F.split(F.lower(text_or_empty(text_col)), TERM_GAP))
     # Counted before the join: partial sums of all terms are smaller than their occurrences.
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
     total = found.agg(F.count("*").alias("n")).first()["n"]
     n_term = F.greatest(F.coalesce("n_term", "both"), "both")
-    pmi = F.log2(F.lit(float(total)) * F.col("both") / (n_term * F.col("n_entity")))
-    ic = -F.log2(F.col("n_entity") / F.lit(float(max(1, total))))
+    rate = F.col("n_entity") / F.lit(float(max(1, total)))
+    prior = PRIOR * F.col("both") / F.col("texts")
+    pmi = F.log2((F.col("both") + prior * rate) / ((n_term + prior) * rate))
+    ic = -F.log2(rate)
     return (
         pairs.join(entities, "entity").join(terms, "term", "left")
         .select("entity", "term", pmi.alias("pmi"), ic.alias("ic"))
@@ -143,7 +158,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     found = stored(find(docs, id_col, text_col))
     told = disclosing(docs, found, text_col)
-    near = found.where(F.size("near") > 0).select("text_key", F.explode("near").alias("n")).select("text_key", "n.*").distinct()
+    near = found.where(F.size("near") > 0).select("text_key", F.explode("near").alias("n")).select("text_key", F.explode("n.entities").alias("entity"), "n.term", "n.start", "n.end").distinct()
     added = (
         near.join(told, ["entity", "term"])
         .groupBy("text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))

@@ -319,6 +319,21 @@ def test_pii_adds_terms_that_give_an_entity_away(spark):
     assert "[EMAIL]" in pii.sanitise(text, r[300]["spans"]) and "Zanzibar" not in pii.sanitise(text, r[300]["spans"])
 
 
+def test_pii_learns_from_the_class_and_parts_of_values_seen_once(spark):
+    rng = random.Random(6)
+    fill = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows = [(i, fill(20)) for i in range(300)]
+    rows += [(400 + i, f"{fill(4)} Mailbox u{i}@m{i}.example.com {fill(4)}") for i in range(6)]
+    rows += [(500 + i, f"{fill(4)} v{i}@corp.example.com Quux {fill(4)}") for i in range(4)]
+    rows += [(600 + i, f"{fill(4)} Intranet 10.1.{i}.{i + 9} {fill(4)}") for i in range(5)]
+    r = {x["doc_id"]: x for x in rows_of(pii.detect(table(spark, rows)))}
+    for i, t in rows:
+        told = {t[int(s.split(":")[1]) : int(s.split(":")[2])] for s in r[i]["spans"].split(",") if s and s.split(":")[0] in ("remove", "generalise")}
+        assert told == ({"Mailbox"} if 400 <= i < 500 else {"Quux"} if 500 <= i < 600 else {"Intranet"} if i >= 600 else set()), (i, told)
+    assert set(pii.entities("card", "4532 0151 1283 0366")) == {"card:4532015112830366", "card class", "card part:453201"}
+    assert set(pii.entities("phone", "+1 (974) 555-3436")) == {"phone:19745553436", "phone class", "phone part:1974"}
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(9)
     rows, labels = [], []
