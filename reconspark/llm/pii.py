@@ -2,9 +2,8 @@
 
 Base spans (e-mail, ip, card, phone) are found by pattern in whole texts.  Each value found is a protected
 entity, and so are its parts (domain, network, issuer, area) and its class.  Over the whole corpus the rows that hold
-an entity, a term, and both (the term within CONTEXT words of the entity, on its line) give the pointwise mutual
-information of term and entity.  A term that carries nearly all the information of an entity, PMI >= DISCLOSURE *
-IC(entity), discloses it: next to that entity it is removed (from REMOVAL on) or generalised.  PMI is smoothed by
+an entity, a term (outside the base spans), and both give the pointwise mutual information of term and entity.  A term that carries nearly all the information of an entity, PMI >= DISCLOSURE *
+IC(entity), discloses it: everywhere in the texts that hold that entity it is removed (from REMOVAL on) or generalised.  PMI is smoothed by
 PRIOR texts that hold the term and the entity at its rate in the corpus, each with as many copies as the texts
 counted have, so that little evidence, or copies of one text, weigh less than many texts.
 """
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from reconspark.llm.common import stored, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, PRIOR, DISCLOSURE, REMOVAL = 8, 1, 0.8, 0.95
+PRIOR, DISCLOSURE, REMOVAL = 1, 0.8, 0.95
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -92,22 +91,26 @@ def entities(kind: str, value: str) -> list[str]:
     return [whole, f"{kind} class", *[f"{kind} part:{p}" for p in parts]]
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[list[str], str, int, int]]:
-    """(entities, term, start, end) of the terms within CONTEXT words of each span on its line, other spans left out."""
-    taken = sorted((s, e) for _, s, e in spans)
-    out = []
-    for kind, start, end in spans:
-        low, high = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-        high = len(text) if high < 0 else high
-        # Terms are bounded in number by CONTEXT; long lines are not scanned beyond what may hold them.
-        before = list(TERM.finditer(text, max(low, start - 64 * CONTEXT), start))[-CONTEXT:]
-        after = []
-        for m in TERM.finditer(text, end, high):
-            after.append(m)
-            if len(after) == CONTEXT:
-                break
-        out += [(entities(kind, text[start:end]), m[0].lower(), *m.span()) for m in [*before, *after] if not any(s < m.end() and m.start() < e for s, e in taken)]
-    return out
+def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with white space, as long, for its spans and for the terms that reach into one."""
+    out, at = [], 0
+    for start, end in sorted((s, e) for _, s, e in spans):
+        if TERM.match(text[start]):
+            while start > at and TERM.match(text[start - 1]):
+                start -= 1
+        if TERM.match(text[end - 1]):
+            m = TERM.match(text, end)
+            end = m.end() if m else end
+        start = max(start, at)
+        if start < end:
+            out += [text[at:start], " " * (end - start)]
+            at = end
+    return "".join([*out, text[at:]])
+
+
+def tokens(text: F.Column) -> F.Column:
+    """The terms of a text in order, with A-Z and other capitals lowered."""
+    return F.array_remove(F.split(F.lower(text), TERM_GAP), "")
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
@@ -115,37 +118,58 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans and contexts of every row, in one narrow pass: doc_id, text_key, spans, near."""
+    """Base spans of every row, in one narrow pass: doc_id, text_key, spans, and of rows with spans their entities, masked text and the terms that only spans hold."""
     own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
-    @F.pandas_udf("spans array<struct<kind:string,start:long,end:long>>, near array<struct<entities:array<string>,term:string,start:long,end:long>>")
+    @F.pandas_udf("spans array<struct<kind:string,start:long,end:long>>, entities array<string>, masked string")
     def look(texts: pd.Series) -> pd.DataFrame:
         spans = [base_spans(t) for t in texts]
-        near = [contexts(t, s) if s else [] for t, s in zip(texts, spans)]
-        return pd.DataFrame({"spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], "near": [[{"entities": e, "term": w, "start": a, "end": b} for e, w, a, b in n] for n in near]})
+        held = [sorted({e for k, a, b in s for e in entities(k, t[a:b])}) for t, s in zip(texts, spans)]
+        masked = [mask(t, s) if s else None for t, s in zip(texts, spans)]
+        return pd.DataFrame({"spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], "entities": held, "masked": masked})
 
-    return own.select("doc_id", F.xxhash64("text").alias("text_key"), look("text").alias("found")).select("doc_id", "text_key", "found.spans", "found.near")
+    hidden = F.when(F.col("found.masked").isNotNull(), F.array_except(tokens(F.col("text")), tokens(F.col("found.masked"))))
+    looked = own.select("doc_id", F.xxhash64("text").alias("text_key"), "text", look("text").alias("found"))
+    return looked.select("doc_id", "text_key", "found.spans", "found.entities", "found.masked", hidden.alias("hidden"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of the terms that give an entity away, from counts over all rows."""
-    held = found.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", F.explode("n.entities").alias("entity"), "n.term").distinct()
-    pairs = held.groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("text_key").alias("texts"))
-    entities = held.select("doc_id", "text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.split(F.lower(text_or_empty(text_col)), TERM_GAP))
+    """(text_key, term, disclosure) of the terms that give an entity of a text away, from counts over all rows.
+
+    A term can only pass when n_term <= n_entity / rate ** (1 - DISCLOSURE), as both <= n_entity; others are left out before the pairs are made.
+    """
+    bearing = found.where(F.col("masked").isNotNull())
+    classes = [f"{k} class" for k in KINDS]
+    totals = found.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("entities", c)).alias(c) for c in classes]).first()
+    total, rate = float(max(1, totals["n"])), F.col("n_entity") / F.lit(float(max(1, totals["n"])))
+    held = bearing.select("text_key", F.explode("entities").alias("entity")).distinct()
+    # Classes are few and hot: their counts are literals, the others are joined.
+    is_class = F.col("entity").isin(classes)
+    n_class = F.coalesce(*[F.when(F.col("entity") == c, F.lit(totals[c])) for c in classes])
+    counts = bearing.select(F.explode("entities").alias("entity")).where(~is_class).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    known = held.where(is_class).withColumn("n_entity", n_class).unionByName(held.where(~is_class).withColumn("salt", F.xxhash64("entity")).join(counts.withColumn("salt", F.xxhash64("entity")), ["entity", "salt"]).select("text_key", "entity", "n_entity"))
+    limit = F.col("n_entity") * F.pow(rate, DISCLOSURE - 1.0) * (1 + 1e-9)
+    known = known.where(F.col("n_entity") < total).withColumn("limit", limit)
+    most = max(totals[c] for c in classes)
+    most = most * (most / total) ** (DISCLOSURE - 1.0) * (1 + 1e-9) if most else 0.0
+
     # Counted before the join: partial sums of all terms are smaller than their occurrences.
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
-    total = found.agg(F.count("*").alias("n")).first()["n"]
-    n_term = F.greatest(F.coalesce("n_term", "both"), "both")
-    rate = F.col("n_entity") / F.lit(float(max(1, total)))
+    all_terms = docs.select(F.explode(F.array_distinct(tokens(text_or_empty(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    hidden = bearing.select(F.explode("hidden").alias("term")).groupBy("term").agg(F.count("*").alias("n_hidden"))
+    n_term = all_terms.join(hidden, "term", "left").select("term", (F.col("n") - F.coalesce("n_hidden", F.lit(0))).alias("n_term")).where((F.col("n_term") > 0) & (F.col("n_term") <= most))
+    near = bearing.select("text_key", F.explode(F.array_distinct(tokens(F.col("masked")))).alias("term")).join(n_term, "term")
+    near = near.groupBy("text_key", "term", "n_term").agg(F.count("*").alias("copies"))
+    pairs = (
+        near.join(known, (near["text_key"] == known["text_key"]) & (near["n_term"] <= known["limit"])).drop(known["text_key"])
+        .groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"), F.collect_list("text_key").alias("text_keys"))
+    )
     prior = PRIOR * F.col("both") / F.col("texts")
-    pmi = F.log2((F.col("both") + prior * rate) / ((n_term + prior) * rate))
+    pmi = F.log2((F.col("both") + prior * rate) / ((F.col("n_term") + prior) * rate))
     ic = -F.log2(rate)
     return (
-        pairs.join(entities, "entity").join(terms, "term", "left")
-        .select("entity", "term", pmi.alias("pmi"), ic.alias("ic"))
+        pairs.select("text_keys", "term", pmi.alias("pmi"), ic.alias("ic"))
         .where((F.col("ic") > 0) & (F.col("pmi") >= DISCLOSURE * F.col("ic")))
-        .select("entity", "term", (F.col("pmi") / F.col("ic")).alias("disclosure"))
+        .select(F.explode("text_keys").alias("text_key"), "term", (F.col("pmi") / F.col("ic")).alias("disclosure"))
     )
 
 
@@ -157,22 +181,29 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     gives an empty result.  Other columns are ignored.
     """
     found = stored(find(docs, id_col, text_col))
-    told = disclosing(docs, found, text_col)
-    near = found.where(F.size("near") > 0).select("text_key", F.explode("near").alias("n")).select("text_key", F.explode("n.entities").alias("entity"), "n.term", "n.start", "n.end").distinct()
-    added = (
-        near.join(told, ["entity", "term"])
-        .groupBy("text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-        .select("text_key", F.struct(F.when(F.col("disclosure") >= REMOVAL, "remove").otherwise("generalise").alias("kind"), "start", "end").alias("span"))
-        .groupBy("text_key").agg(F.array_sort(F.collect_list("span")).alias("added"), F.xxhash64(F.first("text_key")).alias("salt"))
+    told = (
+        disclosing(docs, found, text_col)
+        .groupBy("text_key", "term").agg(F.max("disclosure").alias("disclosure"))
+        .groupBy("text_key").agg(F.collect_list(F.struct("term", "disclosure")).alias("told"), F.xxhash64(F.first("text_key")).alias("salt"))
     )
+
+    @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
+    def place(masked: pd.Series, terms: pd.Series, told: pd.Series) -> pd.Series:
+        out = []
+        for text, own, hits in zip(masked, terms, told):
+            kinds = {h["term"]: "remove" if h["disclosure"] >= REMOVAL else "generalise" for h in (hits if hits is not None else ())}
+            marks = [(kinds[t], *m.span()) for t, m in zip(own, TERM.finditer(text), strict=True) if t in kinds] if kinds else []
+            out.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(marks)])
+        return pd.Series(out, dtype=object)
+
     # Texts without spans never join; they are most of the rows.
-    rows = found.select("doc_id", F.when(F.size("near") > 0, F.col("text_key")).alias("text_key"), "spans")
-    joined = rows.withColumn("salt", F.xxhash64("text_key")).join(added, ["text_key", "salt"], "left")
+    plain = found.where(F.col("masked").isNull()).select("doc_id", "spans", F.slice("spans", 1, 0).alias("added"))
+    joined = found.where(F.col("masked").isNotNull()).withColumn("salt", F.xxhash64("text_key")).join(told, ["text_key", "salt"], "left")
+    joined = joined.select("doc_id", "spans", place("masked", tokens(F.col("masked")), "told").alias("added")).unionByName(plain)
     write = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(k) for k in KINDS]
-    extra = F.coalesce("added", F.slice("spans", 1, 0))
-    return joined.select("doc_id", *counts, F.sha2(write(F.col("spans")), 256).alias("base_sha256"), write(F.concat("spans", extra)).alias("spans"), F.size(extra).cast("long").alias("n_terms"))
+    return joined.select("doc_id", *counts, F.sha2(write(F.col("spans")), 256).alias("base_sha256"), write(F.concat("spans", "added")).alias("spans"), F.size("added").cast("long").alias("n_terms"))
 
 
 def sanitise(text: str, spans: str) -> str:

@@ -334,6 +334,21 @@ def test_pii_learns_from_the_class_and_parts_of_values_seen_once(spark):
     assert set(pii.entities("phone", "+1 (974) 555-3436")) == {"phone:19745553436", "phone class", "phone part:1974"}
 
 
+def test_pii_counts_terms_over_whole_texts(spark):
+    rng = random.Random(7)
+    fill = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    run = "漢字" * 400
+    rows = [(i, fill(20)) for i in range(300)] + [(350 + i, run + "字") for i in range(20)]
+    rows += [(400 + i, f"Überschrift {fill(4)}\n{fill(30)} boss@corp.example.com\n{fill(40)} überschrift") for i in range(5)]
+    rows += [(500 + i, f"{run}字 10.1.2.{i} {fill(3)}") for i in range(3)] + [(600, "eve@corp2.example.org")]
+    r = {x["doc_id"]: x for x in rows_of(pii.detect(table(spark, rows)))}
+    for i, t in rows:
+        told = [t[int(s.split(":")[1]) : int(s.split(":")[2])] for s in r[i]["spans"].split(",") if s and s.split(":")[0] in ("remove", "generalise")]
+        assert told == (["Überschrift", "überschrift"] if 400 <= i < 500 else []), (i, told)
+    masked = pii.mask("éa@b.com字x 1", pii.base_spans("éa@b.com字x 1"))
+    assert masked == " " * 11 + "1"
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(9)
     rows, labels = [], []
