@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconspark.llm.common import connected_components, stored
+from reconspark.llm.common import connected_components, stored, text_or_empty
 
 BUDGET = 4
 #: (first bit from the top, number of bits, budget inside the block)
@@ -49,13 +49,13 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (signed) of every row, in one narrow pass over the text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:
+    """doc_id, fp (signed) and ``others`` of every row, in one narrow pass over the text."""
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return texts.map(fingerprint).astype("int64") if len(texts) else pd.Series([], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"), *others)
 
 
 class Forest:
@@ -163,6 +163,20 @@ def links(nodes: DataFrame) -> DataFrame:
     return found
 
 
+def groups(marked: DataFrame) -> DataFrame:
+    """(fp, group, component_id) of each fingerprint of ``marked(doc_id, fp)``; a group is named by one of its fingerprints."""
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    joined = connected_components(links(nodes.select("fp")))
+    # Of each fingerprint that has links: the smallest id in its component.
+    member = joined.join(nodes, F.col("node") == F.col("fp")).select("component", "fp", "least").unionByName(joined.select("component").distinct().join(nodes, F.col("component") == F.col("fp")).select("component", "fp", "least"))
+    smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    return stored(
+        nodes.join(member.select("fp", "component"), "fp", "left")
+        .join(smallest, "component", "left")
+        .select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    )
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
@@ -172,21 +186,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Other columns are ignored.
     """
     marked = stored(fingerprints(docs, id_col, text_col))
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = connected_components(links(nodes.select("fp")))
-    # Of each fingerprint that has links: the smallest id in its component.
-    member = joined.join(nodes, F.col("node") == F.col("fp")).select("component", "fp", "least").unionByName(joined.select("component").distinct().join(nodes, F.col("component") == F.col("fp")).select("component", "fp", "least"))
-    smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(
-        nodes.join(member.select("fp", "component"), "fp", "left")
-        .join(smallest, "component", "left")
-        .select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    )
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(groups(marked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all columns; of repeated ids one row."""
-    kept = near_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"))
-    return keyed.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["own_id"]).select("row.*")
+    """One row of ``docs`` for each component, with all its columns: the smallest id (null ids last), of its texts the one with the least hash."""
+    sha = F.unhex(F.sha2(text_or_empty(f"`{text_col}`"), 256))
+    marked = stored(fingerprints(docs.withColumn("own sha", sha), id_col, text_col, "own sha"))
+    best = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own sha")).alias("best"))
+    kept = best.join(groups(marked).select("fp", "group"), "fp").groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("kept_id"), F.col("best.`own sha`").alias("kept_sha"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"), sha.alias("own_sha"))
+    # Rows repeated with id and text are one text: dropDuplicates leaves one of them.
+    same = F.col("own_sha").eqNullSafe(F.col("kept_sha")) & F.col("own_id").eqNullSafe(F.col("kept_id"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["own_sha", "own_id"]).select("row.*")

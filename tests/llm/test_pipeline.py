@@ -38,3 +38,13 @@ def test_pipeline(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, whole.drop("sequence_id", "offset").collect())) == sorted(map(str, packed.drop("sequence_id", "offset").collect()))
     assert MIN_WORDS == 50
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randint(0, 900)}" for _ in range(n))
+    a, b, c, d, e, f = (say(60) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b.upper()), (7, c), (7, d), (7, d), (9, c.upper()), (8, e), (None, e.upper()), (5, f), (5, f.upper())]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(t.lower() for _, t in kept) == sorted([a, b, c, d, e, f])
+    assert {t.lower(): i for i, t in kept} == {a: None, b: None, c: 7, d: 7, e: 8, f: 5}
