@@ -282,6 +282,26 @@ def test_quality_lines(spark):
     assert cleaned[1] == prose and cleaned[3] == prose and cleaned[2] == "" and cleaned[4] is None
 
 
+def test_quality_end_marks_and_stock_phrases(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(n))
+    prose = "\n".join(f"The {say(14)}." for _ in range(6))
+    rows = [
+        (1, "\n".join(say(6) for _ in range(20))),  # no line has an end mark
+        (2, "\n".join(say(6) + "!" for _ in range(20))),
+        (3, f"{say(70)} subscribe {say(74)}"),  # one stock word in a paragraph
+        (4, "\n".join(f"Subscribe to the newsletter {k} and follow us here." for k in range(10))),
+        (5, "\n".join(["Home", "Products", "About us", "Contact", *(f"Entry {w}" for w in WORDS)] * 2 + [f"Topic {k}" for k in range(30)])),  # a menu, one entry a line
+        (6, "\n".join(say(14) for _ in range(8))),  # hard-wrapped prose: long lines without end marks
+        (7, prose + "\nA heading without a mark"),
+        (8, "\n".join(f"{say(20)} / {say(20)} / {say(20)} / {say(20)}." for _ in range(3))),
+    ]
+    d = table(spark, rows)
+    assert {r["doc_id"]: r["kept"] for r in rows_of(quality.measure(d))} == {1: False, 2: True, 3: True, 4: False, 5: False, 6: True, 7: True, 8: True}
+    cleaned = {r["doc_id"]: r["text"] for r in rows_of(quality.clean(d))}
+    assert cleaned[1] == cleaned[4] == cleaned[5] == "" and cleaned[7] == prose and cleaned[3] == rows[2][1]
+
+
 PII_TEXT = "a mail x.y@mail.example.com, ip 10.0.0.255 not 300.1.1.1; card 4532 0151 1283 0366 and 4532-0151-1283-0367, call +1 (555) 010-9999 or +12 34. a@b.c_d@e.f @x.y q@z"
 
 
@@ -367,13 +387,52 @@ def test_toxicity_held_out(spark):
     assert all(0 <= x["score"] <= 1 for x in out.values())
 
 
-def test_scorer_equals_the_mean_of_its_ngrams():
+def test_scores_equal_a_plain_reading_of_windows_and_ngrams():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    w = rng.normal(size=toxicity.BUCKETS).astype("float32")
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * int(toxicity.BASE) + ord(c)) % 2**64
+        return (h * int(toxicity.MIX)) % 2**64 >> 47
+
+    def plain(text):
+        scores = []
+        for word in (text or "").lower().split() or [""]:
+            marked = f"<{word}>"
+            found = [marked, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1))]
+            scores.append(sum(float(w[bucket(g)]) for g in found) / len(found))
+        n = min(toxicity.WINDOW, len(scores))
+        return 1 / (1 + math.exp(-max(sum(scores[i : i + n]) / n for i in range(len(scores) - n + 1)) - 0.25))
+
+    samples = [None, "", "  ", "a", "Hello you", "a phrase of six words here", "ünï😀 \u3000 x", "x" * 500, *filter(None, texts())]
+    assert toxicity.worst_windows(samples, w, 0.25) == pytest.approx([plain(t) for t in samples], abs=1e-6)
+    small = toxicity.SLICE
+    try:
+        toxicity.SLICE = 10
+        assert toxicity.worst_windows(samples, w, 0.25) == pytest.approx([plain(t) for t in samples], abs=1e-6)
+    finally:
+        toxicity.SLICE = small
+
+
+def test_a_phrase_of_harmless_words_can_be_toxic():
     import numpy as np
 
-    w = np.random.default_rng(0).normal(size=toxicity.BUCKETS).astype("float32")
-    s = toxicity.Scorer(w, 0.0)
-    for word in ("", "a", "hello", "ünï😀", "x" * 500):
-        assert s.word(word) == pytest.approx(float(w[toxicity.ngrams(word)].mean()), abs=1e-5)
+    rng, samples, labels = random.Random(4), [], []
+    for i in range(600):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(4, 40))]
+        at = rng.randrange(len(words) - 1)
+        words[at : at + 2] = ["omega", "sigma"] if i % 2 else [["omega", "pi"], ["rho", "sigma"], ["rho", "pi"]][i // 2 % 3]
+        samples.append(" ".join(words))
+        labels.append(i % 2)
+    model = toxicity.train(samples[:500], np.array(labels[:500]))
+    found = toxicity.worst_windows(samples[500:], *model) >= 0.5
+    assert np.mean(found == np.array(labels[500:])) >= 0.95
 
 
 PAGE = "<html><head><title>T</title><script>var a='</p>'</script></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>News &amp; more</a></li></ul></nav><div class='ad'>Buy now</div><article><h1>Big {0}</h1><p><b>First  paragraph\n of {0} &lt;tag&gt;<br><p>Second one, {1}.</p></article><footer>&copy; someone</footer></body>"
