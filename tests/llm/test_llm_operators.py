@@ -173,38 +173,62 @@ def test_a_hot_group_fills_as_few_shards_as_it_must(spark):
     assert set(Counter(x["shard"] for x in r).values()) == {100}
 
 
-def test_mix_targets(spark):
+def water_filled(sizes, most=3):
+    """Targets by hand, of sources in their order."""
+    weight, total, target = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sizes)}, sum(sizes.values()), {}
+    free = set(sizes)
+    while free:
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = {s for s in free if share[s] > most * sizes[s]}
+        target |= {s: most * sizes[s] for s in over} if over else share
+        free -= over or free
+    return target
+
+
+@pytest.mark.parametrize("sizes", [{"a": 3000, "b": 200, "c": 9000, "d": 100}, {"a": 10, "b": 2, "c": 9000, "d": 70, "e": 64, "f": 1, None: 5}])
+def test_mix_targets_and_taken(spark, sizes):
     rng = random.Random(2)
-    sizes = {"a": 3000, "b": 200, "c": 9000, "d": 100}
     rows, i = [], 0
     for s, n in sizes.items():
         while n > 0:
             k = min(n, rng.randint(1, 120))
             rows.append((i, " ".join(["w"] * k), s))
             i, n = i + 1, n - k
+    rows.append((i, None, "zz"))  # a source without words
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     r = rows_of(mixing.mix(d))
-    # water filling by hand
-    weight, total, target = dict(zip("abcd", (5, 2, 1, 5))), sum(sizes.values()), {}
-    free = set("abcd")
-    while True:
-        left = total - sum(target.values())
-        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
-        over = {s for s in free if share[s] > 3 * sizes[s]}
-        if not over:
-            target |= share
-            break
-        target |= {s: 3 * sizes[s] for s in over}
-        free -= over
+    target = water_filled({**{s: n for s, n in sizes.items() if s}, "zz": 0, **{s: n for s, n in sizes.items() if not s}})
     name = {i: s for i, _, s in rows}
     for s in sizes:
         own = [x for x in r if name[x["doc_id"]] == s]
         assert own[0]["target"] == pytest.approx(target[s]) and own[0]["source_size"] == sizes[s]
-        assert abs(sum(x["taken"] for x in own) - target[s]) <= 6 * mixing.BLOCK
+        assert abs(sum(x["taken"] for x in own) - target[s]) <= 0.5
+        passes = target[s] / sizes[s]  # whole passes take all of a document, the last one whole blocks of it
+        assert all(int(passes) * x["size"] <= x["taken"] <= -(-target[s] // sizes[s]) * x["size"] for x in own)
     assert all(x["taken"] <= 3 * x["size"] for x in r)
     assert sorted(map(str, r)) == sorted(map(str, rows_of(mixing.mix(d.repartition(5)))))
 
 
+def test_mix_takes_repeated_rows_as_often_as_all_of_them(spark):
+    d = spark.createDataFrame([(1, "same text here", "a", "x")] * 4 + [(k, f"text number {k} of b", "b", "y") for k in range(10, 90)] + [(None, None, "a", "n")], "doc_id long, text string, source string, rows string")
+    want = Counter()
+    for x in rows_of(mixing.mix(d)):
+        want[x["doc_id"]] += round(x["taken"] / x["size"]) if x["size"] else 0
+    got = Counter(x["doc_id"] for x in rows_of(mixing.apply(d)))
+    assert got == +want and mixing.apply(d).columns == d.columns
+
+
+def test_golden_points_are_evenly_spread(spark):
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    phi = (Decimal(5).sqrt() - 1) / 2
+    ks = [0, 1, 2, 10**6, 10**12 + 7]
+    got = spark.createDataFrame([(k,) for k in ks], "k long").select(mixing.golden_point(__import__("pyspark.sql.functions", fromlist=["col"]).col("k")).alias("x")).collect()
+    assert [g["x"] for g in got] == pytest.approx([float((Decimal(k) + Decimal("0.5")) * phi % 1) for k in ks], abs=1e-5)
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
     import public_tokenizers
