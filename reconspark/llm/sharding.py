@@ -1,9 +1,11 @@
 """Sharding by balanced label propagation, in DataFrame functions alone.
 
 Linked documents (those of equal text) start on hashed shards and move, round by round, to the shard where most of
-their neighbours are, as far as the shard's quota has room.  Documents of one group on one shard have the same
-neighbours and move together, so a round joins counts per (group, shard) and not documents.  A group above the
-quota is dealt out in blocks first.  At last shards above their exact size hand rows to those below it,
+their neighbours are.  Quotas hold by exchange: of the moves that documents wish for between each pair of shards so many
+are allowed that no shard gains more than it gives away and has room for, so full shards swap documents.  Rounds go on
+until the number of documents away from their neighbours stops falling.  Documents of one group on one shard have the
+same neighbours and move together, so a round joins counts per (group, shard) and not documents.  A group above the
+quota is dealt out in blocks first; the few large blocks choose one after the other, so that they don't meet.  At last shards above their exact size hand rows to those below it,
 unlinked rows first, which makes row counts at most one apart.  Ranks are made in two levels, so
 that no task holds a shard or a group.
 """
@@ -16,10 +18,12 @@ from pyspark.sql import functions as F
 from reconspark.llm.common import drop_stored, stored, text_or_empty
 
 SHARDS = 40
-#: Rounds of propagation; most groups are together after the first, later ones find room for what was put off.
-ROUNDS = 4
+#: Propagation stops after this many rounds without fewer documents away from their neighbours.
+PATIENCE = 2
 #: A block of a large group is at most this share of a shard.
 BLOCK_SHARE = 0.9
+#: A block is large from this share of a shard on: there are at most so many a shard.
+LARGE_BLOCKS = 8
 #: Rows in a bucket of the two-level ranks.
 BUCKET = 2_000
 #: What a row costs besides its text, in bytes.
@@ -32,7 +36,68 @@ def by_shard(values: dict[int, int | float], key: F.Column, default=0) -> F.Colu
     return F.element_at(F.array(*[F.lit(values.get(i, default)) for i in range(top)]), key + 1)
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def allowed(wish: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], float]:
+    """Share of the wished moves (from, to) that may happen: inflows are cut until none exceeds its shard's room and outflow.
+
+    Works on one number for each pair of shards.
+    """
+    flow = {k: float(v) for k, v in wish.items()}
+    for _ in range(1000):
+        settled = True
+        for s in room:
+            inflow, outflow = sum(v for (_, to), v in flow.items() if to == s), sum(v for (at, _), v in flow.items() if at == s)
+            if inflow > (room[s] + outflow) * (1 + 1e-6):
+                settled, scale = False, (room[s] + outflow) / inflow
+                flow = {(at, to): v * scale if to == s else v for (at, to), v in flow.items()}
+        if settled:
+            break
+    return {k: v / wish[k] for k, v in flow.items()}
+
+
+def place_large(cells: DataFrame, quota: int, n_shards: int) -> DataFrame:
+    """``cells`` with the large blocks (at most LARGE_BLOCKS a shard) on the shards with most room for them, then most of their rows, the largest first."""
+    large = cells.groupBy("unit").agg(F.sum("n").alias("all")).where(F.col("all") * LARGE_BLOCKS >= quota)
+    at: dict[int, dict[int, int]] = {}
+    for r in cells.join(large, "unit", "left_semi").groupBy("unit", "shard").agg(F.sum("n").alias("n")).collect():  # LARGE_BLOCKS * n_shards ** 2 rows at most
+        at.setdefault(r["unit"], {})[r["shard"]] = r["n"]
+    filled, target = dict.fromkeys(range(n_shards), 0), []
+    for unit in sorted(at, key=lambda u: (-sum(at[u].values()), u)):
+        size = sum(at[unit].values())
+        best = max(filled, key=lambda s: (min(size, quota - filled[s]), at[unit].get(s, 0), -s))
+        filled[best] += size
+        target += [F.lit(unit), F.lit(best)]
+    return cells.withColumn("shard", F.coalesce(F.create_map(*target)[F.col("unit")], "shard")) if target else cells
+
+
+def propagate(cells: DataFrame, quota: int, n_shards: int) -> DataFrame:
+    """``cells(unit, origin, n, shard)``, stored, with the shard that each (unit, origin) ends on."""
+    cells, first = stored(place_large(cells, quota, n_shards)), cells
+    drop_stored(first)
+    least, stale, turn = None, 0, 0
+    while True:
+        load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row per shard
+        room = {s: max(0, quota - load.get(s, 0)) for s in range(n_shards)}
+        here = cells.groupBy("unit", "shard").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("unit")))
+        # The shard wins where most of the block can be together; of equal ones that of most neighbours, then by a hash.
+        reach = F.least(F.col("all"), F.col("n") + by_shard(room, F.col("shard")))
+        best = here.groupBy("unit").agg(F.max_by("shard", F.struct(reach.alias("reach"), F.col("n"), F.xxhash64("unit", "shard"))).alias("target"))
+        wishes = cells.join(best, "unit")
+        wish = {(r["shard"], r["target"]): r["n"] for r in wishes.where("shard <> target").groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}  # one row per pair of shards
+        away = sum(wish.values())
+        stale = 0 if least is None or away < least else stale + 1
+        if not away or stale >= PATIENCE:
+            return cells
+        least, turn = away if least is None else min(least, away), turn + 1
+        share = allowed(wish, room)
+        pairs = F.lit([share.get((a, b), 0.0) for a in range(n_shards) for b in range(n_shards)])
+        chance = F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+        goes = (F.col("shard") != F.col("target")) & (chance < F.element_at(pairs, F.col("shard") * n_shards + F.col("target") + 1))
+        moved = stored(wishes.withColumn("shard", F.when(goes, F.col("target")).otherwise(F.col("shard"))).drop("target"))
+        drop_stored(cells)
+        cells = moved
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null).
 
     ``slot`` counts the rows of a shard from 0 without gaps.  Null text: crc32 of the empty text, size 16; it is linked
@@ -59,32 +124,17 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
         .drop("g", "gh", "linked")
     )
     drop_stored(base)
-    cells = stored(placed.where("unit IS NOT NULL").groupBy("unit", "origin").agg(F.count("*").alias("n")).withColumn("shard", F.col("origin")))
-    for turn in range(rounds):
-        load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row per shard
-        room = {s: max(0, quota - load.get(s, 0)) for s in range(n_shards)}
-        here = cells.groupBy("unit", "shard").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("unit")))
-        # The shard wins where most of the block can be together; of equal ones that of most neighbours, then by a hash.
-        reach = F.least(F.col("all"), F.col("n") + by_shard(room, F.col("shard")))
-        best = here.groupBy("unit").agg(F.max_by("shard", F.struct(reach.alias("reach"), F.col("n"), F.xxhash64("unit", "shard"))).alias("target"))
-        wish = cells.join(best, "unit")
-        asked = {r["target"]: r["n"] for r in wish.where("shard <> target").groupBy("target").agg(F.sum("n").alias("n")).collect()}
-        if not asked:
-            break
-        # A shard with less room than it is asked for takes that share, by a hash of block and round.
-        share = {s: min(1.0, room[s] / m) for s, m in asked.items()}
-        chance = F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        moved = stored(wish.withColumn("shard", F.when((F.col("shard") == F.col("target")) | (chance < by_shard({**dict.fromkeys(range(n_shards), 0.0), **share}, F.col("target"), 0.0)), F.col("target")).otherwise(F.col("shard"))).drop("target"))
-        drop_stored(cells)
-        cells = moved
+    cells = propagate(stored(placed.where("unit IS NOT NULL").groupBy("unit", "origin").agg(F.count("*").alias("n")).withColumn("shard", F.col("origin"))), quota, n_shards)
 
-    at = cells.select("unit", "origin", F.col("shard").alias("moved_to"))
-    rows = placed.join(at, ["unit", "origin"], "left").withColumn("shard", F.coalesce("moved_to", "origin"))
-    # Hand-over order within a shard: unlinked rows first, then whole blocks; spread over buckets.
+    # Hand-over order within a shard: unlinked rows first, then block by block.  A bucket holds many small blocks, or
+    # a part of a large one.
     buckets = max(1, n // (n_shards * BUCKET))
+    parts = F.ceil(F.sum("n").over(Window.partitionBy("unit", "shard")) / BUCKET)
+    at = cells.select("unit", "origin", F.col("shard").alias("moved_to"), parts.alias("parts"))
+    rows = placed.join(at, ["unit", "origin"], "left").withColumn("shard", F.coalesce("moved_to", "origin"))
     rows = stored(
         rows.withColumn("first", F.when(F.col("unit").isNull(), F.pmod("h", F.lit(buckets))).otherwise(buckets + F.pmod("unit", F.lit(buckets))).cast("int"))
-        .withColumn("second", F.when(F.col("unit").isNull(), F.lit(0)).otherwise(F.pmod(F.shiftright("h", 20), F.lit(buckets))).cast("int"))
+        .withColumn("second", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("h"), F.col("parts"))).otherwise(F.lit(0)).cast("int"))
         .select("doc_id", "size", "text_crc32", "unit", "h", "shard", "first", "second")
     )
     drop_stored(placed)

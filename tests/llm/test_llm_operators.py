@@ -166,6 +166,42 @@ def test_shards_are_even_and_keep_groups(spark):
     assert all(x["text_crc32"] in {zlib.crc32((y["text"] or "").encode()) for y in rows_of(d) if y["doc_id"] == x["doc_id"]} for x in r)
 
 
+def split_share(rows, text):
+    """Share of the groups of equal text that are on more than one shard."""
+    at = defaultdict(set)
+    for x in rows:
+        at[text[x["doc_id"]]].add(x["shard"])
+    linked = {t for t, k in Counter(text.values()).items() if k > 1}
+    return sum(len(at[t]) > 1 for t in linked) / max(1, len(linked))
+
+
+@pytest.mark.parametrize("linked", [1.0, 0.9, 0.5])
+def test_groups_stay_together_however_many_rows_are_linked(spark, linked):
+    """4000 rows, groups of four, 40 shards."""
+    text = {i: f"group {i // 4}" if i < 4000 * linked else f"single {i}" for i in range(4000)}
+    d = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    r = rows_of(sharding.shard(d))
+    assert set(Counter(x["shard"] for x in r).values()) == {100} and {x["law"] for x in r} == {"rows"}
+    assert all(x["size"] == len(text[x["doc_id"]].encode()) + 16 and x["text_crc32"] == zlib.crc32(text[x["doc_id"]].encode()) and x["grown_shard"] is None for x in r)
+    share = split_share(r, text)
+    print("split", linked, share)
+    assert share <= 0.15
+
+
+def test_exchange_allows_no_shard_to_overflow():
+    rng = random.Random(3)
+    for _ in range(50):
+        n = rng.randint(2, 8)
+        wish = {(a, b): rng.randint(1, 50) for a in range(n) for b in range(n) if a != b and rng.random() < 0.6}
+        room = {s: rng.randint(0, 30) for s in range(n)}
+        share = sharding.allowed(wish, room)
+        assert all(0 <= v <= 1 for v in share.values())
+        for s in room:
+            gain = sum(share[k] * v * ((k[1] == s) - (k[0] == s)) for k, v in wish.items())
+            assert gain <= room[s] + 0.1
+    assert sharding.allowed({(0, 1): 10, (1, 0): 10}, {0: 0, 1: 0}) == {(0, 1): 1.0, (1, 0): 1.0}
+
+
 def test_a_hot_group_fills_as_few_shards_as_it_must(spark):
     d = table(spark, [(i, "same text") for i in range(400)] + [(1000 + i, f"other {i}") for i in range(800)])
     r = rows_of(sharding.shard(d, n_shards=12))
