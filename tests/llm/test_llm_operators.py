@@ -521,6 +521,69 @@ def test_decoding_keeps_no_child_of_a_dropped_parent():
     assert html_text.decode(nodes, np.array([0, -1, -1, 2, 2, 1, -1.0])) == [True, True, True, True, True, True, False]
 
 
+def test_decoding_is_the_best_of_all_labellings():
+    import itertools
+
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(60):
+        nodes = [html_text.Node("body", frozenset(), None)]
+        for _ in range(rng.randint(1, 8)):
+            node = html_text.Node("div", frozenset(), rng.choice(nodes))
+            node.parent.children.append(node)
+            nodes.append(node)
+        odds = np.array([0.0, *(rng.uniform(-3, 3) for _ in nodes[1:])])
+        place = {id(n): i for i, n in enumerate(nodes)}
+        worth = lambda kept: sum(o for o, k in zip(odds[1:], kept[1:]) if k)
+        legal = [k for k in ((True, *rest) for rest in itertools.product([False, True], repeat=len(nodes) - 1)) if all(k[place[id(n.parent)]] or not k[i] for i, n in enumerate(nodes) if i)]
+        found = html_text.decode(nodes, odds)
+        assert tuple(found) in legal and worth(found) == pytest.approx(max(map(worth, legal)))
+
+
+def page_of(rng, words):
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    article = "".join(f"<p>{say(rng.randint(8, 60))}</p>" for _ in range(rng.randint(2, 6)))
+    return f"<html><head><title>t</title></head><body><nav><ul><li><a href='/'>{say(1)}</a></li><li><a href='/x'>{say(2)}</a></li></ul></nav><div class='ad'>{say(6)}</div><article><h1>{say(5)}</h1>{article}</article><footer>&copy; {say(8)}</footer></body></html>"
+
+
+@pytest.fixture(scope="module")
+def trees():
+    rng = random.Random(77)
+    return html_text.train([page_of(rng, [w + e for w in WORDS for e in ("", "s", "in", "or")]) for _ in range(80)])
+
+
+def test_html_layouts_never_seen(trees):
+    rng, same, found, wanted = random.Random(5), Counter(), Counter(), Counter()
+    for k in range(160):
+        nodes = html_text.parse(page_of(rng, [w + e for w in WORDS for e in ("a", "ki", "ul")]))
+        labels = html_text.weak_labels(nodes)
+        good = html_text.blocks(nodes, [bool(v) for v in labels])
+        bad = [b for b in html_text.blocks(nodes, [True] * len(nodes)) if b not in set(good)]
+        named = k % 2 == 0
+        tree, truth = html_text.labelled(html_text.rendered(good, bad, rng, named))
+        want = html_text.blocks(tree, [bool(v) for v in truth])
+        got = html_text.blocks(tree, html_text.decode(tree, trees.log_odds(html_text.features(tree))))
+        same[named] += want == got
+        wanted[named] += len(" ".join(want).split())
+        found[named] += sum((Counter(" ".join(want).split()) & Counter(" ".join(got).split())).values())
+    for named in (True, False):
+        assert same[named] >= 0.9 * 80 and found[named] >= 0.95 * wanted[named], (named, same, found, wanted)
+
+
+def test_html_unclosed_tags_loose_text_and_long_pages(trees):
+    text = lambda page: html_text.main_text(page, trees)
+    long = "One long sentence of the article, with many words in it, goes here."
+    assert text(f"<head><title>x</title><body><article><p>{long}</p></article>") == long
+    for control in ("button", "select"):
+        assert text(f"<body><article><p>{long}</p><{control}>Go<p>{long}</p></article><{control}>x</{control}></body>") == f"{long}\n\n{long}"
+        assert text(f"<body><article><p>{long}</p><p>{long} <{control}>Go</{control}>end.</p></article></body>") == f"{long}\n\n{long} end."
+    assert text(f"<body><div class='menu'><a href='/'>Home</a> <a href='/n'>News</a></div>{long}<br><br>{long}</body>") == f"{long} {long}"
+    assert text("just <b>text</b>") == "just text" and text("<br>") == "" and text("   ") == ""
+    many = "".join(f"<p>{long} {i}</p>" for i in range(20_000))
+    assert len(text(f"<body><nav><a href='/'>Home</a></nav><article>{many}</article></body>").split("\n\n")) == 20_000
+
+
 def test_licences(spark):
     files = [
         (1, "a/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
