@@ -340,8 +340,8 @@ def rendered(good: list[str], bad: list[str], rng: random.Random, named: bool) -
     open_, close = ("", "") if loose or (not named and rng.random() < 0.15) else rng.choice(wraps)
     tail = rng.choice([around["comments"](), around["side"]()]) if named and rng.random() < 0.2 else ""
     # Without names only what its text, links, place or size tell apart can be told apart.
-    before = [around[k]() for k in rng.sample(["nav", "menu", "header", "ad", "notice", "side", "form"] if named else ["nav", "menu", "header", "side", "form"], rng.randint(1, 4 if named else 3))]
-    after = [around[k]() for k in rng.sample(["comments", "aside", "side", "ad", "footer", "foot", "form", "notice"] if named else ["aside", "side", "footer", "foot", "form", "menu"], rng.randint(1, 4 if named else 3))]
+    before = [around[k]() for k in rng.sample(["nav", "menu", "header", "ad", "notice", "side", "form"] if named else ["nav", "menu", "header", "side", "form"], rng.randint(0, 4 if named else 3))]
+    after = [around[k]() for k in rng.sample(["comments", "aside", "side", "ad", "footer", "foot", "form", "notice"] if named else ["aside", "side", "footer", "foot", "form", "menu"], rng.randint(0, 4 if named else 3))]
     around_it = "".join(before), open_.replace("@", k_) + "".join(body) + tail + close, "".join(after)
     if not named:
         around_it = tuple(TELLING.sub(r"<\1div", NAMES.sub("", part)) for part in around_it)

@@ -575,10 +575,12 @@ def test_html_unclosed_tags_loose_text_and_long_pages(trees):
     text = lambda page: html_text.main_text(page, trees)
     long = "One long sentence of the article, with many words in it, goes here."
     assert text(f"<head><title>x</title><body><article><p>{long}</p></article>") == long
+    every = lambda page: html_text.blocks(n := html_text.parse(page), [True] * len(n))
     for control in ("button", "select"):
-        assert text(f"<body><article><p>{long}</p><{control}>Go<p>{long}</p></article><{control}>x</{control}></body>") == f"{long}\n\n{long}"
-        assert text(f"<body><article><p>{long}</p><p>{long} <{control}>Go</{control}>end.</p></article></body>") == f"{long}\n\n{long} end."
-    assert text(f"<body><div class='menu'><a href='/'>Home</a> <a href='/n'>News</a></div>{long}<br><br>{long}</body>") == f"{long} {long}"
+        assert every(f"<body><article><p>{long}</p><{control}>Go<p>{long}</p></article><{control}>x</{control}></body>") == [long, long]
+        assert every(f"<body><article><p>{long}</p><p>{long} <{control}>Go</{control}>end.</p></article></body>") == [long, f"{long} end."]
+    assert every(f"<head><meta charset=x><title>t</title><p>{long}") == [long]
+    assert every(f"<div>a</div>{long}<br><br>{long}<div>b</div> tail") == ["a", f"{long} {long}", "b", "tail"]
     assert text("just <b>text</b>") == "just text" and text("<br>") == "" and text("   ") == ""
     many = "".join(f"<p>{long} {i}</p>" for i in range(20_000))
     assert len(text(f"<body><nav><a href='/'>Home</a></nav><article>{many}</article></body>").split("\n\n")) == 20_000
