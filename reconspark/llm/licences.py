@@ -1,9 +1,11 @@
 """Licence scans in DataFrame functions alone: TF-IDF cosine to templates, then inheritance down the path.
 
-Sentences that mention a licence become sparse TF-IDF vectors, with document frequencies over all such sentences
-of the corpus, and are compared with the vectors of short licence templates.  Equal sentences are
-compared once.  A file takes the licence of its own best sentence; else the nearest ancestor directory that
-holds a licence file hands its licence down, by a join of path prefixes.
+A text is read as passages: its paragraphs (wrapped lines joined, comment marks off), their lines and their sentences, and
+the text as a whole.  A passage with at least SHARED different terms of the templates is a candidate, whatever the terms;
+candidates become sparse TF-IDF vectors, with document frequencies over all of them, and are compared with the vectors of the
+templates.  Equal passages are compared once.  A file takes the licence of its own best passage; else
+the nearest ancestor directory that holds a licence file hands its licence down, by a join of path prefixes.  A licence file
+is one named so, or one that is a licence text as a whole; a file that mentions a licence hands nothing down.
 """
 
 from __future__ import annotations
@@ -11,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconspark.llm.common import text_or_empty
+from reconspark.llm.common import stored, text_or_empty
 
-#: Least cosine of a licence statement to a template; share of a file's words in statements that makes it a licence file.
-THRESHOLD, FILE_SHARE = 0.5, 0.5
-CUE = r"(?i)licen[sc]e|copyright|spdx|creative commons|\bcc[ -]by|\bcc0\b|public domain|permission is hereby|gnu (lesser |affero )?general public"
+#: Least cosine of a passage to a template, and of a whole text that makes it a licence file.
+THRESHOLD, FILE_COSINE = 0.5, 0.8
+#: Least number of different template terms, STOP words apart, in a candidate.
+SHARED = 2
+STOP = ["a", "an", "and", "any", "are", "as", "at", "be", "by", "can", "either", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "with", "you"]
+COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/|//+|\*|#+|--|;+|<!--|-->|dnl\b|rem\b)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t]*$"
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)([-.][^/]*)?$"
 #: What the licences' own notices say.
 TEMPLATES = [
@@ -40,28 +45,46 @@ TEMPLATES = [
 ]
 
 
-def statements(text: F.Column) -> F.Column:
-    """The sentences and lines of a text that mention a licence."""
-    return F.filter(F.split(text, r"\n|(?<=[.;])\s+(?=\p{Lu})"), lambda s: s.rlike(CUE))
+TOKEN = r"[\p{L}0-9]+(?:[.+-][\p{L}0-9]+)*"
 
 
 def tokens(text: F.Column) -> F.Column:
     """Lower-case words and numbers; a name such as ``by-nc`` and a number such as ``2.0`` stay whole."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}0-9]+(?:[.+-][\p{L}0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def scored_statements(files: DataFrame) -> DataFrame:
-    """(statement, licence, score) of each different statement in ``files(text)``: its best template at THRESHOLD or more."""
-    said = files.select(F.explode(statements(F.col("text"))).alias("statement")).groupBy("statement").agg(F.count("*").alias("uses"))
+def template_terms() -> list[str]:
+    """The different terms of the templates, STOP words apart."""
+    import re
+
+    word = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")  # as TOKEN, for the templates' letters
+    return sorted({w for _, body in TEMPLATES for w in word.findall(body.lower())} - set(STOP))
+
+
+def passages(text: F.Column) -> F.Column:
+    """The candidates among the paragraphs, lines and sentences of a text, each once, and last the whole text if it has any."""
+    known = F.lit(template_terms())
+    candidate = lambda p: F.size(F.array_intersect(tokens(p), known)) >= SHARED
+    joined = lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))
+    # Lines and sentences hold no more terms than their paragraph, so others need not be cut up.
+    cut = lambda p: F.concat(F.array(joined(p)), F.transform(F.split(p, "\n"), joined), F.split(joined(p), r"(?<=[.;])\s+(?=\p{Lu})"))
+    held = F.filter(F.split(F.regexp_replace(text, COMMENT, ""), r"\n[ \t\r]*\n\s*"), candidate)
+    found = F.filter(F.array_distinct(F.flatten(F.transform(held, cut))), candidate)
+    whole = F.when(F.size(held) > 0, F.array(joined(F.regexp_replace(text, COMMENT, "")))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array_except(found, whole), whole)
+
+
+def scored_passages(said: DataFrame) -> DataFrame:
+    """(statement, licence, score) of each of ``said(statement)``, which are distinct: its best template at THRESHOLD or more."""
     terms = said.select("statement", F.explode(tokens(F.col("statement"))).alias("term")).groupBy("statement", "term").agg(F.count("*").alias("tf"))
-    spark = files.sparkSession
-    known = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "template int, licence string, body string")
+    template = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(n).alias("licence"), F.lit(b).alias("body")) for i, (n, b) in enumerate(TEMPLATES)])
+    known = said.sparkSession.range(1).select(F.explode(template).alias("t")).select("t.*")
     known_terms = known.select("template", "licence", F.explode(tokens(F.col("body"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("template_tf"))
-    # Document frequencies over statements and templates; the idf stays above 0.
+    # Document frequencies over passages and templates; the idf stays above 0.
     df = terms.select("term").unionByName(known_terms.select("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = said.count() + len(TEMPLATES)
     idf = df.select("term", (F.log(F.lit(float(n)) / F.col("df")) + 1).alias("idf"))
-    weighed = terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    weighed = stored(terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")))
     norms = weighed.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     template = known_terms.join(idf, "term").withColumn("tw", F.col("template_tf") * F.col("idf"))
     template_norms = template.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("template_norm"))
@@ -76,19 +99,22 @@ def scored_statements(files: DataFrame) -> DataFrame:
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, path, own_licence, own_score, licence, basis, licence_dir.
 
-    basis: ``own`` (a statement in the file), ``inherited`` (the licence file of the nearest ancestor directory, named in
-    licence_dir) or ``none``.  A licence file is one named so, or with half of its words in statements.  Of several statements the
-    best counts, of equal ones the licence first in code-point order; of several licence files in a
+    basis: ``own`` (a passage in the file), ``inherited`` (the licence file of the nearest ancestor directory, named in
+    licence_dir) or ``none``.  A licence file is one named so, or one whose whole text has a cosine of FILE_COSINE or more.  Of several
+    passages the best counts, of equal ones the licence first in code-point order; of several licence files in a
     directory the best scored, then the first path.  Null and empty texts state nothing; a null path inherits
     nothing.  Repeated rows get equal results, an empty table an empty result.  Other columns are ignored.
     """
     own = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), text_or_empty(text_col).alias("text"))
-    scored = scored_statements(own).withColumn("key", F.xxhash64("statement"))
-    stated = own.where(F.size(statements(F.col("text"))) > 0).select("doc_id", "path", F.xxhash64("text").alias("text_key"), F.size(tokens(F.col("text"))).alias("n_words"), F.explode(statements(F.col("text"))).alias("statement"))
-    judged = stated.withColumn("key", F.xxhash64("statement")).join(scored, ["key", "statement"]).withColumn("said", F.size(tokens(F.col("statement"))))
-    best = judged.groupBy("doc_id", "path", "text_key").agg(
-        F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), F.col("licence"))).alias("best"), F.max("n_words").alias("n_words"), F.sum("said").alias("said")
-    ).select("doc_id", "path", "text_key", F.col("best.licence").alias("own_licence"), F.col("best.score").alias("own_score"), ((F.col("said") >= FILE_SHARE * F.col("n_words")) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))).alias("is_file"))
+    found = own.select("doc_id", "path", F.xxhash64("text").alias("text_key"), passages(F.col("text")).alias("said")).where(F.size("said") > 0)
+    # The last one is the text as a whole.  The texts are cut up once.
+    stated = stored(found.select("doc_id", "path", "text_key", F.element_at("said", -1).alias("whole"), F.explode("said").alias("statement")).withColumn("whole", F.col("whole") == F.col("statement")).withColumn("key", F.xxhash64("statement")))
+    scored = scored_passages(stated.select("statement").distinct()).withColumn("key", F.xxhash64("statement"))
+    judged = stated.join(scored, ["key", "statement"])
+    named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    best = stored(judged.groupBy("doc_id", "path", "text_key").agg(
+        F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), F.col("licence"))).alias("best"), F.max(F.when(F.col("whole"), F.col("score"))).alias("whole_score")
+    ).select("doc_id", "path", "text_key", F.col("best.licence").alias("own_licence"), F.col("best.score").alias("own_score"), (named | (F.coalesce("whole_score", F.lit(0.0)) >= FILE_COSINE)).alias("is_file")))
     directory = lambda c: F.regexp_replace(c, r"/?[^/]*$", "")
     holders = best.where("is_file AND path IS NOT NULL").groupBy(directory(F.col("path")).alias("dir")).agg(F.min_by("own_licence", F.struct(-F.col("own_score"), F.col("path"))).alias("dir_licence"))
     # Each different directory looks for its nearest ancestor once; files then join their directory.

@@ -598,25 +598,66 @@ def test_licences(spark):
     assert r == {1: ("MIT", "own", None), 2: ("MIT", "inherited", "a"), 3: ("Apache-2.0", "own", None), 4: ("Apache-2.0", "inherited", "a/b/c"), 5: ("GPL-3.0", "own", None), 6: (None, "none", None), 7: (None, "none", None), 8: ("MIT", "inherited", "a"), 9: (None, "none", None)}
 
 
-def test_licence_cosine_against_brute_force(spark):
+def plain_licences(files):
+    """The scan in plain Python: passages, cosines, inheritance."""
     import math
 
-    said = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "licence of apache version 2.0 maybe", "copyright nobody"]
     word = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
-    docs = [Counter(word.findall(s.lower())) for s in said]
+    known = {w for _, b in licences.TEMPLATES for w in word.findall(b.lower())} - set(licences.STOP)
+    join = lambda p: " ".join(p.split())
+    candidate = lambda p: len(set(word.findall(p.lower())) & known) >= licences.SHARED
+    said = {}
+    for i, path, text, *_ in files:
+        bare = "\n".join(re.sub(r"^[ \t]*(?:/\*+|\*+/|//+|\*|#+|--|;+|<!--|-->)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t]*$", "", x) for x in (text or "").split("\n"))
+        held = [p for p in re.split(r"\n[ \t\r]*\n\s*", bare) if candidate(p)]
+        parts = {q for p in held for q in (join(p), *map(join, p.split("\n")), *re.split(r"(?<=[.;])\s+(?=[A-Z])", join(p))) if candidate(q)}
+        said[i, path] = (parts, join(bare) if held else None)
+    every = sorted({q for parts, whole in said.values() for q in {*parts, *([whole] if whole else [])}})
+    docs = {q: Counter(word.findall(q.lower())) for q in every}
     temps = [(n, Counter(word.findall(b.lower()))) for n, b in licences.TEMPLATES]
-    df = Counter(w for c in [*docs, *(c for _, c in temps)] for w in c)
+    df = Counter(w for c in [*docs.values(), *(c for _, c in temps)] for w in c)
     n = len(docs) + len(temps)
     vec = lambda c: {w: k * (math.log(n / df[w]) + 1) for w, k in c.items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    want = {}
-    for s, c in zip(said, docs):
+    best = {}
+    for q, c in docs.items():
         v = vec(c)
-        score, name = max((sum(v[w] * t.get(w, 0) for w in v) / norm(v) / norm(t), m) for m, t in ((m, vec(t)) for m, t in temps))
+        score, _, name = max((round(sum(v[w] * t.get(w, 0) for w in v) / norm(v) / norm(t), 6), -k, m) for k, (m, t) in enumerate((m, vec(t)) for m, t in temps))
         if score >= licences.THRESHOLD:
-            want[s] = (name, pytest.approx(score, abs=1e-5))
-    got = {r["statement"]: (r["licence"], r["score"]) for r in rows_of(licences.scored_statements(spark.createDataFrame([(s,) for s in said], "text string")))}
-    assert got == want
+            best[q] = (name, score)
+    own, holders, out = {}, {}, {}
+    for key, (parts, whole) in said.items():
+        hits = sorted((-best[q][1], best[q][0]) for q in {*parts, *([whole] if whole else [])} if q in best)
+        own[key] = hits[0] if hits else None
+        i, path = key
+        if hits and path is not None and (re.search(licences.FILE_NAME, path) or (whole in best and best[whole][1] >= licences.FILE_COSINE)):
+            holders.setdefault(path.rpartition("/")[0], []).append((hits[0][0], path, hits[0][1]))
+    for (i, path), hit in own.items():
+        if hit:
+            out[i] = (hit[1], "own", None)
+            continue
+        parts = path.split("/")[:-1] if path is not None else None
+        dirs = ["/".join(parts[:k]) for k in range(len(parts), -1, -1)] if parts is not None else []
+        at = next((x for x in dirs if x in holders), None)
+        out[i] = (min(holders[at])[2], "inherited", at) if at is not None else (None, "none", None)
+    return out
+
+
+def test_licence_scan_against_brute_force(spark):
+    rng, word = random.Random(10), lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    half = bsd.split()
+    wrapped = "/*\n * " + "\n * ".join([" ".join(half[:7]), " ".join(half[7:13]), " ".join(half[13:])]) + "\n */\nint main;"
+    files = [
+        (1, "a/LICENSE", bsd), (2, "a/b/c.py", wrapped), (3, "a/d.py", word(9)), (4, "z/e.txt", f"{word(30)}\nLicensed under CC BY-NC 4.0.\n{word(20)}"),
+        (5, "z/f.txt", word(12)), (6, "y/MIT.txt", "Released under the MIT License."), (7, "y/k/g.txt", word(5)), (8, "y/k/h.txt", f"A driving license was shown to the mit officer. {word(40)}"), (9, None, "Released under the ISC License"), (10, "q/x", None), (11, "q/y", ""),
+        (12, "a/b/i.py", "# " + "\n# ".join(["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License"]) + f"\n\n{word(8)}"),
+        (13, "m/COPYING", f"{word(400)}\n\nLicensed under the Apache License, Version 2.0"), (14, "m/n/o.py", word(4)), (15, "top.txt", word(3)),
+    ]
+    d = spark.createDataFrame([(*f, "x", "y") for f in files], "doc_id long, path string, text string, dir string, licence string")
+    got = {x["doc_id"]: (x["licence"], x["basis"], x["licence_dir"]) for x in rows_of(licences.scan(d))}
+    assert got == plain_licences(files)
+    assert got[1][0] == got[2][0] == got[3][0] == "BSD-3-Clause" and got[3][1] == "inherited" and got[5][1] == "none" and got[7] == ("MIT", "inherited", "y") and got[12][0] == "GPL-3.0" and got[14] == ("Apache-2.0", "inherited", "m")
 
 
 def test_labels_without_rows_predict_nothing(spark):
