@@ -60,10 +60,41 @@ def frame_position(images: DataFrame, folder: str = "folder", name: str = "name"
     return images.withColumn("position", F.row_number().over(per.orderBy(name)) - 1).withColumn("siblings", F.count("*").over(per))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as it is now, for steps that read it again: a checkpoint where the session has a folder for them, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+#: Rows in a bucket of the two-level ranks of a table without keys.
+BUCKET = 100_000
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with their 0-based position in the order within each key, and the key's count n.
+
+    A table without keys is cut at values of the first order column into buckets of about BUCKET rows (cuts from a hash
+    sample, so they are the same in every run): counts per bucket, then ranks within a bucket.  Rows that share
+    that value share a bucket.
+    """
+    if keys or (total := rows.count()) <= BUCKET:
+        per = Window.partitionBy(*keys)
+        return rows.withColumn("position", F.row_number().over(per.orderBy(*order)) - 1).withColumn("n", F.count("*").over(per))
+    first, parts = order[0], -(-total // BUCKET)
+    every = max(1, total // (200 * parts))
+    sample = sorted(r[0] for r in rows.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(first).where(F.col(first).isNotNull()).collect())  # about 200 values a bucket
+    cuts = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+    kind = rows.schema[first].dataType
+    bounds = F.array(*[F.lit(v).cast(kind) for v in cuts]) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
+    placed = rows.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b <= F.col(first))))
+    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
+    before = counts.withColumn("_before", F.sum("_rows").over(Window.orderBy("_bucket")) - F.col("_rows"))  # one row a bucket
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+    return placed.withColumn("_inside", inside).join(F.broadcast(before), "_bucket").withColumn("position", (F.col("_inside") + F.col("_before")).cast("long")).withColumn("n", F.lit(total)).drop("_bucket", "_rows", "_before", "_inside")
+
+
 def even_spread(rows: DataFrame, keys: list[str], order: list[str], cap: int, current: Column | None = None) -> DataFrame:
     """All rows of a key with at most ``cap``; else those at positions int(k * n / cap), and the current one."""
-    per = Window.partitionBy(*keys)
-    numbered = rows.withColumn("position", F.row_number().over(per.orderBy(*order)) - 1).withColumn("n", F.count("*").over(per))
+    numbered = ranked(rows, keys, order)
     # Position p is int(k * n / cap) for some k iff the next multiple of n / cap lies below p + 1.
     k = F.ceil(F.col("position") * cap / F.col("n"))
     spread = (F.col("n") <= cap) | ((F.floor(k * F.col("n") / cap) == F.col("position")) & (k < cap))
@@ -72,9 +103,7 @@ def even_spread(rows: DataFrame, keys: list[str], order: list[str], cap: int, cu
 
 def stride_sample(rows: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
     """Every ceil(n / cap)-th row of each key: at most ``cap`` rows."""
-    per = Window.partitionBy(*keys)
-    numbered = rows.withColumn("position", F.row_number().over(per.orderBy(*order)) - 1).withColumn("step", F.ceil(F.count("*").over(per) / cap))
-    return numbered.where(F.col("position") % F.col("step") == 0).drop("step")
+    return ranked(rows, keys, order).where(F.col("position") % F.ceil(F.col("n") / cap) == 0).drop("n")
 
 
 def collapse_progress(lines: DataFrame, key: str = "job_id", seq: str = "seq", line: str = "line", last: int | None = 300) -> DataFrame:
@@ -109,7 +138,6 @@ def worst(rows: DataFrame, score: str, n: int, *ties: str) -> DataFrame:
 
 def index_statistics(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """sorted[n // 2], sorted[int(0.9 n)] and the largest, not interpolated, per key."""
-    per = Window.partitionBy(*keys)
-    ranked = values.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(per.orderBy(value)) - 1).withColumn("n", F.count("*").over(per))
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col(value)))
-    return ranked.groupBy(*keys).agg(at(F.floor(F.col("n") / 2)).alias("mid"), at(F.floor(F.col("n") * 0.9)).alias("p90"), F.max(value).alias("largest"))
+    numbered = ranked(values.where(F.col(value).isNotNull()), keys, [value])
+    at = lambda i: F.max(F.when(F.col("position") == i, F.col(value)))
+    return numbered.groupBy(*keys).agg(at(F.floor(F.col("n") / 2)).alias("mid"), at(F.floor(F.col("n") * 0.9)).alias("p90"), F.max(value).alias("largest"))

@@ -29,47 +29,114 @@ STAGE_MARKERS = [
     (r"auto_reorient|\] reorient \(", "reorient"),
 ]
 STAGES = [s for _, s in STAGE_MARKERS]
-#: Per kind, field -> (pattern, group, how values of many lines combine).
+_BAR = r"^(?=.*Training).*?(\d+)/(\d+)\s*\["
+_LOSS_BAR = r"(\d+)/(\d+)\s*\|\s*Loss:"
+_IMAGES, _NTH, _DONE = r"^Images: (\d+) under (.+)$", r"^\[(\d+)/(\d+)\] .+$", r"^Done\. processed=(\d+) skipped=(\d+)$"
+_BLOCK = r"^\[blocksplit\] (block_\d+_\d+): .*?→ (\d+) views"
+_DEPTH = {
+    "total": ("last", [(_NTH, 2), (_IMAGES, 1)]), "out_dir": ("last", [(_IMAGES, 2)]), "cur": ("last", [(_NTH, 1)]),
+    "written": ("last", [(_DONE, 1)]), "skipped": ("last", [(_DONE, 2)]), "phase": ("last", [(_DONE, "完成"), (_IMAGES, "推論中")]),
+}
+#: Per kind, field -> (how the values of many lines combine, [(pattern, its group or a constant)]).
+#: Of several patterns that match a line the first one counts.  ``last_or``: the last pattern's value holds only until any other comes.
 EVENT_RULES = {
-    "frames": {"total": (r"Found (\d+) video", 1, "last"), "cur": (r"######## \[(\d+)/(\d+)\]", 1, "last"), "of": (r"######## \[(\d+)/(\d+)\]", 2, "last"), "kept": (r"-> (\d+) kept / (\d+) dropped", 1, "sum"), "dropped": (r"-> (\d+) kept / (\d+) dropped", 2, "sum")},
-    "train": {"iter": (r"(?:Training.*?(\d+)/\d+\s*\[)|(?:(\d+)/\d+\s*\|\s*Loss:)|(?:\[ITER\s+(\d+)\])", 0, "last"), "loss": (r"(?i)loss[=:]\s*([0-9.]+)", 1, "last"), "complete": (r"(Training complete)", 1, "flag")},
-    "mesh": {"mesh_path": (r"\[mesh\] result:\s*(\S+)", 1, "last"), "scaled_path": (r"\[mesh\] scaled result:\s*(\S+)", 1, "last"), "mm_per_unit": (r"mm_per_unit=([0-9.]+)", 1, "last"), "vertices": (r"Num vertices post:\s*(\d+)", 1, "last"), "texture_obj": (r"\[texture\] obj:\s*(\S+)", 1, "last"), "atlas": (r"\[texture\] atlas:\s*(\S+)", 1, "list")},
-    "gcs": {"copied": (r"^\s*(Copying|Downloading)\b", 1, "count"), "objects": (r"Operation completed over (\d+) objects", 1, "last"), "size": (r"Operation completed over \d+ objects/([\d.]+\s*\w+)", 1, "last")},
-    "depth": {"total": (r"^Images: (\d+) under .+$", 1, "last"), "cur": (r"^\[(\d+)/\d+\] .+$", 1, "last"), "written": (r"^Done\. processed=(\d+) skipped=\d+$", 1, "last"), "skipped": (r"^Done\. processed=\d+ skipped=(\d+)$", 1, "last")},
-    "matte": {"total": (r"^Images: (\d+) under .+$", 1, "last"), "cur": (r"^\[(\d+)/\d+\] .+$", 1, "last"), "boxes": (r"\bboxes=(\d+)", 1, "sum"), "empty": (r"(\[warn\] no boxes)", 1, "count")},
-    "blocksplit": {"block": (r"^\[blocksplit\] (block_\d+_\d+): .*?→ (\d+) views", 1, "list"), "views": (r"^\[blocksplit\] (block_\d+_\d+): .*?→ (\d+) views", 2, "list")},
-}
+    "frames": {
+        "total": ("last", [(r"######## \[(\d+)/(\d+)\]", 2), (r"Found (\d+) video", 1)]),
+        "cur": ("last", [(r"######## \[(\d+)/(\d+)\]", 1)]),
+        "kept": ("sum", [(r"-> (\d+) kept / (\d+) dropped", 1)]),
+        "dropped": ("sum", [(r"-> (\d+) kept / (\d+) dropped", 2)]),
+    },
+    "train": {
+        "iter": ("last", [(r"\[ITER\s+(\d+)\]", 1), (_LOSS_BAR, 1), (_BAR, 1)]),
+        "total": ("last", [(_LOSS_BAR, 2), (_BAR, 2)]),
+        "loss": ("last", [(r"(?i)loss[=:]\s*([0-9.]+)", 1)]),
+        "complete": ("flag", [(r"Training complete", "yes")]),
+        "phase": ("last", [
+            (r"Training complete", "完成"), (_LOSS_BAR, "訓練中"), (_BAR, "訓練中"), (r"Loading train cameras", "載入訓練相機"), (r"Loading test cameras", "載入測試相機"),
+            (r"Loading COLMAP|Loading dataset", "載入資料集"), (r"Number of points at init", "初始化點雲"), (r"Populating", "建立多視角資料"), (r"Saving Gaussians|Saving final model", "存檔中"), (r"Saving checkpoint", "存 checkpoint"),
+        ]),
+    },
+    "mesh": {
+        "vertices": ("last", [(r"Num vertices post:\s*(\d+)", 1)]),
+        "mesh_path": ("last", [(r"\[mesh\] result:\s*(\S+)", 1)]),
+        "mesh_scaled_path": ("last", [(r"\[mesh\] scaled result:\s*(\S+)", 1)]),
+        "mm_per_unit": ("last", [(r"mm_per_unit=([0-9.]+)", 1)]),
+        "texture_obj": ("last", [(r"\[texture\] obj:\s*(\S+)", 1)]),
+        "texture_glb": ("last", [(r"\[texture\] glb:\s*(\S+)", 1)]),
+        "texture_obj_mm": ("last", [(r"\[texture\] scaled obj:\s*(\S+)", 1)]),
+        "texture_glb_mm": ("last", [(r"\[texture\] scaled glb:\s*(\S+)", 1)]),
+        "texture_atlas": ("list", [(r"\[texture\] atlas:\s*(\S+)", 1)]),
+        "phase": ("last", [
+            (r"\[mesh\] scaled result:\s*(\S+)", "已縮放 (mm)"), (r"Found \d+ cameras", "載入相機"), (r"Estimated voxel|Voxel_size|TSDF config", "估計體素 / 融合"), (r"Extracting mesh", "抽取 mesh"), (r"Post processing|Post-processed", "後處理"),
+            (r"pre-mask", "貼圖:去背影像"), (r"Generating texture views|wrote NVM", "貼圖:載入視角"), (r"Building adjacency graph", "貼圖:建立鄰接圖"), (r"View selection|Optimizing", "貼圖:選視角"),
+            (r"Generating texture patches|Running global seam|Local seam leveling|Generating texture atlases", "貼圖:縫合/打包"), (r"Building objmodel|Saving model", "貼圖:輸出模型"), (r"^paste|pass \d/2", "合併貼圖"),
+        ]),
+    },
+    "gcs": {
+        "copied": ("count", [(r"^\s*(?:Copying|Downloading)\b", "copy")]),
+        "objects": ("last", [(r"Operation completed over (\d+) objects", 1)]),
+        "size": ("last", [(r"Operation completed over \d+ objects/([\d.]+\s*\w+)", 1)]),
+        "phase": ("last_or", [(r"Operation completed over (\d+) objects", "完成"), (r"^\s*(?:Copying|Downloading)\b", "下載中"), (r"Building synchronization state|Starting synchronization", "比對差異中")]),
+    },
+    "depth": _DEPTH,
+    "matte": _DEPTH | {"boxes": ("sum", [(r"\bboxes=(\d+)", 1)]), "empty": ("count", [(r"\[warn\] no boxes", "empty")])},
+    "blocksplit": {"blocks": ("distinct", [(_BLOCK, 1)]), "views": ("with", [(_BLOCK, 2)])},
+}
 
 
 def filter_noise(lines: DataFrame, line: str = "line", pattern: str = NOISE) -> DataFrame:
     return lines.where(~F.coalesce(c(line).rlike(pattern), F.lit(False)))
 
 
-def _value(line: Column, rule) -> Column:
-    pattern, group, _ = rule
-    if group:
-        return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
-    return F.coalesce(*[F.nullif(F.regexp_extract(line, pattern, g), F.lit("")) for g in (1, 2, 3)])
+def _value(line: Column, pattern: str, what: int | str) -> Column:
+    if isinstance(what, int):
+        return F.nullif(F.regexp_extract(line, pattern, what), F.lit(""))
+    return F.when(line.rlike(pattern), F.lit(what))
 
 
 def parse_events(lines: DataFrame, kind: str, line: str = "line") -> DataFrame:
     """``lines`` with a column for each field of the kind, null where the line says nothing of it."""
-    return lines.select("*", *[_value(c(line), rule).alias(field) for field, rule in EVENT_RULES[kind].items()])
+    return lines.select("*", *[F.coalesce(*[_value(c(line), p, w) for p, w in rules]).alias(field) for field, (_, rules) in EVENT_RULES[kind].items()])
+
+
+def _first_of_each(found: Column) -> Column:
+    """Of an array of structs those whose v0 no earlier one has."""
+    return F.filter(found, lambda s, k: F.array_position(_part(found, "v0"), s["v0"]) == k + 1)
+
+
+def _part(found: Column, name: str) -> Column:
+    return F.transform(found, lambda s: s[name])
 
 
 def counters(lines: DataFrame, kind: str, keys: list[str], seq: str = "seq", line: str = "line") -> DataFrame:
-    """What a job's lines amount to: sums, counts, last values, lists in order of first appearance."""
-    parsed = parse_events(lines, kind, line)
-    out = []
-    for field, (_, _, how) in EVENT_RULES[kind].items():
-        v = F.col(field)
-        out.append({
-            "sum": F.coalesce(F.sum(v.try_cast("long")), F.lit(0)),
-            "count": F.count(v),
-            "flag": F.coalesce(F.bool_or(v.isNotNull()), F.lit(False)),
-            "last": F.max_by(v, F.when(v.isNotNull(), F.col(seq))),
-            "list": F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(F.col(seq), v.alias("v"))))), lambda s: s["v"]),
-        }[how].alias(field))
+    """What a job's lines amount to: sums, counts, last values by seq, lists in order of appearance, each name once where names repeat.
+
+    Aggregates alone, so that it serves tables and, in update mode, streams.  A list's state is bounded by the
+    blocks or atlases of one job.
+    """
+    parsed, out = parse_events(lines, kind, line), []
+    parsed = parsed.select(*lines.columns, *[F.col(f).alias(f"_{f}") for f in EVENT_RULES[kind]])  # results have the fields' own names
+    at = lambda v: F.when(v.isNotNull(), F.col(seq))
+    listed = lambda *v: F.array_sort(F.collect_list(F.when(v[0].isNotNull(), F.struct(F.col(seq).alias("at"), *[x.alias(f"v{k}") for k, x in enumerate(v)]))))
+    for field, (how, rules) in EVENT_RULES[kind].items():
+        v = F.col(f"_{field}")
+        if how == "sum":
+            out.append(F.coalesce(F.sum(v.try_cast("long")), F.lit(0)).alias(field))
+        elif how == "count":
+            out.append(F.count(v).alias(field))
+        elif how == "flag":
+            out.append(F.coalesce(F.bool_or(v.isNotNull()), F.lit(False)).alias(field))
+        elif how == "last":
+            out.append(F.max_by(v, at(v)).alias(field))
+        elif how == "last_or":
+            firm = F.when(v != rules[-1][1], v)
+            out.append(F.coalesce(F.max_by(firm, at(firm)), F.max(v)).alias(field))
+        elif how == "list":
+            out.append(F.transform(listed(v), lambda s: s["v0"]).alias(field))
+        elif how == "distinct":  # with the values beside it of the first line of each name
+            mates = [f for f, (h, _) in EVENT_RULES[kind].items() if h == "with"]
+            first = _first_of_each(listed(v, *[F.col(f"_{m}") for m in mates]))
+            out += [_part(first, f"v{k}").alias(name) for k, name in enumerate([field, *mates])]
     return parsed.groupBy(*keys).agg(*out)
 
 
@@ -90,6 +157,12 @@ def is_done(line) -> Column:
     return c(line).rlike(BANNER) & c(line).contains("done. workspace=")
 
 
+def stage_events(lines: DataFrame, key: str = "job_id", seq: str = "seq", line: str = "line") -> DataFrame:
+    """The lines that bear on a job's stages, as columns: start, skip (names of stages) and done."""
+    done = F.coalesce(is_done(line), F.lit(False))
+    return lines.select(key, seq, F.when(~done, stage_of(line)).alias("start"), skipped_stage(line).alias("skip"), done.alias("done")).where("start IS NOT NULL OR skip IS NOT NULL OR done")
+
+
 def stage_timeline(lines: DataFrame, key: str = "job_id", seq: str = "seq", line: str = "line") -> DataFrame:
     """The stage that holds at each line, carried forward from the last banner: job, stage, first and last line, lines."""
     per = Window.partitionBy(key).orderBy(seq)
@@ -106,11 +179,12 @@ def stage_status(lines: DataFrame, finished: DataFrame | None = None, key: str =
     A stage is done when a later banner starts another one or the closing banner comes while it runs; the
     last of ``skip`` and banner lines decides.
     """
-    events = lines.select(key, seq, stage_of(line).alias("start"), skipped_stage(line).alias("skip"), is_done(line).alias("done")).where("start IS NOT NULL OR skip IS NOT NULL OR done")
-    starts = events.where("start IS NOT NULL AND NOT done").select(key, seq, F.col("start").alias("stage"), F.lead("start").over(Window.partitionBy(key).orderBy(seq)).alias("next_stage"))
+    events = stage_events(lines, key, seq, line)
+    starts = events.where("start IS NOT NULL").select(key, seq, F.col("start").alias("stage"), F.lead("start").over(Window.partitionBy(key).orderBy(seq)).alias("next_stage"))
     closed = events.where("done").groupBy(key).agg(F.max(seq).alias("done_seq"))
     last = starts.groupBy(key, "stage").agg(F.max_by(F.struct(seq, "next_stage"), seq).alias("s")).select(key, "stage", F.col(f"s.{seq}").alias("at"), F.col("s.next_stage"))
-    run = last.join(closed, key, "left").select(key, "stage", "at", F.when(F.col("next_stage").isNotNull() | (F.col("done_seq") > F.col("at")), "done").otherwise("running").alias("status"))
+    at_end = F.when(F.col("next_stage").isNull() & (F.col("done_seq") > F.col("at")), F.col("done_seq")).otherwise(F.col("at"))  # the closing banner speaks of the last stage
+    run = last.join(closed, key, "left").select(key, "stage", at_end.alias("at"), F.when(F.col("next_stage").isNotNull() | (F.col("done_seq") > F.col("at")), "done").otherwise("running").alias("status"))
     skip = events.where("skip IS NOT NULL").groupBy(key, F.col("skip").alias("stage")).agg(F.max(seq).alias("at")).withColumn("status", F.lit("skipped"))
     both = run.unionByName(skip).groupBy(key, "stage").agg(F.max_by("status", "at").alias("status"))
     if finished is None:

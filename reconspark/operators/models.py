@@ -116,22 +116,42 @@ def drop_images(images: DataFrame, obs: DataFrame, points: DataFrame, cameras=()
     return {"images": kept_images, "observations": kept_obs, "points": kept_points, "cameras": kept_images.select("camera_id").distinct()}
 
 
-def cull_cameras(images: DataFrame, obs: DataFrame, points: DataFrame, names: DataFrame, max_error: float = 4.0, min_track: int = 2, min_angle: float = 1.5) -> DataFrame:
-    """Points that stay when the named images are gone: track, error and largest triangulation angle at the limits or better.
+def supported_points(images: DataFrame, obs: DataFrame, points: DataFrame, max_error: float = 4.0, min_track: int = 2, min_angle: float = 1.5) -> DataFrame:
+    """Points whose track, error and largest triangulation angle are at the limits or better.  ``images`` carries centres cx, cy, cz.
 
-    ``images`` carries centres cx, cy, cz.  Pairs are made within a track, whose length is bounded by the images
-    that see one point."""
-    left = images.join(names.select("name"), "name", "left_anti")
-    rays = obs.where("point_id >= 0").join(left.select("image_id", "cx", "cy", "cz"), "image_id").join(points.where(F.col("error") <= max_error).select("point_id", "x", "y", "z"), "point_id")
+    A ray at the limit from the track's first ray settles the point; only tracks whose rays all lie within the limit of it, and
+    reach half of it, need their pairs.
+    """
+    rays = obs.where("point_id >= 0").join(images.select("image_id", "cx", "cy", "cz"), "image_id").join(points.where(F.col("error") <= max_error).select("point_id", "x", "y", "z"), "point_id")
     d = [F.col("cx") - F.col("x"), F.col("cy") - F.col("y"), F.col("cz") - F.col("z")]
     norm = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
     unit = rays.select("point_id", "image_id", *[(v / norm).alias(n) for v, n in zip(d, "uvw")])
-    a, b = unit.alias("a"), unit.alias("b")
+    angle = lambda dot: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
+    first = unit.groupBy("point_id").agg(F.count("*").alias("n"), F.min_by(F.struct("u", "v", "w"), "image_id").alias("f")).where(F.col("n") >= min_track)
+    spread = unit.join(first, "point_id").groupBy("point_id").agg(F.max(angle(F.col("u") * F.col("f.u") + F.col("v") * F.col("f.v") + F.col("w") * F.col("f.w"))).alias("far"))
+    sure = spread.where(F.col("far") >= min_angle).select("point_id")
+    # Two rays are at most twice as far apart as the farther one is from the first; the slack covers rounding.
+    open_ = unit.join(spread.where((F.col("far") < min_angle) & (2 * F.col("far") >= min_angle * (1 - 1e-6))).select("point_id"), "point_id", "left_semi")
+    a, b = open_.alias("a"), open_.alias("b")
     pairs = a.join(b, (F.col("a.point_id") == F.col("b.point_id")) & (F.col("a.image_id") < F.col("b.image_id")))
     dot = sum((F.col(f"a.{n}") * F.col(f"b.{n}") for n in "vw"), F.col("a.u") * F.col("b.u"))
-    wide = pairs.groupBy(F.col("a.point_id").alias("point_id")).agg(F.min(dot).alias("least")).where(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("least"))))) >= min_angle)
-    tracks = unit.groupBy("point_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_track)
-    return points.join(tracks, "point_id", "left_semi").join(wide, "point_id", "left_semi")
+    wide = pairs.groupBy(F.col("a.point_id").alias("point_id")).agg(F.max(angle(dot)).alias("most")).where(F.col("most") >= min_angle).select("point_id")
+    return points.join(sure.unionByName(wide), "point_id", "left_semi")
+
+
+def cull_cameras(images: DataFrame, obs: DataFrame, points: DataFrame, names: DataFrame, filter_points: bool = True, max_error: float = 4.0, min_track: int = 2, min_angle: float = 1.5) -> dict[str, DataFrame]:
+    """The whole model without the named images: images, observations, points and cameras that stay.
+
+    Observations of the named images go; so do points that nothing sees any more, and with ``filter_points`` those
+    that what is left doesn't support (see supported_points).  Kept images' observations of lost points lose their point.
+    """
+    left = images.join(names.select("name").distinct(), "name", "left_anti")
+    seen = obs.join(left.select("image_id"), "image_id", "left_semi")
+    stay = supported_points(left, seen, points, max_error, min_track, min_angle) if filter_points else points.join(seen.where("point_id >= 0"), "point_id", "left_semi")
+    lasting = stay.select("point_id", F.lit(True).alias("_lasts"))
+    pruned = seen.join(lasting, "point_id", "left").withColumn("point_id", F.when(F.col("_lasts"), F.col("point_id"))).drop("_lasts")
+    out = {"images": left, "observations": pruned, "points": stay}
+    return out | ({"cameras": left.select("camera_id").distinct()} if "camera_id" in left.columns else {})
 
 
 def cull_points(points: DataFrame, doomed: DataFrame) -> DataFrame:
@@ -150,12 +170,18 @@ def frame_delta(a: DataFrame, b: DataFrame, name: str = "name") -> DataFrame:
     return out.withColumn("match", F.col("delta") <= F.greatest(F.col("size") * 1e-4, F.lit(1e-6)))
 
 
-def size_mismatch(cameras: DataFrame, images: DataFrame) -> DataFrame:
-    """Images whose size is not their camera's; ``uniform`` when all images of the camera share one other size (a resize)."""
-    j = images.join(cameras.select("camera_id", F.col("width").alias("cam_w"), F.col("height").alias("cam_h")), "camera_id")
-    sizes = j.groupBy("camera_id").agg(F.min(F.struct("width", "height")).alias("lo"), F.max(F.struct("width", "height")).alias("hi"))
-    j = j.join(sizes, "camera_id")
-    return j.where("width <> cam_w OR height <> cam_h").withColumn("uniform", F.col("lo") == F.col("hi")).drop("lo", "hi")
+def size_mismatch(cameras: DataFrame, images: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Images whose size is not their camera's, and images without a file, with ``problem`` (size or missing).
+
+    ``uniform``: all files of the camera share one other size (a resize).  Sizes come from ``images`` or, by name, from
+    ``files(name, width, height)``; an image without a width has no file.
+    """
+    own = images if files is None else images.drop("width", "height").join(files.select("name", "width", "height"), "name", "left")
+    j = own.join(cameras.select("camera_id", F.col("width").alias("cam_w"), F.col("height").alias("cam_h")), "camera_id")
+    size = F.when(F.col("width").isNotNull(), F.struct("width", "height"))
+    sizes = j.groupBy("camera_id").agg(F.min(size).alias("lo"), F.max(size).alias("hi"))
+    j = j.join(sizes, "camera_id").withColumn("problem", F.when(F.col("width").isNull(), "missing").when((F.col("width") != F.col("cam_w")) | (F.col("height") != F.col("cam_h")), "size"))
+    return j.where("problem IS NOT NULL").withColumn("uniform", (F.col("problem") == "size") & (F.col("lo") == F.col("hi"))).drop("lo", "hi")
 
 
 def merge_priors(priors: list[tuple[DataFrame, int]], images: DataFrame) -> tuple[DataFrame, DataFrame]:

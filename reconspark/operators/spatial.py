@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconspark.functions.geometry import c, in_rect_halfopen
+from reconspark.operators.frames import kept
 from reconspark.operators.hull import hull_area
 
 
@@ -49,7 +50,8 @@ def knn(rows: DataFrame, id_col: str, axes: tuple[str, ...], k: int, keys: list[
     base = F.greatest(F.pow(volume * (k + 1) / F.col("_n"), F.lit(1.0 / len(axes))), largest / 1024)
     spans = spans.select(*keys, "_n", base.alias("_size"), largest.alias("_span"))
     own = rows.select(*keys, F.col(id_col).alias("id"), *[F.col(a).cast("double").alias(f"p{i}") for i, a in enumerate(axes)])
-    own = (own.join(spans, list(keys)) if keys else own.crossJoin(F.broadcast(spans))).persist()  # spans: one row a key
+    own = (own.join(spans, list(keys)) if keys else own.crossJoin(F.broadcast(spans)))  # spans: one row a key
+    own = kept(own)
     todo, found = own, None
     for turn in range(rounds):
         size = F.col("_size") * float(2**turn)
@@ -67,7 +69,7 @@ def knn(rows: DataFrame, id_col: str, axes: tuple[str, ...], k: int, keys: list[
         done = sure.where(((F.col("_got") >= F.least(F.lit(k), F.col("_n") - 1)) & (F.col("_far") < size)) | (size > F.col("_span")) | F.lit(last)).select(*keys, "id")
         out = near.join(done, [*keys, "id"], "left_semi").select(*keys, "id", "neighbour", "distance", "nth")
         found = out if found is None else found.unionByName(out)
-        todo = todo.join(done, [*keys, "id"], "left_anti").persist()
+        todo = kept(todo.join(done, [*keys, "id"], "left_anti"))
         if todo.isEmpty() or todo.where(F.col("_n") > 1).isEmpty():
             break
     return found
@@ -152,50 +154,52 @@ def rebalance_cells(centers: DataFrame, region, max_images: int, min_images: int
     """Rectangles that hold at most ``max_images`` centres where they can be split: the longer axis at the median.
 
     Level by level: one aggregation gives every open rectangle its count and medians, one more the counts of its
-    halves; only these small tables reach the driver (a rectangle holds min_images centres at least).
+    halves.  Rectangles stay a table (cell k splits into 2 k and 2 k + 1), each level is kept, and only the number of splits
+    reaches the driver.
     """
     spark = centers.sparkSession
-    x0, y0, x1, y1 = region
-    held = centers.where(in_rect_halfopen("x", "y", x0, y0, x1, y1)).select("x", "y").withColumn("cell", F.lit(0)).persist()
-    rects, ready, ids = {0: (x0, y0, x1, y1)}, [], 1
-    while rects:
-        stats = {r["cell"]: r for r in held.groupBy("cell").agg(F.count("*").alias("n"), F.median("x").alias("mx"), F.median("y").alias("my")).collect()}
-        cuts = {}
-        for i, (a0, b0, a1, b1) in rects.items():
-            r, w, h = stats.get(i), a1 - a0, b1 - b0
-            if r is None or r["n"] <= max_images or max(w, h) < 2 * min_size:
-                ready.append((a0, b0, a1, b1))
-            elif w >= h:
-                cuts[i] = ("x", min(max(r["mx"], a0 + min_size), a1 - min_size))
-            else:
-                cuts[i] = ("y", min(max(r["my"], b0 + min_size), b1 - min_size))
-        if not cuts:
-            break
-        table = spark.createDataFrame([(i, axis, float(s)) for i, (axis, s) in cuts.items()], "cell int, axis string, cut double")
-        placed = held.join(F.broadcast(table), "cell").withColumn("low", F.when(F.col("axis") == "x", F.col("x")).otherwise(F.col("y")) < F.col("cut"))
-        low = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count_if("low").alias("n")).collect()}
-        split, rects_next = [], {}
-        for i, (axis, s) in cuts.items():
-            a0, b0, a1, b1 = rects[i]
-            na = low.get(i, 0)
-            if na >= min_images and stats[i]["n"] - na >= min_images:
-                rects_next[ids], rects_next[ids + 1] = ((a0, b0, s, b1), (s, b0, a1, b1)) if axis == "x" else ((a0, b0, a1, s), (a0, s, a1, b1))
-                split.append((i, ids, ids + 1))
-                ids += 2
-            else:
-                ready.append((a0, b0, a1, b1))
-        if not split:
+    x0, y0, x1, y1 = map(float, region)
+    rects = spark.range(1, 2).select(F.col("id").alias("cell"), *[F.lit(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1))])
+    held = kept(centers.where(in_rect_halfopen("x", "y", x0, y0, x1, y1)).select("x", "y", F.lit(1).cast("long").alias("cell")))
+    ready, edges = None, ["x0", "y0", "x1", "y1"]
+    for _ in range(60):
+        stats = held.groupBy("cell").agg(F.count("*").alias("n"), F.median("x").alias("mx"), F.median("y").alias("my"))
+        w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        at = lambda m, lo, hi: F.least(F.greatest(F.col(m), F.col(lo) + min_size), F.col(hi) - min_size)
+        wide = rects.join(stats, "cell", "left").withColumn("on_x", w >= h).withColumn("open", F.coalesce((F.col("n") > max_images) & (F.greatest(w, h) >= 2 * min_size), F.lit(False)))
+        wide = wide.withColumn("cut", F.when(F.col("open"), F.when(F.col("on_x"), at("mx", "x0", "x1")).otherwise(at("my", "y0", "y1"))))
+        placed = held.join(wide.where("open").select("cell", "on_x", "cut"), "cell").withColumn("low", F.when(F.col("on_x"), F.col("x")).otherwise(F.col("y")) < F.col("cut"))
+        low = placed.groupBy("cell").agg(F.count_if("low").alias("n_low"))
+        wide = kept(wide.join(low, "cell", "left").withColumn("split", F.col("open") & F.coalesce((F.col("n_low") >= min_images) & (F.col("n") - F.col("n_low") >= min_images), F.lit(False))))
+        done = wide.where(~F.col("split")).select(*edges)
+        ready = done if ready is None else ready.unionByName(done)
+        if wide.where("split").isEmpty():
             break
-        moved = placed.join(F.broadcast(spark.createDataFrame(split, "cell int, lo int, hi int")), "cell").select("x", "y", F.when(F.col("low"), F.col("lo")).otherwise(F.col("hi")).alias("cell"))
-        rects, held = rects_next, moved
-    rows = [(i, *map(float, r)) for i, r in enumerate(sorted(ready))]
-    return spark.createDataFrame(rows, "block int, x0 double, y0 double, x1 double, y1 double")
+        halves = F.array(
+            F.struct((F.col("cell") * 2).alias("cell"), "x0", "y0", F.when(F.col("on_x"), F.col("cut")).otherwise(F.col("x1")).alias("x1"), F.when(F.col("on_x"), F.col("y1")).otherwise(F.col("cut")).alias("y1")),
+            F.struct((F.col("cell") * 2 + 1).alias("cell"), F.when(F.col("on_x"), F.col("cut")).otherwise(F.col("x0")).alias("x0"), F.when(F.col("on_x"), F.col("y0")).otherwise(F.col("cut")).alias("y0"), "x1", "y1"),
+        )
+        rects = wide.where("split").select(F.explode(halves).alias("r")).select("r.*")
+        moved = held.join(wide.where("split").select("cell", "on_x", "cut"), "cell")
+        held = kept(moved.select("x", "y", (F.col("cell") * 2 + (F.when(F.col("on_x"), F.col("x")).otherwise(F.col("y")) >= F.col("cut")).cast("long")).alias("cell")))
+    return ready.select((F.row_number().over(Window.orderBy(*edges)) - 1).alias("block"), *edges)  # one row a block
+
+
+def in_blocks(rows: DataFrame, blocks: DataFrame, buffer: float = 0.0) -> DataFrame:
+    """``rows(x, y)`` with every block whose half-open bounds, ``buffer`` wider, hold them: an equi-join on candidate cells, then the test.
+
+    Cells have the size of a mean block, so blocks are copied to a few cells each and a row looks at its own."""
+    wide = blocks.withColumns({"_w": F.col("x1") - F.col("x0") + 2 * buffer, "_h": F.col("y1") - F.col("y0") + 2 * buffer})
+    size = wide.agg(F.sqrt(F.greatest(F.avg(F.col("_w") * F.col("_h")), F.lit(1e-18))).alias("s")).first()["s"] or 1.0  # one number
+    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - buffer) / size), F.floor((F.col(hi) + buffer) / size))
+    spread = wide.where("_w > 0 AND _h > 0").drop("_w", "_h").withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+    own = rows.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
+    return own.join(spread, ["_cx", "_cy"]).where(in_rect_halfopen("x", "y", F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), buffer)).drop("_cx", "_cy")
 
 
 def assign_points(points: DataFrame, blocks: DataFrame, buffer: float) -> DataFrame:
-    """Each point to every block whose buffered bounds hold it.  Blocks are a table of rectangles (a few hundred
-    cameras each), so Spark broadcasts it when it is small and else nests by partition."""
-    return points.join(blocks, in_rect_halfopen("x", "y", F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), buffer)).drop("x0", "y0", "x1", "y1")
+    """Each point to every block whose buffered bounds hold it."""
+    return in_blocks(points, blocks, buffer).drop("x0", "y0", "x1", "y1")
 
 
 def visibility(obs: DataFrame, members: DataFrame) -> DataFrame:
@@ -207,7 +211,7 @@ def visibility(obs: DataFrame, members: DataFrame) -> DataFrame:
 
 def assign_images(centers: DataFrame, obs: DataFrame, members: DataFrame, blocks: DataFrame, threshold: float = 0.1667) -> DataFrame:
     """(image_id, block): centre in the block's core, or visibility at the threshold."""
-    core = centers.join(blocks, in_rect_halfopen("x", "y", F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).select("image_id", "block")
+    core = in_blocks(centers, blocks).select("image_id", "block")
     return core.unionByName(visibility(obs, members).where(F.col("visibility") >= threshold).select("image_id", "block")).distinct()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconspark.functions.geometry import c, enu_factors
+from reconspark.operators.frames import kept, stride_sample
 
 
 def to_enu(fixes: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -23,8 +24,13 @@ def _distance(side: str, axes: tuple[str, ...]) -> Column:
     return F.sqrt(sum((v * v for v in d[1:]), d[0] * d[0]))
 
 
+#: Cameras of a model whose pairs are compared: a property of the estimate, as pairs grow with the square.
+MOST_CAMERAS = 600
+
+
 def scale_pairs(cams: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), order: str = "image_id", keys: list[str] = ()) -> DataFrame:
-    """Distances of all camera pairs in the model (s*) and the survey (d*).  ``cams`` is thinned first (stride_sample, 600 a model)."""
+    """Distances of all camera pairs in the model (s*) and the survey (d*), of at most MOST_CAMERAS cameras of each key, evenly strided."""
+    cams = stride_sample(cams, list(keys), [order], MOST_CAMERAS)
     cols = [*keys, order, *[f"s{a}" for a in axes], *[f"d{a}" for a in axes]]
     a, b = cams.select(*cols).alias("a"), cams.select(*cols).alias("b")
     on = F.col(f"a.{order}") < F.col(f"b.{order}")
@@ -151,43 +157,61 @@ def basis(rows: DataFrame, keys: list[str], mode: str = "pca") -> DataFrame:
     return m.mapInPandas(solve, schema)
 
 
-def extents(rows: DataFrame, keys: list[str], mode: str = "pca", mm_per_unit: float | None = None) -> DataFrame:
-    """Extent along each basis axis, in millimetres if the scale is known."""
+def measured_axes(rows: DataFrame, keys: list[str], mode: str = "pca", height_axis: int = 0, swap_wd: bool = False, flip_h: bool = False, flip_w: bool = False, flip_d: bool = False) -> DataFrame:
+    """``rows`` with h, w and d: coordinates along the basis axis taken as height and the two others, in order or swapped, each flipped at will."""
     j = rows.join(basis(rows, keys, mode), keys)
-    d = [F.col(a) - F.col(f"m{a}") for a in ("x", "y", "z")]
-    on = [d[0] * F.col(f"v0{k}") + d[1] * F.col(f"v1{k}") + d[2] * F.col(f"v2{k}") for k in range(3)]
+    delta = [F.col(a) - F.col(f"m{a}") for a in ("x", "y", "z")]
+    on = [delta[0] * F.col(f"v0{k}") + delta[1] * F.col(f"v1{k}") + delta[2] * F.col(f"v2{k}") for k in range(3)]
+    others = [k for k in range(3) if k != height_axis]
+    order = [height_axis, *(others[::-1] if swap_wd else others)]
+    return j.withColumns({n: (-on[k] if flip else on[k]) for n, k, flip in zip("hwd", order, (flip_h, flip_w, flip_d))}).select(*rows.columns, *"hwd")
+
+
+def extents(rows: DataFrame, keys: list[str], mode: str = "pca", mm_per_unit: float | None = None, height_axis: int = 0, swap_wd: bool = False, flip_h: bool = False, flip_w: bool = False, flip_d: bool = False) -> DataFrame:
+    """Height, width and depth (extent0 to extent2) along the chosen axes, in millimetres if the scale is known."""
+    own = measured_axes(rows, keys, mode, height_axis, swap_wd, flip_h, flip_w, flip_d)
     k = mm_per_unit or 1.0
-    return j.groupBy(*keys).agg(*[((F.max(v) - F.min(v)) * k).alias(f"extent{i}") for i, v in enumerate(on)])
+    return own.groupBy(*keys).agg(*[((F.max(v) - F.min(v)) * k).alias(f"extent{i}") for i, v in enumerate("hwd")])
 
 
-def diameter(rows: DataFrame, keys: list[str], parts: int = 16, ends: bool = False) -> DataFrame:
-    """The farthest pair of points per key, exact: pairs of grid cells whose upper bound beats a lower bound from the axis extremes.
+def diameter(rows: DataFrame, keys: list[str], parts: int = 16, levels: int = 2, ends: bool = False) -> DataFrame:
+    """The farthest pair of points per key, exact, by cell pairs whose upper bound beats the best distance known.
 
-    ``ends``: with dx, dy, dz from one end to the other."""
+    Each level cuts the cells that are left into ``parts`` per axis (the first level the whole extent), pairs them within the
+    pairs of the level before, and raises the lower bound to the largest distance between cells' representatives, so dense
+    far cells shrink to their outermost points before any points are paired.  Repeated points count once.
+    ``ends``: with dx, dy, dz from one end to the other.
+    """
     axes = ("x", "y", "z")
-    span = rows.groupBy(*keys).agg(*[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes])
-    step = F.greatest(*[(F.col(f"hi_{a}") - F.col(f"lo_{a}")) / parts for a in axes], F.lit(1e-12))
-    span = span.withColumn("step", step)
-    placed = rows.join(span, keys).withColumns({f"g{a}": F.floor((F.col(a) - F.col(f"lo_{a}")) / F.col("step")) for a in axes})
-    cells = placed.groupBy(*keys, "gx", "gy", "gz").agg(F.max("step").alias("step"))
-    reach = span.select(*keys, F.greatest(*[F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in axes]).alias("bound"))  # a pair at least this far apart exists
-    a, b = cells.alias("a"), cells.alias("b")
-    on = F.lit(True)
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    wide = [(F.abs(F.col(f"a.g{v}") - F.col(f"b.g{v}")) + 1) * F.col("a.step") for v in axes]
-    pairs = a.join(b, on & (F.struct("a.gx", "a.gy", "a.gz") <= F.struct("b.gx", "b.gy", "b.gz"))).select(*[F.col(f"a.{k}").alias(k) for k in keys], *[F.col(f"a.g{v}").alias(f"a{v}") for v in axes], *[F.col(f"b.g{v}").alias(f"b{v}") for v in axes], F.sqrt(wide[0] * wide[0] + wide[1] * wide[1] + wide[2] * wide[2]).alias("upper"))
-    pairs = pairs.join(reach, keys).where(F.col("upper") >= F.col("bound"))
-    left = placed.select(*keys, *[F.col(f"g{v}").alias(f"a{v}") for v in axes], *[F.col(v).alias(f"p{v}") for v in axes])
-    right = placed.select(*keys, *[F.col(f"g{v}").alias(f"b{v}") for v in axes], *[F.col(v).alias(f"q{v}") for v in axes])
-    j = pairs.join(left, [*keys, "ax", "ay", "az"]).join(right, [*keys, "bx", "by", "bz"])
+    names = [f"_k{i}" for i in range(len(keys))]
+    own = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *axes).distinct()
+    span = own.groupBy(*names).agg(*[F.min(a).alias(f"lo_{a}") for a in axes], F.greatest(*[F.max(a) - F.min(a) for a in axes], F.lit(1e-9)).alias("side"))
+    placed, pairs = own.join(span, names), None
+    for level in range(levels):
+        step = F.col("side") / float(parts ** (level + 1))
+        cell = F.struct(*[F.floor((F.col(a) - F.col(f"lo_{a}")) / step).alias(f"g{a}") for a in axes])
+        placed = placed.withColumn("up", F.col("cell") if level else F.lit(0)).withColumn("cell", cell)
+        cells = placed.groupBy(*names, "up", "cell").agg(F.min(F.struct(*axes)).alias("rep"), F.max("side").alias("side"))
+        side = lambda p: cells.select(*names, F.col("up").alias(f"{p}_up"), F.col("cell").alias(p), F.col("rep").alias(f"{p}_rep"), *([F.col("side")] if p == "a" else []))
+        met = side("a").join(side("b"), names) if pairs is None else pairs.select(*names, F.col("a").alias("a_up"), F.col("b").alias("b_up")).join(side("a"), [*names, "a_up"]).join(side("b"), [*names, "b_up"])
+        met = met.where((F.col("a") <= F.col("b")) | (F.col("a_up") != F.col("b_up")))  # children of one cell meet once
+        wide = [(F.abs(F.col(f"a.g{v}") - F.col(f"b.g{v}")) + 1) * (F.col("side") / float(parts ** (level + 1))) for v in axes]
+        apart = [(F.col(f"a_rep.{v}") - F.col(f"b_rep.{v}")) * (F.col(f"a_rep.{v}") - F.col(f"b_rep.{v}")) for v in axes]
+        met = kept(met.select(*names, "a", "b", F.sqrt(sum(w * w for w in wide)).alias("upper"), F.sqrt(sum(apart[1:], apart[0])).alias("known")))
+        best = met.groupBy(*names).agg(F.max("known").alias("best"))
+        # The slack covers rounding of the bounds.
+        pairs = kept(met.join(best, names).where(F.col("upper") * (1 + 1e-9) >= F.col("best")).select(*names, "a", "b"))
+        left = pairs.select(*names, F.col("a").alias("cell")).unionByName(pairs.select(*names, F.col("b").alias("cell"))).distinct()
+        placed = kept(placed.join(left, [*names, "cell"], "left_semi"))
+    at = lambda p, q: placed.select(*names, F.col("cell").alias(p), *[F.col(v).alias(f"{q}{v}") for v in axes])
+    j = pairs.join(at("a", "p"), [*names, "a"]).join(at("b", "q"), [*names, "b"])
     d = [(F.col(f"p{v}") - F.col(f"q{v}")) * (F.col(f"p{v}") - F.col(f"q{v}")) for v in axes]
     out = [F.sqrt(F.max(d[0] + d[1] + d[2])).alias("diameter")]
     if ends:
         step_to = F.struct(*[(F.col(f"p{v}") - F.col(f"q{v}")).alias(f"d{v}") for v in axes])
         out.append(F.max_by(step_to, F.struct(d[0] + d[1] + d[2], step_to)).alias("_to"))
-    found = j.groupBy(*keys).agg(*out)
-    return found.select(*keys, "diameter", "_to.*") if ends else found
+    found = j.groupBy(*names).agg(*out)
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "diameter", *(["_to.*"] if ends else []))
 
 
 def triangulate_tracks(obs: DataFrame, key: str = "point_id", min_views: int = 2, max_median: float = 2.0) -> DataFrame:

@@ -195,19 +195,24 @@ def f10_to_enu(spark, d):
     return rounded(st.to_enu(_fixes(spark, d)).select("id", "e", "n", "u"), 3)
 
 
-@query()
+@query("""WITH o AS (SELECT o_orderkey, o_custkey * 10.0 + 200000 AS e, 2500000.0 + o_orderkey AS n, 6378137.0 AS a, (1 / 298.257222101) * (2 - 1 / 298.257222101) AS e2 FROM orders),
+  q AS (SELECT *, e2 / (1 - e2) AS ep, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS e1, n / 0.9999 / (a * (1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256)) AS mu FROM o),
+  f AS (SELECT *, mu + (3 * e1 / 2 - 27 * pow(e1, 3) / 32) * sin(2 * mu) + (21 * pow(e1, 2) / 16 - 55 * pow(e1, 4) / 32) * sin(4 * mu) + 151 * pow(e1, 3) / 96 * sin(6 * mu) + 1097 * pow(e1, 4) / 512 * sin(8 * mu) AS phi FROM q),
+  g AS (SELECT *, ep * pow(cos(phi), 2) AS c, pow(tan(phi), 2) AS t, a / sqrt(1 - e2 * pow(sin(phi), 2)) AS nu, a * (1 - e2) / pow(1 - e2 * pow(sin(phi), 2), 1.5) AS r FROM f), h AS (SELECT *, (e - 250000) / (nu * 0.9999) AS d FROM g)
+  SELECT o_orderkey, round(degrees(phi - nu * tan(phi) / r * (pow(d, 2) / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * pow(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * pow(d, 6) / 720)), 8) AS lat,
+    round(121 + degrees((d - (1 + 2 * t + c) * pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * pow(d, 5) / 120) / cos(phi)), 8) AS lon FROM h""")
 def f8_tm_to_wgs84(spark, d):
     lat, lon = g.tm_to_wgs84(F.col("o_custkey") * 10.0 + 200000, F.lit(2500000.0) + F.col("o_orderkey"), "EPSG:3826")
     return rounded(t(spark, d, "orders").select("o_orderkey", lat.alias("lat"), lon.alias("lon")), 8)
 
 
-ANG = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 7 AS o, l_discount * 300 AS p, l_tax * 1000 AS k FROM lineitem WHERE l_linenumber = 1"
+ANG = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 7 AS o, l_discount * 300 AS p, l_tax * 1000 AS k FROM lineitem"
 
 
-@query(f"SELECT l_orderkey, l_partkey, round(sin(radians(p)) * 0 - (-(cos(radians(p)) * 0) + -sin(radians(p))), 6) AS gx, round(-(-1 * cos(radians(p)) * sin(radians(o))), 6) AS gy, round(-(-1 * cos(radians(p)) * cos(radians(o))), 6) AS gz FROM ({ANG})")
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, round(sin(radians(p)) * 0 - (-(cos(radians(p)) * 0) + -sin(radians(p))), 6) AS gx, round(-(-1 * cos(radians(p)) * sin(radians(o))), 6) AS gy, round(-(-1 * cos(radians(p)) * cos(radians(o))), 6) AS gz FROM ({ANG})")
 def f11_gravity(spark, d):
-    a = t(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", (F.col("l_quantity") * 7).alias("o"), (F.col("l_discount") * 300).alias("p"), (F.col("l_tax") * 1000).alias("k"))
-    return rounded(a.select("l_orderkey", "l_partkey", *[v.alias(n) for n, v in zip(("gx", "gy", "gz"), g.gravity_in_camera("o", "p", "k"))]), 6)
+    a = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 7).alias("o"), (F.col("l_discount") * 300).alias("p"), (F.col("l_tax") * 1000).alias("k"))
+    return rounded(a.select("l_orderkey", "l_linenumber", "l_partkey", *[v.alias(n) for n, v in zip(("gx", "gy", "gz"), g.gravity_in_camera("o", "p", "k"))]), 6)
 
 
 @query("SELECT p_partkey, round(p_retailprice / 0.5, 5) AS f, round(p_size * 100 / 2.0 + 0.2 / 0.5, 5) AS cx, round(p_size * 80 / 2.0 - 0.1 / 0.5, 5) AS cy, 8 AS n FROM part")
@@ -359,7 +364,15 @@ def j15_drop_images(spark, d):
 def j16_cull_cameras(spark, d):
     obs = i.observations(spark, d).where("point_id >= 0").select("image_id", "point_id").distinct()
     im = i.cloud(spark, d).select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), F.col("image_id").alias("name"))
-    return md.cull_cameras(im, obs, i.points(spark, d), im.where("image_id % 9 = 0")).select("point_id")
+    return md.cull_cameras(im, obs, i.points(spark, d), im.where("image_id % 9 = 0"))["points"].select("point_id")
+
+
+@query(sql("images obs pts", "+gone AS (SELECT image_id FROM images WHERE image_id % 9 = 0), ko AS (SELECT * FROM obs WHERE image_id NOT IN (SELECT image_id FROM gone)) SELECT (SELECT count(*) FROM images WHERE image_id % 9 <> 0) AS images, (SELECT count(*) FROM ko) AS observations, (SELECT count(*) FROM ko WHERE point_id IN (SELECT point_id FROM pts)) AS registered, (SELECT count(*) FROM pts WHERE point_id IN (SELECT point_id FROM ko WHERE point_id IS NOT NULL)) AS points, (SELECT count(DISTINCT camera_id) FROM images WHERE image_id % 9 <> 0) AS cameras"))
+def j16_cull_cameras_unfiltered(spark, d):
+    im = i.images(spark, d)
+    out = md.cull_cameras(im, i.observations(spark, d), i.points(spark, d), im.where("image_id % 9 = 0"), filter_points=False)
+    n = lambda df, name, col=None: df.agg(F.count(col or F.lit(1)).alias(name))
+    return n(out["images"], "images").crossJoin(n(out["observations"], "observations")).crossJoin(n(out["observations"], "registered", "point_id")).crossJoin(n(out["points"], "points")).crossJoin(n(out["cameras"], "cameras"))  # one row each
 
 
 @query(sql("pts", "SELECT point_id FROM pts WHERE (x::FLOAT, y::FLOAT, z::FLOAT) NOT IN (SELECT x::FLOAT, y::FLOAT, z::FLOAT FROM pts WHERE point_id % 5 = 0)"))
@@ -375,11 +388,12 @@ def j12_frame_delta(spark, d):
     return rounded(md.frame_delta(a, b, "image_id"))
 
 
-@query(sql("images", "+c AS (SELECT image_id, camera_id, CASE WHEN camera_id = 1 THEN 50 WHEN image_id % 41 = 0 THEN 10 ELSE 100 END AS width FROM images) SELECT image_id, camera_id, u AS uniform FROM (SELECT *, min(width) OVER (PARTITION BY camera_id) = max(width) OVER (PARTITION BY camera_id) AS u FROM c) WHERE width <> 100"))
+@query(sql("images", "+c AS (SELECT image_id, camera_id, CASE WHEN image_id % 53 = 0 THEN NULL WHEN camera_id = 1 THEN 50 WHEN image_id % 41 = 0 THEN 10 ELSE 100 END AS width FROM images) SELECT image_id, camera_id, CASE WHEN width IS NULL THEN 'missing' ELSE 'size' END AS problem, width IS NOT NULL AND u AS uniform FROM (SELECT *, min(width) OVER (PARTITION BY camera_id) = max(width) OVER (PARTITION BY camera_id) AS u FROM c) WHERE width IS NULL OR width <> 100"))
 def j10_size_mismatch(spark, d):
-    im = i.images(spark, d).select("image_id", "camera_id", F.when(F.col("camera_id") == 1, 50).when(F.col("image_id") % 41 == 0, 10).otherwise(100).alias("width"), F.lit(80).alias("height"))
+    im = i.images(spark, d)
+    files = im.where("image_id % 53 <> 0").select("name", F.when(F.col("camera_id") == 1, 50).when(F.col("image_id") % 41 == 0, 10).otherwise(100).alias("width"), F.lit(80).alias("height"))
     cams = im.select("camera_id").distinct().select("camera_id", F.lit(100).alias("width"), F.lit(80).alias("height"))
-    return md.size_mismatch(cams, im).select("image_id", "camera_id", "uniform")
+    return md.size_mismatch(cams, im, files).select("image_id", "camera_id", "problem", "uniform")
 
 
 @query("SELECT o_orderkey AS image_id, CASE WHEN o_custkey % 3 = 0 THEN 'EO' ELSE 'GPS' END AS source, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice ELSE o_custkey::DOUBLE END AS px FROM orders WHERE o_custkey % 3 = 0 OR o_custkey % 2 = 0")
@@ -485,23 +499,23 @@ def a34_common_parent_plan(spark, d):
 
 # ---------------------------------------------------------------- pairs, neighbours
 
-PAIRS = "+p AS (SELECT camera_id AS grp, row_number() OVER (PARTITION BY camera_id ORDER BY name) - 1 AS pos FROM images WHERE image_id % 10 = 0)"
+PAIRS = "+p AS (SELECT camera_id AS grp, row_number() OVER (PARTITION BY camera_id ORDER BY name) - 1 AS pos FROM images)"
 
 
 def _positions(spark, d):
-    own = i.images(spark, d).where("image_id % 10 = 0")
-    return own.select(F.col("camera_id").alias("grp"), (F.row_number().over(Window.partitionBy("camera_id").orderBy("name")) - 1).cast("long").alias("pos"))
+    return i.images(spark, d).select(F.col("camera_id").alias("grp"), (F.row_number().over(Window.partitionBy("camera_id").orderBy("name")) - 1).cast("long").alias("pos"))
 
 
-@query(sql("images", PAIRS + " SELECT DISTINCT a.grp AS group_a, a.pos AS pos_a, b.grp AS group_b, b.pos AS pos_b FROM p a JOIN p b ON b.grp >= a.grp AND (b.pos - a.pos) IN (0, 1, 2, 3, 5, 9)"))
+@query(sql("images", PAIRS + ", s AS (SELECT unnest([0, 1, 2, 3, 5, 9]) AS step) SELECT DISTINCT a.grp AS group_a, a.pos AS pos_a, b.grp AS group_b, b.pos AS pos_b FROM p a, s JOIN p b ON b.pos = a.pos + s.step AND b.grp >= a.grp"))
 def j5_sequence_pairs(spark, d):
     return sp.sequence_pairs(_positions(spark, d), 2, 4)
 
 
-@query(sql("images", PAIRS + ", a AS (SELECT * FROM (VALUES (3, 40), (10, 90)) v(a, b)), r AS (SELECT unnest([-4, -2, -1, 0, 1, 2, 4]) AS r) SELECT x.grp AS group_a, x.pos AS pos_a, y.grp AS group_b, y.pos AS pos_b FROM (SELECT DISTINCT a.a + r1.r AS pa, a.b + r2.r AS pb FROM a, r r1, r r2) q JOIN p x ON x.pos = q.pa JOIN p y ON y.pos = q.pb AND y.grp >= x.grp"))
+@query(sql("images", PAIRS + ", a AS (SELECT DISTINCT min(pos) AS a, max(pos) AS b FROM p GROUP BY grp), r AS (SELECT unnest([-4, -2, -1, 0, 1, 2, 4]) AS r) SELECT x.grp AS group_a, x.pos AS pos_a, y.grp AS group_b, y.pos AS pos_b FROM (SELECT DISTINCT a.a + r1.r AS pa, a.b + r2.r AS pb FROM a, r r1, r r2) q JOIN p x ON x.pos = q.pa JOIN p y ON y.pos = q.pb AND y.grp >= x.grp"))
 def j6_loop_pairs(spark, d):
-    anchors = spark.createDataFrame([(3, 40), (10, 90)], "a long, b long")
-    return sp.loop_pairs(_positions(spark, d), anchors, 3)
+    own = _positions(spark, d)
+    anchors = own.groupBy("grp").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).select("a", "b").distinct()  # the first and last of each group meet
+    return sp.loop_pairs(own, anchors, 3)
 
 
 @query("SELECT DISTINCT least(l_partkey % 300, l_suppkey) AS name_a, greatest(l_partkey % 300, l_suppkey) AS name_b FROM lineitem WHERE l_partkey % 300 <> l_suppkey")
@@ -582,12 +596,12 @@ def a30_recommend_ref(spark, d):
     return rg.recommend_ref(rg.group_by_folder(_rig_names(spark, d))[0]).select("camera", "frames")
 
 
-AUTO = "SELECT 'cam' || k || '/s' || (o_orderkey // 4) || '_' || (o_orderkey * 3 + k) || '.jpg' AS name, k, o_orderkey // 4 AS s FROM orders, (SELECT unnest([0, 1, 2]) AS k) WHERE o_orderkey % 4 = 0"
+AUTO = "SELECT 'cam' || k || '/s' || o_orderkey || '_' || (o_orderkey * 3 + k) || '.jpg' AS name, k, o_orderkey AS s FROM orders, (SELECT unnest([0, 1, 2]) AS k)"
 
 
 def _auto_names(spark, d):
-    o = t(spark, d, "orders").where("o_orderkey % 4 = 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    return o.select(F.concat(F.lit("cam"), F.col("k").cast("string"), F.lit("/s"), F.floor(F.col("o_orderkey") / 4).cast("string"), F.lit("_"), (F.col("o_orderkey") * 3 + F.col("k")).cast("string"), F.lit(".jpg")).alias("name"))
+    o = t(spark, d, "orders").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return o.select(F.concat(F.lit("cam"), F.col("k").cast("string"), F.lit("/s"), F.col("o_orderkey").cast("string"), F.lit("_"), (F.col("o_orderkey") * 3 + F.col("k")).cast("string"), F.lit(".jpg")).alias("name"))
 
 
 @query(f"SELECT '0' AS combo, count(DISTINCT s) AS shared FROM ({AUTO})")
@@ -601,7 +615,7 @@ def a28_rig_auto(spark, d):
     return rg.group_auto(_auto_names(spark, d))[0]
 
 
-@query()
+@query("WITH c AS (SELECT 'cam' || (c_custkey % 3) AS camera, 'cam' || (c_custkey % 3) || '/' || c_custkey || '.jpg' AS name, c_custkey AS k, 24 + (c_custkey // 3) / 5000.0::DOUBLE + (c_custkey % 3) / 1e7::DOUBLE AS lat FROM customer) SELECT camera, frame AS frame_key, max(name) AS name FROM (SELECT a.camera, a.name, b.k::VARCHAR AS frame FROM c a JOIN (SELECT * FROM c WHERE camera = (SELECT camera FROM c GROUP BY 1 ORDER BY count(*) DESC, camera LIMIT 1)) b ON abs(a.lat - b.lat) * 111000 <= 1 WHERE radians(abs(a.lat - b.lat)) * 6371000 <= 0.5 QUALIFY row_number() OVER (PARTITION BY a.camera, a.name ORDER BY abs(a.lat - b.lat), b.name DESC) = 1) GROUP BY 1, 2")
 def j3_rig_by_gps(spark, d):
     c = t(spark, d, "customer").select(F.concat(F.lit("cam"), (F.col("c_custkey") % 3).cast("string"), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".jpg")).alias("name"), (24 + F.floor(F.col("c_custkey") / 3) / 5000.0 + (F.col("c_custkey") % 3) / 1e7).alias("lat"), F.lit(120.6).alias("lon"))
     return rg.group_by_gps(c)[0]
@@ -621,20 +635,19 @@ def _scale_cams(spark, d):
     return own.select("image_id", "folder", *[F.col(v).alias(f"s{v}") for v in "xyz"], *[F.col(f"d{v}") for v in "xyz"])
 
 
-@query(sql("cloud", "+p AS (SELECT sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) AS s, sqrt(pow(a.dx-b.dx,2)+pow(a.dy-b.dy,2)+pow(a.dz-b.dz,2)) AS d FROM cloud a JOIN cloud b ON a.image_id < b.image_id), k AS (SELECT s, s / d AS r FROM p, (SELECT greatest(3.0, 0.15 * max(s)) AS f FROM p) WHERE s >= f AND d > 0) SELECT count(*) AS n_pairs, round(median(r), 5) AS ratio, round(quantile_cont(r, 0.25), 5) AS q1, round(quantile_cont(r, 0.75), 5) AS q3 FROM k"))
+@query(sql("cloud", "+few AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY image_id) - 1 AS p, ceil(count(*) OVER () / 600.0)::BIGINT AS step FROM cloud) WHERE p % step = 0), p AS (SELECT sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) AS s, sqrt(pow(a.dx-b.dx,2)+pow(a.dy-b.dy,2)+pow(a.dz-b.dz,2)) AS d FROM few a JOIN few b ON a.image_id < b.image_id), k AS (SELECT s, s / d AS r FROM p, (SELECT greatest(3.0, 0.15 * max(s)) AS f FROM p) WHERE s >= f AND d > 0) SELECT count(*) AS n_pairs, round(median(r), 5) AS ratio, round(quantile_cont(r, 0.25), 5) AS q1, round(quantile_cont(r, 0.75), 5) AS q3 FROM k"))
 def a14_scale_estimate(spark, d):
     return rounded(st.scale_estimate(st.scale_pairs(_scale_cams(spark, d)), floor_m=3.0).select("n_pairs", "ratio", "q1", "q3"))
 
 
 @query()
 def a15_noise_calibrate(spark, d):
-    cams = fr.stride_sample(_scale_cams(spark, d), [], ["image_id"], 600)
-    return st.noise_calibrate(cams, {"x": 1.0, "y": 1.0, "z": 1.0})
+    return st.noise_calibrate(_scale_cams(spark, d), {"x": 1.0, "y": 1.0, "z": 1.0})
 
 
 @query()
 def a16_scale_check(spark, d):
-    return st.scale_check(fr.stride_sample(_scale_cams(spark, d), [], ["image_id"], 600))
+    return st.scale_check(_scale_cams(spark, d))
 
 
 @query()
@@ -662,6 +675,13 @@ def a20_extents_raw(spark, d):
     return rounded(st.extents(i.cloud(spark, d), ["folder"], "raw"))
 
 
+@query(sql("cloud", "SELECT folder, round(max(z) - min(z), 5) AS extent0, round(max(y) - min(y), 5) AS extent1, round(max(x) - min(x), 5) AS extent2, round(min(-z), 4) AS least_h, round(max(-x), 4) AS most_d FROM (SELECT folder, x - avg(x) OVER (PARTITION BY folder) AS x, y - avg(y) OVER (PARTITION BY folder) AS y, z - avg(z) OVER (PARTITION BY folder) AS z FROM cloud) GROUP BY 1"))
+def a20_extents_swapped(spark, d):
+    how = dict(mode="raw", height_axis=2, swap_wd=True, flip_h=True, flip_d=True)
+    own = st.measured_axes(i.cloud(spark, d), ["folder"], **how).groupBy("folder").agg(F.round(F.min("h"), 4).alias("least_h"), F.round(F.max("d"), 4).alias("most_d"))
+    return rounded(st.extents(i.cloud(spark, d), ["folder"], **how)).join(own, "folder")
+
+
 @query()
 def a19_basis_pca(spark, d):
     return st.basis(i.cloud(spark, d), ["folder"])
@@ -770,7 +790,7 @@ def p5_assign_points(spark, d):
 @query(sql("pts", "SELECT floor((x - 0) / 15)::BIGINT AS ix, floor((y - 90) / 15)::BIGINT AS iy, count(*) AS n FROM pts WHERE x >= 0 AND x < 50 AND y >= 90 AND y < 180 GROUP BY 1, 2"))
 def p2_grid_cells(spark, d):
     cells = sp.grid_cells(spark, (0.0, 90.0, 50.0, 180.0), 15.0)
-    return i.points(spark, d).join(cells, g.in_rect_halfopen("x", "y", F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).groupBy("ix", "iy").agg(F.count("*").alias("n"))
+    return sp.in_blocks(i.points(spark, d), cells).groupBy("ix", "iy").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -823,9 +843,9 @@ def p8_skip_small_blocks(spark, d):
     return sp.skip_small_blocks(m, 200)[0]
 
 
-@query(sql("obs", "SELECT image_id, block, count(*) AS n, round(sum(x - 1), 4) AS sx FROM (SELECT image_id, point_id % 4 AS block, x FROM obs WHERE point_id % 3 = 0) GROUP BY 1, 2"))
+@query(sql("obs", "SELECT image_id, block, count(*) AS n, round(sum(x - 1), 4) AS sx FROM (SELECT image_id, point_id % 4 AS block, x FROM obs WHERE point_id IS NOT NULL) GROUP BY 1, 2"))
 def p9_emit_views(spark, d):
-    obs = i.observations(spark, d).where("point_id % 3 = 0").select("image_id", "point_id", (F.col("point_id") % 4).alias("block"), F.lit(0).alias("tile"), "x", "y", F.lit(1.0).alias("ox"), F.lit(0.0).alias("oy"))
+    obs = i.observations(spark, d).where("point_id IS NOT NULL").select("image_id", "point_id", (F.col("point_id") % 4).alias("block"), F.lit(0).alias("tile"), "x", "y", F.lit(1.0).alias("ox"), F.lit(0.0).alias("oy"))
     tiles = obs.select("image_id", "block", "tile").distinct()
     return sp.emit_views(obs, tiles).groupBy("image_id", "block").agg(F.count("*").alias("n"), F.round(F.sum("vx"), 4).alias("sx"))
 
@@ -893,14 +913,68 @@ def r1_filter_noise(spark, d):
     return lg.filter_noise(i.log_lines(spark, d)).select("job_id", "seq")
 
 
-@query(sql("lines", "SELECT job_id, seq, regexp_extract(line, '-> (\\d+) kept', 1) AS kept FROM lines WHERE regexp_matches(line, '-> \\d+ kept / \\d+ dropped')"))
-def r2_parse_events(spark, d):
-    return lg.parse_events(i.log_lines(spark, d), "frames").where("kept IS NOT NULL").select("job_id", "seq", "kept")
-
-
-@query(sql("lines", "SELECT job_id, coalesce(sum(try_cast(nullif(regexp_extract(line, '-> (\\d+) kept', 1), '') AS BIGINT)), 0)::BIGINT AS kept, coalesce(sum(try_cast(nullif(regexp_extract(line, '/ (\\d+) dropped', 1), '') AS BIGINT)), 0)::BIGINT AS dropped, max_by(regexp_extract(line, '\\[(\\d)/9\\]', 1), seq) FILTER (WHERE line LIKE '########%') AS cur FROM lines GROUP BY 1"))
-def r4_running_counters(spark, d):
-    return lg.counters(i.log_lines(spark, d), "frames", ["job_id"]).select("job_id", "kept", "dropped", "cur")
+def _x(pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract(line, '{pattern}', {group}), '')"
+
+
+def _is(pattern: str, value: str) -> str:
+    return f"CASE WHEN regexp_matches(line, '{pattern}') THEN '{value}' END"
+
+
+_BAR = "CASE WHEN contains(line, 'Training') THEN nullif(regexp_extract(line, '(\\d+)/(\\d+)\\s*\\[', {}), '') END"
+_FEW = {
+    "total": f"coalesce({_x('^.(\\d+)/(\\d+). .+$', 2)}, {_x('^Images: (\\d+) under', 1)})", "out_dir": _x("^Images: \\d+ under (.+)$"), "cur": _x("^\\[(\\d+)/\\d+\\] .+$"), "written": _x("^Done. processed=(\\d+)"), "skipped": _x("^Done.* skipped=(\\d+)$"),
+    "phase": "CASE WHEN line LIKE 'Done. processed=%' THEN '完成' WHEN line LIKE 'Images: % under %' THEN '推論中' END",
+}
+#: The fields of each kind's lines, in DuckDB.
+FIELDS = {
+    "frames": {"total": f"coalesce({_x('# .(\\d+)/(\\d+).', 2)}, {_x('Found (\\d+) video')})", "cur": _x("# .(\\d+)/"), "kept": _x("(\\d+) kept"), "dropped": _x("(\\d+) dropped")},
+    "train": {
+        "iter": f"coalesce({_x('ITER (\\d+)')}, {_x('(\\d+)/\\d+ . Loss:')}, {_BAR.format(1)})", "total": f"coalesce({_x('/(\\d+) . Loss:')}, {_BAR.format(2)})", "loss": _x("(?i)loss[=:] ?([0-9.]+)"), "complete": _is("Training complete", "yes"),
+        "phase": "CASE WHEN line LIKE 'Training complete%' THEN '完成' WHEN line LIKE 'Training%' OR contains(line, '| Loss:') THEN '訓練中' WHEN contains(line, 'train cameras') THEN '載入訓練相機' WHEN contains(line, 'test cameras') THEN '載入測試相機' WHEN contains(line, 'Loading COLMAP') THEN '載入資料集' WHEN contains(line, 'checkpoint') THEN '存 checkpoint' END",
+    },
+    "mesh": {
+        "vertices": _x("post: (\\d+)"), "mesh_path": _x("^.mesh. result: (.+)$"), "mesh_scaled_path": _x("^.mesh. scaled result: (\\S+)"), "mm_per_unit": _x("unit=([0-9.]+)"), "texture_obj": _x("^.texture. obj: (.+)$"), "texture_glb": _x("^.texture. glb: (.+)$"),
+        "texture_obj_mm": _x("scaled obj: (.+)$"), "texture_glb_mm": _x("scaled glb: (.+)$"), "texture_atlas": _x("atlas: (.+)$"),
+        "phase": "CASE WHEN contains(line, 'scaled result') THEN '已縮放 (mm)' WHEN contains(line, '12 cameras') THEN '載入相機' WHEN contains(line, 'Extracting') THEN '抽取 mesh' WHEN contains(line, 'pass 1') THEN '合併貼圖' END",
+    },
+    "gcs": {"copied": _is("^Copying", "copy"), "objects": _x("over (\\d+) objects"), "size": _x("objects/([0-9.]+ MiB)"), "phase": "CASE WHEN contains(line, 'completed') THEN '完成' WHEN contains(line, 'Copying') THEN '下載中' WHEN contains(line, 'synchronization') THEN '比對差異中' END"},
+    "depth": _FEW,
+    "matte": _FEW | {"boxes": _x("boxes=(\\d+)"), "empty": _is("no boxes", "empty")},
+    "blocksplit": {"blocks": _x("(block_\\d+_\\d+)"), "views": _x("(\\d+) views")},
+}
+_LAST = "max_by({0}, seq) FILTER (WHERE {0} IS NOT NULL)"
+_SUM, _COUNT, _LIST = "coalesce(sum({0}::BIGINT), 0)::BIGINT", "count({0})", "coalesce(string_agg({0}, '|' ORDER BY seq), '')"
+_FIRST = "coalesce(string_agg({0}, '|' ORDER BY seq) FILTER (WHERE nth = 1 AND blocks IS NOT NULL), '')"
+#: How they add up, in DuckDB, where it is not the last value.
+ADDED = {
+    "kept": _SUM, "dropped": _SUM, "complete": "bool_or({0} IS NOT NULL)", "texture_atlas": _LIST, "copied": _COUNT, "boxes": _SUM, "empty": _COUNT, "blocks": _FIRST, "views": _FIRST,
+    "gcs phase": "coalesce(max_by(phase, seq) FILTER (WHERE phase <> '比對差異中'), max(phase))",
+}
+
+
+def _register(kind: str) -> None:
+    fields = FIELDS[kind]
+    parsed = ", ".join(f"{v} AS {k}" for k, v in fields.items())
+    source = f"+p AS (SELECT job_id, seq, {parsed} FROM {kind}_lines)"
+
+    def r2(spark, d):
+        return lg.parse_events(i.kind_lines(spark, d, kind), kind).select("job_id", "seq", *fields)
+
+    def r4(spark, d):
+        found = lg.counters(i.kind_lines(spark, d, kind), kind, ["job_id"])
+        return found.select("job_id", *[F.array_join(k, "|").alias(k) if v.startswith("array") else F.col(k) for k, v in found.dtypes if k != "job_id"])
+
+    if "blocks" in fields:
+        source += ", q AS (SELECT *, row_number() OVER (PARTITION BY job_id, blocks ORDER BY seq) AS nth FROM p)"
+    added = ", ".join(ADDED.get(f"{kind} {k}", ADDED.get(k, _LAST)).format(k) + f" AS {k}" for k in fields)
+    r2.__name__, r4.__name__ = f"r2_parse_events_{kind}", f"r4_running_counters_{kind}"
+    query(sql(f"{kind}_lines", f"{source} SELECT job_id, seq, {', '.join(fields)} FROM p"))(r2)
+    query(sql(f"{kind}_lines", f"{source} SELECT job_id, {added} FROM {'q' if 'blocks' in fields else 'p'} GROUP BY job_id"))(r4)
+
+
+for _kind in FIELDS:
+    _register(_kind)
 
 
 @query(sql("lines", "+m AS (SELECT *, CASE WHEN contains(line, 'feature_extractor') THEN 'extract' WHEN contains(line, 'exhaustive_matcher') THEN 'match' WHEN contains(line, 'colmap mapper') THEN 'mapper' END AS s FROM lines), h AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS stage FROM m), c AS (SELECT *, coalesce(lag(stage) OVER (PARTITION BY job_id ORDER BY seq) <> stage, true)::INT AS nw FROM h WHERE stage IS NOT NULL), r AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT job_id, stage, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_lines FROM r GROUP BY job_id, run, stage"))
@@ -908,7 +982,12 @@ def w9_stage_timeline(spark, d):
     return lg.stage_timeline(i.log_lines(spark, d)).select("job_id", "stage", "first_seq", "last_seq", "n_lines")
 
 
-@query()
+@query(sql("lines", """+e AS (SELECT job_id, seq, contains(line, 'done. workspace=') AS done, line = 'skip simplify' AS skip, CASE WHEN contains(line, 'feature_extractor') THEN 'extract' WHEN contains(line, 'exhaustive_matcher') THEN 'match' WHEN contains(line, 'colmap mapper') THEN 'mapper' END AS start FROM lines),
+  s AS (SELECT job_id, seq, start, lead(start) OVER (PARTITION BY job_id ORDER BY seq) AS nxt FROM e WHERE start IS NOT NULL), c AS (SELECT job_id, max(seq) AS closed FROM e WHERE done GROUP BY 1),
+  l AS (SELECT job_id, start AS stage, max(seq) AS pos, max_by(coalesce(nxt, ''), seq) AS nxt FROM s GROUP BY 1, 2),
+  r AS (SELECT job_id, stage, CASE WHEN nxt = '' AND closed > pos THEN closed ELSE pos END AS pos, CASE WHEN nxt <> '' OR closed > pos THEN 'done' ELSE 'running' END AS status FROM l LEFT JOIN c USING (job_id)
+    UNION ALL SELECT job_id, 'simplify', max(seq), 'skipped' FROM e WHERE skip GROUP BY 1)
+  SELECT job_id, stage, max_by(status, pos) AS status FROM r GROUP BY 1, 2"""))
 def r3_stage_status(spark, d):
     return lg.stage_status(i.log_lines(spark, d))
 
@@ -947,7 +1026,76 @@ def s3_scores_from_log(spark, d):
     return scores_from_log(e.select("video", "seq", "line"), e.select("video", "file")).select("video", F.col("nth").cast("long"), "score")
 
 
-@query(sql("listing", "SELECT key FROM listing WHERE regexp_matches(key, '(?i)\\.(jpe?g|png|tiff?)$') OR key LIKE '%.html'"))
+@query(sql("images", "SELECT key FROM (SELECT regexp_replace(name, 'jpg$', CASE image_id % 5 WHEN 0 THEN 'JPG' WHEN 1 THEN 'png' WHEN 2 THEN 'jpg.txt' WHEN 3 THEN 'tiff' ELSE 'gif' END) AS key FROM images) WHERE lower(split_part(key, '.', -1)) IN ('jpg', 'jpeg', 'png', 'tif', 'tiff')"))
 def s9_list_images(spark, d):
-    own = i.listing(spark, d)
-    return ls.list_images(own).select("key").unionByName(own.where(F.col("key").endswith(".html")).select("key"))
+    kind = F.when(F.col("image_id") % 5 == 0, "JPG").when(F.col("image_id") % 5 == 1, "png").when(F.col("image_id") % 5 == 2, "jpg.txt").when(F.col("image_id") % 5 == 3, "tiff").otherwise("gif")
+    return ls.list_images(i.images(spark, d).select(F.concat(F.expr("left(name, length(name) - 3)"), kind).alias("key"))).select("key")
+
+
+# ---------------------------------------------------------------- written and read back
+
+
+def _model_text(spark, d):
+    """Images and observations as the lines of a text model: two for each image, the second may be empty."""
+    im = i.images(spark, d)
+    obs = i.observations(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("x", "y", F.coalesce("point_id", F.lit(-1)).alias("p")))).alias("o"))
+    body = F.array_join(F.transform("o", lambda o: F.concat_ws(" ", o["x"].cast("string"), o["y"].cast("string"), o["p"].cast("string"))), " ")
+    head = F.concat_ws(" ", F.col("image_id").cast("string"), F.lit("1 0 0 0 0.5 0.25 0.125"), F.col("camera_id").cast("string"), "name")
+    return im.join(obs, "image_id", "left").select(F.concat(head, F.lit("\n"), F.coalesce(body, F.lit(""))).alias("value"))
+
+
+@query(sql("images obs", "SELECT i.image_id, i.camera_id, i.name, count(o.x) AS n, count(o.point_id) AS registered, coalesce(round(sum(o.x), 6), 0) AS sx, coalesce(round(sum(o.y), 6), 0) AS sy FROM images i LEFT JOIN obs o USING (image_id) GROUP BY 1, 2, 3"))
+def s1_read_images(spark, d):
+    from reconspark.sources.readers import read_images
+
+    path = i.scratch(spark)
+    _model_text(spark, d).write.text(path)
+    poses, obs = read_images(spark, path)
+    sums = obs.groupBy("image_id").agg(F.count("*").alias("n"), F.count("point_id").alias("registered"), F.round(F.sum("x"), 6).alias("sx"), F.round(F.sum("y"), 6).alias("sy"))
+    return poses.join(sums, "image_id", "left").select("image_id", "camera_id", "name", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n", "registered", "sx", "sy")])
+
+
+@query("SELECT 'img_' || o_orderkey AS stem, o_totalprice AS easting, o_custkey::DOUBLE AS northing, 1.5::DOUBLE AS height, (o_custkey % 3)::DOUBLE AS omega, 0.0::DOUBLE AS phi, (o_custkey % 90)::DOUBLE AS kappa FROM orders")
+def s2_read_eo_csv(spark, d):
+    from reconspark.sources.readers import read_eo_csv
+
+    path, k = i.scratch(spark), F.col("o_custkey")
+    text = [F.concat(F.lit("img_"), F.col("o_orderkey").cast("string"), F.lit(".JPG")), F.col("o_totalprice"), k, F.lit("1.5"), k % 3, F.lit(0), k % 90]
+    names = ["Image ID", "EASTING", "Northing ", "Ellipsoid Height", "Omega", "PHI", "kappa"]
+    t(spark, d, "orders").select(*[v.cast("string").alias(n) for v, n in zip(text, names)]).write.csv(path, header=True)
+    return read_eo_csv(spark, path)
+
+
+@query(sql("frames", "+" + W1 + " SELECT video::VARCHAR AS video, name, decision FROM decided"))
+def s6_frame_report(spark, d):
+    from reconspark.sources.readers import write_frame_report
+
+    path = i.scratch(spark)
+    write_frame_report(_selected(spark, d), path)
+    return spark.read.csv(f"{path}/frames", header=True, schema="video string, name string, score string, decision string").select("video", "name", "decision")
+
+
+@query(sql("pts", f"+{BLOCKS} SELECT point_id, block FROM pts JOIN b ON x >= x0 - 3 AND x < x1 + 3 AND y >= y0 - 3 AND y < y1 + 3"))
+def s7_write_blocks(spark, d):
+    from reconspark.sources.readers import write_blocks
+
+    path, blocks = i.scratch(spark), _blocks(spark)
+    write_blocks({"points": sp.assign_points(i.points(spark, d), blocks, 3.0).select("point_id", "block")}, blocks, path)
+    return spark.read.parquet(f"{path}/points").select("point_id", F.col("block").cast("long").alias("block"))
+
+
+@query(sql("lines", "SELECT job_id, max(seq) AS seq, true AS ended, CASE WHEN job_id::BIGINT % 3 = 0 THEN 'failed' ELSE 'done' END AS last_stage FROM lines WHERE NOT contains(line, 'done. workspace=') GROUP BY 1"))
+def r6_end_detection(spark, d):
+    """The stage machine as a stream: lines, and after them the records of finished jobs, each named by its last line."""
+    from reconspark.streaming.logs import stage_machine
+
+    path, lines = i.scratch(spark), i.log_lines(spark, d).where(~lg.is_done("line"))  # no closing banners, so every last stage still runs
+    lines.select("job_id", "seq", "line").write.parquet(f"{path}/lines")
+    status = F.when(F.col("job_id").cast("long") % 3 == 0, "failed").otherwise("done")
+    lines.groupBy("job_id").agg(F.max("seq").alias("last_seq")).withColumn("status", status).write.parquet(f"{path}/jobs")
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{path}/{name}")
+    found = stage_machine(read("lines", "job_id string, seq long, line string"), read("jobs", "job_id string, last_seq long, status string"))
+    done = found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    last = F.regexp_extract("statuses", r"(?:^|,)(?:extract|match|mapper)=(failed)", 1)
+    return spark.read.parquet(f"{path}/out").where("ended").select("job_id", "seq", "ended", F.when(last == "failed", "failed").otherwise("done").alias("last_stage"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reconspark.operators.jobs import settle_stale
@@ -43,15 +43,22 @@ def read_points(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """images.txt: poses, and observations (image_id, idx, x, y, point_id; -1 becomes null).
 
-    An image is a pair of lines, the second of which may be empty.  Files are read whole (one model's text each), split to
-    pairs in the row, so that no line order across partitions is needed.
+    An image is a pair of lines, the second of which may be empty.  Files are read by line and split like any other: a line's
+    place is the file, the offset of its split, and its order within the split; lines are counted per split, and
+    pairs are made by their number in the file.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = F.filter(F.split("value", r"\r?\n"), lambda v: ~v.startswith("#"))
-    pairs = whole.select("file", lines.alias("l")).select("file", F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - 1, F.lit(2)), lambda i: F.struct(F.get("l", i).alias("head"), F.get("l", i + 1).alias("body")))).alias("p")).where("trim(p.head) <> ''")
-    h = F.split(F.trim("p.head"), r"\s+", 10)
+    # The text reader hands out a split's lines in order, so these ids grow along it.
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("order"))
+    lines = lines.where(~F.col("value").startswith("#"))
+    counts = lines.groupBy("file", "split").agg(F.count("*").alias("n"))
+    before = counts.select("file", "split", (F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "split").orderBy("order")) - 1
+    placed = lines.withColumn("place", place).join(before, ["file", "split"]).withColumn("nth", F.col("place") + F.col("before"))
+    text = lambda odd: F.max(F.when(F.col("nth") % 2 == odd, F.col("value")))
+    pairs = placed.groupBy("file", F.floor(F.col("nth") / 2).alias("pair")).agg(text(0).alias("head"), text(1).alias("body")).where("trim(head) <> ''")
+    h = F.split(F.trim("head"), r"\s+", 10)
     names = ["qw", "qx", "qy", "qz", "tx", "ty", "tz"]
-    heads = pairs.select("file", "p.body", h.alias("h")).select("file", "body", F.col("h")[0].cast("long").alias("image_id"), *[F.col("h")[i + 1].cast("double").alias(n) for i, n in enumerate(names)], F.col("h")[8].cast("long").alias("camera_id"), F.col("h")[9].alias("name"))
+    heads = pairs.select("file", "body", h.alias("h")).select("file", "body", F.col("h")[0].cast("long").alias("image_id"), *[F.col("h")[i + 1].cast("double").alias(n) for i, n in enumerate(names)], F.col("h")[8].cast("long").alias("camera_id"), F.col("h")[9].alias("name"))
     b = F.filter(F.split(F.coalesce("body", F.lit("")), r"\s+"), lambda v: v != "")
     obs = heads.select("file", "image_id", b.alias("b")).where(F.size("b") >= 3)
     obs = obs.select("file", "image_id", "b", F.posexplode(F.sequence(F.lit(0), F.size("b") - 3, F.lit(3))).alias("idx", "at"))
@@ -80,8 +87,6 @@ def read_eo_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def scores_from_log(lines: DataFrame, frames: DataFrame, key: str = "video", seq: str = "seq", line: str = "line") -> DataFrame:
     """The n-th score of a log is the n-th frame's; an unreadable one is NaN.  Counts that differ are an error, never a shift."""
-    from pyspark.sql import Window
-
     per = Window.partitionBy(key)
     text = F.regexp_extract(c(line), r"(?i)\bblur:\s*(\S+)", 1)
     scored = lines.where(c(line).contains("blurdetect") & (text != "")).select(key, F.coalesce(text.try_cast("double"), F.lit(float("nan"))).alias("score"), F.row_number().over(per.orderBy(seq)).alias("nth"))
@@ -118,7 +123,20 @@ def tail_logs(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame
 
 def last_bytes(lines: DataFrame, n_bytes: int, key: str = "job_id", seq: str = "seq", line: str = "line") -> DataFrame:
     """The lines of each job that lie in its last ``n_bytes`` bytes, line ends included."""
-    from pyspark.sql import Window
-
     back = Window.partitionBy(key).orderBy(F.desc(seq)).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("_b", F.sum(F.octet_length(line) + 1).over(back)).where(F.col("_b") <= n_bytes).drop("_b")
+
+
+def replay_then_follow(spark: SparkSession, path: str, n_bytes: int, seen_path: str, schema: str = "job_id string, seq long, ts timestamp, line string", max_files: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The last ``n_bytes`` of each job's log now, and a stream of the lines after them.
+
+    A log is a folder of JSON lines files that only grows.  What is there now is noted as the last line number of each job
+    (a table at ``seen_path``, in the shared folder); the stream reads the folder a bounded number of files a batch and
+    passes on lines beyond it, so nothing is lost or sent twice between the two.
+    """
+    now = spark.read.schema(schema).json(path)
+    now.groupBy("job_id").agg(F.max("seq").alias("seen")).write.parquet(seen_path)
+    seen = spark.read.parquet(seen_path)
+    past = now.join(seen, "job_id").where(F.col("seq") <= F.col("seen")).drop("seen")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path)
+    return last_bytes(past, n_bytes), stream.join(seen, "job_id", "left").where(F.col("seen").isNull() | (F.col("seq") > F.col("seen"))).drop("seen")

@@ -1,21 +1,21 @@
 """Live job status from console lines: Structured Streaming twins of the batch log operators.
 
 Lines are keyed by job and carry a sequence number; duplicates within the watermark are dropped, and within a
-micro-batch a job's lines are taken in sequence order.
+micro-batch a job's lines are taken in sequence order.  The rules that read a line are those of the batch
+operators: they run as columns before any state is touched.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconspark.operators.logs import BANNER, STAGE_MARKERS, STAGES, filter_noise, parse_events
+from reconspark.operators.logs import counters, filter_noise, is_done, skipped_stage, stage_of
 
-STATE = "current string, statuses string, signature string"
+STATE = "stage string, statuses string, sent string, seen long, last_seq long, outcome string"
 OUTPUT = "job_id string, seq long, stage string, statuses string, ended boolean"
 
 
@@ -25,59 +25,82 @@ def clean_lines(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def running_counters(lines: DataFrame, kind: str) -> DataFrame:
-    """Sums and last values per job, for update mode."""
-    parsed = parse_events(lines, kind)
-    if kind == "frames":
-        return parsed.groupBy("job_id").agg(F.coalesce(F.sum(F.col("kept").cast("long")), F.lit(0)).alias("kept"), F.coalesce(F.sum(F.col("dropped").cast("long")), F.lit(0)).alias("dropped"), F.max_by("cur", F.when(F.col("cur").isNotNull(), F.col("seq"))).alias("cur"))
-    if kind == "gcs":
-        return parsed.groupBy("job_id").agg(F.count("copied").alias("copied"), F.max("objects").alias("objects"))
-    if kind == "matte":
-        return parsed.groupBy("job_id").agg(F.coalesce(F.sum(F.col("boxes").cast("long")), F.lit(0)).alias("boxes"), F.count("empty").alias("empty"))
-    if kind == "blocksplit":
-        return parsed.groupBy("job_id").agg(F.collect_set("block").alias("blocks"))
-    return parsed.groupBy("job_id").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f) for f in parsed.columns if f not in lines.columns])
-
-
-def step(current: str, statuses: dict[str, str], line: str) -> tuple[str, dict[str, str], bool]:
-    """One line of the stage machine: the stage that runs, the status of each stage, whether the job has ended."""
-    skip = re.match(r"\s*skip (\w+)", line)
-    if skip and skip[1] in STAGES:
-        return current, statuses | {skip[1]: "skipped"}, False
-    if not re.match(BANNER, line):
-        return current, statuses, False
-    if "done. workspace=" in line:
-        return current, statuses | ({current: "done"} if current else {}), True
-    started = next((stage for pattern, stage in STAGE_MARKERS if re.search(pattern, line)), None)
-    if started is None:
-        return current, statuses, False
-    if current and current != started and statuses.get(current) == "running":
-        statuses = statuses | {current: "done"}
-    return started, statuses | {started: "running"}, False
+    """What each job's lines amount to so far, for update mode: the batch aggregates."""
+    return counters(lines, kind, ["job_id"])
 
 
 def write_statuses(statuses: dict[str, str]) -> str:
     return ",".join(f"{k}={v}" for k, v in sorted(statuses.items()))
 
 
+class JobState:
+    """Stages of one job: folds events that the batch columns have read."""
+
+    def __init__(self, stored: tuple | None):
+        self.stage, statuses, self.sent, self.seen, self.last_seq, self.outcome = stored or ("", "", "", -1, None, None)
+        self.statuses = dict(x.split("=") for x in statuses.split(",") if x)
+
+    def close(self, status: str) -> None:
+        """The stage that runs, if any, has ended so."""
+        if self.statuses.get(self.stage) == "running":
+            self.statuses[self.stage] = status
+
+    def fold(self, start: str | None, skip: str | None, done: bool) -> None:
+        if skip:
+            self.statuses[skip] = "skipped"
+        elif done:
+            if self.stage:
+                self.statuses[self.stage] = "done"
+        elif start:
+            if start != self.stage:
+                self.close("done")
+            self.stage, self.statuses[start] = start, "running"
+
+    def drained(self) -> bool:
+        """Whether the job has finished and all its lines have been seen."""
+        return self.outcome is not None and self.seen >= self.last_seq
+
+    def stored(self) -> tuple:
+        return self.stage, write_statuses(self.statuses), self.sent, self.seen, self.last_seq, self.outcome
+
+
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    current, text, signature = state.get if state.exists else ("", "", "")
-    statuses = dict(x.split("=") for x in text.split(",") if x)
-    rows, ended = [], False
-    batch = pd.concat(list(frames))
-    for line, seq in batch.sort_values("seq")[["line", "seq"]].itertuples(index=False):
-        current, statuses, over = step(current, statuses, line or "")
-        ended = ended or over
-        now = f"{current}|{write_statuses(statuses)}|{over}"
-        if now != signature:  # a change feed: only what differs is sent
-            rows.append((key[0], int(seq), current, write_statuses(statuses), over))
-            signature = now
-    if ended:
-        state.remove()  # the job's end: nothing more is kept
+    job, rows = JobState(state.get if state.exists else None), []
+
+    def send(seq: int, ended: bool) -> None:
+        now = f"{job.stage}|{write_statuses(job.statuses)}|{ended}"
+        if now != job.sent:  # a change feed: only what differs is sent
+            rows.append((key[0], seq, job.stage, write_statuses(job.statuses), ended))
+            job.sent = now
+
+    # Null texts of pandas are None or NaN.
+    for seq, start, skip, done, outcome in pd.concat(list(frames)).sort_values("seq")[["seq", "start", "skip", "done", "outcome"]].astype(object).itertuples(index=False):
+        if isinstance(outcome, str):
+            job.outcome, job.last_seq = outcome, int(seq)
+            continue
+        job.seen = max(job.seen, int(seq))
+        job.fold(start if isinstance(start, str) else None, skip if isinstance(skip, str) else None, bool(done))
+        send(int(seq), False)
+    if job.drained():
+        job.close("done" if job.outcome == "done" else "failed")
+        send(job.seen, True)
+        state.remove()  # finished and drained: nothing more is kept
     else:
-        state.update((current, write_statuses(statuses), signature))
+        state.update(job.stored())
     yield pd.DataFrame(rows, columns=["job_id", "seq", "stage", "statuses", "ended"])
 
 
-def stage_machine(lines: DataFrame) -> DataFrame:
-    """A row for every change of a job's stages; state is kept per job until its closing banner."""
-    return lines.select("job_id", "seq", "line").groupBy("job_id").applyInPandasWithState(_advance, OUTPUT, STATE, "append", "NoTimeout")
+def stage_machine(lines: DataFrame, finished: DataFrame | None = None) -> DataFrame:
+    """A row for every change of a job's stages, batch or stream.
+
+    ``finished(job_id, last_seq, status)`` says that a job has ended with a status (done, failed, cancelled) and which line is its last.
+    A job ends when it has finished and its log is drained, in whichever order the two arrive; then a stage that still runs is
+    done or failed, the row says ``ended``, and the state is dropped.  A closing banner alone ends nothing: lines may follow.
+    """
+    none = F.lit(None).cast("string")
+    # The last line of each batch counts as seen even if it bears on no stage, so all lines are passed on, but not their text.
+    done = F.coalesce(is_done("line"), F.lit(False))
+    rows = lines.select("job_id", F.col("seq").cast("long").alias("seq"), F.when(~done, stage_of("line")).alias("start"), skipped_stage("line").alias("skip"), done.alias("done"), none.alias("outcome"))
+    if finished is not None:
+        rows = rows.unionByName(finished.select("job_id", F.col("last_seq").cast("long").alias("seq"), none.alias("start"), none.alias("skip"), F.lit(False).alias("done"), F.col("status").alias("outcome")))
+    return rows.groupBy("job_id").applyInPandasWithState(_advance, OUTPUT, STATE, "append", "NoTimeout")

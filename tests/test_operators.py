@@ -301,14 +301,173 @@ def test_stages_batch_equals_stream(spark, tmp_path):
     assert last == {j: sl.write_statuses({s: v for (k, s), v in batch.items() if k == j}) for j in ("a", "b")}
 
 
-def test_counters_stream_equals_batch(spark, tmp_path):
-    lines = [("j", k, datetime(2026, 1, 1), t) for k, t in enumerate(["-> 3 kept / 1 dropped", "x", "######## [2/5]", "-> 4 kept / 0 dropped"])]
-    schema = "job_id string, seq long, ts timestamp, line string"
-    df = spark.createDataFrame(lines, schema)
-    df.write.parquet(str(tmp_path / "in"))
-    q = sl.running_counters(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "frames").writeStream.outputMode("update").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert rows(spark.table("counts")) == rows(lg.counters(df, "frames", ["job_id"]).select("job_id", "kept", "dropped", "cur")) == [("j", 7, 1, "2")]
+def run_stream(df, mode="append"):
+    """What a stream has written when its source is used up: all rows of each batch, in order."""
+    out = []
+    q = df.writeStream.outputMode(mode).foreachBatch(lambda batch, k: out.extend(batch.collect())).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return out
+
+
+def test_a_job_ends_when_it_has_finished_and_its_log_is_drained(spark, tmp_path):
+    lines, jobs = str(tmp_path / "lines"), str(tmp_path / "jobs")
+    put = lambda path, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    log, job = "job_id string, seq long, line string", "job_id string, last_seq long, status string"
+    state = str(tmp_path / "state")
+
+    def turn():
+        got = []
+        found = sl.stage_machine(spark.readStream.schema(log).parquet(lines), spark.readStream.schema(job).parquet(jobs))
+        q = found.writeStream.foreachBatch(lambda b, k: got.extend(b.collect())).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return [(r.job_id, r.seq, r.statuses, r.ended) for r in sorted(got, key=lambda r: (r.job_id, r.seq, r.ended))]
+
+    put(lines, [("a", 0, LOG[0]), ("a", 1, LOG[-1]), ("b", 0, LOG[0])], log)
+    put(jobs, [("b", 2, "failed")], job)
+    # The closing banner alone ends nothing, nor does the record of a job whose lines are still to come.
+    assert turn() == [("a", 0, "extract=running", False), ("a", 1, "extract=done", False), ("b", 0, "extract=running", False)]
+    put(lines, [("a", 2, "=== [12:05:00] colmap mapper again"), ("b", 1, "x"), ("b", 2, "last words")], log)
+    assert turn() == [("a", 2, "extract=done,mapper=running", False), ("b", 2, "extract=failed", True)]
+    put(jobs, [("a", 2, "done")], job)
+    assert turn() == [("a", 2, "extract=done,mapper=done", True)]
+
+
+#: Lines of each kind and what they amount to, by hand.
+KINDS = {
+    "frames": (["Found 3 video", "######## [1/3] a", "-> 3 kept / 1 dropped", "x", "######## [2/4]", "-> 4 kept / 0 dropped"], {"total": "4", "cur": "2", "kept": 7, "dropped": 1}),
+    "train": (["Loading train cameras: 3/245 [00:01", "Training progress: 10/30000 [00:01, Loss=0.5]", "20/7000 | Loss: 0.25 | Splats: 1", "[ITER 30] 1/2 | Loss: 0.2", "Training complete!"], {"iter": "30", "total": "2", "loss": "0.2", "complete": True, "phase": "完成"}),
+    "mesh": (
+        ["Found 5 cameras", "Num vertices post: 12", "[mesh] result: /m.ply", "[mesh] scaled result: /mm.ply mm_per_unit=2.5", "[texture] obj: /t.obj", "[texture] scaled obj: /tm.obj", "[texture] glb: /t.glb", "[texture] scaled glb: /tm.glb", "[texture] atlas: /1.png", "[texture] atlas: /0.png", "View selection"],
+        {"vertices": "12", "mesh_path": "/m.ply", "mesh_scaled_path": "/mm.ply", "mm_per_unit": "2.5", "texture_obj": "/t.obj", "texture_obj_mm": "/tm.obj", "texture_glb": "/t.glb", "texture_glb_mm": "/tm.glb", "texture_atlas": ["/1.png", "/0.png"], "phase": "貼圖:選視角"},
+    ),
+    "gcs": (["Building synchronization state...", "Copying gs://a", "Starting synchronization", " Downloading b"], {"copied": 2, "objects": None, "size": None, "phase": "下載中"}),
+    "depth": (["Images: 9 under /d x", "[1/8] a.jpg", "Done. processed=7 skipped=1"], {"total": "8", "out_dir": "/d x", "cur": "1", "written": "7", "skipped": "1", "phase": "完成"}),
+    "matte": (["Images: 9 under /d", "[1/9] a.jpg boxes=2", "[2/9] b boxes=3", "[warn] no boxes: c"], {"total": "9", "out_dir": "/d", "cur": "2", "written": None, "skipped": None, "phase": "推論中", "boxes": 5, "empty": 1}),
+    "blocksplit": (["[blocksplit] block_1_0: 3 images → 40 views", "[blocksplit] block_0_0: 2 → 10 views", "[blocksplit] block_1_0: again → 99 views"], {"blocks": ["block_1_0", "block_0_0"], "views": ["40", "10"]}),
+}
+
+
+@pytest.mark.parametrize("kind", list(KINDS))
+def test_counters_of_each_kind_stream_equals_batch(spark, tmp_path, kind):
+    lines, want = KINDS[kind]
+    df = spark.createDataFrame([("j", k, datetime(2026, 1, 1), x) for k, x in enumerate(lines)], "job_id string, seq long, ts timestamp, line string")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    batch = lg.counters(df, kind, ["job_id"]).first().asDict()
+    assert batch == {"job_id": "j"} | want
+    stream = run_stream(sl.running_counters(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), kind), "update")
+    assert stream[-1].asDict() == batch
+
+
+def test_replay_then_follow(spark, tmp_path):
+    schema, path = "job_id string, seq long, ts timestamp, line string", str(tmp_path / "log")
+    put = lambda *rows: spark.createDataFrame([(j, k, None, x) for j, k, x in rows], schema).write.mode("append").json(path)
+    put(("a", 0, "first line"), ("a", 1, "second"), ("a", 2, "third"), ("b", 0, "only"))
+    past, stream = rd.replay_then_follow(spark, path, 14, str(tmp_path / "seen"))
+    put(("a", 3, "fourth"), ("c", 0, "new job"))
+    assert sorted((r.job_id, r.seq) for r in past.collect()) == [("a", 1), ("a", 2), ("b", 0)]
+    assert sorted((r.job_id, r.seq) for r in run_stream(stream)) == [("a", 3), ("c", 0)]
+
+
+def test_images_are_paired_over_splits(spark, tmp_path):
+    path = tmp_path / "m"
+    path.mkdir()
+    body = "".join(f"{i} 1 0 0 0 1 2 3 1 dir/name {i}.jpg\n" + (" ".join(f"{i}.5 {k} {k - 1}" for k in range(i % 4)) + "\n") for i in range(400))
+    (path / "images.txt").write_text("# a comment\n" + body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        poses, obs = rd.read_images(spark, str(path / "images.txt"))
+        assert sorted((r.image_id, r.name) for r in poses.collect()) == [(i, f"dir/name {i}.jpg") for i in range(400)]
+        assert sorted(rows(obs.select("image_id", "idx", "x", "y", F.coalesce("point_id", F.lit(-1))))) == [(i, k, i + 0.5, float(k), k - 1) for i in range(400) for k in range(i % 4)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_ranks_without_keys(spark, monkeypatch):
+    values = [(k * 7919 % 1000, k) for k in range(1000)] + [(5, 2000), (None, 3000)]
+    df = spark.createDataFrame(values, "v long, k long").repartition(5)
+    want = {k: i for i, (v, k) in enumerate(sorted(values, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
+    for bucket in (10**6, 90):
+        monkeypatch.setattr(fr, "BUCKET", bucket)
+        assert {r.k: r.position for r in fr.ranked(df, [], ["v", "k"]).collect()} == want
+
+
+def test_cull_cameras_gives_the_whole_model(spark):
+    images = spark.createDataFrame([(i, f"n{i}", i % 2, float(i), 0.0, 0.0) for i in range(6)], "image_id long, name string, camera_id long, cx double, cy double, cz double")
+    points = spark.createDataFrame([(0, 0.0, 0.0, 10.0, 1.0), (1, 0.0, 0.0, 500.0, 1.0), (2, 1.0, 0.0, 10.0, 9.0), (3, 5.0, 0.0, 9.0, 1.0), (4, 3.0, 0.0, 90.0, 1.0)], "point_id long, x double, y double, z double, error double")
+    obs = spark.createDataFrame([(0, 0), (1, 0), (0, 1), (1, 1), (0, 2), (1, 2), (5, 3), (4, 3), (2, None), (2, 4), (0, 4), (1, 4), (4, 4)], "image_id long, point_id long")
+    gone = spark.createDataFrame([("n5",)], "name string")
+    out = md.cull_cameras(images, obs, points, gone)
+    assert {r.image_id for r in out["images"].collect()} == {0, 1, 2, 3, 4} and {r.camera_id for r in out["cameras"].collect()} == {0, 1}
+    assert {r.point_id for r in out["points"].collect()} == {0, 4}  # 1: too narrow, 2: error, 3: seen once
+    assert sorted(rows(out["observations"].select("image_id", F.coalesce("point_id", F.lit(-1))))) == sorted([(0, 0), (1, 0), (0, -1), (1, -1), (0, -1), (1, -1), (4, -1), (2, -1), (2, 4), (0, 4), (1, 4), (4, 4)])
+    kept = md.cull_cameras(images, obs, points, gone, filter_points=False)
+    assert {r.point_id for r in kept["points"].collect()} == {0, 1, 2, 3, 4}
+
+
+def test_size_mismatch_lists_missing_files(spark):
+    cams = spark.createDataFrame([(1, 100, 80), (2, 100, 80)], "camera_id long, width int, height int")
+    images = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 2, "c"), (4, 2, "d"), (5, 2, "e")], "image_id long, camera_id long, name string")
+    files = spark.createDataFrame([("a", 50, 40), ("c", 100, 80), ("d", 60, 80), ("e", 100, 80)], "name string, width int, height int")
+    assert sorted((r.image_id, r.problem, r.uniform) for r in md.size_mismatch(cams, images, files).collect()) == [(1, "size", True), (2, "missing", False), (4, "size", False)]
+
+
+def test_fits_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    src = rng.normal(size=(60, 3)) * [5, 2, 1]
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    q *= np.sign(np.linalg.det(q))
+    dst = 2.5 * src @ q.T + [10, -4, 3] + rng.normal(size=src.shape) * 0.01
+    df = spark.createDataFrame([("k", *map(float, s), *map(float, t)) for s, t in zip(src, dst)], "k string, sx double, sy double, sz double, dx double, dy double, dz double").repartition(4)
+    fit = st.umeyama(df, ["k"]).first()
+    r = np.array([[fit[f"r{i}{j}"] for j in range(3)] for i in range(3)])
+    t = np.array([fit[f"t{i}"] for i in range(3)])
+    assert fit.scale == pytest.approx(2.5, abs=0.01) and np.allclose(r, q, atol=0.01) and np.allclose(r @ r.T, np.eye(3))
+    e = fit.scale * src @ r.T + t - dst
+    got = st.prior_residuals(df, ["k"]).first()
+    assert [got.rms_x, got.rms_y, got.rms_z] == pytest.approx(list(np.sqrt((e**2).mean(0)))) and got.largest == pytest.approx(np.linalg.norm(e, axis=1).max()) and got["median"] == pytest.approx(np.median(np.linalg.norm(e, axis=1)))
+    pts = df.select("k", F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dz").alias("z"))
+    b = st.basis(pts, ["k"]).first()
+    v = np.array([[b[f"v{i}{j}"] for j in range(3)] for i in range(3)])
+    w, u = np.linalg.eigh(np.cov(dst.T))
+    assert np.allclose(np.abs(v), np.abs(u[:, ::-1]), atol=1e-6)
+    on = (dst - dst.mean(0)) @ v
+    want = on.max(0) - on.min(0)
+    assert [st.extents(pts, ["k"]).first()[f"extent{i}"] for i in range(3)] == pytest.approx(list(want))
+    assert [st.extents(pts, ["k"], mm_per_unit=2.0, height_axis=1, swap_wd=True, flip_h=True).first()[f"extent{i}"] for i in range(3)] == pytest.approx([2 * want[1], 2 * want[2], 2 * want[0]])
+    assert st.diameter(pts, ["k"]).first().diameter == pytest.approx(max(np.linalg.norm(a - c) for a in dst for c in dst))
+
+
+def test_visibility_and_region_against_plain_hulls(spark):
+    import random
+
+    rng = random.Random(2)
+
+    def area(p):
+        p, out = sorted(set(p)), []
+        for way in (p, p[::-1]):
+            hull = []
+            for q in way:
+                while len(hull) > 1 and (hull[-1][0] - hull[-2][0]) * (q[1] - hull[-2][1]) - (hull[-1][1] - hull[-2][1]) * (q[0] - hull[-2][0]) <= 0:
+                    hull.pop()
+                hull.append(q)
+            out += hull[:-1]
+        return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(out, out[1:] + out[:1]))) / 2 if len(out) > 2 else 0.0
+
+    points = [(k, rng.uniform(0, 30), rng.uniform(0, 30)) for k in range(80)]
+    obs = [(i, k, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(12) for k in rng.sample(range(80), 15)]
+    centers = [(i, rng.uniform(0, 30), rng.uniform(0, 30)) for i in range(12)]
+    region, buffer = (5.0, 5.0, 18.0, 20.0), 1.0
+    inside = {k for k, x, y in points if 4 <= x <= 19 and 4 <= y <= 21}
+    want = {}
+    for i, x, y in centers:
+        whole, part = area([(a, b) for j, _, a, b in obs if j == i]), area([(a, b) for j, k, a, b in obs if j == i and k in inside])
+        by = (5 <= x <= 18 and 5 <= y <= 20, whole > 0 and part / whole >= 1 / 6)
+        if any(by):
+            want[i] = by
+    found = sp.select_region_images(spark.createDataFrame(centers, "image_id long, x double, y double"), spark.createDataFrame(obs, "image_id long, point_id long, x double, y double"), spark.createDataFrame(points, "point_id long, x double, y double"), region, buffer)
+    assert {r.image_id: (r.by_center, r.by_visibility) for r in found.collect()} == want
 
 
 def test_listings(spark):
