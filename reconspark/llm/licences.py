@@ -75,8 +75,10 @@ def passages(text: F.Column) -> F.Column:
 
 
 def scored_passages(said: DataFrame) -> DataFrame:
-    """(statement, licence, score) of each of ``said(statement)``, which are distinct: its best template at THRESHOLD or more."""
-    terms = said.select("statement", F.explode(tokens(F.col("statement"))).alias("term")).groupBy("statement", "term").agg(F.count("*").alias("tf"))
+    """(sid, licence, score) of each of ``said(sid, statement)``, which are distinct: its best template at THRESHOLD or more.
+
+    Only the name sid of a passage moves with its terms, not its text."""
+    terms = said.select("sid", F.explode(tokens(F.col("statement"))).alias("term")).groupBy("sid", "term").agg(F.count("*").alias("tf"))
     template = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(n).alias("licence"), F.lit(b).alias("body")) for i, (n, b) in enumerate(TEMPLATES)])
     known = said.sparkSession.range(1).select(F.explode(template).alias("t")).select("t.*")
     known_terms = known.select("template", "licence", F.explode(tokens(F.col("body"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("template_tf"))
@@ -85,15 +87,15 @@ def scored_passages(said: DataFrame) -> DataFrame:
     n = said.count() + len(TEMPLATES)
     idf = df.select("term", (F.log(F.lit(float(n)) / F.col("df")) + 1).alias("idf"))
     weighed = stored(terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")))
-    norms = weighed.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norms = weighed.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     template = known_terms.join(idf, "term").withColumn("tw", F.col("template_tf") * F.col("idf"))
     template_norms = template.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("template_norm"))
     template = template.join(template_norms, "template").select("template", "licence", "term", (F.col("tw") / F.col("template_norm")).alias("tw"))
     # The templates are a constant, so their vectors are of a fixed size.
-    dots = weighed.join(F.broadcast(template), "term").groupBy("statement", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    cosine = dots.join(norms, "statement").withColumn("score", F.bround(F.col("dot") / F.col("norm"), 6))
-    best = cosine.groupBy("statement").agg(F.max_by(F.struct("licence", "score"), F.struct(F.col("score"), -F.col("template"))).alias("best"))
-    return best.select("statement", "best.licence", "best.score").where(F.col("score") >= THRESHOLD)
+    dots = weighed.join(F.broadcast(template), "term").groupBy("sid", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    cosine = dots.join(norms, "sid").withColumn("score", F.bround(F.col("dot") / F.col("norm"), 6))
+    best = cosine.groupBy("sid").agg(F.max_by(F.struct("licence", "score"), F.struct(F.col("score"), -F.col("template"))).alias("best"))
+    return best.select("sid", "best.licence", "best.score").where(F.col("score") >= THRESHOLD)
 
 
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -108,9 +110,9 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     own = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), text_or_empty(text_col).alias("text"))
     found = own.select("doc_id", "path", F.xxhash64("text").alias("text_key"), passages(F.col("text")).alias("said")).where(F.size("said") > 0)
     # The last one is the text as a whole.  The texts are cut up once.
-    stated = stored(found.select("doc_id", "path", "text_key", F.element_at("said", -1).alias("whole"), F.explode("said").alias("statement")).withColumn("whole", F.col("whole") == F.col("statement")).withColumn("key", F.xxhash64("statement")))
-    scored = scored_passages(stated.select("statement").distinct()).withColumn("key", F.xxhash64("statement"))
-    judged = stated.join(scored, ["key", "statement"])
+    stated = stored(found.select("doc_id", "path", "text_key", F.element_at("said", -1).alias("whole"), F.explode("said").alias("statement")).withColumn("whole", F.col("whole") == F.col("statement")).withColumn("sid", F.unhex(F.sha2("statement", 256))))
+    scored = scored_passages(stored(stated.groupBy("sid").agg(F.first("statement").alias("statement"))))
+    judged = stated.drop("statement").join(scored, "sid")
     named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
     best = stored(judged.groupBy("doc_id", "path", "text_key").agg(
         F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), F.col("licence"))).alias("best"), F.max(F.when(F.col("whole"), F.col("score"))).alias("whole_score")
