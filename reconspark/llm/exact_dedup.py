@@ -65,7 +65,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each different text, the one with the largest id, with all its columns."""
+    """One row of ``docs`` for each different text, the one with the largest id, with all its columns.
+
+    Null counts as the empty text.  A null id stays only where all ids of the text are null; of rows repeated with
+    id and text one stays.  An empty table gives an empty result; other columns are carried, whatever their names.
+    """
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"), F.unhex(F.sha2(text_or_empty(f"`{text_col}`"), 256)).alias("own_sha"))
     # Rows repeated with id and text are one text: dropDuplicates leaves one of them.

@@ -186,11 +186,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Other columns are ignored.
     """
     marked = stored(fingerprints(docs, id_col, text_col))
-    return marked.join(groups(marked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # The second key makes both sides move for the join, so that a hot fingerprint's part can be split.
+    salted = lambda df: df.withColumn("salt", F.xxhash64("fp"))
+    return salted(marked).join(salted(groups(marked)), ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: the smallest id (null ids last), of its texts the one with the least hash."""
+    """One row of ``docs`` for each component, with all its columns: the smallest id (null ids last), of its texts the one with the least hash.
+
+    Null and empty texts have fingerprint 0 and are linked like any other.  Rows that repeat in id and text are one: one of them
+    stays.  Rows of one id and different texts are told apart by the text's hash.  An empty table gives an empty result; other
+    columns are carried, whatever their names.
+    """
     sha = F.unhex(F.sha2(text_or_empty(f"`{text_col}`"), 256))
     marked = stored(fingerprints(docs.withColumn("own sha", sha), id_col, text_col, "own sha"))
     best = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own sha")).alias("best"))
