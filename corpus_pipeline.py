@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents.  ``run`` writes each stage's rows to the shared folder and reads them as the next one's input.
+
+Rows without words (null or empty texts among them) fail the quality rules.  Null ids and sources are carried; a null source is
+a source of its own in the mix.  Rows repeated with id and text are one document from exact dedup on, rows of one id and
+different texts stay apart.  Ties are settled by id, then by a hash of the text, so reruns agree.  An empty table gives an
+empty result; extra columns are carried to the last stage, whatever their names.
 """
 
 from __future__ import annotations
