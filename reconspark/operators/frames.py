@@ -61,8 +61,16 @@ def frame_position(images: DataFrame, folder: str = "folder", name: str = "name"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, for steps that read it again: a checkpoint where the session has a folder for them, else cached."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """``df`` as it is now, for steps that read it again: a checkpoint in the folder that spark.checkpoint.dir names.
+
+    Without that setting it is cached instead, which a local session can afford; the caller's clearCache releases it."""
+    context = df.sparkSession.sparkContext
+    folder = context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 #: Rows in a bucket of the two-level ranks of a table without keys.
