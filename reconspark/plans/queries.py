@@ -1099,3 +1099,20 @@ def r6_end_detection(spark, d):
     done.awaitTermination()
     last = F.regexp_extract("statuses", r"(?:^|,)(?:extract|match|mapper)=(failed)", 1)
     return spark.read.parquet(f"{path}/out").where("ended").select("job_id", "seq", "ended", F.when(last == "failed", "failed").otherwise("done").alias("last_stage"))
+
+
+@query(sql("lines", "+h AS (SELECT max(seq) // 2 AS h FROM lines), p AS (SELECT job_id, seq, sum(strlen(line) + 1) OVER (PARTITION BY job_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS b FROM lines, h WHERE seq <= h) SELECT job_id, seq, 'replayed' AS part FROM p WHERE b <= 500 UNION ALL SELECT job_id, seq, 'followed' FROM lines, h WHERE seq > h"))
+def s8_replay_then_follow(spark, d):
+    """Half of each log is there when the reader comes, the other half arrives later."""
+    from reconspark.sources.readers import replay_then_follow
+
+    path, lines = i.scratch(spark), i.log_lines(spark, d)
+    half = lines.agg(F.floor(F.max("seq") / 2).alias("h")).first()["h"] or 0  # one number
+    lines.where(F.col("seq") <= half).write.json(f"{path}/log")
+    past, stream = replay_then_follow(spark, f"{path}/log", 500, f"{path}/seen")
+    past.select("job_id", "seq").write.parquet(f"{path}/past")
+    lines.where(F.col("seq") > half).write.mode("append").json(f"{path}/log")
+    follow = stream.select("job_id", "seq").writeStream.format("parquet").option("path", f"{path}/new").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    follow.awaitTermination()
+    read = lambda name, part: spark.read.schema("job_id string, seq long").parquet(f"{path}/{name}").withColumn("part", F.lit(part))
+    return read("past", "replayed").unionByName(read("new", "followed"))
