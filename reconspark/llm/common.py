@@ -31,11 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Spark's own switch for deleting a query's shuffle files once the query is over.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``free``: the shuffle files that writing it took are deleted right after, and the table is compressed more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    if free:
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        (df.write.option("compression", "zstd") if free else df.write).parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_path = path
     return table

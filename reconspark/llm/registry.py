@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reconspark.llm import exact_dedup, html_text, licences, mixing, packing, pii, quality, sharding, simhash, toxicity
+from reconspark.llm import bpe, exact_dedup, html_text, licences, mixing, packing, pii, quality, sharding, simhash, spelling, toxicity, whitening
 from reconspark.llm.common import table
 
 
@@ -50,8 +50,20 @@ def op10_pii(spark, sf_dir):
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {"op1_html_text": op1_html_text, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_shards": op4_shards, "op5_licences": op5_licences, "op6_pack_sequences": op6_pack_sequences, "op7_toxicity": op7_toxicity, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules, "op10_pii": op10_pii}
+    return {"op1_html_text": op1_html_text, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_shards": op4_shards, "op5_licences": op5_licences, "op6_pack_sequences": op6_pack_sequences, "op7_toxicity": op7_toxicity, "op8_mix_sources": op8_mix_sources, "op9_quality_rules": op9_quality_rules, "op10_pii": op10_pii, "op11_bpe": op11_bpe, "op12_spelling": op12_spelling, "op13_whitening": op13_whitening}
 
 
 def oracle_sql():
