@@ -28,9 +28,10 @@ from reconspark.llm.common import drop_stored, stored
 LEAST_LENGTH, LEAST_COUNT, TIMES = 6, 5, 5
 #: One in so many (document, word) pairs loses a letter.
 SLIP = 199
-DIMENSIONS = 32
+#: Letters told apart (26 and six counters for the rest); bits of a letter's count.
+DIMENSIONS, BITS = 32, 4
 #: Words wanted in a leaf of the top tree; most leaves; words that the top tree is fitted on; points in a leaf of a group's tree.
-CELL, MAX_LEAVES, SAMPLE, LEAF = 8192, 4096, 65_536, 24
+CELL, MAX_LEAVES, SAMPLE, LEAF = 8192, 4096, 65_536, 64
 #: Words counted in a task before they are handed on; pairs compared at once.
 HELD, BATCH = 300_000, 400_000
 
@@ -88,36 +89,43 @@ def letters(found: list[str]) -> np.ndarray:
 
 
 def points(codes: np.ndarray) -> np.ndarray:
-    """Letter-count vectors of rows of codes."""
+    """Letter-count vectors of rows of codes, two 64-bit numbers each: a count of c is the c lowest of its letter's BITS bits.
+
+    So the L1 distance of two vectors is the number of bits in which they differ, and a set of them has as its box all
+    vectors between its bitwise and and its bitwise or.  Counts above BITS are taken for BITS, which makes distances no larger.
+    """
     low = (codes >= 97) & (codes <= 122)
     dimension = np.where(low, codes.astype("int64") - 97, 26 + codes % (DIMENSIONS - 26))
     at = np.arange(len(codes))[:, None] * DIMENSIONS + dimension
-    return np.bincount(at.ravel(), minlength=len(codes) * DIMENSIONS).reshape(len(codes), DIMENSIONS).astype("int16")
+    count = np.bincount(at.ravel(), minlength=len(codes) * DIMENSIONS).reshape(len(codes), DIMENSIONS, 1)
+    return np.packbits((count > np.arange(BITS)).reshape(len(codes), -1), axis=1).view("uint64")
 
 
-def split(own: np.ndarray) -> tuple[int, int] | None:
-    """The dimension and the threshold (left: at most it) that halve points best; None if they are all one."""
-    best = None
-    for d in range(own.shape[1]):
-        below = np.cumsum(np.bincount(own[:, d]))[:-1]
-        if len(below):
-            t = int(np.abs(2 * below - len(own)).argmin())
-            if 0 < below[t] < len(own) and (best is None or abs(2 * below[t] - len(own)) < best[0]):
-                best = (abs(2 * int(below[t]) - len(own)), d, t)
-    return best and best[1:]
+def beyond(own: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """L1 distance of points to a box."""
+    out = np.bitwise_count((low & ~own) | (own & ~high))
+    return out[:, 0] + out[:, 1]
+
+
+def split(own: np.ndarray) -> np.ndarray | None:
+    """The threshold of a letter's count, as a point with that one bit, that halves points best; None if they are all one."""
+    n = len(own)
+    ones = np.unpackbits(own.view("uint8"), axis=1).sum(0, dtype="int64")
+    bit = int(np.where((ones > 0) & (ones < n), np.abs(2 * ones - n), n + 1).argmin())
+    return np.packbits(np.arange(len(ones)) == bit).view("uint64") if 0 < ones[bit] < n else None
 
 
 def top_tree(own: np.ndarray, leaves: int):
-    """Nested (dimension, threshold, left, right) with leaf numbers at the ends, of at most ``leaves`` leaves."""
+    """Nested (threshold, points below it, points from it on) with leaf numbers at the ends, of at most ``leaves`` leaves."""
     numbers = iter(range(leaves))
 
     def grow(rows: np.ndarray, leaves: int):
-        at = split(rows) if leaves > 1 else None
-        if at is None:
+        bit = split(rows) if leaves > 1 else None
+        if bit is None:
             return next(numbers)
-        left = rows[:, at[0]] <= at[1]
-        share = min(leaves - 1, max(1, round(leaves * left.mean())))
-        return (*at, grow(rows[left], share), grow(rows[~left], leaves - share))
+        above = (rows & bit).any(1)
+        share = min(leaves - 1, max(1, round(leaves * float(above.mean()))))
+        return (bit, grow(rows[~above], leaves - share), grow(rows[above], share))
 
     return grow(own, leaves)
 
@@ -125,24 +133,18 @@ def top_tree(own: np.ndarray, leaves: int):
 def reached(tree, own: np.ndarray, radius: int):
     """(row, leaf) of every leaf whose region lies within ``radius`` of a point, as two arrays; radius 0 gives the point's own leaf."""
     rows, leaves = [], []
-    n = len(own)
-    stack = [(tree, np.arange(n), np.zeros(n, "int64"), {})]
+    none = np.zeros(own.shape[1], "uint64")
+    stack = [(tree, np.arange(len(own)), none, ~none)]
     while stack:
-        node, at, distance, box = stack.pop()
-        if not isinstance(node, tuple):
+        node, at, low, high = stack.pop()
+        at = at[beyond(own[at], low, high) <= radius]
+        if isinstance(node, tuple):
+            bit, below, above = node
+            stack += [(below, at, low, high & ~bit), (above, at, low | bit, high)] if len(at) else []
+        else:
             rows.append(at)
             leaves.append(np.full(len(at), node))
-            continue
-        d, t, left, right = node
-        lo, hi = box.get(d, (0, 1 << 30))
-        v = own[at, d].astype("int64")
-        before = np.maximum(lo - v, 0) + np.maximum(v - hi, 0)
-        for child, l, h in ((left, lo, t), (right, t + 1, hi)):
-            after = distance - before + np.maximum(l - v, 0) + np.maximum(v - h, 0)
-            near = after <= radius
-            if near.any():
-                stack.append((child, at[near], after[near], box | {d: (l, h)}))
-    return np.concatenate(rows), np.concatenate(leaves)
+    return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, "int64"), np.zeros(0, "int64"))
 
 
 def range_pairs(own: np.ndarray, asked: np.ndarray, radius: int):
@@ -153,20 +155,19 @@ def range_pairs(own: np.ndarray, asked: np.ndarray, radius: int):
     while stack:
         at, q = stack.pop()
         here = own[at]
-        lo, hi = here.min(0), here.max(0)
-        q = np.concatenate([part[(np.maximum(lo - asked[part], 0) + np.maximum(asked[part] - hi, 0)).sum(1) <= radius] for part in np.array_split(q, 1 + len(q) // BATCH)])
+        q = q[beyond(asked[q], np.bitwise_and.reduce(here, axis=0), np.bitwise_or.reduce(here, axis=0)) <= radius]
         if not len(q):
             continue
-        cut = split(here) if len(at) > LEAF else None
-        if cut is not None:
-            left = here[:, cut[0]] <= cut[1]
-            stack += [(at[left], q), (at[~left], q)]
+        bit = split(here) if len(at) > LEAF else None
+        if bit is not None:
+            above = (here & bit).any(1)
+            stack += [(at[~above], q), (at[above], q)]
             continue
         per = max(1, BATCH // len(at))
         for k in range(0, len(q), per):
             some = q[k : k + per]
-            near = np.abs(here[None, :, :] - asked[some][:, None, :]).sum(2) <= radius
-            j, i = np.nonzero(near)
+            differing = np.bitwise_count(here[None, :, :] ^ asked[some][:, None, :])
+            j, i = np.nonzero(differing[:, :, 0] + differing[:, :, 1] <= radius)
             lists.append((at[i], some[j]))
             size += len(i)
             if size > BATCH:

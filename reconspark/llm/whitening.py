@@ -72,7 +72,7 @@ def jacobi(factor: np.ndarray, tolerance: float = 1e-15, sweeps: int = 60) -> tu
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(vec_id, x)``: rows with a whole finite vector, in parts of 1 / SCALE rounded down."""
     real = F.transform(F.col(f"`{vector_col}`"), lambda c: c.cast("double"))
-    held = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), real.alias("real")).where(F.col("real").isNotNull() & F.forall("real", lambda c: c.isNotNull() & (F.abs(c) < LARGEST / SCALE)))
+    held = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), real.alias("real")).where((F.size("real") > 0) & F.forall("real", lambda c: c.isNotNull() & (F.abs(c) < LARGEST / SCALE)))
     return held.select("vec_id", F.transform("real", lambda c: F.floor(SCALE * c)).alias("x"))
 
 
@@ -115,7 +115,7 @@ def fit(own: DataFrame, components: int = COMPONENTS) -> dict:
 def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", components: int = COMPONENTS) -> DataFrame:
     """One row per remaining row and component: vec_id, component (from 1), n, deviation, whitened, explained, identity_error.
 
-    Rows whose vector is null, holds null, infinite or NaN entries (or some beyond 2^45, no exact integers as 1/256) are dropped; of vectors of several
+    Rows whose vector is null or empty, holds null, infinite or NaN entries (or some beyond 2^45, no exact integers as 1/256) are dropped; of vectors of several
     lengths those of the most frequent one stay (ties: the longest).  Repeated vectors count once in the fit and are returned each; null ids
     are carried.  There are as many components as the different vectors span, at most ``components``: none if all are equal or the table is empty, and then no rows.
     A deviation beyond a long is null.  Other columns are ignored, whatever their names.
