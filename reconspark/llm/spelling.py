@@ -7,7 +7,7 @@ of the points is searched with these boxes and radii.  Its top levels are a Spar
 group, and a word is sent to every leaf that its radius reaches.  In the group the tree goes on; nodes whose tight box lies
 beyond the radius are pruned, and what is left is compared letter by letter.
 
-The top tree is fitted on the SAMPLE words with the least hash of the vocabulary and has at most MAX_LEAVES leaves: it decides how even the
+The top tree is fitted on about SAMPLE words of the vocabulary, chosen by their hash, and has at most MAX_LEAVES leaves: it decides how even the
 groups are, never what is found.
 """
 
@@ -236,7 +236,8 @@ def near_words(known: DataFrame, cell: int = CELL) -> DataFrame:
     total = sum(by_length.values())
     trees = {}
     if by_length:
-        sample = sized.where(F.col("length").isin(list(by_length))).orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word").toPandas()["word"]
+        share = min(1.0, SAMPLE / total)
+        sample = sized.where(F.col("length").isin(list(by_length)) & (F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < int(share * (1 << 40)))).select("word").toPandas()["word"]
         for length, n in by_length.items():
             own = sample[sample.str.len() == length].tolist()
             leaves = min(-(-n // cell), max(1, MAX_LEAVES * n // total))
