@@ -1,8 +1,8 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text is cut where a rolling hash of its last WINDOW bytes says so, so passages that documents share give equal chunks
-wherever they stand.  Each different chunk of the corpus is encoded once.  A text's ids are then joined from its chunks'
-ids, and every joint is repaired: the text around it is encoded again, between the last place before and the
+wherever they stand.  A chunk with several places in the corpus is encoded once; runs of the others are encoded with their text.
+A text's ids are then joined from these parts, and every joint is repaired: the text around it is encoded again, between the last place before and the
 first place behind it where both encodings are sure to agree, and the ids between the two are replaced.
 
 Where encodings agree: the byte-level pre-tokenizer reads from left to right, without looking back, and none of its
@@ -28,8 +28,6 @@ from reconspark.llm.packing import VOCABULARY, encoder
 
 #: Bytes under the rolling hash; the share of places that end a chunk is 2 ** -BITS; least and most bytes of a chunk.
 WINDOW, BITS, LEAST, MOST = 16, 9, 128, 4096
-#: Chunks kept apart in a task before they are handed on.
-HELD = 50_000
 #: A place between two characters where any text may be cut without changing its ids.
 SURE = re.compile(r"(?<=[A-Za-z])(?=[\t-\r -@\[-`{-~])|(?<=[^\s᠎​﻿])(?=[ \n\t])|(?<=[ぁ-ゖァ-ヺ一-龥가-힣])(?=[、。！，？])")
 #: The ids at each side of a joint that are searched for a sure place before all are.
@@ -152,6 +150,12 @@ class Vocabulary:
             if len(some) == len(ids):
                 return None
 
+    def spread(self, text: str) -> list[list[int]]:
+        """The ids of a run of chunks with one place each, special tokens apart: parts for ``join``."""
+        if self.cut is None or not any(t in text for t in self.special):
+            return [self.encode(text)]
+        return [[self.special[part]] if part in self.special else self.encode(part) for part in self.cut.split(text) if part]
+
     def join(self, parts: list[list[int]]) -> list[int]:
         """The ids of a text from those of its chunks in order."""
         if len(parts) == 1:
@@ -179,82 +183,91 @@ class Vocabulary:
         return out + (self.encode("".join(waiting)) if waiting else [])
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(text_key, packed)`` of every different text, compressed before it moves; null counts as empty."""
+    def pack(texts):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
+        for some in texts:
+            data = [t.encode() for t in some]
+            yield pd.DataFrame({"text_key": [digest(d) for d in data], "packed": [packer.compress(d) for d in data]})
+
+    pack.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    packed = F.pandas_udf(pack, "text_key binary, packed binary")
+    return docs.select(packed(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("t")).groupBy("t.text_key").agg(F.first("t.packed").alias("packed"))
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, text_key)`` of every row, and ``(text_key, ids)`` of every different text.
 
-    ``vocabulary`` is the path of a tokenizers file; by default the installed public one.  A chunk is known by 128 bits of its digest.
+    Recipes (digests and lengths of a text's chunks) are made and counted first.  Chunks with one place are encoded with their text; the others
+    are encoded once, at the first of their places, and looked up at all.
+    ``vocabulary`` is the path of a tokenizers file; by default the installed public one.  A chunk and a text are known by 128 bits of their digest.
     """
-    source = _source(docs, id_col, text_col)
-
     def recipes(texts):
         own = Vocabulary(vocabulary)
         for some in texts:
-            yield pd.DataFrame({"text_key": [digest(t.encode()) for t in some], "recipe": [b"".join(map(digest, own.parts(t))) for t in some]})
+            parts = [own.parts(t) for t in some]
+            yield pd.DataFrame({"text_key": [digest(t.encode()) for t in some], "chunks": [b"".join(map(digest, p)) for p in parts], "sizes": [list(map(len, p)) for p in parts]})
 
     recipes.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}  # one vocabulary for each task
-    recipe = F.pandas_udf(recipes, "text_key binary, recipe binary")
+    recipe = F.pandas_udf(recipes, "text_key binary, chunks binary, sizes array<int>")
+    narrow = len(Vocabulary(vocabulary).bytes) <= 1 << 16
+    dtype = "<u2" if narrow else "<u4"
 
-    def cut(frames):
-        own = Vocabulary(vocabulary)
-        held: dict[bytes, list] = {}
+    rows = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), recipe(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("r")).select("doc_id", "r.text_key", "r.chunks", "r.sizes"), free=True)
+    different = rows.groupBy("text_key").agg(F.first("chunks").alias("chunks"), F.first("sizes").alias("sizes"))
+    places = different.select("text_key", F.posexplode(F.expr("transform(sequence(0, size(sizes) - 1), i -> substring(chunks, 16 * i + 1, 16))")).alias("seq", "chunk_key"))
+    shared = places.groupBy("chunk_key").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "seq")).alias("first")).where("n > 1")
+    wanted = shared.select("first.text_key", F.struct("first.seq", "chunk_key").alias("w")).groupBy("text_key").agg(F.collect_list("w").alias("wanted"))
 
-        def rows():
-            keys = list(held)
-            values = [held[k] for k in keys]
-            held.clear()
-            return pd.DataFrame({"chunk_key": keys, "chunk": [v[0] for v in values], "low": [v[1] for v in values], "high": [v[2] for v in values]})
+    def once(frames):
+        import zstandard
 
+        encode, unpack = encoder(vocabulary), zstandard.ZstdDecompressor().decompress
         for frame in frames:
-            seen = set()
-            for text in frame["text"].tolist():
-                key = digest(text.encode())
-                if key in seen:
-                    continue
-                seen.add(key)
-                for seq, chunk in enumerate(own.parts(text)):
-                    place, at = key + seq.to_bytes(8, "big"), digest(chunk)
-                    if (known := held.get(at)) is None:
-                        held[at] = [chunk, place, place]
-                    elif place < known[1]:
-                        known[1] = place
-                    elif place > known[2]:
-                        known[2] = place
-                if len(held) > HELD:
-                    yield rows()
-        if held:
-            yield rows()
-
-    def encoded(frames):
-        encode = encoder(vocabulary)
-        for frame in frames:
-            yield pd.DataFrame({"chunk_key": frame["chunk_key"], "low": frame["low"], "shared": frame["low"] != frame["high"], "ids": [np.array(encode(bytes(c).decode()), dtype="<u4").astype("<u2" if narrow else "<u4").tobytes() for c in frame["chunk"]]})
-
-    narrow = len(Vocabulary(vocabulary).bytes) <= 1 << 16
-    rows = stored(source.select("doc_id", recipe("text").alias("r")).select("doc_id", "r.text_key", "r.recipe"), free=True)
-    apart = source.mapInPandas(cut, "chunk_key binary, chunk binary, low binary, high binary").groupBy("chunk_key").agg(F.first("chunk").alias("chunk"), F.min("low").alias("low"), F.max("high").alias("high"))
-    known = stored(apart.mapInPandas(encoded, "chunk_key binary, low binary, shared boolean, ids binary"), free=True)
-
-    # A chunk with one place goes there by itself; the others are looked up by each text's recipe.
-    text_key, seq = F.substring("low", 1, 16), F.conv(F.hex(F.substring("low", 17, 8)), 16, 10).cast("long")
-    single = known.where("not shared").select(text_key.alias("text_key"), seq.alias("seq"), "ids")
-    places = rows.groupBy("text_key").agg(F.first("recipe").alias("recipe")).select("text_key", F.posexplode(F.expr("transform(sequence(0, cast(length(recipe) / 16 as int) - 1), i -> substring(recipe, 16 * i + 1, 16))")).alias("seq", "chunk_key"))
+            keys, ids = [], []
+            for packed, sizes, wanted in zip(frame["packed"], frame["sizes"], frame["wanted"]):
+                data, ends = unpack(packed), np.cumsum(sizes).tolist()
+                for w in wanted:
+                    keys.append(w["chunk_key"])
+                    ids.append(np.array(encode(data[ends[w["seq"]] - int(sizes[w["seq"]]) : ends[w["seq"]]].decode()), dtype="<u4").astype(dtype).tobytes())
+            yield pd.DataFrame({"chunk_key": pd.Series(keys, dtype="object"), "ids": pd.Series(ids, dtype="object")})
+
+    sought = wanted.join(different.select("text_key", "sizes"), "text_key")
+    known = stored(_texts(docs, text_col).join(sought, "text_key").select("packed", "sizes", "wanted").mapInPandas(once, "chunk_key binary, ids binary"), free=True)
     # The second key makes both sides move for the join, so that a hot chunk's part can be split.
     salted = lambda df: df.withColumn("salt", F.xxhash64("chunk_key"))
-    shared = salted(places).join(salted(known.where("shared").select("chunk_key", "ids")), ["chunk_key", "salt"]).select("text_key", F.col("seq").cast("long"), "ids")
-    gathered = single.unionByName(shared).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("seq", "ids"))).alias("parts")).select("text_key", F.col("parts.ids").alias("parts"))
+    given = salted(places).join(salted(known), ["chunk_key", "salt"]).groupBy("text_key").agg(F.collect_list(F.struct("seq", "ids")).alias("given"))
+    told = different.select("text_key", "sizes").join(given, "text_key", "left")
 
     def joined(frames):
-        own = Vocabulary(vocabulary)
-        for frame in frames:
-            for at in range(0, len(frame), 500):
-                some = frame.iloc[at : at + 500]
-                yield pd.DataFrame({"text_key": some["text_key"], "ids": [own.join([np.frombuffer(p, dtype="<u2" if narrow else "<u4").tolist() for p in parts]) for parts in some["parts"]]})
+        import zstandard
 
-    return rows.select("doc_id", "text_key"), gathered.mapInPandas(joined, "text_key binary, ids array<int>")
+        own, unpack = Vocabulary(vocabulary), zstandard.ZstdDecompressor().decompress
+        for frame in frames:
+            for at in range(0, len(frame), 1000):
+                some = frame.iloc[at : at + 1000]
+                out = []
+                for packed, sizes, given in zip(some["packed"], some["sizes"], some["given"]):
+                    data = unpack(packed)
+                    if given is None:
+                        out.append(own.encode(data.decode()))
+                        continue
+                    ends = np.cumsum(sizes).tolist()
+                    parts, last = [], 0
+                    for g in sorted(given, key=lambda g: g["seq"]):
+                        start, end = ends[g["seq"]] - int(sizes[g["seq"]]), ends[g["seq"]]
+                        parts += own.spread(data[last:start].decode()) if start > last else []
+                        parts.append(np.frombuffer(g["ids"], dtype=dtype).tolist())
+                        last = end
+                    parts += own.spread(data[last:].decode()) if last < len(data) else []
+                    out.append(own.join(parts))
+                yield pd.DataFrame({"text_key": some["text_key"], "ids": out})
+
+    ids = _texts(docs, text_col).join(told, "text_key").select("text_key", "packed", "sizes", "given").mapInPandas(joined, "text_key binary, ids array<int>")
+    return rows.select("doc_id", "text_key"), ids
 
 
 def _by_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
