@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -87,7 +88,7 @@ class Vocabulary:
 
         with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as file:
             content = json.load(file)
-        self.encode = encoder(path)
+        self.path = path
         self.special = {t["content"]: t["id"] for t in content.get("added_tokens", [])}
         self.byte_level = "ByteLevel" in json.dumps(content.get("pre_tokenizer")) and not content.get("normalizer")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -98,6 +99,11 @@ class Vocabulary:
             self.bytes[i] = token.encode() if token in self.special or not all(c in byte for c in token) else bytes(byte[c] for c in token)
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
+    @cached_property
+    def encode(self):
+        """Made when first used: decoding needs none."""
+        return encoder(self.path)
+
     def parts(self, text: str) -> list[bytes]:
         """The chunks of a text; a special token is one of its own, a text that can't be cut is one as a whole."""
         if not self.byte_level:
@@ -247,13 +253,13 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         own, unpack = Vocabulary(vocabulary), zstandard.ZstdDecompressor().decompress
         for frame in frames:
-            for at in range(0, len(frame), 1000):
-                some = frame.iloc[at : at + 1000]
+            for at in range(0, len(frame), 200):
+                some = frame.iloc[at : at + 200]
                 out = []
                 for packed, sizes, given in zip(some["packed"], some["sizes"], some["given"]):
                     data = unpack(packed)
                     if given is None:
-                        out.append(own.encode(data.decode()))
+                        out.append(np.array(own.encode(data.decode()), dtype="int32"))
                         continue
                     ends = np.cumsum(sizes).tolist()
                     parts, last = [], 0
@@ -263,7 +269,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         parts.append(np.frombuffer(g["ids"], dtype=dtype).tolist())
                         last = end
                     parts += own.spread(data[last:].decode()) if last < len(data) else []
-                    out.append(own.join(parts))
+                    out.append(np.array(own.join(parts), dtype="int32"))
                 yield pd.DataFrame({"text_key": some["text_key"], "ids": out})
 
     ids = _texts(docs, text_col).join(told, "text_key").select("text_key", "packed", "sizes", "given").mapInPandas(joined, "text_key binary, ids array<int>")
