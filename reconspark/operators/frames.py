@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,13 +65,13 @@ def frame_position(images: DataFrame, folder: str = "folder", name: str = "name"
 def kept(df: DataFrame) -> DataFrame:
     """``df`` as it is now, for steps that read it again: a checkpoint in the folder that spark.checkpoint.dir names.
 
-    Without that setting it is cached instead, which a local session can afford; the caller's clearCache releases it."""
+    Only on a local master, where the session names none, a temporary one is made: on a cluster each executor would write to its own disk."""
     context = df.sparkSession.sparkContext
-    folder = context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
     if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
@@ -146,6 +148,7 @@ def worst(rows: DataFrame, score: str, n: int, *ties: str) -> DataFrame:
 
 def index_statistics(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """sorted[n // 2], sorted[int(0.9 n)] and the largest, not interpolated, per key."""
-    numbered = ranked(values.where(F.col(value).isNotNull()), keys, [value])
-    at = lambda i: F.max(F.when(F.col("position") == i, F.col(value)))
-    return numbered.groupBy(*keys).agg(at(F.floor(F.col("n") / 2)).alias("mid"), at(F.floor(F.col("n") * 0.9)).alias("p90"), F.max(value).alias("largest"))
+    from reconspark.operators.selection import at_ranks
+
+    found = at_ranks(values, value, keys, {"mid": lambda n: F.floor(n / 2), "p90": lambda n: F.floor(n * 0.9), "largest": lambda n: n - 1})
+    return found.where("n > 0").select(*keys, "mid", "p90", "largest")

@@ -1,22 +1,25 @@
-"""Convex-hull area of groups of points."""
+"""Convex-hull areas of groups of points, from hulls that are merged.
+
+The hull of a union is the hull of the hulls' corners.  So each task first replaces the points of a group in a batch by their
+hull's corners; only those move.  Behind the shuffle a group's corners come in sorted order, and what is carried from batch to
+batch is the corners of the one group still open: no row and no task ever holds a whole group.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
-def area_of(x: np.ndarray, y: np.ndarray) -> float:
-    """Area of the convex hull; 0 for fewer than three different points or points on a line."""
-    order = np.lexsort((y, x))
-    points = list(dict.fromkeys(zip(x[order].tolist(), y[order].tolist())))
+def corners(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of rows (x, y), in order; of points on a line its ends, of equal points one."""
+    points = np.unique(points, axis=0)
     if len(points) < 3:
-        return 0.0
+        return points
     chains = []
-    for way in (points, points[::-1]):
+    for way in (points.tolist(), points[::-1].tolist()):
         chain: list = []
         for px, py in way:
             while len(chain) > 1:
@@ -26,20 +29,82 @@ def area_of(x: np.ndarray, y: np.ndarray) -> float:
                 chain.pop()
             chain.append((px, py))
         chains += chain[:-1]
-    ring = np.array(chains)
+    return np.array(chains)
+
+
+def area_of(x: np.ndarray, y: np.ndarray) -> float:
+    """Area of the convex hull; 0 for fewer than three different points or points on a line."""
+    ring = corners(np.column_stack([x, y]).astype(float))
     if len(ring) < 3:
         return 0.0
     nxt = np.roll(ring, -1, axis=0)
     return float(abs((ring[:, 0] * nxt[:, 1] - ring[:, 1] * nxt[:, 0]).sum()) / 2)
 
 
-@F.pandas_udf(DoubleType())
-def _areas(points: pd.Series) -> pd.Series:
-    at = lambda p, k: np.array([v[k] for v in p], dtype=float)
-    return points.map(lambda p: area_of(at(p, "x"), at(p, "y")) if len(p) > 2 else 0.0)
+#: Points of a group in a batch that are handed on as they are.
+FEW = 8
+
+
+def _runs(frame: pd.DataFrame) -> np.ndarray:
+    """Where runs of equal group numbers start in a frame sorted by them, and its length."""
+    g = frame["_g"].to_numpy()
+    return np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]]) if len(g) else np.array([0])
+
+
+def _thin(frames):
+    """Of each batch: every group's points, or the corners of their hull."""
+    for frame in frames:
+        frame = frame.sort_values("_g", kind="stable")
+        starts = _runs(frame)
+        xy, g = frame[["x", "y"]].to_numpy(), frame["_g"].to_numpy()
+        big = np.flatnonzero(np.diff(starts) > FEW)
+        stay = np.ones(len(frame), dtype=bool)
+        more_xy, more_g = [], []
+        for k in big:
+            a, b = starts[k], starts[k + 1]
+            stay[a:b] = False
+            found = corners(xy[a:b])
+            more_xy.append(found)
+            more_g.append(np.full(len(found), g[a]))
+        xy, g = np.concatenate([xy[stay], *more_xy]), np.concatenate([g[stay], *more_g])
+        yield pd.DataFrame({"_g": g, "x": xy[:, 0], "y": xy[:, 1]})
+
+
+def _areas(frames):
+    """Areas of groups that come in order; the corners of the open group are carried on."""
+    own, held = None, np.zeros((0, 2))
+    for frame in frames:
+        starts, xy, g = _runs(frame), frame[["x", "y"]].to_numpy(), frame["_g"].to_numpy()
+        names, areas = [], []
+        for a, b in zip(starts[:-1], starts[1:]):
+            if own is not None and g[a] != own:
+                names.append(own)
+                areas.append(area_of(held[:, 0], held[:, 1]))
+                held = held[:0]
+            own, held = g[a], corners(np.concatenate([held, xy[a:b]])) if len(held) else xy[a:b]
+        yield pd.DataFrame({"_g": pd.Series(names, dtype="int64"), "_area": pd.Series(areas, dtype="float64")})
+    if own is not None:
+        yield pd.DataFrame({"_g": [own], "_area": [area_of(held[:, 0], held[:, 1])]})
+
 
+def hull_areas(rows: DataFrame, keys: list[str], x: str = "x", y: str = "y", name: str = "area") -> DataFrame:
+    """One row per key: the keys and the area of the convex hull of the key's points.
 
-def hull_area(x: str, y: str) -> Column:
-    """Aggregate: hull area of a group's points.  Points are gathered once as a set (an image's features) and whole batches of
-    groups go through one vectorised call, instead of one call a group."""
-    return _areas(F.collect_set(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
+    Points with a null or NaN coordinate are left out; a key without others has area 0.  Null keys are a key like any other.
+    """
+    if len(keys) == 1 and rows.schema[keys[0]].dataType.simpleString() in ("bigint", "int") and not rows.schema[keys[0]].nullable:
+        named, numbers = rows.withColumn("_g", F.col(keys[0]).cast("long")), None
+    else:
+        # Groups travel as one number; two keys of one number are told apart by the check below.
+        named = rows.withColumn("_g", F.xxhash64(*keys))
+        numbers = named.groupBy("_g", *keys).agg(F.lit(1).alias("_one"))
+    points = named.select("_g", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    points = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    thin = points.mapInPandas(_thin, "_g long, x double, y double")
+    areas = thin.repartition("_g").sortWithinPartitions("_g").mapInPandas(_areas, "_g long, _area double")
+    if numbers is None:
+        return named.select("_g").distinct().join(areas, "_g", "left").select(F.col("_g").cast(rows.schema[keys[0]].dataType).alias(keys[0]), F.coalesce("_area", F.lit(0.0)).alias(name))
+    # A number that two keys share stops the query instead of mixing their points.
+    alone = F.when(F.col("_n") > 1, F.raise_error(F.lit("two groups with one hash"))).otherwise(F.coalesce("_area", F.lit(0.0)))
+    each = numbers.groupBy("_g").agg(F.count("*").alias("_n"), *[F.first(k).alias(k) for k in keys])
+    return each.join(areas, "_g", "left").select(*keys, alone.alias(name))

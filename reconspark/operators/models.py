@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconspark.functions.geometry import base_name, c, camera_center, drop_predicate, first_folder, in_rect_closed
+from reconspark.operators.selection import median
 
 
 def valid_observations(obs: DataFrame, points: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -229,7 +230,7 @@ def left_without(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 def median_gsd(samples: DataFrame, focal: str = "focal_px") -> DataFrame:
     """Median over images of each image's median depth a focal pixel."""
     per = samples.where((F.col("depth") > 0) & (F.col(focal) > 0)).groupBy("image_id").agg((F.median("depth") / F.max(focal)).alias("gsd"))
-    return per.agg(F.median("gsd").alias("median_gsd"), F.count("*").alias("n_images"))
+    return median(per, "gsd", [], "median_gsd").select("median_gsd", F.col("n").alias("n_images"))
 
 
 def auto_resolution(gsd: Column, spacing: Column, extent: Column) -> dict[str, Column]:

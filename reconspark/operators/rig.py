@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconspark.functions.geometry import base_name, first_folder, stem
+from reconspark.functions.geometry import base_name, camera_center, first_folder, rotation, stem
 from reconspark.operators.spatial import within
 
 EARTH = 6371000.0
@@ -113,11 +113,26 @@ def recommend_ref(rig: DataFrame, eo_stems: DataFrame | None = None) -> DataFram
     return own.groupBy("camera").agg(F.count("hit").alias("hits"), F.count("*").alias("frames")).orderBy(F.desc("hits"), F.desc("frames"), "camera").limit(1)
 
 
-def colocation(rig: DataFrame, centers: DataFrame, ref: str) -> DataFrame:
-    """Per camera: mean offset from the reference camera of the same frame, and its largest spread."""
-    at = rig.join(centers, "name").select("camera", "frame_key", "x", "y", "z")
-    base = at.where(F.col("camera") == ref).select("frame_key", *[F.col(v).alias(f"r{v}") for v in "xyz"])
-    off = at.where(F.col("camera") != ref).join(base, "frame_key").select("camera", *[(F.col(v) - F.col(f"r{v}")).alias(f"d{v}") for v in "xyz"])
+def colocation(rig: DataFrame, poses: DataFrame, ref: str, certificate: DataFrame | None = None, lever_arm_m: float = 0.5, colocation_m: float = 0.5) -> DataFrame:
+    """Per camera: mean offset from the reference camera of the same frame, in the reference camera's axes, and its largest spread.
+
+    ``poses(name, qw, qx, qy, qz, tx, ty, tz)`` map world to camera.  Offsets in world axes turn with the heading: on strips flown both ways they
+    cancel, so each is turned by its frame's reference image first.  ``certificate(camera, x, y, z)``: the measured lever arm of
+    a camera, in the same axes; ``error`` is the mean's distance from it and fails above ``lever_arm_m``; a camera without one fails
+    where the mean offset is longer than ``colocation_m``.
+    """
+    q = ("qw", "qx", "qy", "qz")
+    at = rig.join(poses, "name").select("camera", "frame_key", F.struct(*q).alias("q"), *[v.alias(n) for n, v in zip("xyz", camera_center(q, ("tx", "ty", "tz")))])
+    base = at.where(F.col("camera") == ref).select("frame_key", F.col("q").alias("rq"), *[F.col(v).alias(f"r{v}") for v in "xyz"])
+    turn = rotation(*[F.col(f"rq.{v}") for v in q])
+    away = [F.col(v) - F.col(f"r{v}") for v in "xyz"]
+    off = at.where(F.col("camera") != ref).join(base, "frame_key").select("camera", *[(turn[i][0] * away[0] + turn[i][1] * away[1] + turn[i][2] * away[2]).alias(f"d{v}") for i, v in enumerate("xyz")])
     mean = off.groupBy("camera").agg(F.count("*").alias("n"), *[F.avg(f"d{v}").alias(f"m{v}") for v in "xyz"])
-    far = sum(((F.col(f"d{v}") - F.col(f"m{v}")) * (F.col(f"d{v}") - F.col(f"m{v}")) for v in "yz"), (F.col("dx") - F.col("mx")) * (F.col("dx") - F.col("mx")))
-    return off.join(mean, "camera").groupBy("camera").agg(F.max("n").alias("n"), *[F.max(f"m{v}").alias(f"m{v}") for v in "xyz"], F.sqrt(F.max(far)).alias("spread"))
+    length = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    spread = off.join(mean, "camera").groupBy("camera").agg(F.max("n").alias("n"), *[F.max(f"m{v}").alias(f"m{v}") for v in "xyz"], F.max(length([F.col(f"d{v}") - F.col(f"m{v}") for v in "xyz"])).alias("spread"))
+    out = spread.withColumn("offset", length([F.col(f"m{v}") for v in "xyz"]))
+    if certificate is None:
+        return out.withColumn("error", F.lit(None).cast("double")).withColumn("fails", F.col("offset") > colocation_m)
+    told = out.join(certificate.select("camera", *[F.col(v).alias(f"c{v}") for v in "xyz"]), "camera", "left")
+    told = told.withColumn("error", length([F.col(f"m{v}") - F.col(f"c{v}") for v in "xyz"])).drop("cx", "cy", "cz")
+    return told.withColumn("fails", F.when(F.col("error").isNotNull(), F.col("error") > lever_arm_m).otherwise(F.col("offset") > colocation_m))

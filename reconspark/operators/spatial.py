@@ -1,8 +1,7 @@
 """Nearest neighbours, candidate pairs and spatial partitioning, as joins on grid cells.
 
-A neighbour search is an equi-join on cell numbers, never a comparison of all rows: a radius search looks at the cells
-around a row; k nearest neighbours start from a cell size made from the data's own density and widen the ring
-for the rows that are not yet certain, so results are exact.
+A radius search is an equi-join on cell numbers, never a comparison of all rows: it looks at the cells around a row.
+k nearest neighbours are found on an adaptive tree (``neighbours``).
 """
 
 from __future__ import annotations
@@ -14,7 +13,9 @@ from pyspark.sql import functions as F
 
 from reconspark.functions.geometry import c, in_rect_halfopen
 from reconspark.operators.frames import kept
-from reconspark.operators.hull import hull_area
+from reconspark.operators.hull import hull_areas
+from reconspark.operators.neighbours import knn
+from reconspark.operators.selection import median, quantiles
 
 
 def cell(v, size) -> Column:
@@ -36,45 +37,6 @@ def within(left: DataFrame, right: DataFrame, xy: tuple[str, ...], other: tuple[
     return j.withColumn("distance", F.sqrt(sum(squares[1:], squares[0]))).where(F.col("distance") <= radius).drop(*[f"_c{i}" for i in range(len(xy))])
 
 
-def knn(rows: DataFrame, id_col: str, axes: tuple[str, ...], k: int, keys: list[str] = (), rounds: int = 12) -> DataFrame:
-    """(id, neighbour, distance, nth): the k nearest others of each row, exact; ties by neighbour id.
-
-    Cells start at a size with about k + 1 rows in each, taken from the data's extent and count, and double until the
-    k-th distance is within the certain radius of every row.  Rows done in a round leave it.
-    """
-    spans = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *[(F.max(a) - F.min(a)).alias(f"_s{i}") for i, a in enumerate(axes)])
-    volume = F.lit(1.0)
-    for i in range(len(axes)):
-        volume = volume * F.greatest(F.col(f"_s{i}"), F.lit(1e-9))
-    largest = F.greatest(*[F.col(f"_s{i}") for i in range(len(axes))], F.lit(1e-9))
-    base = F.greatest(F.pow(volume * (k + 1) / F.col("_n"), F.lit(1.0 / len(axes))), largest / 1024)
-    spans = spans.select(*keys, "_n", base.alias("_size"), largest.alias("_span"))
-    own = rows.select(*keys, F.col(id_col).alias("id"), *[F.col(a).cast("double").alias(f"p{i}") for i, a in enumerate(axes)])
-    own = (own.join(spans, list(keys)) if keys else own.crossJoin(F.broadcast(spans)))  # spans: one row a key
-    own = kept(own)
-    todo, found = own, None
-    for turn in range(rounds):
-        size = F.col("_size") * float(2**turn)
-        last = turn == rounds - 1
-        marks = [f"_c{i}" for i in range(len(axes))]
-        right = own.select(*keys, F.col("id").alias("neighbour"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(len(axes))], *[F.floor(F.col(f"p{i}") / size).alias(m) for i, m in enumerate(marks)])
-        left = todo.select(*keys, "id", "_n", "_size", "_span", *[f"p{i}" for i in range(len(axes))])
-        for i, m in enumerate(marks):
-            left = left.withColumn(m, F.explode(F.array(*[F.floor(F.col(f"p{i}") / size) + s for s in (-1, 0, 1)])))
-        j = left.join(right, [*keys, *marks]).where("id <> neighbour")
-        square = sum(((F.col(f"p{i}") - F.col(f"q{i}")) * (F.col(f"p{i}") - F.col(f"q{i}")) for i in range(1, len(axes))), (F.col("p0") - F.col("q0")) * (F.col("p0") - F.col("q0")))
-        near = j.select(*keys, "id", "_n", "_size", "_span", "neighbour", F.sqrt(square).alias("distance")).withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "id").orderBy("distance", "neighbour"))).where(F.col("nth") <= k)
-        sure = near.groupBy(*keys, "id").agg(F.count("*").alias("_got"), F.max("distance").alias("_far"), F.first("_n").alias("_n"), F.first("_size").alias("_size"), F.first("_span").alias("_span"))
-        # Everything within one cell size has been seen; beyond the whole span nothing is left to see.
-        done = sure.where(((F.col("_got") >= F.least(F.lit(k), F.col("_n") - 1)) & (F.col("_far") < size)) | (size > F.col("_span")) | F.lit(last)).select(*keys, "id")
-        out = near.join(done, [*keys, "id"], "left_semi").select(*keys, "id", "neighbour", "distance", "nth")
-        found = out if found is None else found.unionByName(out)
-        todo = kept(todo.join(done, [*keys, "id"], "left_anti"))
-        if todo.isEmpty() or todo.where(F.col("_n") > 1).isEmpty():
-            break
-    return found
-
-
 def nearest_station(images: DataFrame, stations: DataFrame, max_dist: float) -> DataFrame:
     """image_id, station_id, distance: the nearest station of each image within ``max_dist`` metres, the first (by ``nth``) on a tie.
 
@@ -89,10 +51,9 @@ def sequence_pairs(images: DataFrame, n_seq: int, n_quad: int, group: str = "grp
     """Ordered pairs of positions: in the same and every later group, p with p + step for the sequential and quadratic steps."""
     steps = sorted({*range(n_seq), *(n_seq + 2**k - 1 for k in range(n_quad))})
     a = images.select(F.col(group).alias("group_a"), F.col(pos).alias("pos_a"), F.explode(F.array(*[F.lit(s) for s in steps])).alias("step")).withColumn("pos_b", (F.col("pos_a") + F.col("step")).cast("long"))
-    groups = images.select(F.col(group).alias("group_b")).distinct()
-    a = a.join(groups, F.col("group_b") >= F.col("group_a"))  # every later group is asked for: groups squared, not images
     b = images.select(F.col(group).alias("group_b"), F.col(pos).cast("long").alias("pos_b"))
-    return a.join(b, ["group_b", "pos_b"]).select("group_a", "pos_a", "group_b", "pos_b").distinct()
+    # Positions are the key: nearly every candidate with the place is a pair or the mirror image of one.
+    return a.join(b, "pos_b").where(F.col("group_b") >= F.col("group_a")).select("group_a", "pos_a", "group_b", "pos_b").distinct()
 
 
 def loop_pairs(images: DataFrame, anchors: DataFrame, n_loop: int, group: str = "grp", pos: str = "pos") -> DataFrame:
@@ -115,7 +76,8 @@ def dedup_pairs(pairs: DataFrame, a: str = "name_a", b: str = "name_b", compat:
 def outlier_images(centers: DataFrame, obs: DataFrame, mult: float = 10.0, keys: list[str] = ()) -> DataFrame:
     """Images farther from their nearest neighbour than ``mult`` medians, or that see no point."""
     nn = knn(centers, "image_id", ("x", "y", "z"), 1, keys)
-    med = nn.groupBy(*keys).agg(F.median("distance").alias("med"))
+    nn = kept(nn)
+    med = median(nn, "distance", list(keys), "med").drop("n")
     near = nn.join(med, list(keys)) if keys else nn.crossJoin(F.broadcast(med))  # one row
     good = near.where(F.col("distance") <= mult * F.col("med")).select(*keys, F.col("id").alias("image_id"))
     seeing = obs.where("point_id >= 0").select(*keys, "image_id").distinct()
@@ -124,13 +86,15 @@ def outlier_images(centers: DataFrame, obs: DataFrame, mult: float = 10.0, keys:
 
 def point_spacing(points: DataFrame, least: int = 10) -> DataFrame:
     """Median distance of a point to its nearest other; null under ten points."""
-    return knn(points, "point_id", ("x", "y", "z"), 1).agg(F.count("*").alias("n"), F.median("distance").alias("m")).select(F.when(F.col("n") >= least, F.col("m")).alias("spacing"), "n")
+    return median(kept(knn(points, "point_id", ("x", "y", "z"), 1)), "distance", [], "m").select(F.when(F.col("n") >= least, F.col("m")).alias("spacing"), "n")
 
 
 def auto_region(points: DataFrame, keys: list[str] = ()) -> DataFrame:
     """1st to 99th percentile of x and y."""
-    p = lambda v: F.percentile(v, F.array(F.lit(0.01), F.lit(0.99)))
-    return points.groupBy(*keys).agg(p("x").alias("px"), p("y").alias("py")).select(*keys, F.col("px")[0].alias("x0"), F.col("py")[0].alias("y0"), F.col("px")[1].alias("x1"), F.col("py")[1].alias("y1"))
+    x = quantiles(points, "x", list(keys), {"x0": 0.01, "x1": 0.99}).drop("n")
+    y = quantiles(points, "y", list(keys), {"y0": 0.01, "y1": 0.99}).drop("n")
+    both = x.join(y, list(keys)) if keys else x.crossJoin(F.broadcast(y))  # one row each
+    return both.select(*keys, "x0", "y0", "x1", "y1")
 
 
 def grid_cells(spark, region, size: float) -> DataFrame:
@@ -204,8 +168,8 @@ def assign_points(points: DataFrame, blocks: DataFrame, buffer: float) -> DataFr
 
 def visibility(obs: DataFrame, members: DataFrame) -> DataFrame:
     """(image_id, block, visibility): hull of an image's features in the block over the hull of all of them; 0 if that is flat."""
-    whole = obs.groupBy("image_id").agg(hull_area("x", "y").alias("whole"))
-    inside = obs.join(members.select("point_id", "block"), "point_id").groupBy("image_id", "block").agg(hull_area("x", "y").alias("inside"))
+    whole = hull_areas(obs, ["image_id"], name="whole")
+    inside = hull_areas(obs.join(members.select("point_id", "block"), "point_id"), ["image_id", "block"], name="inside")
     return inside.join(whole, "image_id").select("image_id", "block", F.when(F.col("whole") > 0, F.col("inside") / F.col("whole")).otherwise(F.lit(0.0)).alias("visibility"))
 
 

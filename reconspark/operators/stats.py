@@ -263,7 +263,7 @@ def sampson(x1, y1, x2, y2, e: list[list[Column]]) -> Column:
     a = [e[i][0] * c(x1) + e[i][1] * c(y1) + e[i][2] for i in range(3)]
     b = [e[0][i] * c(x2) + e[1][i] * c(y2) + e[2][i] for i in range(2)]
     top = c(x2) * a[0] + c(y2) * a[1] + a[2]
-    return F.abs(top) / F.sqrt(a[0] * a[0] + a[1] * a[1] + b[0] * b[0] + b[1] * b[1])
+    return F.abs(top) / F.greatest(F.sqrt(a[0] * a[0] + a[1] * a[1] + b[0] * b[0] + b[1] * b[1]), F.lit(1e-12))
 
 
 def pair_images(pair_id) -> tuple[Column, Column]:
@@ -275,7 +275,7 @@ def pair_images(pair_id) -> tuple[Column, Column]:
 
 
 def epipolar_check(errors: DataFrame, min_matches: int = 50, max_pairs: int = 50, limit_px: float = 5.0) -> DataFrame:
-    """``errors(sensor_a, sensor_b, pair_id, px)``: median per pair with over ``min_matches`` matches, then the median of the
+    """``errors(sensor_a, sensor_b, pair_id, px)``, as ``twoview.epipolar_errors`` makes them: median per pair with over ``min_matches`` matches, then the median of the
     first ``max_pairs`` pairs of a pair of sensors; above the limit it fails."""
     from pyspark.sql import Window
 

@@ -621,10 +621,30 @@ def j3_rig_by_gps(spark, d):
     return rg.group_by_gps(c)[0]
 
 
-@query(sql("cloud", "+r AS (SELECT image_id // 5 AS f, folder % 2 AS c, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM cloud GROUP BY 1, 2), o AS (SELECT b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM r a JOIN r b ON a.f = b.f AND a.c = 0 AND b.c = 1), m AS (SELECT avg(dx) AS mx, avg(dy) AS my, avg(dz) AS mz, count(*) AS n FROM o) SELECT '1' AS camera, max(n) AS n, round(max(mx), 5) AS mx, round(max(my), 5) AS my, round(max(mz), 5) AS mz, round(sqrt(max(pow(dx-mx,2) + pow(dy-my,2) + pow(dz-mz,2))), 5) AS spread FROM o, m"))
+def _turns(side: str) -> str:
+    """SQL columns r00 to r22 of a pose's rotation."""
+    w, x, y, z = (f"{side}.{v}/sqrt({side}.qw*{side}.qw+{side}.qx*{side}.qx+{side}.qy*{side}.qy+{side}.qz*{side}.qz)" for v in ("qw", "qx", "qy", "qz"))
+    rows = [[f"1-2*({y}*{y}+{z}*{z})", f"2*({x}*{y}-{w}*{z})", f"2*({x}*{z}+{w}*{y})"], [f"2*({x}*{y}+{w}*{z})", f"1-2*({x}*{x}+{z}*{z})", f"2*({y}*{z}-{w}*{x})"], [f"2*({x}*{z}-{w}*{y})", f"2*({y}*{z}+{w}*{x})", f"1-2*({x}*{x}+{y}*{y})"]]
+    return ", ".join(f"{v} AS r{i}{j}" for i, row in enumerate(rows) for j, v in enumerate(row))
+
+
+COLOCATED = """+turned AS (SELECT image_id // 5 AS f, image_id % 5 AS c, tx, ty, tz, {turns} FROM poses p),
+  placed AS (SELECT *, -(r00*tx + r10*ty + r20*tz) AS x, -(r01*tx + r11*ty + r21*tz) AS y, -(r02*tx + r12*ty + r22*tz) AS z FROM turned),
+  o AS (SELECT b.c, {d} FROM placed a JOIN placed b ON a.f = b.f AND a.c = 0 AND b.c > 0), m AS (SELECT c, count(*) AS n, avg(d0) AS mx, avg(d1) AS my, avg(d2) AS mz FROM o GROUP BY 1),
+  s AS (SELECT c, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, sqrt(max(pow(d0-mx,2) + pow(d1-my,2) + pow(d2-mz,2))) AS spread FROM o JOIN m USING (c) GROUP BY 1),
+  e AS (SELECT s.*, sqrt(mx*mx + my*my + mz*mz) AS offs, CASE WHEN r_regionkey IS NOT NULL THEN sqrt(pow(mx - r_regionkey / 10.0, 2) + pow(my, 2) + pow(mz - 0.25, 2)) END AS error FROM s LEFT JOIN (SELECT r_regionkey FROM region WHERE r_regionkey < 4) ON c = r_regionkey)
+  SELECT c::VARCHAR AS camera, n, round(mx, 5) AS mx, round(my, 5) AS my, round(mz, 5) AS mz, round(spread, 5) AS spread, round(offs, 5) AS "offset", round(error, 5) AS error, CASE WHEN error IS NOT NULL THEN error > 0.2 ELSE offs > 0.5 END AS fails FROM e""".format(
+    turns=_turns("p"), d=", ".join(f"a.r{k}0*(b.x-a.x) + a.r{k}1*(b.y-a.y) + a.r{k}2*(b.z-a.z) AS d{k}" for k in range(3))
+)
+
+
+@query(sql("poses", COLOCATED))
 def j21_colocation(spark, d):
-    r = i.cloud(spark, d).groupBy(F.floor(F.col("image_id") / 5).alias("frame_key"), (F.col("folder") % 2).cast("string").alias("camera")).agg(*[F.avg(v).alias(v) for v in "xyz"]).withColumn("name", F.concat_ws("/", "camera", F.col("frame_key").cast("string")))
-    return rounded(rg.colocation(r.select("name", "camera", "frame_key"), r.select("name", "x", "y", "z"), "0"))
+    p = i.poses(spark, d).withColumn("name", F.col("image_id").cast("string"))
+    rig = p.select("name", F.floor(F.col("image_id") / 5).alias("frame_key"), (F.col("image_id") % 5).cast("string").alias("camera"))
+    # Lever arms of three of the four other cameras are on record.
+    certificate = t(spark, d, "region").where("r_regionkey < 4").select(F.col("r_regionkey").cast("string").alias("camera"), (F.col("r_regionkey") / 10).alias("x"), F.lit(0.0).alias("y"), F.lit(0.25).alias("z"))
+    return rounded(rg.colocation(rig, p, "0", certificate, lever_arm_m=0.2))
 
 
 # ---------------------------------------------------------------- statistics
@@ -720,10 +740,37 @@ def a25_triangulate_tracks(spark, d):
     return rounded(st.triangulate_tracks(o), 4)
 
 
-@query("SELECT l_suppkey % 5 AS sensor_a, l_suppkey % 3 AS sensor_b, count(*) AS pairs, round(median(px), 5) AS median_px, median(px) > 25 AS fails FROM (SELECT l_suppkey, median(l_quantity) AS px, row_number() OVER (PARTITION BY l_suppkey % 5, l_suppkey % 3 ORDER BY l_suppkey) AS r FROM lineitem GROUP BY 1 HAVING count(*) > 20) WHERE r <= 4 GROUP BY 1, 2")
+#: Pairs of images, a match for each order line: keypoints are numbered by line, and stand at different places in both images.
+MATCHED = """+lines AS (SELECT l_partkey % 499 AS a, min(l_partkey % 499 + 1 + l_suppkey % 3) AS b, l_orderkey * 8 + l_linenumber AS idx, min(l_quantity * 20) AS xa, min(l_extendedprice / 50) AS ya, min(l_extendedprice / 60) AS xb, min(l_quantity * 15 + 40) AS yb FROM lineitem GROUP BY 1, 3),
+  turned AS (SELECT image_id, camera_id, tx, ty, tz, {turns} FROM poses p),
+  pairs AS (SELECT l.a, l.b, count(*) AS n, any_value(least(p.camera_id, q.camera_id)) AS sensor_a, any_value(greatest(p.camera_id, q.camera_id)) AS sensor_b FROM lines l JOIN turned p ON p.image_id = l.a JOIN turned q ON q.image_id = l.b WHERE l.a // 2 <> l.b // 2 GROUP BY 1, 2 HAVING count(*) > 20
+    QUALIFY row_number() OVER (PARTITION BY any_value(least(p.camera_id, q.camera_id)), any_value(greatest(p.camera_id, q.camera_id)) ORDER BY l.a, l.b) <= 30),
+  relative AS (SELECT pairs.*, {rel}, q.tx - ({t0}) AS t0, q.ty - ({t1}) AS t1, q.tz - ({t2}) AS t2 FROM pairs JOIN turned p ON p.image_id = a JOIN turned q ON q.image_id = b),
+  e AS (SELECT *, {ess} FROM relative),
+  plane AS (SELECT e.*, (xa - 500) / (900 + a % 3) AS ua, (ya - 400) / (900 + a % 3) AS va, (xb - 500) / (900 + b % 3) AS ub, (yb - 400) / (900 + b % 3) AS vb FROM e JOIN lines USING (a, b)),
+  lines3 AS (SELECT *, e00*ua + e01*va + e02 AS a0, e10*ua + e11*va + e12 AS a1, e20*ua + e21*va + e22 AS a2, e00*ub + e10*vb + e20 AS b0, e01*ub + e11*vb + e21 AS b1 FROM plane),
+  px AS (SELECT sensor_a, sensor_b, a, b, median(abs(ub*a0 + vb*a1 + a2) / greatest(sqrt(a0*a0 + a1*a1 + b0*b0 + b1*b1), 1e-12) * (900 + a % 3)) AS px FROM lines3 GROUP BY ALL)
+  SELECT sensor_a, sensor_b, count(*) AS pairs, round(median(px), 5) AS median_px, median(px) > 25 AS fails FROM px GROUP BY 1, 2""".format(
+    turns=_turns("p"), rel=", ".join(f"q.r{i}0*p.r{j}0 + q.r{i}1*p.r{j}1 + q.r{i}2*p.r{j}2 AS m{i}{j}" for i in range(3) for j in range(3)),
+    **{f"t{i}": " + ".join(f"(q.r{i}0*p.r{j}0 + q.r{i}1*p.r{j}1 + q.r{i}2*p.r{j}2)*p.t{v}" for j, v in enumerate("xyz")) for i in range(3)},
+    ess=", ".join(f"{v} AS e{i}{j}" for j in range(3) for i, v in enumerate((f"t1*m2{j} - t2*m1{j}", f"t2*m0{j} - t0*m2{j}", f"t0*m1{j} - t1*m0{j}"))),
+)
+
+
+@query(sql("poses", MATCHED))
 def j20_epipolar_check(spark, d):
-    e = t(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("sensor_a"), (F.col("l_suppkey") % 3).alias("sensor_b"), F.col("l_suppkey").alias("pair_id"), F.col("l_quantity").alias("px"))
-    return rounded(st.epipolar_check(e, 20, 4, 25.0))
+    from reconspark.operators import twoview as tv
+
+    a, idx = F.col("l_partkey") % 499, F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    values = {"b": a + 1 + F.col("l_suppkey") % 3, "xa": F.col("l_quantity") * 20, "ya": F.col("l_extendedprice") / 50, "xb": F.col("l_extendedprice") / 60, "yb": F.col("l_quantity") * 15 + 40}
+    lines = t(spark, d, "lineitem").groupBy(a.alias("a"), idx.alias("idx")).agg(*[F.min(v).alias(k) for k, v in values.items()])
+    # A match is a line: its number in the first image, that and the first image's in the second.
+    second = F.col("idx") * 512 + F.col("a")
+    matches = lines.groupBy((F.col("a") * 2147483647 + F.col("b")).alias("pair_id")).agg(F.collect_list(F.struct(F.col("idx").alias("a"), second.alias("b"))).alias("matches"))
+    keypoints = lines.select(F.col("a").alias("image_id"), "idx", F.col("xa").alias("x"), F.col("ya").alias("y")).unionByName(lines.select(F.col("b").alias("image_id"), second.alias("idx"), F.col("xb").alias("x"), F.col("yb").alias("y")))
+    focal = (900 + F.col("image_id") % 3).cast("double")
+    images = i.poses(spark, d).withColumns({"sensor": F.col("camera_id"), "frame_key": F.floor(F.col("image_id") / 2), "fx": focal, "fy": focal, "cx": F.lit(500.0), "cy": F.lit(400.0), "k": F.lit(0.0)})
+    return rounded(st.epipolar_check(tv.epipolar_errors(matches, keypoints, images, 20, 30), 20, 30, 25.0))
 
 
 @query("SELECT o_orderkey, p // 2147483647 - CASE WHEN p % 2147483647 = 0 THEN 1 ELSE 0 END AS a, CASE WHEN p % 2147483647 = 0 THEN 2147483647 ELSE p % 2147483647 END AS b FROM (SELECT o_orderkey, o_orderkey * 2147483647 + o_custkey AS p FROM orders)")
@@ -816,9 +863,9 @@ def a10_visibility(spark, d):
 
 @query()
 def a9_hull_area(spark, d):
-    from reconspark.operators.hull import hull_area
+    from reconspark.operators.hull import hull_areas
 
-    return rounded(i.observations(spark, d).groupBy("image_id").agg(hull_area("x", "y").alias("area")))
+    return rounded(hull_areas(i.observations(spark, d), ["image_id"]))
 
 
 @query()

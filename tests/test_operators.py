@@ -18,7 +18,7 @@ from reconspark.operators import models as md
 from reconspark.operators import rig as rg
 from reconspark.operators import spatial as sp
 from reconspark.operators import stats as st
-from reconspark.operators.hull import area_of, hull_area
+from reconspark.operators.hull import area_of, hull_areas
 from reconspark.sources import readers as rd
 from reconspark.streaming import logs as sl
 
@@ -180,7 +180,7 @@ def test_hull(spark):
     assert area_of(np.array([0, 4, 4, 0, 2, 2]), np.array([0, 0, 3, 3, 1, 3])) == 12
     assert area_of(np.array([0, 1, 2]), np.array([0, 1, 2])) == 0 == area_of(np.array([1, 1]), np.array([2, 2]))
     d = spark.createDataFrame([(1, 0.0, 0.0), (1, 2.0, 0.0), (1, 0.0, 2.0), (1, 0.0, 0.0), (2, 1.0, 1.0)], "k long, x double, y double")
-    assert dict(rows(d.groupBy("k").agg(hull_area("x", "y")))) == {1: 2.0, 2: 0.0}
+    assert dict(rows(hull_areas(d, ["k"]))) == {1: 2.0, 2: 0.0}
 
 
 def test_two_blocks_see_their_own_clusters(spark):
