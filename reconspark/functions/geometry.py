@@ -17,9 +17,11 @@ CRS = {
     "utm51n": (WGS84, 123.0, 0.9996, 500000.0),
 }
 CRS_ALIASES = {"epsg:3826": "twd97_tm2_121", "3826": "twd97_tm2_121", "twd97": "twd97_tm2_121", "epsg:3825": "twd97_tm2_119", "3825": "twd97_tm2_119", "epsg:32651": "utm51n", "32651": "utm51n"}
+#: Spellings of coordinates that are metres already.
+CARTESIAN = ("cartesian", "none", "local", "xyz")
 #: Camera models with one focal length, with two, and none.
-SINGLE_FOCAL = ("SIMPLE_PINHOLE", "SIMPLE_RADIAL", "RADIAL", "SIMPLE_RADIAL_FISHEYE", "RADIAL_FISHEYE")
-DOUBLE_FOCAL = ("PINHOLE", "OPENCV", "OPENCV_FISHEYE", "FULL_OPENCV", "FOV", "THIN_PRISM_FISHEYE")
+SINGLE_FOCAL = ("SIMPLE_PINHOLE", "SIMPLE_RADIAL", "RADIAL", "SIMPLE_RADIAL_FISHEYE", "RADIAL_FISHEYE", "SIMPLE_DIVISION", "SIMPLE_FISHEYE")
+DOUBLE_FOCAL = ("PINHOLE", "OPENCV", "OPENCV_FISHEYE", "FULL_OPENCV", "FOV", "THIN_PRISM_FISHEYE", "DIVISION", "FISHEYE", "EUCM")
 #: Millimetres in a unit of length.
 UNIT_MM = {"mm": 1.0, "cm": 10.0, "meters": 1000.0}
 
@@ -101,9 +103,12 @@ def scale_multiplier(scale: float | None = None, mm_per_unit: float | None = Non
     return scale if scale is not None else mm_per_unit / UNIT_MM[unit]
 
 
-def resolve_crs(name: str) -> str:
-    key = name.strip().lower()
+def resolve_crs(name: str | None) -> str:
+    """A preset's name, or ``cartesian``, whatever its case, blanks and dashes; an error for any other."""
+    key = (name or "").strip().lower().replace(" ", "").replace("-", "_")
     key = CRS_ALIASES.get(key, key)
+    if key in CARTESIAN:
+        return "cartesian"
     if key not in CRS:
         raise ValueError(f"unknown coordinate system {name!r}")
     return key
@@ -111,7 +116,10 @@ def resolve_crs(name: str) -> str:
 
 def tm_to_wgs84(easting, northing, crs: str) -> tuple[Column, Column]:
     """Latitude and longitude in degrees by the inverse transverse Mercator series."""
-    (a, f), meridian, k0, false_easting = CRS[resolve_crs(crs)]
+    key = resolve_crs(crs)
+    if key == "cartesian":
+        raise ValueError("cartesian coordinates have no latitude and longitude: take them as they are")
+    (a, f), meridian, k0, false_easting = CRS[key]
     e2 = f * (2 - f)
     ep2 = e2 / (1 - e2)
     e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
@@ -192,6 +200,31 @@ def rescale_params(model, params, sx, sy) -> Column:
     return F.when(known, scaled).otherwise(F.raise_error(F.concat(F.lit("unknown camera model "), c(model))))
 
 
+def rescale_camera(model, params, width, height, new_width, new_height, tolerance: float = 1e-3) -> dict[str, Column]:
+    """Parameters for an image of another size, and how unequal both factors are: params, anisotropy, residual_px, warns.
+
+    EQUIRECTANGULAR cameras have the size itself for parameters.  A single focal length cannot follow unequal factors: about ``residual_px`` stay wrong,
+    and it warns above the tolerance.
+    """
+    sx, sy = c(new_width) / c(width), c(new_height) / c(height)
+    size = F.array(c(new_width).cast("double"), c(new_height).cast("double"))
+    uneven = F.abs(sx / sy - 1)
+    return {"params": F.when(c(model) == "EQUIRECTANGULAR", size).otherwise(rescale_params(model, params, sx, sy)), "anisotropy": uneven, "residual_px": uneven * F.greatest(c(new_width), c(new_height)), "warns": uneven > tolerance}
+
+
+def project_point(point, q, t, model, params) -> tuple[Column, Column]:
+    """Pixel of a world point in a camera: SIMPLE_PINHOLE, PINHOLE, SIMPLE_RADIAL and RADIAL; null behind the camera, an error for other models."""
+    r = rotation(*q)
+    x, y, z = (r[i][0] * c(point[0]) + r[i][1] * c(point[1]) + r[i][2] * c(point[2]) + c(t[i]) for i in range(3))
+    u, v = F.when(z > 0, x / z), F.when(z > 0, y / z)
+    p, single = c(params), c(model).isin(*SINGLE_FOCAL)
+    squared = u * u + v * v
+    k = lambda i: F.get(p, F.lit(i))
+    bend = F.when(c(model) == "SIMPLE_RADIAL", 1 + k(3) * squared).when(c(model) == "RADIAL", 1 + k(3) * squared + k(4) * squared * squared).when(c(model).isin("SIMPLE_PINHOLE", "PINHOLE"), F.lit(1.0)).otherwise(F.raise_error(F.concat(F.lit("no projection for camera model "), c(model))))
+    f, cx, cy = f_cx_cy(model, params)
+    return f * u * bend + cx, F.when(single, f).otherwise(k(1)) * v * bend + cy
+
+
 def shift_principal_point(model, params, x0, y0) -> Column:
     p = c(params)
     simple = F.array(p[0], p[1] - c(x0), p[2] - c(y0))

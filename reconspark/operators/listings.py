@@ -90,7 +90,9 @@ def pass_summary(images: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def newest(outputs: DataFrame, n: int, key: str = "key", time: str = "mtime") -> DataFrame:
-    return outputs.orderBy(F.desc(time), key).limit(n)
+    """The n newest outputs, each with ``total``: how many there are."""
+    total = outputs.agg(F.count("*").alias("total"))  # one row
+    return outputs.orderBy(F.desc(time), key).limit(n).crossJoin(F.broadcast(total))
 
 
 def trained_file(outputs: DataFrame, keys: list[str], path: str = "path") -> DataFrame:

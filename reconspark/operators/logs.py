@@ -6,6 +6,8 @@ fields they fill; a line may match several.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,17 @@ EVENT_RULES = {
 }
 
 
+#: Per kind, what a line says the job is at, last rule first (of several that match a line the first here counts); {n} is a group.
+CURRENT_STAGE = {
+    "frames": [(r"######## \[(\d+)/(\d+)\]", "video {1}/{2}")],
+    "train": [(r"Training complete", "done"), (r"\[ITER\s+(\d+)\]", "train"), (_LOSS_BAR, "train"), (_BAR, "train")],
+    "mesh": [(r"^=== \[\d\d:\d\d:\d\d\] mesh done\.|\[mesh\] result:\s*(\S+)", "done"), (r"Extracting mesh from TSDF", "extract")],
+    "gcs": [(r"Operation completed over (\d+) objects", "done")],
+    "depth": [(_DONE, "done"), (_IMAGES, "depth")],
+    "matte": [(_DONE, "done"), (_IMAGES, "matte")],
+}
+
+
 def filter_noise(lines: DataFrame, line: str = "line", pattern: str = NOISE) -> DataFrame:
     return lines.where(~F.coalesce(c(line).rlike(pattern), F.lit(False)))
 
@@ -99,6 +112,16 @@ def parse_events(lines: DataFrame, kind: str, line: str = "line") -> DataFrame:
     return lines.select("*", *[F.coalesce(*[_value(c(line), p, w) for p, w in rules]).alias(field) for field, (_, rules) in EVENT_RULES[kind].items()])
 
 
+def current_stage(lines: DataFrame, kind: str, keys: list[str], seq: str = "seq", line: str = "line") -> DataFrame:
+    """What each job is at: the label of its last line that says so, null where none does.  An aggregate alone, for tables and streams."""
+    def label(pattern: str, text: str) -> Column:
+        parts = re.split(r"\{(\d)\}", text)
+        return F.when(c(line).rlike(pattern), F.concat(*[F.regexp_extract(c(line), pattern, int(p)) if k % 2 else F.lit(p) for k, p in enumerate(parts)]))
+
+    found = F.coalesce(*[label(*rule) for rule in CURRENT_STAGE[kind]])
+    return lines.withColumn("_at", found).groupBy(*keys).agg(F.max_by("_at", F.when(F.col("_at").isNotNull(), F.col(seq))).alias("current_stage"))
+
+
 def _first_of_each(found: Column) -> Column:
     """Of an array of structs those whose v0 no earlier one has."""
     return F.filter(found, lambda s, k: F.array_position(_part(found, "v0"), s["v0"]) == k + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reconspark.functions.geometry import base_name, c, camera_center, drop_predicate, first_folder, in_rect_closed
+from reconspark.functions.geometry import base_name, c, camera_center, drop_predicate, first_folder, in_rect_closed, project_point
 from reconspark.operators.selection import median
 
 
@@ -91,10 +91,21 @@ def covisibility(obs: DataFrame, images: DataFrame, sensor: str = "camera_id", r
     return counted.withColumn("with_ref", F.array_contains("sensors", ref) & (F.size("sensors") > 1)) if ref is not None else counted
 
 
+def reprojection(obs: DataFrame, images: DataFrame, cameras: DataFrame, points: DataFrame) -> DataFrame:
+    """``obs(image_id, point_id, x, y)`` of points and images that exist, with ``residual``: pixels from where the point projects; null behind the camera.
+
+    ``images(image_id, camera_id, qw ... tz)``, ``cameras(camera_id, model, params)``, ``points(point_id, x, y, z)``."""
+    q, t = ("qw", "qx", "qy", "qz"), ("tx", "ty", "tz")
+    posed = images.select("image_id", "camera_id", *q, *t).join(cameras.select("camera_id", "model", "params"), "camera_id").drop("camera_id")
+    j = obs.join(points.select("point_id", *[F.col(v).alias(f"_{v}") for v in "xyz"]), "point_id").join(posed, "image_id")
+    u, v = project_point(("_x", "_y", "_z"), q, t, "model", "params")
+    return j.select(*obs.columns, F.hypot(u - F.col("x"), v - F.col("y")).alias("residual"))
+
+
 def sensor_report(obs: DataFrame, images: DataFrame, points: DataFrame, sensor: str = "camera_id") -> DataFrame:
     """Per sensor: images, observations, observations an image, median residual; a sensor without observations fails.
 
-    ``obs`` carries the residual in pixels as ``residual``."""
+    ``obs`` carries the residual in pixels as ``residual``, as ``reprojection`` makes it."""
     seen = valid_observations(obs, points).join(images.select("image_id", sensor), "image_id").groupBy(sensor).agg(F.count("*").alias("n_obs"), F.median("residual").alias("median_residual"))
     have = images.groupBy(sensor).agg(F.count("*").alias("n_images"))
     return have.join(seen, sensor, "left").na.fill(0, ["n_obs"]).withColumn("obs_per_image", F.col("n_obs") / F.col("n_images")).withColumn("fails", F.col("n_obs") == 0)
@@ -186,11 +197,17 @@ def size_mismatch(cameras: DataFrame, images: DataFrame, files: DataFrame | None
 
 
 def merge_priors(priors: list[tuple[DataFrame, int]], images: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The prior of highest priority of each image, and the images that have none.  One coordinate system only."""
+    """The prior of highest priority of each image, and the images that have none.
+
+    Priors with a column ``crs`` must agree in it: the first row of another coordinate system stops the query with an error."""
     every = None
     for df, priority in priors:
         own = df.withColumn("priority", F.lit(priority))
         every = own if every is None else every.unionByName(own, allowMissingColumns=True)
+    if every is not None and "crs" in every.columns:
+        systems = every.agg(F.min("crs").alias("_low"), F.max("crs").alias("_high"))  # one row
+        mixed = F.concat(F.lit("priors of several coordinate systems: "), F.col("_low"), F.lit(", "), F.col("_high"))
+        every = every.crossJoin(F.broadcast(systems)).withColumn("crs", F.when(F.col("_low") == F.col("_high"), F.col("crs")).when(F.col("_low").isNotNull(), F.raise_error(mixed).cast("string"))).drop("_low", "_high")
     rest = [k for k in every.columns if k not in ("image_id", "priority")]
     merged = every.groupBy("image_id").agg(F.max_by(F.struct(*rest), "priority").alias("p")).select("image_id", "p.*")
     return merged, images.join(merged, "image_id", "left_anti")

@@ -103,6 +103,11 @@ def rig_summary(rig: DataFrame) -> DataFrame:
     return out.withColumn("n_partial", F.col("n_frames") - F.col("n_complete")).withColumn("weak", F.col("n_complete") < 0.5 * F.col("n_frames"))
 
 
+def rig_cameras(rig: DataFrame) -> DataFrame:
+    """(camera, n_images, n_frames) of each camera of a rig."""
+    return rig.groupBy("camera").agg(F.count_distinct("name").alias("n_images"), F.count_distinct("frame_key").alias("n_frames"))
+
+
 def recommend_ref(rig: DataFrame, eo_stems: DataFrame | None = None) -> DataFrame:
     """The camera with most stems in the survey table, else with most frames; the first name on a tie."""
     own = rig.withColumn("stem", stem("name"))

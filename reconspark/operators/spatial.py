@@ -194,13 +194,38 @@ def skip_small_blocks(members: DataFrame, min_images: int) -> tuple[DataFrame, D
     return n.where(F.col("n_images") >= min_images), n.where(F.col("n_images") < min_images)
 
 
-def emit_views(obs: DataFrame, tiles: DataFrame, cols: str = "cols") -> DataFrame:
-    """Observations of each kept (image, tile), moved to the tile's origin and numbered: block, image_id, tile, idx, vx, vy, point_id.
+def number_views(tiles: DataFrame, first_id: int | None = None) -> DataFrame:
+    """``tiles(block, image_id, tile)`` with ``view_id``: an image kept whole (tile null) keeps its id; tiles are numbered through all blocks without gaps.
+
+    Numbers start at ``first_id``, by default above the largest image id, in order of block, image, tile: counts per block, then ranks inside a block.
+    """
+    cut = tiles.where("tile IS NOT NULL")
+    if first_id is None:
+        first_id = (tiles.agg(F.max("image_id").alias("m")).first()["m"] or 0) + 1  # one number
+    counts = cut.groupBy("block").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("block")) - F.col("_n")).drop("_n")  # one row a block
+    inside = F.row_number().over(Window.partitionBy("block").orderBy("image_id", "tile")) - 1
+    numbered = cut.withColumn("_in", inside).join(counts, "block").withColumn("view_id", (F.col("_before") + F.col("_in") + first_id).cast("long")).drop("_before", "_in")
+    return numbered.unionByName(tiles.where("tile IS NULL").withColumn("view_id", F.col("image_id").cast("long")))
+
+
+def emit_views(obs: DataFrame, views: DataFrame) -> DataFrame:
+    """Observations of each kept view, moved to its origin and numbered: block, view_id, image_id, tile, idx, vx, vy, point_id.
+
+    ``obs`` carries its block and tile (null where the image is kept whole) and the tile's origin ox, oy; ``views`` come from ``number_views``."""
+    named = views.select(F.col("image_id").alias("_image"), F.col("block").alias("_block"), F.col("tile").alias("_tile"), "view_id")
+    same = (F.col("image_id") == F.col("_image")) & (F.col("block") == F.col("_block")) & F.col("tile").eqNullSafe(F.col("_tile"))
+    j = obs.join(named, same).select("block", "view_id", "image_id", "tile", "point_id", (F.col("x") - F.col("ox")).alias("vx"), (F.col("y") - F.col("oy")).alias("vy"))
+    idx = F.row_number().over(Window.partitionBy("block", "view_id").orderBy("point_id", "vx", "vy")) - 1
+    return j.withColumn("idx", idx).select("block", "view_id", "image_id", "tile", "idx", "vx", "vy", "point_id")
 
-    ``obs`` carries its tile and the tile's origin ox, oy."""
-    j = obs.join(tiles.select("image_id", "block", "tile"), ["image_id", "block", "tile"])
-    idx = F.row_number().over(Window.partitionBy("block", "image_id", "tile").orderBy("point_id", "x", "y")) - 1
-    return j.select("block", "image_id", "tile", idx.alias("idx"), (F.col("x") - F.col("ox")).alias("vx"), (F.col("y") - F.col("oy")).alias("vy"), "point_id")
+
+def tracks(emitted: DataFrame, members: DataFrame) -> DataFrame:
+    """(block, point_id, track): for every point of a block where it stands in the block's views, as an array of (view_id, idx) in that order.
+
+    An array is as long as the views of one block that see one point; a point that no view of the block holds has an empty one."""
+    seen = emitted.groupBy("block", "point_id").agg(F.array_sort(F.collect_list(F.struct("view_id", "idx"))).alias("track"))
+    none = F.array().cast("array<struct<view_id:bigint,idx:int>>")
+    return members.select("block", "point_id").distinct().join(seen, ["block", "point_id"], "left").withColumn("track", F.coalesce("track", none))
 
 
 def select_region_images(centers: DataFrame, obs: DataFrame, points: DataFrame, region, buffer: float = 0.0, threshold: float = 1 / 6) -> DataFrame:
@@ -218,10 +243,20 @@ def merge_blocks(results: DataFrame, blocks: DataFrame) -> DataFrame:
     return results.join(blocks, "block").where(in_rect_halfopen("x", "y", F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).drop("x0", "y0", "x1", "y1")
 
 
-def block_manifest(views: DataFrame, members: DataFrame) -> DataFrame:
-    """Per block: source images, views, points, pixels."""
+def block_manifest(views: DataFrame, members: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """Per block: source images, views, points, pixels, and whether it was skipped: ``skipped(block, n_images)`` had too few images and has no views."""
     v = views.groupBy("block").agg(F.count_distinct("image_id").alias("n_images"), F.count("*").alias("n_views"), F.sum(F.col("w") * F.col("h")).alias("pixels"))
-    return v.join(members.groupBy("block").agg(F.count("*").alias("n_points")), "block", "left").na.fill(0, ["n_points"])
+    out = v.join(members.groupBy("block").agg(F.count("*").alias("n_points")), "block", "left").na.fill(0, ["n_points"])
+    if skipped is None:
+        return out
+    zero = F.lit(0).cast("long")
+    gone = skipped.select("block", F.col("n_images").cast("long").alias("n_images"), zero.alias("n_views"), zero.alias("pixels"), zero.alias("n_points"), F.lit(True).alias("skipped"))
+    return out.withColumn("skipped", F.lit(False)).unionByName(gone)
+
+
+def image_blocks(views: DataFrame) -> DataFrame:
+    """(image_id, blocks): every block that a source image is in, in order; why is this photo missing from that block?"""
+    return views.groupBy("image_id").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
 
 
 def raster_nearest(points: DataFrame, h: str, v: str, depth: str, pixel: float, near: str = "min") -> DataFrame:

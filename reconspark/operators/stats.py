@@ -39,11 +39,17 @@ def scale_pairs(cams: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), order:
     return a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in keys], _distance("s", axes).alias("d_src"), _distance("d", axes).alias("d_dst"))
 
 
-def scale_estimate(pairs: DataFrame, keys: list[str] = (), floor_m: float = 30.0, least_pairs: int = 30) -> DataFrame:
-    """Median of d_src / d_dst over long pairs, its quartiles and three equal bins by d_src; nothing under 30 pairs."""
-    top = pairs.groupBy(*keys).agg(F.max("d_src").alias("dmax")).withColumn("floor", F.greatest(F.lit(floor_m), 0.15 * F.col("dmax")))
+def scale_estimate(pairs: DataFrame, keys: list[str] = (), floor_m: float = 30.0, least_pairs: int = 30, gate: tuple[float, float] | None = None) -> DataFrame:
+    """Median of d_src / d_dst over long pairs, its quartiles and three equal bins by d_src; nothing under 30 pairs.
+
+    ``gate`` (floor, dmax) pins the range to another estimate's, so that the bins of both can be compared.
+    """
+    if gate:
+        top = pairs.groupBy(*keys).agg(F.lit(float(gate[1])).alias("dmax"), F.lit(float(gate[0])).alias("floor"))
+    else:
+        top = pairs.groupBy(*keys).agg(F.max("d_src").alias("dmax")).withColumn("floor", F.greatest(F.lit(floor_m), 0.15 * F.col("dmax")))
     j = pairs.join(top, list(keys)) if keys else pairs.crossJoin(F.broadcast(top))  # one row
-    j = j.where((F.col("d_src") >= F.col("floor")) & (F.col("d_dst") > 0)).withColumn("r", F.col("d_src") / F.col("d_dst"))
+    j = j.where((F.col("d_src") >= F.col("floor")) & (F.col("d_src") <= F.col("dmax")) & (F.col("d_dst") > 0)).withColumn("r", F.col("d_src") / F.col("d_dst"))
     step = (F.col("dmax") - F.col("floor")) / 3
     j = j.withColumn("bin", F.least(F.lit(2), F.floor((F.col("d_src") - F.col("floor")) / F.when(step > 0, step).otherwise(F.lit(1.0))).cast("int")))
     q = F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -57,30 +63,61 @@ def noise(seed: int, *parts) -> Column:
     return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * float(np.pi) * u[1])
 
 
-def noise_calibrate(cams: DataFrame, sigma: dict[str, float], trials: int = 5, seed: int = 20260804, order: str = "image_id") -> DataFrame:
-    """What the estimator says of a perfect model at this noise: the median trial's error and half the spread, in percent."""
+def noise_calibrate(cams: DataFrame, sigma: dict[str, float], trials: int = 5, seed: int = 20260804, order: str = "image_id", gate: tuple[float, float] | None = None) -> DataFrame:
+    """What the estimator says of a perfect model at this noise: the middle trial's error and bins, and half the spread, in percent.
+
+    One row, of ``trials`` 0 and nulls if no trial has pairs enough.  The middle trial is the one whose error is in the middle, so its bins belong to it.
+    """
     axes = tuple(sigma)
     t = cams.select(order, *[f"d{a}" for a in axes], F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     t = t.select("trial", order, *[F.col(f"d{a}").alias(f"s{a}") for a in axes], *[(F.col(f"d{a}") + noise(seed, F.lit(a), "trial", order) * s).alias(f"d{a}") for a, s in sigma.items()])
-    e = scale_estimate(scale_pairs(t, axes, order, ["trial"]), ["trial"])
-    return e.agg(F.median("err_pct").alias("bias_pct"), ((F.max("err_pct") - F.min("err_pct")) / 2).alias("spread_pct"), F.count("*").alias("trials"))
+    e = scale_estimate(scale_pairs(t, axes, order, ["trial"]), ["trial"], gate=gate)
+    listed = e.agg(F.sort_array(F.collect_list(F.struct("err_pct", "trial", "bin0", "bin1", "bin2"))).alias("all"))  # one entry a trial
+    mid = F.get("all", F.floor(F.size("all") / 2).cast("int"))
+    spread = (F.get("all", F.size("all") - 1)["err_pct"] - F.get("all", F.lit(0))["err_pct"]) / 2
+    return listed.select(mid["err_pct"].alias("bias_pct"), spread.alias("spread_pct"), F.size("all").cast("long").alias("trials"), *[mid[f"bin{b}"].alias(f"noise_bin{b}") for b in range(3)])
+
 
+#: True height must spread over so many sigmas to count; percent of error from which a model is taken for not aligned.
+HEIGHT_SIGMAS, MISALIGNED_PCT = 2.0, 5.0
+CHECKED = "dims int, err_pct double, corrected_pct double, noise_bias_pct double, sensitivity_pct double, folder_bias_m double, drift_pct double, n_pairs long, vertical_usable boolean, warns boolean, note string"
 
-def scale_check(cams: DataFrame, least: int = 8, order: str = "image_id") -> DataFrame:
-    """One row: scale error corrected by its own bias, sensitivity, folder bias and whether height is trusted.
 
-    ``cams`` has model coordinates sx, sy, sz, survey coordinates dx, dy, dz in metres, and folder; thinned first."""
-    n = cams.agg(F.count("*").alias("n"), *[F.sqrt(F.avg((F.col(f"s{a}") - F.col(f"d{a}")) * (F.col(f"s{a}") - F.col(f"d{a}")))).alias(f"sigma_{a}") for a in "xyz"], F.stddev_pop("dz").alias("height")).first()  # one row
+def scale_check(cams: DataFrame, least: int = 8, order: str = "image_id", floor_m: float = 30.0) -> DataFrame:
+    """One row: the scale error less what noise alone shows, how sure it is, drift in excess of noise, and warnings; no row under ``least`` cameras or 30 pairs.
+
+    ``cams`` has model coordinates sx, sy, sz, survey coordinates dx, dy, dz in metres, and folder.  Sigma of an axis is the residual's spread about its mean.
+    Height counts only if the model's own heights spread over HEIGHT_SIGMAS of its sigma; else (``vertical_usable`` false, ``note`` says so) the estimate is horizontal.
+    ``sensitivity_pct`` is the largest of the trials' half spread, two folders' differing offsets over the longest pair, and 0.05.  ``drift_pct``: how much more the medians of the three ranges of
+    distance spread than those of the middle noise trial.  ``warns``: more than MISALIGNED_PCT are left after the correction.
+    """
+    n = cams.agg(F.count("*").alias("n"), *[F.stddev_pop(F.col(f"s{a}") - F.col(f"d{a}")).alias(f"sigma_{a}") for a in "xyz"], *[F.avg(F.col(f"s{a}") - F.col(f"d{a}")).alias(f"mean_{a}") for a in "xyz"], F.stddev_pop("sz").alias("height")).first()  # one row
+    empty = cams.sparkSession.createDataFrame([], CHECKED)
     if not n or n["n"] < least:
-        return cams.sparkSession.createDataFrame([], "dims int, err_pct double, corrected_pct double, sensitivity_pct double, folder_bias double, drift_pct double, n_pairs long")
-    axes = ("x", "y", "z") if n["height"] > 2 * n["sigma_z"] else ("x", "y")
-    est = scale_estimate(scale_pairs(cams, axes, order))
-    cal = noise_calibrate(cams, {a: float(n[f"sigma_{a}"]) for a in axes}, order=order)
-    per = cams.groupBy("folder").agg(F.count("*").alias("k"), *[F.avg(F.col(f"s{a}") - F.col(f"d{a}")).alias(f"b{a}") for a in axes]).where("k >= 3")
-    bias = per.agg(F.count("*").alias("folders"), F.greatest(*[F.max(f"b{a}") - F.min(f"b{a}") for a in axes]).alias("b")).select(F.when(F.col("folders") >= 2, F.col("b")).otherwise(F.lit(0.0)).alias("folder_bias"))
+        return empty
+    usable = n["height"] > HEIGHT_SIGMAS * n["sigma_z"]
+    axes = ("x", "y", "z") if usable else ("x", "y")
+    est = kept(scale_estimate(scale_pairs(cams, axes, order), floor_m=floor_m))
+    own = est.select("floor", "dmax").first()  # one row at most
+    if own is None:
+        return empty
+    cal = noise_calibrate(cams, {a: float(n[f"sigma_{a}"]) for a in axes}, order=order, gate=(own["floor"], own["dmax"]))
+    # Offsets of folders of three cameras or more, in centimetres as reported; the widest pair of them.
+    per = kept(cams.groupBy("folder").agg(F.count("*").alias("k"), *[F.round(F.avg(F.col(f"s{a}") - F.col(f"d{a}")) - n[f"mean_{a}"], 2).alias(f"b{a}") for a in axes]).where("k >= 3"))
+    other = per.select(F.col("folder").alias("_folder"), *[F.col(f"b{a}").alias(f"c{a}") for a in axes])
+    gaps = per.join(other, F.col("folder") < F.col("_folder"))  # folders of one capture: a handful
+    bias = gaps.agg(F.coalesce(F.max(F.sqrt(sum(((F.col(f"b{a}") - F.col(f"c{a}")) * (F.col(f"b{a}") - F.col(f"c{a}")) for a in axes), F.lit(0.0)))), F.lit(0.0)).alias("folder_bias_m"))
     one = est.crossJoin(F.broadcast(cal)).crossJoin(F.broadcast(bias))  # one row each
-    drift = F.greatest("bin0", "bin1", "bin2") - F.least("bin0", "bin1", "bin2")
-    return one.select(F.lit(len(axes)).alias("dims"), "err_pct", (F.col("err_pct") - F.coalesce("bias_pct", F.lit(0.0))).alias("corrected_pct"), F.greatest(F.coalesce("spread_pct", F.lit(0.0)), 100 * F.col("folder_bias") / F.col("dmax"), F.lit(0.05)).alias("sensitivity_pct"), "folder_bias", (100 * drift).alias("drift_pct"), "n_pairs")
+
+    def spread(names: list[str]) -> Column:
+        known = sum((F.col(v).isNotNull().cast("int") for v in names), F.lit(0))
+        return F.when(known > 1, 100 * (F.greatest(*names) - F.least(*names))).otherwise(F.lit(0.0))
+
+    drift = F.greatest(F.lit(0.0), spread(["bin0", "bin1", "bin2"]) - spread(["noise_bin0", "noise_bin1", "noise_bin2"]))
+    left = F.col("err_pct") - F.coalesce("bias_pct", F.lit(0.0))
+    note = F.lit(None).cast("string") if usable else F.lit(f"heights spread over {n['height']:.1f} m, their noise is {n['sigma_z']:.1f} m: horizontal distances alone")
+    floor = F.when(F.col("dmax") > 0, 100 * F.col("folder_bias_m") / F.col("dmax")).otherwise(F.lit(0.0))
+    return one.select(F.lit(len(axes)).alias("dims"), "err_pct", left.alias("corrected_pct"), F.coalesce("bias_pct", F.lit(0.0)).alias("noise_bias_pct"), F.greatest(F.coalesce("spread_pct", F.lit(0.0)), floor, F.lit(0.05)).alias("sensitivity_pct"), "folder_bias_m", drift.alias("drift_pct"), "n_pairs", F.lit(bool(usable)).alias("vertical_usable"), (F.abs(left) > MISALIGNED_PCT).alias("warns"), note.alias("note"))
 
 
 def moments(rows: DataFrame, keys: list[str], src=("sx", "sy", "sz"), dst=("dx", "dy", "dz")) -> DataFrame:

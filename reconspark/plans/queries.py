@@ -127,9 +127,9 @@ def t4_trained_file(spark, d):
     return ls.trained_file(own, ["host"]).select("host", "iteration")
 
 
-@query(sql("listing", "SELECT key, mtime FROM listing ORDER BY mtime DESC, key LIMIT 25"))
+@query(sql("listing", "SELECT key, mtime, (SELECT count(*) FROM listing) AS total FROM listing ORDER BY mtime DESC, key LIMIT 25"))
 def t5_newest_outputs(spark, d):
-    return ls.newest(i.listing(spark, d), 25).select("key", "mtime")
+    return ls.newest(i.listing(spark, d), 25).select("key", "mtime", "total")
 
 
 @query(sql("frames", "SELECT video, max(CASE WHEN r = n // 2 THEN score END) AS mid, max(CASE WHEN r = floor(n * 0.9) THEN score END) AS p90, max(score) AS largest FROM (SELECT video, score, row_number() OVER (PARTITION BY video ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY video) AS n FROM frames WHERE NOT isnan(score)) GROUP BY video"))
@@ -227,6 +227,13 @@ def f13_rescale_params(spark, d):
     return rounded(p.select("p_partkey", g.rescale_params("m", "p", F.lit(1.5), F.lit(2.0)).alias("q")).select("p_partkey", F.col("q")[0].alias("f"), F.col("q")[1].alias("second"), F.col("q")[2].alias("third")), 4)
 
 
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN (800 + p_size)::DOUBLE WHEN 1 THEN round(p_retailprice * ((800 + p_size) / 1600.0 + 0.5) / 2, 4)::DOUBLE ELSE round(p_retailprice * (800 + p_size) / 1600.0, 4)::DOUBLE END AS first, round(abs((800 + p_size) / 1600.0 / 0.5 - 1)::DOUBLE, 8) AS anisotropy, round((abs((800 + p_size) / 1600.0 / 0.5 - 1) * (800 + p_size))::DOUBLE, 4) AS residual_px, abs((800 + p_size) / 1600.0 / 0.5 - 1) > 0.01 AS warns FROM part")
+def f13_rescale_camera(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "EQUIRECTANGULAR").when(F.col("p_size") % 3 == 1, "SIMPLE_RADIAL").otherwise("OPENCV").alias("m"), F.array(F.col("p_retailprice").cast("double"), F.lit(11.0), F.lit(10.0), F.lit(20.0)).alias("p"), (F.col("p_size") + 800).alias("w"))
+    out = g.rescale_camera("m", "p", F.lit(1600), F.lit(1200), "w", F.lit(600), 0.01)
+    return p.select("p_partkey", F.round(out["params"][0], 4).alias("first"), F.round(out["anisotropy"], 8).alias("anisotropy"), F.round(out["residual_px"], 4).alias("residual_px"), out["warns"].alias("warns"))
+
+
 @query("SELECT p_partkey, round(50.0::DOUBLE - p_size, 4) AS cx, round(40.0::DOUBLE - p_size * 2, 4) AS cy FROM part")
 def f14_shift_principal_point(spark, d):
     p = g.shift_principal_point(F.lit("PINHOLE"), F.array(F.lit(9.0), F.lit(9.0), F.lit(50.0), F.lit(40.0)), "p_size", F.col("p_size") * 2)
@@ -337,16 +344,36 @@ def a13_covisibility(spark, d):
     return md.covisibility(i.observations(spark, d), i.images(spark, d), ref=0).withColumn("sensors", F.array_join(F.transform("sensors", lambda v: v.cast("string")), "-"))
 
 
-@query(sql("obs images pts", "SELECT camera_id, n_images, coalesce(n_obs, 0) AS n_obs, round(m, 5) AS median_residual, round(coalesce(n_obs, 0) / n_images, 5) AS obs_per_image, coalesce(n_obs, 0) = 0 AS fails FROM (SELECT camera_id, count(*) AS n_images FROM images GROUP BY 1) LEFT JOIN (SELECT camera_id, count(*) AS n_obs, median(x / 10) AS m FROM obs JOIN images USING (image_id) WHERE point_id IN (SELECT point_id FROM pts) GROUP BY 1) USING (camera_id)"))
+def _turns(side: str) -> str:
+    """SQL columns r00 to r22 of a pose's rotation."""
+    w, x, y, z = (f"{side}.{v}/sqrt({side}.qw*{side}.qw+{side}.qx*{side}.qx+{side}.qy*{side}.qy+{side}.qz*{side}.qz)" for v in ("qw", "qx", "qy", "qz"))
+    rows = [[f"1-2*({y}*{y}+{z}*{z})", f"2*({x}*{y}-{w}*{z})", f"2*({x}*{z}+{w}*{y})"], [f"2*({x}*{y}+{w}*{z})", f"1-2*({x}*{x}+{z}*{z})", f"2*({y}*{z}-{w}*{x})"], [f"2*({x}*{z}-{w}*{y})", f"2*({y}*{z}+{w}*{x})", f"1-2*({x}*{x}+{y}*{y})"]]
+    return ", ".join(f"{v} AS r{i}{j}" for i, row in enumerate(rows) for j, v in enumerate(row))
+
+
+REPROJECTED = """+turned AS (SELECT image_id, camera_id, tx, ty, tz, {turns} FROM poses p), w AS (SELECT l_orderkey AS image_id, l_quantity AS u0, l_extendedprice / 100 AS v0, p_size::DOUBLE AS x, p_retailprice / 10 AS y, (p_partkey % 97)::DOUBLE AS z FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 3),
+  k AS (SELECT camera_id, u0, v0, r00*x + r01*y + r02*z + tx AS cx, r10*x + r11*y + r12*z + ty AS cy, r20*x + r21*y + r22*z + tz AS cz FROM w JOIN turned USING (image_id)),
+  n AS (SELECT *, CASE WHEN cz > 0 THEN cx / cz END AS u, CASE WHEN cz > 0 THEN cy / cz END AS v FROM k),
+  e AS (SELECT camera_id, sqrt(pow((500 + camera_id) * u * b + 320 - u0, 2) + pow((CASE WHEN camera_id % 2 = 0 THEN 500 + camera_id ELSE 510 END) * v * b + 240 - v0, 2)) AS residual FROM (SELECT *, CASE WHEN camera_id % 2 = 0 THEN 1 + 0.01 * (u*u + v*v) ELSE 1 END AS b FROM n))
+  SELECT camera_id, n_images, coalesce(n_obs, 0) AS n_obs, round(m, 5) AS median_residual, round(coalesce(n_obs, 0) / n_images, 5) AS obs_per_image, coalesce(n_obs, 0) = 0 AS fails FROM (SELECT camera_id, count(*) AS n_images FROM poses GROUP BY 1) LEFT JOIN (SELECT camera_id, count(*) AS n_obs, median(residual) AS m FROM e GROUP BY 1) USING (camera_id)""".format(turns=_turns("p"))
+
+
+@query(sql("poses", REPROJECTED))
 def a11_sensor_report(spark, d):
-    obs = i.observations(spark, d).withColumn("residual", F.col("x") / 10)
-    return rounded(md.sensor_report(obs, i.images(spark, d), i.points(spark, d)))
+    images = i.poses(spark, d)
+    two = F.col("camera_id") % 2 == 0
+    cameras = images.select("camera_id").distinct().select("camera_id", F.when(two, "SIMPLE_RADIAL").otherwise("PINHOLE").alias("model"), F.when(two, F.array((500.0 + F.col("camera_id")), F.lit(320.0), F.lit(240.0), F.lit(0.01))).otherwise(F.array((500.0 + F.col("camera_id")), F.lit(510.0), F.lit(320.0), F.lit(240.0))).alias("params"))
+    obs = i.observations(spark, d).where("point_id IS NOT NULL").withColumn("y", F.col("y") * 10)
+    seen = md.reprojection(obs, images, cameras, i.points(spark, d))
+    return rounded(md.sensor_report(seen, images, i.points(spark, d)))
 
 
-@query("SELECT c, min(f) AS folder FROM (SELECT c_custkey % 50 AS c, c_mktsegment AS f FROM customer WHERE c_custkey % 50 > 20 OR c_mktsegment = 'BUILDING') GROUP BY 1 HAVING count(DISTINCT f) = 1")
+@query("SELECT c, min(f) AS folder FROM (SELECT c_custkey AS c, c_mktsegment AS f FROM customer UNION ALL SELECT c_custkey, o_orderpriority FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_custkey % 3 = 0) GROUP BY 1 HAVING count(DISTINCT f) = 1")
 def a32_camera_folders(spark, d):
-    own = t(spark, d, "customer").select((F.col("c_custkey") % 50).alias("c"), F.col("c_mktsegment").alias("folder")).where("c > 20 OR folder = 'BUILDING'")
-    return md.camera_folders(own, "c")
+    own = t(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.col("c_mktsegment").alias("folder"))
+    # Every third camera has its orders' priorities for folders too.
+    more = t(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("folder"))
+    return md.camera_folders(own.unionByName(more.join(own.select("c"), "c", "left_semi")), "c")
 
 
 CASCADE = """doomed AS (SELECT image_id FROM images WHERE camera_id = 3 OR contains(name, '99')), ko AS (SELECT * FROM obs WHERE image_id NOT IN (SELECT image_id FROM doomed)),
@@ -591,6 +618,11 @@ def a29_rig_summary(spark, d):
     return rg.rig_summary(rg.group_by_regex(_rig_names(spark, d), r"^(?P<cam>x\d)-(?P<frame>\d+_\d+)")[0])
 
 
+@query("WITH " + RIG[1:] + " SELECT camera, count(DISTINCT name) AS n_images, count(DISTINCT f) AS n_frames FROM (SELECT name, regexp_extract(name, '/(x\\d)-', 1) AS camera, regexp_extract(name, '-(\\d+_\\d+)', 1) AS f FROM n) GROUP BY 1")
+def a29_rig_cameras(spark, d):
+    return rg.rig_cameras(rg.group_by_regex(_rig_names(spark, d), r"^(?P<cam>x\d)-(?P<frame>\d+_\d+)")[0])
+
+
 @query("WITH " + RIG[1:] + " SELECT split_part(name, '/', 1) AS camera, count(DISTINCT name) AS frames FROM n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
 def a30_recommend_ref(spark, d):
     return rg.recommend_ref(rg.group_by_folder(_rig_names(spark, d))[0]).select("camera", "frames")
@@ -621,13 +653,6 @@ def j3_rig_by_gps(spark, d):
     return rg.group_by_gps(c)[0]
 
 
-def _turns(side: str) -> str:
-    """SQL columns r00 to r22 of a pose's rotation."""
-    w, x, y, z = (f"{side}.{v}/sqrt({side}.qw*{side}.qw+{side}.qx*{side}.qx+{side}.qy*{side}.qy+{side}.qz*{side}.qz)" for v in ("qw", "qx", "qy", "qz"))
-    rows = [[f"1-2*({y}*{y}+{z}*{z})", f"2*({x}*{y}-{w}*{z})", f"2*({x}*{z}+{w}*{y})"], [f"2*({x}*{y}+{w}*{z})", f"1-2*({x}*{x}+{z}*{z})", f"2*({y}*{z}-{w}*{x})"], [f"2*({x}*{z}-{w}*{y})", f"2*({y}*{z}+{w}*{x})", f"1-2*({x}*{x}+{y}*{y})"]]
-    return ", ".join(f"{v} AS r{i}{j}" for i, row in enumerate(rows) for j, v in enumerate(row))
-
-
 COLOCATED = """+turned AS (SELECT image_id // 5 AS f, image_id % 5 AS c, tx, ty, tz, {turns} FROM poses p),
   placed AS (SELECT *, -(r00*tx + r10*ty + r20*tz) AS x, -(r01*tx + r11*ty + r21*tz) AS y, -(r02*tx + r12*ty + r22*tz) AS z FROM turned),
   o AS (SELECT b.c, {d} FROM placed a JOIN placed b ON a.f = b.f AND a.c = 0 AND b.c > 0), m AS (SELECT c, count(*) AS n, avg(d0) AS mx, avg(d1) AS my, avg(d2) AS mz FROM o GROUP BY 1),
@@ -890,11 +915,33 @@ def p8_skip_small_blocks(spark, d):
     return sp.skip_small_blocks(m, 200)[0]
 
 
-@query(sql("obs", "SELECT image_id, block, count(*) AS n, round(sum(x - 1), 4) AS sx FROM (SELECT image_id, point_id % 4 AS block, x FROM obs WHERE point_id IS NOT NULL) GROUP BY 1, 2"))
+#: Tiles of width 25 and height 50 in three blocks of points; images of the fourth block are kept whole.
+VIEWS = """+q AS (SELECT image_id, point_id, point_id % 4 AS block, CASE WHEN point_id % 4 < 3 THEN floor(y / 50)::BIGINT * 2 + floor(x / 25)::BIGINT END AS tile, x, y FROM obs WHERE point_id IS NOT NULL),
+  tiles AS (SELECT DISTINCT block, image_id, tile FROM q),
+  v AS (SELECT *, CASE WHEN tile IS NULL THEN image_id ELSE (SELECT max(image_id) FROM tiles) + row_number() OVER (PARTITION BY tile IS NULL ORDER BY block, image_id, tile) END AS view_id FROM tiles),
+  e AS (SELECT q.block, view_id, q.image_id, point_id, x - CASE WHEN q.tile IS NULL THEN 0 ELSE q.tile % 2 * 25 END AS vx, y - CASE WHEN q.tile IS NULL THEN 0 ELSE q.tile // 2 * 50 END AS vy FROM q JOIN v ON q.block = v.block AND q.image_id = v.image_id AND q.tile IS NOT DISTINCT FROM v.tile),
+  n AS (SELECT *, row_number() OVER (PARTITION BY block, view_id ORDER BY point_id, vx, vy) - 1 AS idx FROM e)"""
+
+
+def _views(spark, d):
+    block = F.col("point_id") % 4
+    obs = i.observations(spark, d).where("point_id IS NOT NULL").select("image_id", "point_id", block.alias("block"), F.when(block < 3, F.floor(F.col("y") / 50) * 2 + F.floor(F.col("x") / 25)).alias("tile"), "x", "y")
+    obs = obs.withColumns({"ox": F.when(F.col("tile").isNull(), 0).otherwise(F.col("tile") % 2 * 25), "oy": F.when(F.col("tile").isNull(), 0).otherwise(F.floor(F.col("tile") / 2) * 50)})
+    views = sp.number_views(obs.select("block", "image_id", "tile").distinct())
+    return views, sp.emit_views(obs, views)
+
+
+@query(sql("obs", VIEWS + " SELECT block, view_id, any_value(image_id) AS image_id, count(*) AS n, round(sum(vx), 6) AS sx, round(sum(vy), 6) AS sy, sum(idx * point_id)::BIGINT AS numbered FROM n GROUP BY 1, 2"))
 def p9_emit_views(spark, d):
-    obs = i.observations(spark, d).where("point_id IS NOT NULL").select("image_id", "point_id", (F.col("point_id") % 4).alias("block"), F.lit(0).alias("tile"), "x", "y", F.lit(1.0).alias("ox"), F.lit(0.0).alias("oy"))
-    tiles = obs.select("image_id", "block", "tile").distinct()
-    return sp.emit_views(obs, tiles).groupBy("image_id", "block").agg(F.count("*").alias("n"), F.round(F.sum("vx"), 4).alias("sx"))
+    e = _views(spark, d)[1]
+    return e.groupBy("block", "view_id").agg(F.max("image_id").alias("image_id"), F.count("*").alias("n"), F.round(F.sum("vx"), 6).alias("sx"), F.round(F.sum("vy"), 6).alias("sy"), F.sum(F.col("idx") * F.col("point_id")).alias("numbered"))
+
+
+@query(sql("obs pts", VIEWS + " SELECT point_id % 4 AS block, p.point_id, coalesce(string_agg(view_id || ':' || idx, ' ' ORDER BY view_id, idx), '') AS track FROM pts p LEFT JOIN n USING (point_id) GROUP BY 1, 2"))
+def p9_tracks(spark, d):
+    members = i.points(spark, d).select((F.col("point_id") % 4).alias("block"), "point_id")
+    told = sp.tracks(_views(spark, d)[1], members)
+    return told.select("block", "point_id", F.array_join(F.transform("track", lambda v: F.concat_ws(":", v["view_id"].cast("string"), v["idx"].cast("string"))), " ").alias("track"))
 
 
 @query()
@@ -910,11 +957,25 @@ def p11_merge_blocks(spark, d):
     return sp.merge_blocks(sp.assign_points(i.points(spark, d), blocks, 3.0), blocks).select("point_id", "block")
 
 
-@query(sql("obs", "SELECT v.block, n_images, n_views, pixels, coalesce(n_points, 0) AS n_points FROM (SELECT point_id % 4 AS block, count(DISTINCT image_id) AS n_images, count(*) AS n_views, count(*) * 200 AS pixels FROM obs WHERE point_id IS NOT NULL GROUP BY 1) v LEFT JOIN (SELECT p_partkey % 5 AS block, count(*) AS n_points FROM part WHERE p_partkey % 5 < 3 GROUP BY 1) m USING (block)"))
+BLOCKED = "+m AS (SELECT image_id, point_id, point_id % 7 AS block FROM obs WHERE point_id IS NOT NULL), s AS (SELECT block, count(DISTINCT image_id) AS n_images FROM m GROUP BY 1), least AS (SELECT median(n_images) AS k FROM s)"
+
+
+def _blocked(spark, d):
+    m = i.observations(spark, d).where("point_id IS NOT NULL").select("image_id", (F.col("point_id") % 7).alias("block"), F.lit(10).alias("w"), F.lit(20).alias("h"))
+    least = m.groupBy("block").agg(F.count_distinct("image_id").alias("n")).agg(F.median("n").alias("k")).first()["k"] or 0  # one number
+    full, small = sp.skip_small_blocks(m, least)
+    return m.join(full.select("block"), "block", "left_semi"), small
+
+
+@query(sql("obs pts", BLOCKED + ", v AS (SELECT block, count(DISTINCT image_id) AS n_images, count(*) AS n_views, count(*) * 200 AS pixels FROM m GROUP BY 1), p AS (SELECT point_id % 7 AS block, count(*) AS n_points FROM pts GROUP BY 1) SELECT block, n_images, CASE WHEN n_images >= k THEN n_views ELSE 0 END AS n_views, CASE WHEN n_images >= k THEN pixels ELSE 0 END AS pixels, CASE WHEN n_images >= k THEN coalesce(n_points, 0) ELSE 0 END AS n_points, n_images < k AS skipped FROM v LEFT JOIN p USING (block), least"))
 def a36_block_manifest(spark, d):
-    v = i.observations(spark, d).where("point_id IS NOT NULL").select((F.col("point_id") % 4).alias("block"), "image_id", F.lit(10).alias("w"), F.lit(20).alias("h"))
-    m = t(spark, d, "part").select((F.col("p_partkey") % 5).alias("block")).where("block < 3")
-    return sp.block_manifest(v, m)
+    views, small = _blocked(spark, d)
+    return sp.block_manifest(views, i.points(spark, d).select((F.col("point_id") % 7).alias("block")), small)
+
+
+@query(sql("obs", BLOCKED + " SELECT image_id, string_agg(DISTINCT block::VARCHAR, ',' ORDER BY block::VARCHAR) AS blocks FROM m JOIN s USING (block), least WHERE n_images >= k GROUP BY 1"))
+def a36_image_blocks(spark, d):
+    return sp.image_blocks(_blocked(spark, d)[0]).select("image_id", F.array_join(F.col("blocks").cast("array<string>"), ",").alias("blocks"))
 
 
 # ---------------------------------------------------------------- boxes
@@ -1163,3 +1224,36 @@ def s8_replay_then_follow(spark, d):
     follow.awaitTermination()
     read = lambda name, part: spark.read.schema("job_id string, seq long").parquet(f"{path}/{name}").withColumn("part", F.lit(part))
     return read("past", "replayed").unionByName(read("new", "followed"))
+
+
+_AT = {
+    "frames": "CASE WHEN regexp_matches(line, '######## \\[(\\d+)/(\\d+)\\]') THEN 'video ' || regexp_extract(line, '######## \\[(\\d+)/(\\d+)\\]', 1) || '/' || regexp_extract(line, '######## \\[(\\d+)/(\\d+)\\]', 2) END",
+    "train": "CASE WHEN regexp_matches(line, 'Training complete') THEN 'done' WHEN regexp_matches(line, '\\[ITER\\s+(\\d+)\\]') OR regexp_matches(line, '(\\d+)/(\\d+)\\s*\\|\\s*Loss:') OR (contains(line, 'Training') AND regexp_matches(line, '(\\d+)/(\\d+)\\s*\\[')) THEN 'train' END",
+    "mesh": "CASE WHEN regexp_matches(line, '\\[mesh\\] result:\\s*\\S+') THEN 'done' WHEN regexp_matches(line, 'Extracting mesh from TSDF') THEN 'extract' END",
+    "gcs": "CASE WHEN regexp_matches(line, 'Operation completed over (\\d+) objects') THEN 'done' END",
+    "depth": "CASE WHEN regexp_matches(line, '^Done\\. processed=(\\d+) skipped=(\\d+)$') THEN 'done' WHEN regexp_matches(line, '^Images: (\\d+) under (.+)$') THEN 'depth' END",
+    "matte": "CASE WHEN regexp_matches(line, '^Done\\. processed=(\\d+) skipped=(\\d+)$') THEN 'done' WHEN regexp_matches(line, '^Images: (\\d+) under (.+)$') THEN 'matte' END",
+}
+
+
+@query(sql(" ".join(f"{k}_lines" for k in _AT), " UNION ALL ".join(f"SELECT '{k}' AS kind, job_id, arg_max(a, CASE WHEN a IS NOT NULL THEN seq END) AS current_stage FROM (SELECT *, {at} AS a FROM {k}_lines) GROUP BY 2" for k, at in _AT.items())))
+def r4_current_stage(spark, d):
+    out = None
+    for kind in lg.CURRENT_STAGE:
+        own = lg.current_stage(i.kind_lines(spark, d, kind), kind, ["job_id"]).select(F.lit(kind).alias("kind"), "job_id", "current_stage")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(sql("lines", "SELECT job_id, seq FROM lines"))
+def s8_follow_bytes(spark, d):
+    """All lines as text files, then followed from their first byte by position."""
+    from reconspark.sources.byte_log import follow
+
+    path = i.scratch(spark)
+    i.log_lines(spark, d).select(F.concat_ws("\t", "job_id", F.col("seq").cast("string"), "line").alias("value")).write.text(f"{path}/log")
+    stream = follow(spark, f"{path}/log", tail_bytes=1 << 40, chunk_bytes=64 * 1024)
+    part = F.split("line", "\t", 3)
+    run = stream.select(part[0].alias("job_id"), part[1].cast("long").alias("seq")).writeStream.format("parquet").option("path", f"{path}/new").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("job_id string, seq long").parquet(f"{path}/new")
