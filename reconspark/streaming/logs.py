@@ -91,7 +91,7 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.D
 
 
 def stage_machine(lines: DataFrame, finished: DataFrame | None = None) -> DataFrame:
-    """A row for every change of a job's stages, batch or stream.
+    """A row for every change of the stages of a stream's jobs.
 
     ``finished(job_id, last_seq, status)`` says that a job has ended with a status (done, failed, cancelled) and which line is its last.
     A job ends when it has finished and its log is drained, in whichever order the two arrive; then a stage that still runs is
