@@ -373,12 +373,17 @@ def layouts(page: str, rng: random.Random, turns: int = 6) -> list[tuple[list[No
     return out
 
 
+def invented(rng: random.Random, n: int = 60) -> list[tuple[list[Node], np.ndarray]]:
+    """Pages of made-up words, with and without names: what is learnt from where a table has no page to sample."""
+    word = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    say = lambda low, high: " ".join(word() for _ in range(rng.randint(low, high))).capitalize()
+    return [labelled(rendered([say(2, 8), *[say(3, 120) + "." for _ in range(rng.randint(1, 8))]], [say(2, 12) for _ in range(12)], rng, named=k % 3 < 2)) for k in range(n)]
+
+
 def train(pages: list[str], seed: int = 11) -> Trees:
-    """Fit on the nodes of the pages, in their own markup and in other layouts."""
+    """Fit on the nodes of the pages, in their own markup and in other layouts; without pages, on invented ones."""
     rng = random.Random(seed)
-    sample = [x for page in pages for x in layouts(page, rng)]
-    if not sample:
-        return Trees()
+    sample = [x for page in pages for x in layouts(page, rng)] or invented(rng)
     # Pages with many paragraphs or menu items don't drown the others.
     weight = np.concatenate([np.where(y == 1, max(1, (y == 1).sum()), max(1, (y == 0).sum())) ** -0.5 for _, y in sample])
     return Trees().fit(np.concatenate([features(n) for n, _ in sample]), np.concatenate([y for _, y in sample]), weight / weight.mean())
@@ -401,6 +406,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages give an empty text.  Each run of text outside all block elements is a block of its own;
     of a page without block elements it is the text.
+    A table whose pages are all too long for the sample is read by trees that learnt from invented pages.
     Repeated pages are extracted alike; null ids and urls are carried; an empty table gives an
     empty result.  Other columns are ignored.
     """

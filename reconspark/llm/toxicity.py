@@ -25,7 +25,7 @@ NGRAMS = (3, 4, 5)
 #: Words in a bag.
 WINDOW = 4
 STEPS, RATE, DECAY = 150, 0.05, 1e-4
-#: An n-gram is learnt when so many training documents hold it.
+#: An n-gram is learnt when so many training documents hold it; of fewer than 25 times as many documents the 25th part is enough, two at least.
 LEAST_DOCUMENTS = 12
 #: Characters that a task hashes at once.
 SLICE = 1_000_000
@@ -83,7 +83,7 @@ class Bags:
         held = np.zeros(BUCKETS, dtype="int64")
         for d in documents:
             held[np.unique(np.concatenate([gram[cuts[w] : cuts[w + 1]] for w in set(d)]))] += 1
-        self.learnt = np.flatnonzero(held >= LEAST_DOCUMENTS)
+        self.learnt = np.flatnonzero(held >= min(LEAST_DOCUMENTS, max(2, len(documents) // 25)))
         row = np.full(BUCKETS, -1, dtype="int64")
         row[self.learnt] = np.arange(len(self.learnt))
         kept = row[gram] >= 0

@@ -662,3 +662,23 @@ def test_licence_scan_against_brute_force(spark):
 
 def test_labels_without_rows_predict_nothing(spark):
     assert {r["predicted"] for r in rows_of(RUN["toxic"](table(spark)))} == {0}
+
+
+def test_few_labels_are_enough(spark):
+    rng = random.Random(12)
+    mild = ["river", "garden", "window", "music", "bread", "paper", "summer", "train", "letter", "stone"]
+    bad = ["vilescum", "hatefool", "trashling"]
+    docs = [(k, " ".join(rng.choice(mild) for _ in range(30)) + (f" you {rng.choice(bad)} " if k < 30 else " ")) for k in range(60)]
+    learn = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    labels = [(k, int(k < 30)) for k in [k for k in learn if k < 30][:8] + [k for k in learn if k >= 30][:8]]
+    found = {r["doc_id"]: r["score"] for r in rows_of(toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")))}
+    assert min(found[k] for k in range(30)) > max(found[k] for k in range(30, 60)) and all((found[k] >= 0.5) == (k < 30) for k in found)
+
+
+def test_a_table_of_long_pages_alone(spark):
+    paragraphs = [f"This is paragraph number {k} of the article, it speaks of many things at some length." for k in range(3000)]
+    page = "<html><body><nav><ul>" + "".join(f"<li><a href='#'>Link {k}</a></li>" for k in range(8)) + "</ul></nav><article><h1>A title of it</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article><footer><p>Copyright us</p></footer></body></html>"
+    assert len(page) > html_text.MOST_CHARS
+    found = rows_of(html_text.extract(spark.createDataFrame([(1, "u", page), (2, "v", None), (3, "w", page)], "page_id long, url string, html string")))
+    assert {r["page_id"]: r["text"] for r in found} == {1: "\n\n".join(["A title of it", *paragraphs]), 2: "", 3: "\n\n".join(["A title of it", *paragraphs])}
+    assert html_text.main_text(f"<article><p>{paragraphs[0]}</p><p>{paragraphs[1]}</p></article>", html_text.train([])) == "\n\n".join(paragraphs[:2])
