@@ -2,10 +2,12 @@
 
 Base spans (e-mail, ip, card, phone) are found by pattern in whole texts.  Each value found is a protected
 entity, and so are its parts (domain, network, issuer, area) and its class.  Over the whole corpus the rows that hold
-an entity, a term (outside the base spans), and both give the pointwise mutual information of term and entity.  A term that carries nearly all the information of an entity, PMI >= DISCLOSURE *
-IC(entity), discloses it: everywhere in the texts that hold that entity it is removed (from REMOVAL on) or generalised.  PMI is smoothed by
-PRIOR texts that hold the term and the entity at its rate in the corpus, each with as many copies as the texts
-counted have, so that little evidence, or copies of one text, weigh less than many texts.
+an entity, a term (outside the base spans), and both give the pointwise mutual information of term and entity.  A term
+discloses an entity of a text when the *other* texts say so: with this text left out, the lower confidence bound (Wilson, Z) of the
+share of the term's texts that hold the entity puts the PMI at DISCLOSURE * IC(entity) or above.  So a term seen in one text alone tells nothing, however
+rare it is, and a value seen once is told only by terms that stand beside values of its class or parts elsewhere.  Everywhere in the texts that
+hold the entity the term is then generalised, or removed when the PMI itself is REMOVAL * IC or more.  Copies of a text are one text: counts are
+divided by the copies that the pair's texts have on average.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from reconspark.llm.common import stored, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-PRIOR, DISCLOSURE, REMOVAL = 1, 0.8, 0.95
+Z, DISCLOSURE, REMOVAL = 1.645, 0.8, 0.95
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -156,21 +158,23 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     # Counted before the join: partial sums of all terms are smaller than their occurrences.
     all_terms = docs.select(F.explode(F.array_distinct(tokens(text_or_empty(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     hidden = bearing.select(F.explode("hidden").alias("term")).groupBy("term").agg(F.count("*").alias("n_hidden"))
-    n_term = all_terms.join(hidden, "term", "left").select("term", (F.col("n") - F.coalesce("n_hidden", F.lit(0))).alias("n_term")).where((F.col("n_term") > 0) & (F.col("n_term") <= most))
+    n_term = all_terms.join(hidden, "term", "left").select("term", (F.col("n") - F.coalesce("n_hidden", F.lit(0))).alias("n_term")).where((F.col("n_term") > 1) & (F.col("n_term") <= most))
     near = bearing.select("text_key", F.explode(F.array_distinct(tokens(F.col("masked")))).alias("term")).join(n_term, "term")
     near = near.groupBy("text_key", "term", "n_term").agg(F.count("*").alias("copies"))
     pairs = (
-        near.join(known, (near["text_key"] == known["text_key"]) & (near["n_term"] <= known["limit"])).drop(known["text_key"])
-        .groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"), F.collect_list("text_key").alias("text_keys"))
+        near.join(known, (near["text_key"] == known["text_key"]) & (near["n_term"] <= known["limit"]))
+        .groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"))
+        .where("texts > 1")
     )
-    prior = PRIOR * F.col("both") / F.col("texts")
-    pmi = F.log2((F.col("both") + prior * rate) / ((F.col("n_term") + prior) * rate))
+    # Of the term's other texts, as many as copies leave, the share that holds the entity; its lower bound.
+    others = F.greatest(F.col("n_term") * F.col("texts") / F.col("both"), F.col("texts")) - 1
+    share = (F.col("texts") - 1) / others
+    low = (share + Z * Z / (2 * others) - Z * F.sqrt(share * (1 - share) / others + Z * Z / (4 * others * others))) / (1 + Z * Z / others)
     ic = -F.log2(rate)
-    return (
-        pairs.select("text_keys", "term", pmi.alias("pmi"), ic.alias("ic"))
-        .where((F.col("ic") > 0) & (F.col("pmi") >= DISCLOSURE * F.col("ic")))
-        .select(F.explode("text_keys").alias("text_key"), "term", (F.col("pmi") / F.col("ic")).alias("disclosure"))
-    )
+    told = pairs.where((ic > 0) & (F.log2(low / rate) >= DISCLOSURE * ic)).select("entity", "term", (F.log2(F.col("both") / F.col("n_term") / rate) / ic).alias("disclosure"))
+    # Back to the texts by the terms that pass, which are few, then by the entities that each text holds.
+    mine = near.select("text_key", "term", F.xxhash64("term").alias("salt")).join(told.withColumn("salt", F.xxhash64("term")), ["term", "salt"])
+    return mine.join(held, ["text_key", "entity"], "left_semi").select("text_key", "term", "disclosure")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -414,6 +414,62 @@ def test_pii_learns_from_the_class_and_parts_of_values_seen_once(spark):
     assert set(pii.entities("phone", "+1 (974) 555-3436")) == {"phone:19745553436", "phone class", "phone part:1974"}
 
 
+def plain_disclosures(rows):
+    """{id: terms told} by counting sets of ids for every pair of a term and an entity."""
+    from math import log2, sqrt
+
+    spans = {i: pii.base_spans(t) for i, t in rows}
+    held = {i: {e for k, a, b in spans[i] for e in pii.entities(k, t[a:b])} for i, t in rows}
+    terms = {i: {m[0].lower() for m in pii.TERM.finditer(pii.mask(t, spans[i]))} for i, t in rows}
+    where, who = defaultdict(set), defaultdict(set)
+    for i, t in rows:
+        for x in terms[i]:
+            where[x].add(i)
+        for e in held[i]:
+            who[e].add(i)
+    text, told = dict(rows), {}
+    for i, _ in rows:
+        told[i] = set()
+        for e in held[i]:
+            rate = len(who[e]) / len(rows)
+            for x in terms[i]:
+                both = where[x] & who[e]
+                distinct = len({text[j] for j in both})
+                n = max(len(where[x]) * distinct / len(both), distinct) - 1
+                if distinct < 2 or rate == 1:
+                    continue
+                p, z = (distinct - 1) / n, pii.Z
+                low = (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+                if log2(low / rate) >= pii.DISCLOSURE * -log2(rate):
+                    told[i].add(x)
+    return told
+
+
+def test_pii_terms_against_brute_force(spark):
+    rng = random.Random(31)
+    fill = lambda n: " ".join(rng.choice(WORDS) + rng.choice(["", "a", "or", "ki", "ul"]) for _ in range(n))
+    rows = [(i, f"{fill(12)} {rng.choice(['Desk', 'Mailroom', 'Lab', ''])}") for i in range(120)]
+    for i in range(200, 300):
+        person, word = rng.randrange(12), rng.choice(["Helpline", "Mailroom", "Desk", "Lab"])
+        value = [f"p{person}@corp{person % 3}.example.com", f"10.2.{person % 2}.{person}", f"+1 (974) 555-34{person + 20}"][person % 3]
+        rows.append((i, f"{fill(3)} {word} name{person} {value} {fill(4)} only{i}"))
+    rows += [(300 + k, rows[130 + k][1]) for k in range(6)]
+    told = plain_disclosures(rows)
+    assert sum(map(len, told.values())) > 50 and not any(x.startswith("only") for v in told.values() for x in v)
+    for r in rows_of(pii.detect(table(spark, rows))):
+        text = dict(rows)[r["doc_id"]]
+        marks = [s.split(":") for s in r["spans"].split(",") if s]
+        got = {text[int(a) : int(b)].lower() for k, a, b in marks if k in ("remove", "generalise")}
+        assert got == told[r["doc_id"]], r["doc_id"]
+
+
+def test_pii_a_term_seen_in_one_text_tells_nothing(spark):
+    rng = random.Random(32)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(15)) + f" once{i} {f'u{i}@m{i}.example.com' if i % 4 == 0 else ''}") for i in range(200)]
+    rows += [(900 + k, rows[0][1]) for k in range(5)]  # copies are no evidence
+    assert sum(r["n_terms"] for r in rows_of(pii.detect(table(spark, rows)))) == 0
+
+
 def test_pii_counts_terms_over_whole_texts(spark):
     rng = random.Random(7)
     fill = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
