@@ -31,6 +31,8 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 TOKEN = re.compile(r"[a-z]+")
 LONG_TEXT = re.compile(r"(?<=>)[^<>]{60,}(?=<)")
 RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg"}
+#: Of these, those that take the rest of a page when unclosed; the others end, unclosed, at the next tag that can't be in them.
+TO_THE_END = {"script", "style", "title", "textarea"}
 #: Controls: their labels are no text.  They end at their closing tag or, unclosed, at the next tag that can't be in them.
 CONTROLS = {"select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -40,7 +42,7 @@ LOOSE = "#text"
 #: Elements that a new one of the second kind closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "tbody", "thead", "body", "html", "article", "section", "div", "main", "aside", "nav", "footer", "header", "blockquote", "form"}
-TAG_KINDS = [{"p", "blockquote", "pre", LOOSE}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "ul", "ol", "dl", "dt", "dd"}, {"div", "section"}, {"article", "main"}, {"nav", "menu"}, {"footer"}, {"header"}, {"aside"}, {"form", "fieldset"}, {"table", "tr", "td", "th", "tbody"}, {"figure", "figcaption"}, {"dialog"}]
+TAG_KINDS = [{"p", "blockquote", "pre", LOOSE}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "ul", "ol", "dl", "dt", "dd"}, {"div", "section"}, {"article", "main"}, {"nav", "menu"}, {"footer"}, {"header"}, {"aside"}, {"form", "fieldset"}, {"table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, {"figure", "figcaption"}, {"dialog"}, {"details", "summary"}]
 GOOD = {"article", "content", "post", "story", "entry", "main", "body", "text", "page"}
 BAD_KINDS = [
     {"ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner"},
@@ -53,6 +55,9 @@ BAD_KINDS = [
 ]
 
 
+#: Words of reader comments: a comment's body is no article, whatever else its name says.
+COMMENTS = BAD_KINDS[5]
+
 #: What ends an unclosed control: any tag of a block element, of a control, or of the document.
 ENDS_CONTROL = re.compile(rf"</?(?:{'|'.join(sorted(set().union(*TAG_KINDS, SCOPE, CONTROLS, {'hr', 'input', 'textarea', 'address', 'details'}) - {LOOSE}))})\b[^>]*>", re.I)
 SENTENCE = re.compile(r"[.!?。！？,;:،।]")
@@ -119,7 +124,11 @@ def parse(page: str) -> list[Node]:
         if tag in RAW:
             if not m[1] and not m[3].endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                if not close and tag not in TO_THE_END:
+                    close = ENDS_CONTROL.search(page, at)
+                    at = close.start() if close else end
+                else:
+                    at = close.end() if close else end
             continue
         if tag in CONTROLS:
             if not m[1] and (close := ENDS_CONTROL.search(page, at)):
@@ -166,6 +175,14 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+BAD_TAGS, NAMED_BAD = {"nav", "menu", "footer", "aside", "form", "dialog"}, set().union(*BAD_KINDS)
+
+
+def says_bad(node: Node) -> bool:
+    """Whether tag or name call the element something else than article; a name that says both is no such name, but for comments."""
+    return node.tag in BAD_TAGS or bool(node.tokens & COMMENTS) or bool(node.tokens & NAMED_BAD and not node.tokens & GOOD)
+
+
 #: What a block that is no article may begin with.
 SAYS_BAD = [{"comments", "comment", "reply", "replies", "responses"}, {"related", "recommended", "tags", "share", "follow", "popular"}, {"copyright", "rights", "imprint", "privacy"}, {"advertisement", "sponsored", "cookies", "newsletter", "subscribe"}]
 
@@ -178,7 +195,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         if node.children:
             mates[id(node)], largest[id(node)] = Counter(c.tag for c in node.children), max(c.text for c in node.children)
     for node in nodes:
-        own = [float(node.tag in kind) for kind in TAG_KINDS] + [float(bool(node.tokens & GOOD))] + [float(bool(node.tokens & kind)) for kind in BAD_KINDS]
+        own = [float(node.tag in kind) for kind in TAG_KINDS] + [float(bool(node.tokens & GOOD and not node.tokens & COMMENTS))] + [float(bool(node.tokens & kind)) for kind in BAD_KINDS] + [float(says_bad(node))]
         parent = node.parent
         above = inherited[id(parent)] if parent else [0.0] * len(own)
         inherited[id(node)] = [max(a, b) for a, b in zip(own, above)]
@@ -281,12 +298,11 @@ def blocks(nodes: list[Node], kept: list[bool]) -> list[str]:
 
 def weak_labels(nodes: list[Node]) -> np.ndarray:
     """Labels of a page from its own markup: what its tags and tokens call article, less what they call anything else."""
-    named_bad = set().union(*BAD_KINDS)
     article = any(n.tag in TAG_KINDS[4] for n in nodes)
     state, out = {id(nodes[0]): (not article, False)}, [1.0]
     for n in nodes[1:]:
         inside, bad = state[id(n.parent)]
-        bad = bad or n.tag in ("nav", "menu", "footer", "aside", "form", "dialog") or (n.tag == "header" and not inside) or bool(n.tokens & named_bad and not n.tokens & GOOD)
+        bad = bad or says_bad(n) or (n.tag == "header" and not inside)
         inside = inside or n.tag in TAG_KINDS[4] or bool(n.tokens & GOOD)
         state[id(n)] = (inside, bad)
         holds = any(c.tag in TAG_KINDS[4] for c in n.children)
@@ -294,12 +310,44 @@ def weak_labels(nodes: list[Node]) -> np.ndarray:
     return np.array(out)
 
 
+#: What a footer inside an article begins with.
+TAILS = ("Tags", "Filed under", "Posted in", "Published", "Author", "Last updated")
 #: Marks the blocks of the article in a rendering; taken from the tokens before anything is learnt.
 KEEP = "zkeep"
 NAMES = re.compile(r"""\s(?:class|id)=(?:'[^']*'|"[^"]*")""")
 TELLING = re.compile(r"<(/?)(?:nav|header|aside|footer|form|article|main|section)\b")
 
 
+def shaped(text: str, k_: str, rng: random.Random) -> str:
+    """A text of the article in one of the shapes that an article's blocks have; ``k_`` marks its nodes."""
+    words = text.split()
+    short = lambda: " ".join(words[(at := rng.randrange(len(words))) : at + rng.randint(1, 3)]) if words else "x"
+    cell = lambda tag: f"<{tag}{k_}>{rng.choice([short(), short(), str(rng.randint(1, 3000)), text[: rng.randint(5, 90)]])}</{tag}>"
+    row = lambda tags: f"<tr{k_}>{''.join(map(cell, tags))}</tr>"
+    shape = rng.random()
+    if shape < 0.45:
+        return f"<p{k_}>{text}</p>"
+    if shape < 0.6:
+        return f"<div{k_}>{text}</div>"
+    if shape < 0.68:
+        return f"<blockquote{k_}><p{k_}>{text}</p></blockquote>"
+    if shape < 0.76:
+        return f"<{(t := rng.choice(['ul', 'ol']))}{k_}>" + "".join(f"<li{k_}>{v}</li>" for v in [text, *(short() for _ in range(rng.choice([0, 0, 2, 4])))]) + f"</{t}>"
+    if shape < 0.86:
+        width, head, body = rng.randint(2, 4), "", f"<tbody{k_}>"
+        if rng.random() < 0.7:
+            head = row(["th"] * width)
+            head = rng.choice([head, f"<thead{k_}>{head}</thead>"])
+        rows = "".join(row([rng.choice(["td", "td", "th"]), *["td"] * (width - 1)]) for _ in range(rng.randint(1, 5)))
+        caption = f"<caption{k_}>{short()}</caption>" if rng.random() < 0.3 else ""
+        return f"<table{k_}>{caption}{head}{rng.choice([rows, f'{body}{rows}</tbody>'])}</table>"
+    if shape < 0.91:
+        return f"<dl{k_}>" + "".join(f"<dt{k_}>{short()}</dt><dd{k_}>{v}</dd>" for v in [text, *(short() for _ in range(rng.randint(0, 2)))]) + "</dl>"
+    if shape < 0.96:
+        return f"<details{k_}><summary{k_}>{short()}</summary><p{k_}>{text}</p></details>"
+    return f"<figure{k_}><img src='a.png'><figcaption{k_}>{text[: rng.randint(10, 200)]}</figcaption></figure>"
+
+
 def rendered(good: list[str], bad: list[str], rng: random.Random, named: bool) -> str:
     """The texts of a page in another layout, to train on: same article (its blocks marked KEEP), other markup around it.
 
@@ -320,6 +368,9 @@ def rendered(good: list[str], bad: list[str], rng: random.Random, named: bool) -
         "notice": lambda: f"<div class='{rng.choice(['cookie-notice', 'consent', 'newsletter', 'popup'])}'><p>{rng.choice(['', 'We use cookies. '])}{say()}</p></div>",
         "form": lambda: f"<form><p>{say()[:40]}</p><input><label>{say()[:20]}</label></form>",
         "comments": lambda: f"<{(t := rng.choice(['div', 'section']))} {rng.choice(['class', 'id'])}='{rng.choice(['comments', 'comment-list', 'replies'])}'><h3>{title('3 comments', 'Leave a reply')}</h3><div class='comment'><p>{say()}</p><p>{say()}</p></div></{t}>",
+        "comment": lambda: "".join(f"<div class='{rng.choice(['comment-body', 'comment-content', 'comment-text', 'comment', 'user-comment', 'reply-body'])}'>{rng.choice([say(), f'<p>{say()}</p>'])}</div>" for _ in range(rng.randint(1, 3))),
+        "tail": lambda: f"<footer{rng.choice(['', '', ' class=entry-footer', ' class=post-meta'])}>{rng.choice([f'<p>{title(*TAILS)}: {bar()}</p>', f'<p>{title(*TAILS)}: {say()[:40]}</p>', say()[:60]])}</footer>",
+        "links": lambda: rng.choice([f"<table><tr><td><a href='#'>{say()[:20]}</a></td><td><a href='#'>{say()[:20]}</a></td></tr></table>", f"<details><summary>{title('Menu', 'More')}</summary><ul>{items()}</ul></details>"]),
         "footer": lambda: f"<footer><p>{rng.choice(['', '&copy; '])}{say()}</p></footer>",
         "foot": lambda: f"<div class='{rng.choice(['footer', 'site-footer', 'copyright'])}'>{rng.choice(['', '&copy; ', 'Copyright '])}{say()}</div>",
     }
@@ -333,14 +384,14 @@ def rendered(good: list[str], bad: list[str], rng: random.Random, named: bool) -
         elif k == 0 and len(text) < 120 and rng.random() < 0.8:
             body.append(f"<h{(level := rng.randint(1, 3))}{k_}>{text}</h{level}>")
         else:
-            body.append(rng.choice([f"<p{k_}>{text}</p>", f"<p{k_}>{text}</p>", f"<div{k_}>{text}</div>", f"<blockquote{k_}><p{k_}>{text}</p></blockquote>", f"<ul{k_}><li{k_}>{text}</li></ul>"]))
+            body.append(shaped(text, k_, rng))
         if named and rng.random() < 0.06:
             body.append(around[rng.choice(["ad", "side", "aside", "notice"])]())
-    wraps = [("<article@>", "</article>"), ("<main@>", "</main>"), ("<main@><article@>", "</article></main>"), ("<div class='post-content'@>", "</div>"), ("<div id='content'@>", "</div>"), ("<div@><div class='entry'@>", "</div></div>"), ("<div@>", "</div>"), ("<section class='story'@>", "</section>")]
+    wraps = [("<article@>", "</article>"), ("<main@>", "</main>"), ("<main@><article@>", "</article></main>"), ("<div class='post-content'@>", "</div>"), ("<div id='content'@>", "</div>"), ("<div@><div class='entry'@>", "</div></div>"), ("<article class='post side'@>", "</article>"), ("<div class='with-sidebar'@>", "</div>"), ("<div@>", "</div>"), ("<section class='story'@>", "</section>")]
     open_, close = ("", "") if loose or (not named and rng.random() < 0.15) else rng.choice(wraps)
-    tail = rng.choice([around["comments"](), around["side"]()]) if named and rng.random() < 0.2 else ""
+    tail = "".join(around[kind]() for kind in rng.sample(["comments", "comment", "comment", "side", "tail", "tail"], rng.randint(1, 2))) if named and open_ and rng.random() < 0.35 else ""
     # Without names only what its text, links, place or size tell apart can be told apart.
-    before = [around[k]() for k in rng.sample(["nav", "menu", "header", "ad", "notice", "side", "form"] if named else ["nav", "menu", "header", "side", "form"], rng.randint(0, 4 if named else 3))]
+    before = [around[k]() for k in rng.sample(["nav", "menu", "header", "ad", "notice", "side", "form", "links"] if named else ["nav", "menu", "header", "side", "form"], rng.randint(0, 4 if named else 3))]
     after = [around[k]() for k in rng.sample(["comments", "aside", "side", "ad", "footer", "foot", "form", "notice"] if named else ["aside", "side", "footer", "foot", "form", "menu"], rng.randint(0, 4 if named else 3))]
     around_it = "".join(before), open_.replace("@", k_) + "".join(body) + tail + close, "".join(after)
     if not named:
@@ -357,8 +408,8 @@ def labelled(page: str) -> tuple[list[Node], np.ndarray]:
     return nodes, truth
 
 
-def layouts(page: str, rng: random.Random, turns: int = 6) -> list[tuple[list[Node], np.ndarray]]:
-    """A page in its own markup and, long and short, in other layouts; a third of them with names."""
+def layouts(page: str, rng: random.Random, turns: int = 8) -> list[tuple[list[Node], np.ndarray]]:
+    """A page in its own markup and, long and short, in other layouts; half of them with names."""
     nodes = parse(page)
     labels = weak_labels(nodes)
     good = blocks(nodes, [bool(v) for v in labels])
@@ -367,9 +418,9 @@ def layouts(page: str, rng: random.Random, turns: int = 6) -> list[tuple[list[No
     out = [(nodes, labels), (short, weak_labels(short))]
     for turn in range(turns if good else 0):
         own = good
-        if turn in (2, 4, 5):
+        if turn in (2, 4, 5, 6):
             own = [g[: rng.randint(1, 60) if turn == 2 else rng.randint(40, 160)] for g in good[: rng.randint(1, 4)]]
-        out.append(labelled(rendered(own, bad, rng, named=turn % 5 in (1, 2))))
+        out.append(labelled(rendered(own, bad, rng, named=turn % 4 in (1, 2))))
     return out
 
 
@@ -407,6 +458,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null and empty pages give an empty text.  Each run of text outside all block elements is a block of its own;
     of a page without block elements it is the text.
     A table whose pages are all too long for the sample is read by trees that learnt from invented pages.
+    An unclosed script, style, title or textarea takes the rest of its page, as HTML has it; an unclosed svg, noscript, template
+    or iframe ends at the next block tag.  Footers and reader comments inside the article go; its tables, lists, details and
+    captions stay.  Rows of one id with different html are extracted each by its own.
     Repeated pages are extracted alike; null ids and urls are carried; an empty table gives an
     empty result.  Other columns are ignored.
     """

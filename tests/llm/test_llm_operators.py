@@ -642,6 +642,35 @@ def test_html_unclosed_tags_loose_text_and_long_pages(trees):
     assert len(text(f"<body><nav><a href='/'>Home</a></nav><article>{many}</article></body>").split("\n\n")) == 20_000
 
 
+FIRST = "The harbour was built in three stages, and each of them took longer than the town had planned."
+SECOND = "When the last crane went up, nobody could say what the whole of it had cost; the books were lost."
+NAV = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>All stories</a></li></ul></nav>"
+#: Pages written by hand: (page, blocks of its article).
+LAYOUTS = [
+    (f"<body>{NAV}<article><h1>The harbour</h1><p>{FIRST}</p><table><tr><th>Year</th><th>Ships</th></tr><tr><td>2020</td><td>{SECOND}</td></tr></table></article></body>", ["The harbour", FIRST, "Year", "Ships", "2020", SECOND]),
+    (f"<body>{NAV}<article><h1>The harbour</h1><p>{FIRST}</p><details><summary>More</summary><p>{SECOND}</p></details></article><footer>&copy; us</footer></body>", ["The harbour", FIRST, "More", SECOND]),
+    (f"<body>{NAV}<article><h1>The harbour</h1><p>{FIRST}</p><p>{SECOND}</p><footer><p>Tags: ships, towns</p></footer></article><footer>&copy; us</footer></body>", ["The harbour", FIRST, SECOND]),
+    (f"<body>{NAV}<article class='post side'><h1>The harbour</h1><p>{FIRST}</p><p>{SECOND}</p><div class='comment-body'>My comment</div></article></body>", ["The harbour", FIRST, SECOND]),
+    (f"<body><div class='topbar'><a href='/'>Home</a></div><div id='content'><h2>The harbour</h2><dl><dt>Pier</dt><dd>{FIRST}</dd></dl><p>{SECOND}</p></div><div class='cookie-banner'>We use cookies</div></body>", ["The harbour", "Pier", FIRST, SECOND]),
+    (f"<body><main><p>{FIRST}</p><figure><img src='a.png'><figcaption>The pier in spring</figcaption></figure><p>{SECOND}</p></main><aside><h3>Related</h3><p>Other things</p></aside></body>", [FIRST, "The pier in spring", SECOND]),
+    (f"<body><main><article><h1>The harbour</h1><p>{FIRST}</p><ul><li>Cranes</li><li>Ships</li></ul><p>{SECOND}</p></article></main><section id='comments'><h3>2 comments</h3><p>I was there, nice.</p></section></body>", ["The harbour", FIRST, "Cranes", "Ships", SECOND]),
+    (f"<body><article><svg><path d=1><p>{FIRST}</p><p>{SECOND}</p></article></body>", [FIRST, SECOND]),
+    (f"<body><article><p>{FIRST}</p><noscript><p>{SECOND}</p></article></body>", [FIRST, SECOND]),
+]
+
+
+@pytest.mark.parametrize("k", range(len(LAYOUTS)))
+def test_html_layouts_written_by_hand(trees, k):
+    page, want = LAYOUTS[k]
+    assert html_text.main_text(page, trees).split("\n\n") == want
+
+
+def test_html_rows_of_one_id_are_extracted_each_by_its_own(spark):
+    page = lambda text: f"<body>{NAV}<article><h1>Title</h1><p>{text}</p></article></body>"
+    found = rows_of(html_text.extract(spark.createDataFrame([(1, "u", page(FIRST)), (1, "u", page(SECOND)), (1, "u", page(SECOND))], "page_id long, url string, html string")))
+    assert Counter(r["text"] for r in found) == {f"Title\n\n{FIRST}": 1, f"Title\n\n{SECOND}": 2}
+
+
 def test_licences(spark):
     files = [
         (1, "a/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
