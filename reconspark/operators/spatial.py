@@ -152,13 +152,18 @@ def rebalance_cells(centers: DataFrame, region, max_images: int, min_images: int
 def in_blocks(rows: DataFrame, blocks: DataFrame, buffer: float = 0.0) -> DataFrame:
     """``rows(x, y)`` with every block whose half-open bounds, ``buffer`` wider, hold them: an equi-join on candidate cells, then the test.
 
-    Cells have the size of a mean block, so blocks are copied to a few cells each and a row looks at its own."""
-    wide = blocks.withColumns({"_w": F.col("x1") - F.col("x0") + 2 * buffer, "_h": F.col("y1") - F.col("y0") + 2 * buffer})
-    size = wide.agg(F.sqrt(F.greatest(F.avg(F.col("_w") * F.col("_h")), F.lit(1e-18))).alias("s")).first()["s"] or 1.0  # one number
-    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - buffer) / size), F.floor((F.col(hi) + buffer) / size))
-    spread = wide.where("_w > 0 AND _h > 0").drop("_w", "_h").withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
-    own = rows.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
-    return own.join(spread, ["_cx", "_cy"]).where(in_rect_halfopen("x", "y", F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), buffer)).drop("_cx", "_cy")
+    Cells are as wide and as high as the power of two next to a block's own sides, so every block, however large beside the others, lies in at most
+    two by two of them; a row looks at its cell in each pair of sizes that occurs, of which there are few."""
+    spans = {"x": ("x0", "x1"), "y": ("y0", "y1")}
+    level = lambda lo, hi: F.ceil(F.log2(F.col(hi) - F.col(lo) + 2 * buffer)).cast("int")
+    at = lambda v, k: F.floor(v / F.pow(F.lit(2.0), k)).cast("long")
+    wide = blocks.where((F.col("x1") - F.col("x0") + 2 * buffer > 0) & (F.col("y1") - F.col("y0") + 2 * buffer > 0)).withColumns({f"_l{v}": level(*ends) for v, ends in spans.items()})
+    sizes = wide.agg(F.collect_set(F.struct("_lx", "_ly")).alias("_sizes"))  # one row: exponents of two that occur
+    for v, (lo, hi) in spans.items():
+        wide = wide.withColumn(f"_c{v}", F.explode(F.sequence(at(F.col(lo) - buffer, F.col(f"_l{v}")), at(F.col(hi) + buffer, F.col(f"_l{v}")))))
+    own = rows.crossJoin(F.broadcast(sizes)).withColumn("_size", F.explode("_sizes")).select(*rows.columns, "_size.*")
+    own = own.withColumns({f"_c{v}": at(F.col(v), F.col(f"_l{v}")) for v in spans})
+    return own.join(wide, ["_lx", "_ly", "_cx", "_cy"]).where(in_rect_halfopen("x", "y", F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), buffer)).drop("_lx", "_ly", "_cx", "_cy")
 
 
 def assign_points(points: DataFrame, blocks: DataFrame, buffer: float) -> DataFrame:

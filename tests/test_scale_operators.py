@@ -193,3 +193,19 @@ def test_sequence_pairs_join_on_positions(spark):
     assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "Cartesian" not in plan._jdf.queryExecution().toString()
     steps = {0, 1, 2, 3}
     assert sorted((r.group_a, r.pos_a, r.group_b, r.pos_b) for r in plan.collect()) == sorted((a, p, b, p + s) for a in "abc" for b in "abc" if b >= a for p in range(6) for s in steps if p + s < 6)
+
+
+def test_blocks_of_very_different_sizes(spark):
+    rng = random.Random(41)
+    blocks = [(0, 0.0, 0.0, 1e6, 1e6), (1, 5.0, 5.0, 5.0, 9.0), (2, -3e5, 10.0, 3e5, 10.5)]
+    blocks += [(k, x := rng.uniform(-50, 50), y := rng.uniform(-50, 50), x + rng.uniform(0.1, 2), y + rng.uniform(0.1, 2)) for k in range(3, 60)]
+    points = [(k, rng.uniform(-60, 60), rng.uniform(-60, 60)) for k in range(400)] + [(1000 + k, rng.uniform(-4e5, 1.2e6), rng.uniform(0, 20)) for k in range(200)]
+    points += [(2000 + b, x, y) for b, x, y, _, _ in blocks] + [(3000 + b, x, y) for b, _, _, x, y in blocks] + [(9, None, 1.0)]
+    p = spark.createDataFrame(points, "point_id long, x double, y double")
+    b = spark.createDataFrame(blocks, "block long, x0 double, y0 double, x1 double, y1 double")
+    for buffer in (0.0, 0.75):
+        found = [(r["point_id"], r["block"]) for r in spatial.assign_points(p, b, buffer).collect()]
+        want = [(i, k) for i, x, y in points for k, x0, y0, x1, y1 in blocks if x is not None and x0 - buffer <= x < x1 + buffer and y0 - buffer <= y < y1 + buffer]
+        assert sorted(found) == sorted(want)
+        assert len(want) > 300
+    assert spatial.assign_points(p, b.limit(0), 0.0).count() == 0
