@@ -1,7 +1,8 @@
 """A training corpus from raw documents: clean, dedup, near-dedup, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents.  ``run`` writes each stage's rows to the shared folder and reads them as the next one's input.
+documents.  ``run`` writes each stage's rows to the shared folder and reads them as the next one's input; a stage's
+table is deleted once the next stage's is written, the last one stays for the result that reads it.
 
 Rows without words (null or empty texts among them) fail the quality rules.  Null ids and sources are carried; a null source is
 a source of its own in the mix.  Rows repeated with id and text are one document from exact dedup on, rows of one id and
@@ -12,7 +13,7 @@ empty result; extra columns are carried to the last stage, whatever their names.
 from __future__ import annotations
 
 from reconspark.llm import exact_dedup, mixing, packing, quality, simhash
-from reconspark.llm.common import stored, table
+from reconspark.llm.common import drop_stored, stored, table
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -47,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
