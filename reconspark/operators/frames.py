@@ -75,6 +75,19 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark) -> int:
+    """Delete what ``kept`` wrote for this session's context, once the results that read it are done; how many tables went.
+
+    Only the context's own folder below spark.checkpoint.dir is emptied.  A result that is read afterwards fails."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        return 0
+    path = spark._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    own = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith("rdd-")] if files.exists(path) else []
+    return sum(files.delete(one, True) for one in own)
+
+
 #: Rows in a bucket of the two-level ranks of a table without keys.
 BUCKET = 100_000
 

@@ -1,4 +1,4 @@
-"""Convex-hull areas of groups of points, from hulls that are merged.
+"""Convex-hull areas of groups of points, and widest angles of groups of rays, from hulls that are merged.
 
 The hull of a union is the hull of the hulls' corners.  So each task first replaces the points of a group in a batch by their
 hull's corners; only those move.  Behind the shuffle a group's corners come in sorted order, and what is carried from batch to
@@ -70,28 +70,48 @@ def _thin(frames):
         yield pd.DataFrame({"_g": g, "x": xy[:, 0], "y": xy[:, 1]})
 
 
-def _areas(frames):
-    """Areas of groups that come in order; the corners of the open group are carried on."""
-    own, held = None, np.zeros((0, 2))
-    for frame in frames:
-        starts, xy, g = _runs(frame), frame[["x", "y"]].to_numpy(), frame["_g"].to_numpy()
-        names, areas = [], []
-        for a, b in zip(starts[:-1], starts[1:]):
-            if own is not None and g[a] != own:
-                names.append(own)
-                areas.append(area_of(held[:, 0], held[:, 1]))
-                held = held[:0]
-            own, held = g[a], corners(np.concatenate([held, xy[a:b]])) if len(held) else xy[a:b]
-        yield pd.DataFrame({"_g": pd.Series(names, dtype="int64"), "_area": pd.Series(areas, dtype="float64")})
-    if own is not None:
-        yield pd.DataFrame({"_g": [own], "_area": [area_of(held[:, 0], held[:, 1])]})
+def _of_hulls(value, name: str):
+    """The function of a task: ``value``, named ``name``, of the corners of each group; groups come in order, the corners of the open one are carried on."""
 
+    def fold(frames):
+        own, held = None, np.zeros((0, 2))
+        for frame in frames:
+            starts, xy, g = _runs(frame), frame[["x", "y"]].to_numpy(), frame["_g"].to_numpy()
+            names, values = [], []
+            for a, b in zip(starts[:-1], starts[1:]):
+                if own is not None and g[a] != own:
+                    names.append(own)
+                    values.append(value(held))
+                    held = held[:0]
+                own, held = g[a], corners(np.concatenate([held, xy[a:b]])) if len(held) else xy[a:b]
+            yield pd.DataFrame({"_g": pd.Series(names, dtype="int64"), name: pd.Series(values, dtype="float64")})
+        if own is not None:
+            yield pd.DataFrame({"_g": [own], name: [value(held)]})
 
-def hull_areas(rows: DataFrame, keys: list[str], x: str = "x", y: str = "y", name: str = "area") -> DataFrame:
-    """One row per key: the keys and the area of the convex hull of the key's points.
+    return fold
 
-    Points with a null or NaN coordinate are left out; a key without others has area 0.  Null keys are a key like any other.
-    """
+
+_areas = _of_hulls(lambda held: area_of(held[:, 0], held[:, 1]), "_area")
+
+#: Corners compared with all others at a time.
+ROWS = 512
+
+
+def widest_angle(points: np.ndarray) -> float:
+    """The largest angle in degrees between rays (x, y, 1)."""
+    ring = corners(points)
+    rays = np.column_stack([ring, np.ones(len(ring))])
+    rays /= np.linalg.norm(rays, axis=1, keepdims=True)
+    most = 0.0
+    for at in range(0, len(rays), ROWS):
+        chord = np.zeros((len(rays[at : at + ROWS]), len(rays)))
+        for axis in range(3):
+            chord += (rays[at : at + ROWS, axis, None] - rays[None, :, axis]) ** 2
+        most = max(most, float(chord.max()))
+    return float(np.degrees(2 * np.arcsin(min(1.0, np.sqrt(most) / 2))))
+
+
+def _hull_values(rows: DataFrame, keys: list[str], x: str, y: str, fold, value: str, name: str) -> DataFrame:
     if len(keys) == 1 and rows.schema[keys[0]].dataType.simpleString() in ("bigint", "int") and not rows.schema[keys[0]].nullable:
         named, numbers = rows.withColumn("_g", F.col(keys[0]).cast("long")), None
     else:
@@ -101,10 +121,27 @@ def hull_areas(rows: DataFrame, keys: list[str], x: str = "x", y: str = "y", nam
     points = named.select("_g", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     points = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     thin = points.mapInPandas(_thin, "_g long, x double, y double")
-    areas = thin.repartition("_g").sortWithinPartitions("_g").mapInPandas(_areas, "_g long, _area double")
+    values = thin.repartition("_g").sortWithinPartitions("_g").mapInPandas(fold, f"_g long, {value} double")
     if numbers is None:
-        return named.select("_g").distinct().join(areas, "_g", "left").select(F.col("_g").cast(rows.schema[keys[0]].dataType).alias(keys[0]), F.coalesce("_area", F.lit(0.0)).alias(name))
+        return named.select("_g").distinct().join(values, "_g", "left").select(F.col("_g").cast(rows.schema[keys[0]].dataType).alias(keys[0]), F.coalesce(value, F.lit(0.0)).alias(name))
     # A number that two keys share stops the query instead of mixing their points.
-    alone = F.when(F.col("_n") > 1, F.raise_error(F.lit("two groups with one hash"))).otherwise(F.coalesce("_area", F.lit(0.0)))
+    alone = F.when(F.col("_n") > 1, F.raise_error(F.lit("two groups with one hash"))).otherwise(F.coalesce(value, F.lit(0.0)))
     each = numbers.groupBy("_g").agg(F.count("*").alias("_n"), *[F.first(k).alias(k) for k in keys])
-    return each.join(areas, "_g", "left").select(*keys, alone.alias(name))
+    return each.join(values, "_g", "left").select(*keys, alone.alias(name))
+
+
+def hull_areas(rows: DataFrame, keys: list[str], x: str = "x", y: str = "y", name: str = "area") -> DataFrame:
+    """One row per key: the keys and the area of the convex hull of the key's points.
+
+    Points with a null or NaN coordinate are left out; a key without others has area 0.  Null keys are a key like any other.
+    """
+    return _hull_values(rows, keys, x, y, _areas, "_area", name)
+
+
+def hull_angles(rows: DataFrame, keys: list[str], x: str = "x", y: str = "y", name: str = "angle") -> DataFrame:
+    """One row per key: the keys and the largest angle in degrees between any two of the key's rays (x, y, 1).
+
+    Straight lines of that plane are great circles, and an angle from a fixed ray has its maximum at a corner of a hull, so the
+    corners are enough: a key of many rays is never paired with itself.  Null and NaN as in ``hull_areas``; a key of one ray has angle 0.
+    """
+    return _hull_values(rows, keys, x, y, _of_hulls(widest_angle, "_angle"), "_angle", name)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconspark.functions.geometry import base_name, c, camera_center, drop_predicate, first_folder, in_rect_closed, project_point
+from reconspark.operators.hull import hull_angles
 from reconspark.operators.selection import median
 
 
@@ -128,27 +129,49 @@ def drop_images(images: DataFrame, obs: DataFrame, points: DataFrame, cameras=()
     return {"images": kept_images, "observations": kept_obs, "points": kept_points, "cameras": kept_images.select("camera_id").distinct()}
 
 
+#: Narrow tracks of more rays than this are decided by the hull of their rays, shorter ones by their pairs.
+PAIRED = 64
+
+
+def tangent_plane(rays: DataFrame, at: str = "f") -> DataFrame:
+    """``rays(u, v, w, f)`` with x and y: where the ray (u, v, w) meets the plane that touches the unit sphere at f(u, v, w)."""
+    f = [F.col(f"{at}.{n}") for n in "uvw"]
+    ray = [F.col(n) for n in "uvw"]
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    upright = F.abs(f[2]) < 0.9
+    side = cross(f, [F.when(upright, 0.0).otherwise(1.0), F.lit(0.0), F.when(upright, 1.0).otherwise(0.0)])
+    out = rays.withColumn("_side", F.array(*side)).withColumn("_norm", F.sqrt(dot(side, side)))
+    e1 = [F.col("_side")[k] / F.col("_norm") for k in range(3)]
+    return out.withColumn("x", dot(ray, e1) / dot(ray, f)).withColumn("y", dot(ray, cross(f, e1)) / dot(ray, f)).drop("_side", "_norm")
+
+
 def supported_points(images: DataFrame, obs: DataFrame, points: DataFrame, max_error: float = 4.0, min_track: int = 2, min_angle: float = 1.5) -> DataFrame:
     """Points whose track, error and largest triangulation angle are at the limits or better.  ``images`` carries centres cx, cy, cz.
 
     A ray at the limit from the track's first ray settles the point; only tracks whose rays all lie within the limit of it, and
-    reach half of it, need their pairs.
+    reach half of it, need more: their pairs, or with over PAIRED rays the hull of where they meet the first ray's tangent plane, so no track is
+    paired with itself at length.  ``min_angle`` is at most 80 degrees.
     """
+    if min_angle > 80:
+        raise ValueError("min_angle is at most 80 degrees")
     rays = obs.where("point_id >= 0").join(images.select("image_id", "cx", "cy", "cz"), "image_id").join(points.where(F.col("error") <= max_error).select("point_id", "x", "y", "z"), "point_id")
     d = [F.col("cx") - F.col("x"), F.col("cy") - F.col("y"), F.col("cz") - F.col("z")]
     norm = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
     unit = rays.select("point_id", "image_id", *[(v / norm).alias(n) for v, n in zip(d, "uvw")])
     angle = lambda dot: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
     first = unit.groupBy("point_id").agg(F.count("*").alias("n"), F.min_by(F.struct("u", "v", "w"), "image_id").alias("f")).where(F.col("n") >= min_track)
-    spread = unit.join(first, "point_id").groupBy("point_id").agg(F.max(angle(F.col("u") * F.col("f.u") + F.col("v") * F.col("f.v") + F.col("w") * F.col("f.w"))).alias("far"))
+    spread = unit.join(first, "point_id").groupBy("point_id").agg(F.first("n").alias("n"), F.first("f").alias("f"), F.max(angle(F.col("u") * F.col("f.u") + F.col("v") * F.col("f.v") + F.col("w") * F.col("f.w"))).alias("far"))
     sure = spread.where(F.col("far") >= min_angle).select("point_id")
     # Two rays are at most twice as far apart as the farther one is from the first; the slack covers rounding.
-    open_ = unit.join(spread.where((F.col("far") < min_angle) & (2 * F.col("far") >= min_angle * (1 - 1e-6))).select("point_id"), "point_id", "left_semi")
+    narrow = unit.join(spread.where((F.col("far") < min_angle) & (2 * F.col("far") >= min_angle * (1 - 1e-6))).select("point_id", "n", "f"), "point_id")
+    open_ = narrow.where(F.col("n") <= PAIRED)
     a, b = open_.alias("a"), open_.alias("b")
     pairs = a.join(b, (F.col("a.point_id") == F.col("b.point_id")) & (F.col("a.image_id") < F.col("b.image_id")))
     dot = sum((F.col(f"a.{n}") * F.col(f"b.{n}") for n in "vw"), F.col("a.u") * F.col("b.u"))
     wide = pairs.groupBy(F.col("a.point_id").alias("point_id")).agg(F.max(angle(dot)).alias("most")).where(F.col("most") >= min_angle).select("point_id")
-    return points.join(sure.unionByName(wide), "point_id", "left_semi")
+    long_wide = hull_angles(tangent_plane(narrow.where(F.col("n") > PAIRED)), ["point_id"]).where(F.col("angle") >= min_angle).select("point_id")
+    return points.join(sure.unionByName(wide).unionByName(long_wide), "point_id", "left_semi")
 
 
 def cull_cameras(images: DataFrame, obs: DataFrame, points: DataFrame, names: DataFrame, filter_points: bool = True, max_error: float = 4.0, min_track: int = 2, min_angle: float = 1.5) -> dict[str, DataFrame]:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconspark.functions.geometry import base_name, camera_center, first_folder, rotation, stem
+from reconspark.operators.frames import kept
 from reconspark.operators.spatial import within
 
 EARTH = 6371000.0
@@ -42,37 +43,59 @@ def filename_camera(name) -> F.Column:
     return F.regexp_replace(F.regexp_extract(base_name(name), r"^([^\d]+?)[-_]?\d", 1), r"^[-_]+|[-_]+$", "")
 
 
-def auto_frame_key(cameras: DataFrame) -> DataFrame:
+#: Cameras in a mask of a long.
+MASK = 63
+#: Rows of a table of cameras that is broadcast.
+FEW_CAMERAS = 10_000
+
+
+def digit_fields(name: str = "name") -> F.Column:
+    """The runs of digits of a name's stem."""
+    return F.regexp_extract_all(stem(name), F.lit(r"(\d+)"), F.lit(1))
+
+
+def auto_frame_key(cameras: DataFrame, fields: str | None = None) -> DataFrame:
     """``cameras(camera, name)`` to one row (combo, shared): the digit fields of the stem that identify an exposure.
 
     Candidates are single fields and pairs below the least field count; the score is how many keys all cameras share; the first
-    best wins, singles before pairs.  Keys are counted in one aggregation over all candidates.
+    best wins, singles before pairs.  Keys of all candidates are counted in one aggregation: cameras are numbered, a key's cameras are bits
+    of masks, and tasks merge masks before they move.  ``fields`` names a column that has the digit fields already.
     """
-    toks = cameras.select("camera", "name", F.regexp_extract_all(stem("name"), F.lit(r"(\d+)"), F.lit(1)).alias("t"))
-    facts = toks.agg(F.min(F.size("t")).alias("least"), F.count_distinct("camera").alias("n_cameras"))
+    toks = cameras.select("camera", (F.col(fields) if fields else digit_fields()).alias("t"))
+    if not fields:
+        toks = kept(toks)
+    numbers = toks.groupBy("camera").agg(F.min(F.size("t")).alias("least"))  # one row a camera
+    numbers = numbers.select("camera", (F.row_number().over(Window.orderBy("camera")) - 1).alias("number"), F.min("least").over(Window.partitionBy()).alias("least"), F.count("*").over(Window.partitionBy()).cast("int").alias("n_cameras"))
     i = F.sequence(F.lit(0), F.col("least") - 1)
     singles = F.transform(i, lambda a: F.array(a))
     pairs = F.flatten(F.transform(i, lambda a: F.transform(F.filter(i, lambda b: b > a), lambda b: F.array(a, b))))
-    candidates = facts.where("least > 0 AND n_cameras > 1").select("n_cameras", F.posexplode(F.concat(singles, pairs)).alias("rank", "combo"))
-    keys = toks.crossJoin(F.broadcast(candidates)).select("camera", "n_cameras", "rank", "combo", F.array_join(F.transform("combo", lambda k: F.get("t", k)), "_").alias("key"))  # a few fields, squared
-    shared = keys.groupBy("rank", "combo", "key").agg(F.count_distinct("camera").alias("c"), F.max("n_cameras").alias("n")).where("c = n").groupBy("rank", "combo").agg(F.count("*").alias("shared"))
-    return shared.orderBy(F.desc("shared"), "rank").limit(1).select("combo", "shared")
+    # The candidates stand once with each camera; its table is broadcast up to FEW_CAMERAS rows.
+    numbers = kept(numbers.where("least > 0 AND n_cameras > 1").select("camera", "number", "n_cameras", F.concat(singles, pairs).alias("combos")))
+    numbered = toks.join(F.broadcast(numbers) if numbers.count() <= FEW_CAMERAS else numbers, "camera")
+    keys = numbered.select("number", "n_cameras", "t", F.posexplode("combos").alias("rank", "combo"))  # a few fields, squared
+    keys = keys.select("rank", F.col("combo")[0].alias("a"), F.get("combo", F.lit(1)).alias("b"), "t", "number", "n_cameras")
+    keys = keys.select("rank", "a", "b", F.concat_ws("_", F.get("t", F.col("a")), F.get("t", F.col("b"))).alias("key"), "number", "n_cameras")
+    word, bit = F.floor(F.col("number") / MASK).cast("int"), F.expr(f"shiftleft(1L, number % {MASK})")
+    masks = keys.groupBy("rank", "a", "b", "key", word.alias("word")).agg(F.bit_or(bit).alias("mask"), F.max("n_cameras").alias("n"))
+    held = masks.groupBy("rank", "a", "b", "key").agg(F.sum(F.bit_count("mask")).alias("c"), F.max("n").alias("n")).where("c = n")
+    shared = held.groupBy("rank", "a", "b").agg(F.count("*").alias("shared"))
+    return shared.orderBy(F.desc("shared"), "rank").limit(1).select(F.array_compact(F.array("a", "b")).alias("combo"), "shared")
 
 
 def group_auto(names: DataFrame, name: str = "name"):
     """Cameras by folder, or by file-name prefix where there is one folder only; frames by ``auto_frame_key``.
 
-    A key that repeats within a camera is dropped for all cameras."""
-    every = names.select(F.col(name).alias("name"), first_folder(name).alias("folder"), filename_camera(name).alias("prefix"))
-    facts = every.agg(F.count_distinct(F.when(F.col("folder") != "", F.col("folder"))).alias("folders"), F.count_distinct(F.when(F.col("prefix") != "", F.col("prefix"))).alias("prefixes"), F.count_if(F.col("prefix") == "").alias("bare"))
+    A key that repeats within a camera is dropped for all cameras.  Names are taken apart once, into a table spread by name (one file
+    would be one task, and the names left over are found in it by name) that every step reads."""
+    every = kept(names.select(F.col(name).alias("name")).repartition("name").select("name", F.nullif(first_folder("name"), F.lit("")).alias("folder"), filename_camera("name").alias("prefix"), digit_fields("name").alias("fields")))
+    facts = every.agg(F.count_distinct("folder").alias("folders"), F.count_distinct(F.when(F.col("prefix") != "", F.col("prefix"))).alias("prefixes"), F.count_if(F.col("prefix") == "").alias("bare"))
     by_folder, by_prefix = F.col("folders") >= 2, (F.col("folders") < 2) & (F.col("prefixes") >= 2) & (F.col("bare") == 0)
-    cams = every.crossJoin(F.broadcast(facts)).select("name", F.when(by_folder, F.nullif("folder", F.lit(""))).when(by_prefix, F.col("prefix")).alias("camera"))  # one row
-    combo = auto_frame_key(cams.where("camera IS NOT NULL"))
-    toks = F.regexp_extract_all(stem("name"), F.lit(r"(\d+)"), F.lit(1))
-    keyed = cams.where("camera IS NOT NULL").crossJoin(F.broadcast(combo)).select("camera", "name", F.array_join(F.transform("combo", lambda k: F.get(toks, k)), "_").alias("frame_key"))  # one row
-    twice = keyed.groupBy("camera", "frame_key").agg(F.count("*").alias("n")).where("n > 1").select("frame_key").distinct()
-    rig = keyed.join(twice, "frame_key", "left_anti").select("camera", "frame_key", "name")
-    return rig, cams.select("name").join(rig.select("name"), "name", "left_anti")
+    cams = every.crossJoin(F.broadcast(facts)).select("name", "fields", F.when(by_folder, F.col("folder")).when(by_prefix, F.col("prefix")).alias("camera"))  # one row
+    combo = kept(auto_frame_key(cams.where("camera IS NOT NULL"), "fields"))
+    keyed = cams.where("camera IS NOT NULL").crossJoin(F.broadcast(combo)).select("camera", "name", F.array_join(F.transform("combo", lambda k: F.get("fields", k)), "_").alias("frame_key"))  # one row
+    frames = keyed.groupBy("camera", "frame_key").agg(F.count("*").alias("n"), F.min("name").alias("name"))
+    rig = frames.where("n = 1").join(frames.where("n > 1").select("frame_key").distinct(), "frame_key", "left_anti").select("camera", "frame_key", "name")
+    return rig, every.select("name").join(rig.select("name"), "name", "left_anti")
 
 
 def group_by_gps(fixes: DataFrame, tolerance: float = 0.5):

@@ -408,11 +408,17 @@ def j17_cull_points(spark, d):
     return md.cull_points(p, p.where("point_id % 5 = 0")).select("point_id")
 
 
-@query(sql("cloud", "SELECT round(greatest(max(abs(x - dx)), max(abs(y - dy)), max(abs(z - dz))), 5) AS delta, round(greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)), 5) AS size, count(*) AS shared, false AS match FROM cloud"))
+DELTA = """SELECT '{how}' AS how, round(greatest(max(abs(x - ({x}))), max(abs(y - ({y}))), max(abs(z - ({z})))), 5) AS delta, round(greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)), 5) AS size, count(*) AS shared,
+  greatest(max(abs(x - ({x}))), max(abs(y - ({y}))), max(abs(z - ({z})))) <= greatest(1e-4 * greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)), 1e-6) AS match FROM cloud WHERE {where}"""
+
+
+@query(sql("cloud", DELTA.format(how="moved", x="dx", y="dy", z="dz", where="true") + " UNION ALL " + DELTA.format(how="settled", x="x + (dx - x) / 1000", y="y + (dy - y) / 1000", z="z", where="folder <> 1")))
 def j12_frame_delta(spark, d):
     a = i.cloud(spark, d)
-    b = a.select(F.col("image_id"), *[F.col(f"d{v}").alias(v) for v in "xyz"])
-    return rounded(md.frame_delta(a, b, "image_id"))
+    moved = a.select("image_id", *[F.col(f"d{v}").alias(v) for v in "xyz"])
+    settled = a.where("folder <> 1").select("image_id", *[(F.col(v) + (F.col(f"d{v}") - F.col(v)) / 1000).alias(v) for v in "xy"], "z")
+    both = [rounded(md.frame_delta(a, b, "image_id").withColumn("how", F.lit(how))) for how, b in (("moved", moved), ("settled", settled))]
+    return both[0].unionByName(both[1])
 
 
 @query(sql("images", "+c AS (SELECT image_id, camera_id, CASE WHEN image_id % 53 = 0 THEN NULL WHEN camera_id = 1 THEN 50 WHEN image_id % 41 = 0 THEN 10 ELSE 100 END AS width FROM images) SELECT image_id, camera_id, CASE WHEN width IS NULL THEN 'missing' ELSE 'size' END AS problem, width IS NOT NULL AND u AS uniform FROM (SELECT *, min(width) OVER (PARTITION BY camera_id) = max(width) OVER (PARTITION BY camera_id) AS u FROM c) WHERE width IS NULL OR width <> 100"))
@@ -519,9 +525,12 @@ def a33_pass_summary(spark, d):
     return ls.pass_summary(im, im.where("camera_id <> 2").select(g.mask_name("name").alias("name")))
 
 
-@query(sql("images", "SELECT 'a/b/' || name AS path, '/out/b/' || name AS dest FROM images"))
+@query(sql("images", "+p AS (SELECT 'a/b/' || CASE camera_id WHEN 1 THEN 'b/' || name WHEN 2 THEN regexp_extract(name, '([^/]*)$', 1) ELSE name END AS path FROM images) SELECT path, '/out/b/' || path[5:] AS dest FROM p UNION ALL SELECT name AS path, '/out/' || name AS dest FROM images"))
 def a34_common_parent_plan(spark, d):
-    return ls.common_parent_plan(i.images(spark, d).select(F.concat(F.lit("a/b/"), "name").alias("path")), "/out")
+    im = i.images(spark, d)
+    inner = F.when(F.col("camera_id") == 1, F.concat(F.lit("b/"), "name")).when(F.col("camera_id") == 2, g.base_name("name")).otherwise(F.col("name"))
+    deep = ls.common_parent_plan(im.select(F.concat(F.lit("a/b/"), inner).alias("path")), "/out")
+    return deep.unionByName(ls.common_parent_plan(im.select(F.col("name").alias("path")), "/out"))
 
 
 # ---------------------------------------------------------------- pairs, neighbours
@@ -636,9 +645,15 @@ def _auto_names(spark, d):
     return o.select(F.concat(F.lit("cam"), F.col("k").cast("string"), F.lit("/s"), F.col("o_orderkey").cast("string"), F.lit("_"), (F.col("o_orderkey") * 3 + F.col("k")).cast("string"), F.lit(".jpg")).alias("name"))
 
 
-@query(f"SELECT '0' AS combo, count(DISTINCT s) AS shared FROM ({AUTO})")
+SERIAL = """+c AS (SELECT rank, combo, array_to_string([f[j] FOR j IN places], '_') AS key, k FROM (SELECT k, [k::VARCHAR, (o_orderkey // 50)::VARCHAR, (o_orderkey % 50)::VARCHAR] AS f FROM orders, (SELECT unnest([0, 1, 2]) AS k)),
+  (VALUES (0, '0', [1]), (1, '1', [2]), (2, '2', [3]), (3, '0-1', [1, 2]), (4, '0-2', [1, 3]), (5, '1-2', [2, 3])) AS v(rank, combo, places)), s AS (SELECT rank, combo FROM c GROUP BY rank, combo, key HAVING count(DISTINCT k) = 3)"""
+
+
+@query("WITH " + SERIAL[1:] + " SELECT combo, count(*) AS shared FROM s GROUP BY rank, combo ORDER BY shared DESC, rank LIMIT 1")
 def a27_auto_frame_key(spark, d):
-    names = _auto_names(spark, d).select(g.first_folder("name").alias("camera"), "name")
+    """A serial number of the camera, a run and a shot of the run: only run and shot together name an exposure."""
+    o = t(spark, d, "orders").select(F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2"))).alias("k"), F.floor(F.col("o_orderkey") / 50).cast("string").alias("run"), (F.col("o_orderkey") % 50).cast("string").alias("shot"))
+    names = o.select(F.concat(F.lit("cam"), "k").alias("camera"), F.concat(F.lit("cam"), "k", F.lit("/d"), "k", F.lit("_r"), "run", F.lit("_"), "shot", F.lit(".jpg")).alias("name"))
     return rg.auto_frame_key(names).select(F.array_join(F.transform("combo", lambda v: v.cast("string")), "-").alias("combo"), "shared")
 
 
@@ -742,10 +757,10 @@ def a21_raster_nearest(spark, d):
     return sp.raster_nearest(i.points(spark, d).withColumn("rgb", F.col("point_id")).withColumn("y", F.col("y") / 2), "x", "y", "z", 5.0)
 
 
-@query(sql("cloud", "SELECT count(*) AS matched, 0::BIGINT AS unmatched, round(avg(x - dx), 5) AS bias_x, round(avg(y - dy), 5) AS bias_y, round(avg(z - dz), 5) AS bias_z, round(stddev_pop(x - dx), 5) AS sd_x, round(stddev_pop(y - dy), 5) AS sd_y, round(stddev_pop(z - dz), 5) AS sd_z, round(sqrt(avg(pow(x-dx,2)+pow(y-dy,2)+pow(z-dz,2))), 5) AS rms, round(sqrt(max(pow(x-dx,2)+pow(y-dy,2)+pow(z-dz,2))), 5) AS largest, sqrt(avg(pow(x-dx,2)+pow(y-dy,2)+pow(z-dz,2))) > 0.5 AS fails FROM cloud"))
+@query(sql("cloud", "SELECT count(*) FILTER (WHERE folder <> 1) AS matched, count(*) FILTER (WHERE folder = 1) AS unmatched, round(avg(x - dx) FILTER (WHERE folder <> 1), 5) AS bias_x, round(avg(y - dy) FILTER (WHERE folder <> 1), 5) AS bias_y, round(avg(z - dz) FILTER (WHERE folder <> 1), 5) AS bias_z, round(stddev_pop(x - dx) FILTER (WHERE folder <> 1), 5) AS sd_x, round(stddev_pop(y - dy) FILTER (WHERE folder <> 1), 5) AS sd_y, round(stddev_pop(z - dz) FILTER (WHERE folder <> 1), 5) AS sd_z, round(sqrt(avg(pow(x-dx,2)+pow(y-dy,2)+pow(z-dz,2)) FILTER (WHERE folder <> 1)), 5) AS rms, round(sqrt(max(pow(x-dx,2)+pow(y-dy,2)+pow(z-dz,2)) FILTER (WHERE folder <> 1)), 5) AS largest, sqrt(avg(pow(x-dx,2)+pow(y-dy,2)+pow(z-dz,2)) FILTER (WHERE folder <> 1)) > 0.5 AS fails FROM cloud"))
 def j22_eo_check(spark, d):
     own = i.cloud(spark, d).withColumn("stem", F.col("image_id").cast("string"))
-    return rounded(st.eo_check(own, own.select("stem", F.col("dx").alias("e"), F.col("dy").alias("n"), F.col("dz").alias("h")), 0.5))
+    return rounded(st.eo_check(own, own.where("folder <> 1").select("stem", F.col("dx").alias("e"), F.col("dy").alias("n"), F.col("dz").alias("h")), 0.5))
 
 
 @query("WITH c AS (SELECT p_partkey // 49 AS m, p_partkey % 49 % 7 AS gx, p_partkey % 49 // 7 AS gy, p_partkey % 49 % 7 + p_size / 100.0::DOUBLE AS x, (p_partkey % 49 // 7)::DOUBLE AS y FROM part) SELECT a.m, count(*) AS n, round(median(10 * sqrt(pow(a.gx-b.gx,2)+pow(a.gy-b.gy,2)) / sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))), 5) AS median FROM c a JOIN c b ON a.m = b.m AND (a.gy, a.gx) < (b.gy, b.gx) AND abs(a.gx - b.gx) <= 2 AND abs(a.gy - b.gy) <= 2 WHERE sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) > 0 GROUP BY 1")

@@ -209,3 +209,76 @@ def test_blocks_of_very_different_sizes(spark):
         assert sorted(found) == sorted(want)
         assert len(want) > 300
     assert spatial.assign_points(p, b.limit(0), 0.0).count() == 0
+
+
+def test_widest_angles_of_merged_hulls(spark):
+    from reconspark.operators.hull import hull_angles, widest_angle
+
+    rng = np.random.default_rng(5)
+    rays = rng.normal(0, 0.02, (3000, 2))
+    unit = np.column_stack([rays, np.ones(3000)])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    plain = np.degrees(np.arccos(np.clip(unit @ unit.T, -1, 1).min()))
+    assert widest_angle(rays) == pytest.approx(plain, rel=1e-9)
+    ring = np.column_stack([np.cos(np.arange(1500)), np.sin(np.arange(1500))]) * 0.01  # every ray is a corner
+    assert widest_angle(ring) == pytest.approx(np.degrees(2 * np.arctan(0.01)), rel=1e-5)
+    rows = [(1, float(x), float(y)) for x, y in rays] + [(2, 0.5, 0.5), (3, None, 0.1)]
+    df = spark.createDataFrame(rows, "k long, x double, y double").repartition(7)
+    found = {r.k: r.angle for r in hull_angles(df, ["k"]).collect()}
+    assert found[1] == pytest.approx(plain, rel=1e-9) and found[2] == 0 and found[3] == 0
+
+
+@pytest.mark.parametrize("paired", [1, 64])
+def test_narrow_tracks_by_hull_or_pairs(spark, monkeypatch, paired):
+    """Tracks that the first ray doesn't settle: the same points stand whether pairs or hulls decide."""
+    from reconspark.operators import models
+
+    monkeypatch.setattr(models, "PAIRED", paired)
+    rng = np.random.default_rng(9)
+    centres, points, obs, want = [], [], [], set()
+    for p in range(12):
+        n, at = 10 + p, np.array([p * 50.0, 0.0, 0.0])
+        way = rng.normal(size=3)
+        way /= np.linalg.norm(way)
+        cam = at + 100 * way + rng.normal(0, 0.2 + 0.05 * p, (n, 3))
+        unit = (cam - at) / np.linalg.norm(cam - at, axis=1, keepdims=True)
+        if np.degrees(np.arccos(np.clip(unit @ unit.T, -1, 1).min())) >= 1.5:
+            want.add(p)
+        points.append((p, *map(float, at), 1.0))
+        for row in cam:
+            obs.append((len(centres), p))
+            centres.append((len(centres), *map(float, row)))
+    images = spark.createDataFrame(centres, "image_id long, cx double, cy double, cz double")
+    pts = spark.createDataFrame(points, "point_id long, x double, y double, z double, error double")
+    got = {r.point_id for r in models.supported_points(images, spark.createDataFrame(obs, "image_id long, point_id long"), pts).collect()}
+    assert got == want and 0 < len(want) < 12
+
+
+def test_frame_key_of_more_cameras_than_a_mask_holds(spark):
+    from reconspark.operators import rig
+
+    names = [(f"c{c:03d}", f"c{c:03d}/s{c}_{run}_{shot}.jpg") for c in range(130) for run in range(2) for shot in range(3)]
+    names += [("c000", "c000/s0_9_9.jpg")]  # not of all cameras
+    df = spark.createDataFrame(names, "camera string, name string")
+    assert [(r.combo, r.shared) for r in rig.auto_frame_key(df).collect()] == [([1, 2], 6)]
+    grouped, rest = rig.group_auto(df.select("name"))
+    assert grouped.count() == 781 and rest.count() == 0
+    twice = df.select("name").unionByName(spark.createDataFrame([("c001/t1_0_0.jpg",), ("loose.jpg",)], "name string"))
+    grouped, rest = rig.group_auto(twice)
+    assert not grouped.where("frame_key = '0_0'").count() and rest.count() == 130 + 1 + 1
+
+
+def test_release_deletes_kept_tables_alone(spark):
+    import os
+
+    from reconspark.operators.frames import kept, release
+
+    table = kept(spark.range(100).repartition(3))
+    assert table.count() == 100
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    mine = os.path.join(folder, "table-of-another")
+    os.makedirs(mine)
+    assert any(n.startswith("rdd-") for n in os.listdir(folder))
+    assert release(spark) >= 1 and os.listdir(folder) == ["table-of-another"] and release(spark) == 0
+    os.rmdir(mine)
+    assert kept(spark.range(7)).count() == 7  # and the folder goes on being used
