@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Tables that this process has stored and not dropped.
+_written: set[str] = set()
 #: Spark's own switch for deleting a query's shuffle files once the query is over.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -52,14 +54,30 @@ def stored(df: DataFrame, free: bool = False) -> DataFrame:
             spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_path = path
+    _written.add(path)
     return table
 
 
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a ``stored`` table that no later step reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    _delete(df.sparkSession, df.stored_path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written.discard(name)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the ``stored`` tables of this process, once the results that read them are done; how many went.
+
+    A result that is read afterwards fails.  Tables of other processes in the folder stay.
+    """
+    paths = sorted(_written)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def text_or_empty(column: str = "text") -> F.Column:

@@ -15,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most labelled documents of each class that training reads, and the longest of them in characters: the documented bound of the sample.
 SAMPLE, MOST_CHARS = 900, 150_000
+#: Characters of a class in all; the sample ends before it would have more.
+MOST_TOTAL = 12_000_000
 BUCKETS, DIMENSIONS = 1 << 17, 8
 NGRAMS = (3, 4, 5)
 #: Words in a bag.
@@ -162,7 +164,8 @@ def worst_windows(texts: list[str | None], weights: np.ndarray, bias: float) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Train on at most ``sample`` labelled rows of each class, chosen by a hash of the id, none of them held out nor longer than MOST_CHARS.
+    """Train on at most ``sample`` labelled rows of each class, chosen by a hash of the id, none of them held out nor longer than MOST_CHARS,
+    and of MOST_TOTAL characters together.
 
     Without any labelled row the model is empty: weights 0 and a bias that scores below one half.
     """
@@ -172,7 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         own = usable.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(sample)
         chosen = own if chosen is None else chosen.unionByName(own)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= MOST_CHARS)
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label")).orderBy("id").collect()
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))  # over the sample alone
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= MOST_TOTAL).orderBy("id").collect()
     if not rows:
         return np.zeros(BUCKETS, dtype="float32"), -4.0
     return train([r["text"] for r in rows], np.array([r["label"] for r in rows]))

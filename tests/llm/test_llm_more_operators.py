@@ -212,3 +212,36 @@ def test_factor_and_rotations(rank):
     values, axes = whitening.jacobi(factor)
     assert np.allclose(values, np.linalg.eigvalsh(scatter)[::-1][:rank], rtol=1e-8)
     assert np.allclose(axes.T @ axes, np.eye(rank), atol=1e-12) and np.allclose(scatter @ axes, axes * values, atol=1e-12)
+
+
+def test_release_deletes_stored_tables_alone(spark, tmp_path):
+    import os
+
+    from reconspark.llm import common
+
+    common.release(spark)
+    first, second = common.stored(spark.range(5).toDF("a")), common.stored(spark.range(6).toDF("a"))
+    other = os.path.join(common.shared_dir(spark).removeprefix("file:"), "table-of-another")
+    spark.range(2).write.parquet(other)
+    common.drop_stored(first)
+    assert second.count() == 6 and common.release(spark) == 1 and common.release(spark) == 0
+    assert not os.path.exists(second.stored_path.removeprefix("file:")) and spark.read.parquet(other).count() == 2
+
+
+def test_toxicity_sample_is_bounded_in_all(spark, monkeypatch):
+    from reconspark.llm import toxicity
+
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: taken.append((texts, labels)))
+    docs = spark.createDataFrame([(k, "ab " * (k % 7 + 1)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    texts, marks = taken.pop()
+    learnt = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(texts) == sorted("ab " * (k % 7 + 1) for k in learnt)  # below the bound all of them
+    monkeypatch.setattr(toxicity, "MOST_TOTAL", 300)
+    toxicity.fit(docs, labels)
+    texts, marks = taken.pop()
+    for mark in (0, 1):
+        own = [len(t) for t, m in zip(texts, marks) if m == mark]
+        assert 300 - 21 < sum(own) <= 300
