@@ -307,7 +307,7 @@ def pair_images(pair_id) -> tuple[Column, Column]:
     """The two image ids of a pair id: quotient and remainder by 2147483647, where remainder 0 stands for the divisor."""
     d = 2147483647
     second = c(pair_id) % d
-    first = F.floor((c(pair_id) - second) / d)
+    first = F.call_function("div", c(pair_id), F.lit(d))  # in whole numbers: doubles are too short for ids from 2 ** 53 on
     return F.when(second == 0, first - 1).otherwise(first).cast("long"), F.when(second == 0, F.lit(d)).otherwise(second).cast("long")
 
 

@@ -282,3 +282,9 @@ def test_release_deletes_kept_tables_alone(spark):
     assert release(spark) >= 1 and os.listdir(folder) == ["table-of-another"] and release(spark) == 0
     os.rmdir(mine)
     assert kept(spark.range(7)).count() == 7  # and the folder goes on being used
+
+
+def test_pair_ids_beyond_the_whole_numbers_of_a_double(spark):
+    d, pairs = 2147483647, [(7_903_147, 794_745), (7_912_787, 782_393), (9_000_000, 899_999), (8_999_999, 1), (4_194_305, 2147483647), (2147483646, 7), (0, 5)]
+    own = spark.createDataFrame([(a * d + b,) for a, b in pairs], "p long")
+    assert [tuple(r) for r in own.select(*stats.pair_images("p")).collect()] == pairs
