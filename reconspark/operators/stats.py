@@ -284,7 +284,8 @@ def corner_pairs(corners: DataFrame, max_hop: int = 2, square_mm: float = 10.0,
     d = [F.col(f"a{v}") - F.col(v) for v in "xyz"]
     far = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
     real = square_mm * F.sqrt((F.col("hop.i") * F.col("hop.i") + F.col("hop.j") * F.col("hop.j")).cast("double"))
-    return a.join(b, [*keys, "bgx", "bgy"]).where(far > 0).select(*keys, (real / far).alias("sample"))
+    # Corners are many however small their files: both sides move for the join, none is broadcast.
+    return a.join(b.hint("merge"), [*keys, "bgx", "bgy"]).where(far > 0).select(*keys, (real / far).alias("sample"))
 
 
 def marker_scale(samples: DataFrame, keys: list[str] = ()) -> DataFrame:

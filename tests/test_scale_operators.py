@@ -284,6 +284,14 @@ def test_release_deletes_kept_tables_alone(spark):
     assert kept(spark.range(7)).count() == 7  # and the folder goes on being used
 
 
+def test_many_corners_in_a_small_file_are_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "corners")
+    spark.range(20_000).selectExpr("id div 49 AS m", "id % 7 AS gx", "id % 49 div 7 AS gy", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 49 div 7 AS DOUBLE) AS y", "0D AS z").write.parquet(path)
+    pairs = stats.corner_pairs(spark.read.parquet(path), keys=["m"])
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.where("abs(sample - 10) > 1e-9").count() == 0 and pairs.count() > 20_000
+
+
 def test_pair_ids_beyond_the_whole_numbers_of_a_double(spark):
     d, pairs = 2147483647, [(7_903_147, 794_745), (7_912_787, 782_393), (9_000_000, 899_999), (8_999_999, 1), (4_194_305, 2147483647), (2147483646, 7), (0, 5)]
     own = spark.createDataFrame([(a * d + b,) for a, b in pairs], "p long")
