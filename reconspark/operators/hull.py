@@ -2,7 +2,8 @@
 
 The hull of a union is the hull of the hulls' corners.  So each task first replaces the points of a group in a batch by their
 hull's corners; only those move.  Behind the shuffle a group's corners come in sorted order, and what is carried from batch to
-batch is the corners of the one group still open: no row and no task ever holds a whole group.
+batch is the corners of the one group still open: no row and no task ever holds a whole group.  Groups of few points are many: those of a batch are
+worked off together, by their number of points.
 """
 
 from __future__ import annotations
@@ -41,8 +42,34 @@ def area_of(x: np.ndarray, y: np.ndarray) -> float:
     return float(abs((ring[:, 0] * nxt[:, 1] - ring[:, 1] * nxt[:, 0]).sum()) / 2)
 
 
-#: Points of a group in a batch that are handed on as they are.
-FEW = 8
+#: Points of a group in a batch that are handed on as they are, and of a group whose hull is found together with those of other groups.
+FEW = 32
+
+
+def small_areas(xy: np.ndarray) -> np.ndarray:
+    """Hull areas of groups of equally many points, ``xy[group, point, axis]``: the chains of ``corners`` for all groups at once."""
+    many, n, _ = xy.shape
+    area = np.zeros(many)
+    if n < 3:
+        return area
+    order = np.lexsort((xy[:, :, 1], xy[:, :, 0]))
+    x, y = np.take_along_axis(xy[:, :, 0], order, 1), np.take_along_axis(xy[:, :, 1], order, 1)
+    for way in (1, -1):
+        cx, cy, top = np.zeros((many, n)), np.zeros((many, n)), np.zeros(many, dtype="int64")
+        for i in range(n)[::way]:
+            px, py = x[:, i], y[:, i]
+            at = np.arange(many)
+            while len(at := at[top[at] > 1]):
+                k = top[at]
+                ax, ay, bx, by = cx[at, k - 2], cy[at, k - 2], cx[at, k - 1], cy[at, k - 1]
+                at = at[~((bx - ax) * (py[at] - ay) > (by - ay) * (px[at] - ax))]
+                top[at] -= 1
+            every = np.arange(many)
+            cx[every, top], cy[every, top] = px, py
+            top += 1
+        on = np.arange(1, n)[None, :] < top[:, None]
+        area += np.where(on, cx[:, :-1] * cy[:, 1:] - cy[:, :-1] * cx[:, 1:], 0.0).sum(1)
+    return np.abs(area) / 2
 
 
 def _runs(frame: pd.DataFrame) -> np.ndarray:
@@ -56,6 +83,9 @@ def _thin(frames):
     for frame in frames:
         frame = frame.sort_values("_g", kind="stable")
         starts = _runs(frame)
+        if not (np.diff(starts) > FEW).any():
+            yield frame
+            continue
         xy, g = frame[["x", "y"]].to_numpy(), frame["_g"].to_numpy()
         big = np.flatnonzero(np.diff(starts) > FEW)
         stay = np.ones(len(frame), dtype=bool)
@@ -70,28 +100,44 @@ def _thin(frames):
         yield pd.DataFrame({"_g": g, "x": xy[:, 0], "y": xy[:, 1]})
 
 
-def _of_hulls(value, name: str):
-    """The function of a task: ``value``, named ``name``, of the corners of each group; groups come in order, the corners of the open one are carried on."""
+def _of_hulls(values, name: str):
+    """The function of a task: ``values(xy, starts)``, named ``name``, of each group's points; groups come in order, the corners of the open one are carried on."""
 
     def fold(frames):
         own, held = None, np.zeros((0, 2))
         for frame in frames:
+            if not len(frame):
+                continue
             starts, xy, g = _runs(frame), frame[["x", "y"]].to_numpy(), frame["_g"].to_numpy()
-            names, values = [], []
-            for a, b in zip(starts[:-1], starts[1:]):
-                if own is not None and g[a] != own:
-                    names.append(own)
-                    values.append(value(held))
-                    held = held[:0]
-                own, held = g[a], corners(np.concatenate([held, xy[a:b]])) if len(held) else xy[a:b]
-            yield pd.DataFrame({"_g": pd.Series(names, dtype="int64"), name: pd.Series(values, dtype="float64")})
+            done, first = [], 0
+            if own is not None and g[0] == own:
+                held, first = corners(np.concatenate([held, xy[: starts[1]]])), 1
+            if own is not None and first < len(starts) - 1:  # another group begins: the open one is whole
+                done.append((np.array([own]), values(held, np.array([0, len(held)]))))
+            if first < len(starts) - 1:
+                whole = starts[first:-1]
+                done.append((g[whole[:-1]], values(xy, whole)))
+                own, held = g[whole[-1]], xy[whole[-1] :]
+            yield pd.DataFrame({"_g": np.concatenate([d[0] for d in done]) if done else np.zeros(0, "int64"), name: np.concatenate([d[1] for d in done]) if done else np.zeros(0)})
         if own is not None:
-            yield pd.DataFrame({"_g": [own], name: [value(held)]})
+            yield pd.DataFrame({"_g": [own], name: values(held, np.array([0, len(held)]))})
 
     return fold
 
 
-_areas = _of_hulls(lambda held: area_of(held[:, 0], held[:, 1]), "_area")
+def _area_values(xy: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hull areas of the runs of rows between ``starts``: runs of equal length together, long ones by themselves."""
+    sizes, out = np.diff(starts), np.zeros(len(starts) - 1)
+    for n in np.unique(sizes[sizes > 2]).tolist():
+        at = np.flatnonzero(sizes == n)
+        if n <= FEW:
+            out[at] = small_areas(xy[starts[at][:, None] + np.arange(n)])
+        else:
+            out[at] = [area_of(xy[starts[k] : starts[k + 1], 0], xy[starts[k] : starts[k + 1], 1]) for k in at]
+    return out
+
+
+_areas = _of_hulls(_area_values, "_area")
 
 #: Corners compared with all others at a time.
 ROWS = 512
@@ -111,13 +157,17 @@ def widest_angle(points: np.ndarray) -> float:
     return float(np.degrees(2 * np.arcsin(min(1.0, np.sqrt(most) / 2))))
 
 
+def _angle_values(xy: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.array([widest_angle(xy[a:b]) for a, b in zip(starts[:-1], starts[1:])])
+
+
 def _hull_values(rows: DataFrame, keys: list[str], x: str, y: str, fold, value: str, name: str) -> DataFrame:
     if len(keys) == 1 and rows.schema[keys[0]].dataType.simpleString() in ("bigint", "int") and not rows.schema[keys[0]].nullable:
         named, numbers = rows.withColumn("_g", F.col(keys[0]).cast("long")), None
     else:
         # Groups travel as one number; two keys of one number are told apart by the check below.
         named = rows.withColumn("_g", F.xxhash64(*keys))
-        numbers = named.groupBy("_g", *keys).agg(F.lit(1).alias("_one"))
+        numbers = named.groupBy("_g").agg(F.min(F.xxhash64(F.lit(1), *keys)).alias("_low"), F.max(F.xxhash64(F.lit(1), *keys)).alias("_high"), *[F.first(k).alias(k) for k in keys])
     points = named.select("_g", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     points = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     thin = points.mapInPandas(_thin, "_g long, x double, y double")
@@ -125,9 +175,8 @@ def _hull_values(rows: DataFrame, keys: list[str], x: str, y: str, fold, value:
     if numbers is None:
         return named.select("_g").distinct().join(values, "_g", "left").select(F.col("_g").cast(rows.schema[keys[0]].dataType).alias(keys[0]), F.coalesce(value, F.lit(0.0)).alias(name))
     # A number that two keys share stops the query instead of mixing their points.
-    alone = F.when(F.col("_n") > 1, F.raise_error(F.lit("two groups with one hash"))).otherwise(F.coalesce(value, F.lit(0.0)))
-    each = numbers.groupBy("_g").agg(F.count("*").alias("_n"), *[F.first(k).alias(k) for k in keys])
-    return each.join(values, "_g", "left").select(*keys, alone.alias(name))
+    alone = F.when(F.col("_low") != F.col("_high"), F.raise_error(F.lit("two groups with one hash"))).otherwise(F.coalesce(value, F.lit(0.0)))
+    return numbers.join(values, "_g", "left").select(*keys, alone.alias(name))
 
 
 def hull_areas(rows: DataFrame, keys: list[str], x: str = "x", y: str = "y", name: str = "area") -> DataFrame:
@@ -144,4 +193,4 @@ def hull_angles(rows: DataFrame, keys: list[str], x: str = "x", y: str = "y", na
     Straight lines of that plane are great circles, and an angle from a fixed ray has its maximum at a corner of a hull, so the
     corners are enough: a key of many rays is never paired with itself.  Null and NaN as in ``hull_areas``; a key of one ray has angle 0.
     """
-    return _hull_values(rows, keys, x, y, _of_hulls(widest_angle, "_angle"), "_angle", name)
+    return _hull_values(rows, keys, x, y, _of_hulls(_angle_values, "_angle"), "_angle", name)

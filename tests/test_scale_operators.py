@@ -321,3 +321,25 @@ def test_images_and_stations_at_one_place_are_not_paired(spark):
     images = spark.range(30_000).selectExpr("id AS image_id", "24D + id % 3 / 1e4 AS lat", "120D AS lon")
     stations = spark.range(20_000).selectExpr("id AS station_id", "20000 - id AS nth", "24D + id % 2 / 1e4 AS lat", "120D AS lon")
     assert spatial.nearest_station(images, stations, 5.0).groupBy("station_id").count().orderBy("station_id").collect() == [(19_998, 10_000), (19_999, 10_000)]
+
+
+def test_many_small_hulls_at_once_equal_single_ones():
+    import time
+
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    sets = [np.round(rng.normal(size=(n, 2)), int(rng.integers(0, 4))) for n in rng.integers(1, 45, 600)] + [np.ones((9, 2)), np.column_stack([np.arange(7.0), np.arange(7.0) * 3])]
+    frame = pd.concat([pd.DataFrame({"_g": k, "x": p[:, 0], "y": p[:, 1]}) for k, p in enumerate(sets)], ignore_index=True)
+    for size in (1, 50, 100_000):
+        found = pd.concat(hull._areas(frame.iloc[k : k + size] for k in range(0, len(frame), size)))
+        assert found["_g"].tolist() == list(range(len(sets)))
+        assert np.allclose(found["_area"], [hull.area_of(p[:, 0], p[:, 1]) for p in sets], rtol=1e-12, atol=1e-12)
+    # Groups of four points cost less than one call for each.
+    many = pd.DataFrame({"_g": np.repeat(np.arange(50_000), 4), "x": rng.normal(size=200_000), "y": rng.normal(size=200_000)})
+    start = time.process_time()
+    assert sum(len(f) for f in hull._areas(many.iloc[k : k + 10_000] for k in range(0, len(many), 10_000))) == 50_000
+    together, start = time.process_time() - start, time.process_time()
+    for k in range(0, 20_000, 4):
+        hull.area_of(many["x"].to_numpy()[k : k + 4], many["y"].to_numpy()[k : k + 4])
+    assert together < 10 * (time.process_time() - start)
