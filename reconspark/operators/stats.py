@@ -251,28 +251,55 @@ def diameter(rows: DataFrame, keys: list[str], parts: int = 16, levels: int = 2,
     return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "diameter", *(["_to.*"] if ends else []))
 
 
+def _solve_tracks(uv: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Homogeneous points and median reprojection errors of tracks of equally many views: ``uv[track, view, axis]``, ``p[track, view, 3, 4]``."""
+    a = np.concatenate([uv[:, :, :1] * p[:, :, 2] - p[:, :, 0], uv[:, :, 1:] * p[:, :, 2] - p[:, :, 1]], axis=1)
+    h = np.linalg.svd(a, full_matrices=a.shape[1] < 4)[2][:, -1]
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        q = np.einsum("tvij,tj->tvi", p, h / h[:, 3:])
+        return h, np.median(np.hypot(q[:, :, 0] / q[:, :, 2] - uv[:, :, 0], q[:, :, 1] / q[:, :, 2] - uv[:, :, 1]), axis=1)
+
+
 def triangulate_tracks(obs: DataFrame, key: str = "point_id", min_views: int = 2, max_median: float = 2.0) -> DataFrame:
     """Points from tracks by direct linear transform.  ``obs`` has u, v and the 3x4 projection p00..p23; a track is one group,
-    bounded by the images that see one point.  Tracks with a median reprojection error above the limit are dropped."""
+    bounded by the images that see one point.  Tracks with a median reprojection error above the limit are dropped, observations without a key are none.
+
+    Tracks come in order, those of a batch are solved together by their number of views; the open one is carried on."""
     kind = obs.schema[key].dataType.simpleString()
+    cells = ["u", "v", *[f"p{i}{j}" for i in range(3) for j in range(4)]]
+
+    def solved(keys: np.ndarray, v: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
+        sizes, found = np.diff(starts), []
+        for n in np.unique(sizes[sizes >= min_views]).tolist():
+            at = starts[:-1][sizes == n]
+            own = v[at[:, None] + np.arange(n)]
+            h, error = _solve_tracks(own[:, :, :2], own[:, :, 2:].reshape(len(at), n, 3, 4))
+            good = (np.abs(h[:, 3]) >= 1e-12) & (error <= max_median)
+            x = h[good, :3] / h[good, 3:]
+            found.append(pd.DataFrame({key: keys[at[good]], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2], "n": n, "median_px": error[good]}))
+        return pd.concat(found) if found else pd.DataFrame({key: keys[:0], "x": [], "y": [], "z": [], "n": [], "median_px": []})
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({key: [], "x": [], "y": [], "z": [], "n": [], "median_px": []})
-        if len(pdf) < min_views:
-            return empty
-        p = pdf[[f"p{i}{j}" for i in range(3) for j in range(4)]].to_numpy(dtype=float).reshape(-1, 3, 4)
-        uv = pdf[["u", "v"]].to_numpy(dtype=float)
-        h = np.linalg.svd(np.concatenate([uv[:, :1] * p[:, 2] - p[:, 0], uv[:, 1:] * p[:, 2] - p[:, 1]]))[2][-1]
-        if abs(h[3]) < 1e-12:
-            return empty
-        q = p @ (h / h[3])
-        error = float(np.median(np.hypot(q[:, 0] / q[:, 2] - uv[:, 0], q[:, 1] / q[:, 2] - uv[:, 1])))
-        if not error <= max_median:
-            return empty
-        x = h[:3] / h[3]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "x": [x[0]], "y": [x[1]], "z": [x[2]], "n": [len(pdf)], "median_px": [error]})
-
-    return obs.groupBy(key).applyInPandas(solve, f"{key} {kind}, x double, y double, z double, n long, median_px double")
+    def solve(frames):
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            names = frame[key].to_numpy()
+            if held and held[0][key].iloc[0] == names[0] == names[-1]:
+                held.append(frame)
+                continue
+            frame = pd.concat([*held, frame])
+            names = frame[key].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1])
+            held = [frame.iloc[starts[-1] :]]
+            if len(starts) > 1:
+                yield solved(names, frame[cells].to_numpy(dtype=float), starts)
+        if held:
+            frame = pd.concat(held)
+            yield solved(frame[key].to_numpy(), frame[cells].to_numpy(dtype=float), np.array([0, len(frame)]))
+
+    own = obs.where(F.col(key).isNotNull()).select(key, *cells).repartition(key).sortWithinPartitions(key)
+    return own.mapInPandas(solve, f"{key} {kind}, x double, y double, z double, n long, median_px double")
 
 
 def corner_pairs(corners: DataFrame, max_hop: int = 2, square_mm: float = 10.0, keys: list[str] = ()) -> DataFrame:

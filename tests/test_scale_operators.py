@@ -343,3 +343,20 @@ def test_many_small_hulls_at_once_equal_single_ones():
     for k in range(0, 20_000, 4):
         hull.area_of(many["x"].to_numpy()[k : k + 4], many["y"].to_numpy()[k : k + 4])
     assert together < 10 * (time.process_time() - start)
+
+
+def test_tracks_of_a_batch_are_solved_together(spark):
+    rng = np.random.default_rng(4)
+    names, obs = ["point_id", "u", "v", *[f"p{i}{j}" for i in range(3) for j in range(4)]], []
+    for k in range(300):
+        x = np.array([*rng.uniform(-1, 1, 2), rng.uniform(4, 6), 1.0])
+        for _ in range(int(rng.integers(1, 6)) if k else 12_000):
+            p = np.column_stack([np.eye(3), [*rng.uniform(-1, 1, 2), 0.0]]) * [[1000.0], [1000.0], [1.0]]
+            q = p @ x
+            obs.append([k, *(float(c) for c in q[:2] / q[2]), *map(float, p.ravel())])
+    sizes = {k: sum(1 for o in obs if o[0] == k) for k in range(300)}
+    d = spark.createDataFrame(obs + [[None, *obs[0][1:]]] * 3, "point_id long, " + ", ".join(f"{n} double" for n in names[1:]))
+    solve = stats.triangulate_tracks(d)
+    assert "FlatMapGroupsInPandas" not in solve._jdf.queryExecution().executedPlan().toString()
+    found = {r.point_id: r for r in solve.collect()}
+    assert {k: r.n for k, r in found.items()} == {k: n for k, n in sizes.items() if n > 1} and all(r.median_px < 1e-6 for r in found.values())
