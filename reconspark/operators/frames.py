@@ -95,11 +95,12 @@ BUCKET = 100_000
 def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``rows`` with their 0-based position in the order within each key, and the key's count n.
 
-    A table without keys is cut at values of the first order column into buckets of about BUCKET rows (cuts from a hash
-    sample, so they are the same in every run): counts per bucket, then ranks within a bucket.  Rows that share
+    A table without keys, or with a key of more than BUCKET rows, is cut at values of the first order column into buckets of about BUCKET rows (cuts from a hash
+    sample, so they are the same in every run): counts per key and bucket, then ranks within a bucket of a key.  Rows that share
     that value share a bucket.
     """
-    if keys or (total := rows.count()) <= BUCKET:
+    total = rows.count()
+    if total <= BUCKET or (keys and rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= BUCKET):
         per = Window.partitionBy(*keys)
         return rows.withColumn("position", F.row_number().over(per.orderBy(*order)) - 1).withColumn("n", F.count("*").over(per))
     first, parts = order[0], -(-total // BUCKET)
@@ -107,12 +108,20 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     sample = sorted(r[0] for r in rows.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(first).where(F.col(first).isNotNull()).collect())  # about 200 values a bucket
     cuts = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     kind = rows.schema[first].dataType
-    bounds = F.array(*[F.lit(v).cast(kind) for v in cuts]) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
-    placed = rows.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b <= F.col(first))))
-    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    before = counts.withColumn("_before", F.sum("_rows").over(Window.orderBy("_bucket")) - F.col("_rows"))  # one row a bucket
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return placed.withColumn("_inside", inside).join(F.broadcast(before), "_bucket").withColumn("position", (F.col("_inside") + F.col("_before")).cast("long")).withColumn("n", F.lit(total)).drop("_bucket", "_rows", "_before", "_inside")
+    listed = lambda values: F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.array().cast(f"array<{kind.simpleString()}>")
+    # Of many cuts every so manieth is looked at first, then those behind the last one below.
+    wide = max(1, int(len(cuts) ** 0.5))
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col(first)))
+    fine = F.array(*[listed(cuts[k : k + wide - 1]) for k in range(1, len(cuts) + 1, wide)]) if cuts else None
+    placed = rows.withColumn("_coarse", below(listed(cuts[::wide])))
+    inner = below(F.get(fine, F.col("_coarse") - 1)) if cuts else F.lit(0)
+    placed = placed.withColumn("_bucket", F.when(F.col("_coarse") > 0, (F.col("_coarse") - 1) * wide + 1 + inner).otherwise(F.lit(0))).drop("_coarse").withColumn("_key", F.struct(F.lit(0), *keys))  # a struct is never null
+    counts = placed.groupBy("_key", "_bucket").agg(F.count("*").alias("_rows"))
+    per = Window.partitionBy("_key")
+    before = counts.select("_key", "_bucket", (F.sum("_rows").over(per.orderBy("_bucket")) - F.col("_rows")).alias("_before"), F.sum("_rows").over(per).alias("n"))  # one row for each bucket of a key
+    inside = F.row_number().over(Window.partitionBy("_key", "_bucket").orderBy(*order)) - 1
+    joined = placed.withColumn("_inside", inside).join(before if keys else F.broadcast(before), ["_key", "_bucket"])
+    return joined.withColumn("position", (F.col("_inside") + F.col("_before")).cast("long")).select(*rows.columns, "position", "n")
 
 
 def even_spread(rows: DataFrame, keys: list[str], order: list[str], cap: int, current: Column | None = None) -> DataFrame:

@@ -360,3 +360,16 @@ def test_tracks_of_a_batch_are_solved_together(spark):
     assert "FlatMapGroupsInPandas" not in solve._jdf.queryExecution().executedPlan().toString()
     found = {r.point_id: r for r in solve.collect()}
     assert {k: r.n for k, r in found.items()} == {k: n for k, n in sizes.items() if n > 1} and all(r.median_px < 1e-6 for r in found.values())
+
+
+def test_ranks_of_a_hot_key_are_made_in_buckets(spark, monkeypatch):
+    from reconspark.operators import frames
+
+    rows = [(k, f"n{(j * 7919) % 900:04d}", j) for k, n in ((1, 900), (2, 30), (None, 200)) for j in range(n)]
+    d = spark.createDataFrame(rows, "k long, name string, j long").repartition(3)
+    plain = sorted(map(str, frames.ranked(d, ["k"], ["name", "j"]).collect()))
+    monkeypatch.setattr(frames, "BUCKET", 20)
+    cut = frames.ranked(d, ["k"], ["name", "j"])
+    assert sorted(map(str, cut.collect())) == plain
+    assert cut.columns == ["k", "name", "j", "position", "n"]
+    assert "windowspecdefinition(k" not in cut._jdf.queryExecution().optimizedPlan().toString()
