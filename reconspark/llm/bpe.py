@@ -191,25 +191,26 @@ class Vocabulary:
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     """``(text_key, packed)`` of every different text, compressed before it moves; null counts as empty."""
-    def pack(texts):
+    def pack(frames):
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=3)
-        for some in texts:
-            data = [t.encode() for t in some]
+        for frame in frames:
+            data = [t.encode() for t in frame["text"]]
             yield pd.DataFrame({"text_key": [digest(d) for d in data], "packed": [packer.compress(d) for d in data]})
 
-    pack.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    packed = F.pandas_udf(pack, "text_key binary, packed binary")
-    return docs.select(packed(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("t")).groupBy("t.text_key").agg(F.first("t.packed").alias("packed"))
+    # A map over rows, not a column function: a join's own test for null keys would call that once more below the aggregation.
+    packed = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).mapInPandas(pack, "text_key binary, packed binary")
+    return packed.groupBy("text_key").agg(F.first("packed").alias("packed"))
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, text_key)`` of every row, and ``(text_key, ids)`` of every different text.
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, decoded: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_key)`` of every row, and ``(text_key, ids)`` of every different text; with ``decoded``, which is the text of the ids.
 
     Recipes (digests and lengths of a text's chunks) are made and counted first.  Chunks with one place are encoded with their text; the others
     are encoded once, at the first of their places, and looked up at all.
     ``vocabulary`` is the path of a tokenizers file; by default the installed public one.  A chunk and a text are known by 128 bits of their digest.
+    Ids are decoded where they are made: a function of its own would hold a second Python process beside every task's.
     """
     def recipes(texts):
         own = Vocabulary(vocabulary)
@@ -270,9 +271,9 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         last = end
                     parts += own.spread(data[last:].decode()) if last < len(data) else []
                     out.append(np.array(own.join(parts), dtype="int32"))
-                yield pd.DataFrame({"text_key": some["text_key"], "ids": out})
+                yield pd.DataFrame({"text_key": some["text_key"], "ids": out} | ({"decoded": [own.decode(x.tolist()) for x in out]} if decoded else {}))
 
-    ids = _texts(docs, text_col).join(told, "text_key").select("text_key", "packed", "sizes", "given").mapInPandas(joined, "text_key binary, ids array<int>")
+    ids = _texts(docs, text_col).join(told, "text_key").select("text_key", "packed", "sizes", "given").mapInPandas(joined, "text_key binary, ids array<int>" + ", decoded string" * decoded)
     return rows.select("doc_id", "text_key"), ids
 
 
@@ -304,7 +305,6 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "text", voca
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256."""
-    rows, texts = encode_texts(docs, id_col, text_col, vocabulary)
-    back = decode(texts, "ids", "decoded", vocabulary)
-    told = back.select("text_key", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    rows, texts = encode_texts(docs, id_col, text_col, vocabulary, decoded=True)
+    told = texts.select("text_key", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
     return _by_text(rows, told)

@@ -40,6 +40,7 @@ def encoder(vocabulary: str | None = None):
     """
     import json
     import os
+    from functools import cache
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
@@ -47,8 +48,8 @@ def encoder(vocabulary: str | None = None):
     from tokenizers import Tokenizer
 
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    tokenizer = Tokenizer.from_file(path)
-    plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    tokenizer = cache(lambda: Tokenizer.from_file(path))  # most tasks never need it
+    plain = lambda text: tokenizer().encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
     special = {t["content"]: t["id"] for t in content.get("added_tokens", [])}

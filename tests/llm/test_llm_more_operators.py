@@ -83,6 +83,12 @@ def test_encoding_equals_tokenizers(spark, tokenizer):
     assert bpe.digests(table(spark, [])).count() == bpe.encode(table(spark, [])).count() == 0
 
 
+def test_digests_hold_one_python_process_for_each_task(spark):
+    plan = bpe.digests(table(spark, encode_rows()))._jdf.queryExecution().executedPlan().toString()
+    nodes = [line for line in plan.splitlines() if "MapInPandas" in line or "EvalPython" in line]
+    assert len(nodes) == 2  # packing the texts and joining their parts, with an exchange between
+
+
 def test_decoding_of_unknown_ids_and_parts_of_characters(spark, tokenizer):
     ids = [[50256, 464], [447], [447, 247], [], None, [60_000_000]]
     d = spark.createDataFrame([(k, x) for k, x in enumerate(ids)], "k int, ids array<int>")
