@@ -75,6 +75,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that ``dealt`` gives to a task.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of ``rows`` rows dealt by keys so that a task takes about TASK_ROWS of them, whatever their number.
+
+    Left alone, adaptive execution merges partitions by their packed bytes, to millions of rows of a few numbers each."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def release(spark) -> int:
     """Delete what ``kept`` wrote for this session's context, once the results that read it are done; how many tables went.
 

@@ -373,3 +373,16 @@ def test_ranks_of_a_hot_key_are_made_in_buckets(spark, monkeypatch):
     assert sorted(map(str, cut.collect())) == plain
     assert cut.columns == ["k", "name", "j", "position", "n"]
     assert "windowspecdefinition(k" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    from reconspark.operators import frames
+    from reconspark.plans.queries import j11_valid_observations
+
+    monkeypatch.setattr(frames, "TASK_ROWS", 100)
+    d = frames.dealt(spark.range(2000).selectExpr("id", "id % 7 AS k"), 2000, "id")
+    sizes = [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 200
+    # Pairs are counted over rows dealt by number, in front of the join.
+    plan = j11_valid_observations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("RepartitionByExpression")
