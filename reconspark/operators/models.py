@@ -11,8 +11,8 @@ from reconspark.operators.selection import median
 
 
 def valid_observations(obs: DataFrame, points: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Observations of a registered point that exists."""
-    return obs.where("point_id IS NOT NULL AND point_id >= 0").join(points.select(*keys, "point_id").distinct(), [*keys, "point_id"], "left_semi")
+    """Observations of a registered point that exists; points are as many as the scene has, so they aren't broadcast on the size of their file."""
+    return obs.where("point_id IS NOT NULL AND point_id >= 0").join(points.select(*keys, "point_id").distinct().hint("merge"), [*keys, "point_id"], "left_semi")
 
 
 def track_lengths(obs: DataFrame, keys: list[str] = ()) -> DataFrame:

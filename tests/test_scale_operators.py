@@ -383,6 +383,21 @@ def test_rows_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     d = frames.dealt(spark.range(2000).selectExpr("id", "id % 7 AS k"), 2000, "id")
     sizes = [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 20 and max(sizes) < 200
-    # Pairs are counted over rows dealt by number, in front of the join.
+    # Rows are dealt by number between the join and the counts.
     plan = j11_valid_observations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("LeftSemi") < plan.index("RepartitionByExpression")
+    assert plan.index("RepartitionByExpression") < plan.index("LeftSemi")
+
+
+def test_rows_of_a_block_meet_the_blocks_in_many_tasks(spark):
+    from reconspark.plans.queries import _blocked
+
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        tasks = _blocked(spark, "/root/testdata/sf0.001")[0].select("block", F.spark_partition_id().alias("p")).distinct().groupBy("block").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks and min(r["count"] for r in tasks) > 4
