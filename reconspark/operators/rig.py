@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconspark.functions.geometry import base_name, camera_center, first_folder, rotation, stem
-from reconspark.operators.frames import kept
+from reconspark.operators.frames import dealt, kept
 from reconspark.operators.spatial import within
 
 EARTH = 6371000.0
@@ -71,13 +71,17 @@ def auto_frame_key(cameras: DataFrame, fields: str | None = None) -> DataFrame:
     pairs = F.flatten(F.transform(i, lambda a: F.transform(F.filter(i, lambda b: b > a), lambda b: F.array(a, b))))
     # The candidates stand once with each camera; its table is broadcast up to FEW_CAMERAS rows.
     numbers = kept(numbers.where("least > 0 AND n_cameras > 1").select("camera", "number", "n_cameras", F.concat(singles, pairs).alias("combos")))
-    numbered = toks.join(F.broadcast(numbers) if numbers.count() <= FEW_CAMERAS else numbers, "camera")
+    n_cameras = numbers.count()
+    numbered = toks.join(F.broadcast(numbers) if n_cameras <= FEW_CAMERAS else numbers, "camera")
     keys = numbered.select("number", "n_cameras", "t", F.posexplode("combos").alias("rank", "combo"))  # a few fields, squared
     keys = keys.select("rank", F.col("combo")[0].alias("a"), F.get("combo", F.lit(1)).alias("b"), "t", "number", "n_cameras")
     keys = keys.select("rank", "a", "b", F.concat_ws("_", F.get("t", F.col("a")), F.get("t", F.col("b"))).alias("key"), "number", "n_cameras")
     word, bit = F.floor(F.col("number") / MASK).cast("int"), F.expr(f"shiftleft(1L, number % {MASK})")
-    masks = keys.groupBy("rank", "a", "b", "key", word.alias("word")).agg(F.bit_or(bit).alias("mask"), F.max("n_cameras").alias("n"))
-    held = masks.groupBy("rank", "a", "b", "key").agg(F.sum(F.bit_count("mask")).alias("c"), F.max("n").alias("n")).where("c = n")
+    if n_cameras <= MASK:  # one mask holds them all, so keys move once and no task holds them twice
+        held = keys.groupBy("rank", "a", "b", "key").agg(F.bit_count(F.bit_or(bit)).alias("c"), F.max("n_cameras").alias("n")).where("c = n")
+    else:
+        masks = keys.groupBy("rank", "a", "b", "key", word.alias("word")).agg(F.bit_or(bit).alias("mask"), F.max("n_cameras").alias("n"))
+        held = masks.groupBy("rank", "a", "b", "key").agg(F.sum(F.bit_count("mask")).alias("c"), F.max("n").alias("n")).where("c = n")
     shared = held.groupBy("rank", "a", "b").agg(F.count("*").alias("shared"))
     return shared.orderBy(F.desc("shared"), "rank").limit(1).select(F.array_compact(F.array("a", "b")).alias("combo"), "shared")
 
@@ -85,9 +89,9 @@ def auto_frame_key(cameras: DataFrame, fields: str | None = None) -> DataFrame:
 def group_auto(names: DataFrame, name: str = "name"):
     """Cameras by folder, or by file-name prefix where there is one folder only; frames by ``auto_frame_key``.
 
-    A key that repeats within a camera is dropped for all cameras.  Names are taken apart once, into a table spread by name (one file
+    A key that repeats within a camera is dropped for all cameras.  Names are taken apart once, into a table spread by name and number of rows (one file
     would be one task, and the names left over are found in it by name) that every step reads."""
-    every = kept(names.select(F.col(name).alias("name")).repartition("name").select("name", F.nullif(first_folder("name"), F.lit("")).alias("folder"), filename_camera("name").alias("prefix"), digit_fields("name").alias("fields")))
+    every = kept(dealt(names.select(F.col(name).alias("name")), names.count(), "name").select("name", F.nullif(first_folder("name"), F.lit("")).alias("folder"), filename_camera("name").alias("prefix"), digit_fields("name").alias("fields")))
     facts = every.agg(F.count_distinct("folder").alias("folders"), F.count_distinct(F.when(F.col("prefix") != "", F.col("prefix"))).alias("prefixes"), F.count_if(F.col("prefix") == "").alias("bare"))
     by_folder, by_prefix = F.col("folders") >= 2, (F.col("folders") < 2) & (F.col("prefixes") >= 2) & (F.col("bare") == 0)
     cams = every.crossJoin(F.broadcast(facts)).select("name", "fields", F.when(by_folder, F.col("folder")).when(by_prefix, F.col("prefix")).alias("camera"))  # one row

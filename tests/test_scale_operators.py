@@ -401,3 +401,10 @@ def test_rows_of_a_block_meet_the_blocks_in_many_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert tasks and min(r["count"] for r in tasks) > 4
+
+
+def test_keys_of_few_cameras_are_counted_in_one_aggregation(spark):
+    names = spark.createDataFrame([(c, f"{c}/x_{k}.jpg") for c in "ab" for k in range(5)], "camera string, name string")
+    found = rig.auto_frame_key(names)
+    assert "AS word" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.combo, r.shared) for r in found.collect()] == [([0], 5)]
